@@ -81,7 +81,7 @@ picked AS (
   FROM tails),
 lanes AS (
   SELECT store, product, series_days,
-         CAST(CASE WHEN w = -1 THEN series_days ELSE w END AS INTEGER) AS window_days,
+         CAST(CASE WHEN w = -1 THEN series_days ELSE w END AS BIGINT) AS window_days,
          CAST({pick('n')} AS BIGINT) AS n_days,
          CAST({pick('c')} AS BIGINT) AS n_order_days,
          {pick('s')} AS window_qty, {pick('p')} AS window_nonzero_qty
@@ -121,7 +121,7 @@ horizon AS (
          CAST(unnest(generate_series(b.d1 + 1, b.d1 + {C.HORIZON_DAYS}, INTERVAL 1 DAY)) AS DATE) AS date
   FROM (SELECT DISTINCT store, product FROM daily) p CROSS JOIN bounds b),
 horizon2 AS (
-  SELECT h.*, CAST(datediff('day', (SELECT d1 FROM bounds), h.date) - 1 AS INTEGER) AS day_idx,
+  SELECT h.*, CAST(datediff('day', (SELECT d1 FROM bounds), h.date) - 1 AS BIGINT) AS day_idx,
          isodow(h.date) - 1 AS dow FROM horizon h)"""
 
 
@@ -172,7 +172,7 @@ LEFT JOIN {prof} p ON p.store = h.store AND p.product = h.product AND p.dow = h.
 def q_dow_profile(version: int, kind: str = "brand") -> str:
     prof, trend = ("prof2", "trend2") if version == 2 else ("prof1", "trend1")
     return with_(demand_ctes(kind), dow_ctes()) + f"""
-SELECT p.store, p.product, CAST(p.dow AS INTEGER) AS dow,
+SELECT p.store, p.product, CAST(p.dow AS BIGINT) AS dow,
        {r6('CASE WHEN t.tot = 0 THEN 0.0 ELSE p.dow_avg END')} AS dow_avg,
        {r6(f'CASE WHEN t.tot = 0 THEN 1.0 ELSE t.{trend} END')} AS trend
 FROM {prof} p JOIN trend t ON p.store = t.store AND p.product = t.product"""
@@ -199,4 +199,136 @@ def oracle_sql() -> dict[str, str]:
         "dow_forecast_v1": q_dow_forecast(1, "type"),
         "dow_profile_v2": q_dow_profile(2, "brand"),
         "dow_profile_v1": q_dow_profile(1, "brand"),
+        **{k: f() for k, f in FEATURE_SQL.items()},
     }
+
+
+# --------------------------------------------------------------------------
+# features
+# --------------------------------------------------------------------------
+
+_W = "PARTITION BY store, product ORDER BY date"
+
+
+def _prev(n) -> str:
+    return f"OVER ({_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+
+
+_PAST = f"OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def q_feature_calendar() -> str:
+    return with_(demand_ctes("type")) + f"""
+SELECT store, product, date, CAST(isodow(date) - 1 AS BIGINT) AS dow,
+  CAST(dayofmonth(date) AS BIGINT) AS day_of_month, CAST(weekofyear(date) AS BIGINT) AS week_of_year,
+  CAST(month(date) AS BIGINT) AS month,
+  CAST(CASE WHEN isodow(date) - 1 >= 5 THEN 1 ELSE 0 END AS BIGINT) AS is_weekend,
+  CAST(CASE WHEN isodow(date) - 1 = 0 THEN 1 ELSE 0 END AS BIGINT) AS is_monday,
+  CAST(CASE WHEN isodow(date) - 1 = 4 THEN 1 ELSE 0 END AS BIGINT) AS is_friday,
+  {r6('sin(2 * pi() * (isodow(date) - 1) / 7)')} AS dow_sin,
+  {r6('cos(2 * pi() * (isodow(date) - 1) / 7)')} AS dow_cos,
+  {r6('sin(2 * pi() * dayofmonth(date) / 31)')} AS dom_sin,
+  {r6('cos(2 * pi() * dayofmonth(date) / 31)')} AS dom_cos
+FROM dense"""
+
+
+def q_feature_lags() -> str:
+    cols = [f"{r6(f'LAG(qty, {k}) OVER ({_W})')} AS lag_{k}" for k in (1, 7, 14)]
+    for n in (7, 14, 28):
+        cols.append(f"{r6(f'AVG(qty) {_prev(n)}')} AS rolling_mean_{n}")
+        cols.append(f"{r6(f'STDDEV_SAMP(qty) {_prev(n)}')} AS rolling_std_{n}")
+    cols.append(f"{r6(f'MAX(qty) {_prev(7)}')} AS rolling_max_7")
+    return with_(demand_ctes("type")) + f"""
+SELECT store, product, date, {r6('qty')} AS qty, {', '.join(cols)} FROM dense"""
+
+
+def q_feature_recency() -> str:
+    return with_(demand_ctes("type")) + f"""
+, f AS (SELECT store, product, date,
+    COALESCE(LAST_VALUE(CASE WHEN qty <> 0 THEN qty END IGNORE NULLS) {_PAST}, 0.0) AS last_order_qty,
+    AVG(qty) {_prev(7)} AS rm7, AVG(qty) {_prev(28)} AS rm28,
+    COALESCE(datediff('day', MAX(CASE WHEN qty > 0 THEN date END) {_PAST}, date), 0) AS dsl
+  FROM dense)
+SELECT store, product, date, {r6('last_order_qty')} AS last_order_qty,
+  {r6('LEAST(GREATEST(COALESCE(rm7 / NULLIF(rm28, 0), 1.0), 0.2), 5.0)')} AS trend_7_28,
+  CAST(dsl AS BIGINT) AS days_since_last_order
+FROM f"""
+
+
+def _tier(x: str) -> str:
+    return (f"CASE WHEN {x} >= {C.TIER_HIGH_MIN} THEN 'high' WHEN {x} >= {C.TIER_LOW_MIN} "
+            "THEN 'low' ELSE 'sporadic' END")
+
+
+def q_feature_product(kind: str = "brand") -> str:
+    return with_(demand_ctes(kind)) + f"""
+, s AS (SELECT store, product, AVG(qty) AS a, COALESCE(STDDEV_SAMP(qty), 0) AS sd,
+               AVG(CASE WHEN qty > 0 THEN 1.0 ELSE 0.0 END) AS f
+        FROM dense GROUP BY store, product)
+SELECT store, product, {r6('a')} AS product_hist_avg,
+  {r6('LEAST(GREATEST(COALESCE(sd / NULLIF(a, 0), 0.0), 0.0), 10.0)')} AS product_cv,
+  {r6('f')} AS order_frequency, {_tier('a')} AS volume_tier
+FROM s"""
+
+
+def q_future_features(kind: str = "brand") -> str:
+    return with_(demand_ctes(kind)) + f"""
+, rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY store, product ORDER BY date DESC) AS rn,
+                 COUNT(*) OVER (PARTITION BY store, product) AS n FROM dense),
+t AS (SELECT store, product, SUM(qty) AS tot, AVG(qty) AS ha, STDDEV_SAMP(qty) AS hs,
+        AVG(CASE WHEN qty > 0 THEN 1.0 ELSE 0.0 END) AS ofq,
+        MAX(CASE WHEN rn = 1 THEN qty END) AS lag_1,
+        MAX(CASE WHEN rn = LEAST(7, n) THEN qty END) AS lag_7,
+        MAX(CASE WHEN rn = LEAST(14, n) THEN qty END) AS lag_14,
+        AVG(qty) FILTER (WHERE rn <= 7) AS rm7, AVG(qty) FILTER (WHERE rn <= 14) AS rm14,
+        AVG(qty) FILTER (WHERE rn <= 28) AS rm28,
+        COALESCE(STDDEV_SAMP(qty) FILTER (WHERE rn <= 7), 0) AS rs7,
+        COALESCE(STDDEV_SAMP(qty) FILTER (WHERE rn <= 14), 0) AS rs14,
+        MAX(qty) FILTER (WHERE rn <= 7) AS rmax7,
+        COALESCE(MAX(date) FILTER (WHERE qty > 0), MIN(date)) AS lod,
+        COALESCE(arg_max(qty, date) FILTER (WHERE qty > 0), 0.0) AS loq
+      FROM rk GROUP BY store, product HAVING SUM(qty) <> 0),
+h AS (SELECT t.*, CAST(unnest(generate_series(b.d1 + 1, b.d1 + {C.HORIZON_DAYS}, INTERVAL 1 DAY)) AS DATE) AS date
+      FROM t CROSS JOIN bounds b)
+SELECT store, product, CAST(datediff('day', (SELECT d1 FROM bounds), date) - 1 AS BIGINT) AS day_idx, date,
+  CAST(isodow(date) - 1 AS BIGINT) AS dow, CAST(dayofmonth(date) AS BIGINT) AS day_of_month,
+  CAST(CASE WHEN isodow(date) - 1 >= 5 THEN 1 ELSE 0 END AS BIGINT) AS is_weekend,
+  CAST(CASE WHEN isodow(date) - 1 = 0 THEN 1 ELSE 0 END AS BIGINT) AS is_monday,
+  CAST(CASE WHEN isodow(date) - 1 = 4 THEN 1 ELSE 0 END AS BIGINT) AS is_friday,
+  {r6('sin(2 * pi() * (isodow(date) - 1) / 7)')} AS dow_sin,
+  {r6('cos(2 * pi() * (isodow(date) - 1) / 7)')} AS dow_cos,
+  {r6('sin(2 * pi() * dayofmonth(date) / 31)')} AS dom_sin,
+  {r6('cos(2 * pi() * dayofmonth(date) / 31)')} AS dom_cos,
+  {r6('lag_1')} AS lag_1, {r6('lag_7')} AS lag_7, {r6('lag_14')} AS lag_14,
+  {r6('rm7')} AS rolling_mean_7, {r6('rm14')} AS rolling_mean_14, {r6('rm28')} AS rolling_mean_28,
+  {r6('rs7')} AS rolling_std_7, {r6('rs14')} AS rolling_std_14, {r6('rmax7')} AS rolling_max_7,
+  {r6('loq')} AS last_order_qty,
+  {r6('LEAST(GREATEST(CASE WHEN rm28 > 0 THEN rm7 / rm28 ELSE 1.0 END, 0.2), 5.0)')} AS trend_7_28,
+  CAST(datediff('day', lod, date) AS BIGINT) AS days_since_last_order,
+  {r6('ha')} AS product_hist_avg,
+  {r6('LEAST(GREATEST(CASE WHEN ha > 0 THEN COALESCE(hs, 0) / ha ELSE 0.0 END, 0.0), 10.0)')} AS product_cv,
+  {r6('ofq')} AS order_frequency
+FROM h"""
+
+
+def q_recency_weights(kind: str = "brand") -> str:
+    """Weights over the complete-feature rows of each store (lag_14 known)."""
+    k = f"ln(2) / {C.RECENCY_HALF_LIFE}"
+    return with_(demand_ctes(kind)) + f"""
+, rows AS (SELECT store, product, date FROM (
+     SELECT *, LAG(qty, 14) OVER ({_W}) AS l14 FROM dense) WHERE l14 IS NOT NULL),
+m AS (SELECT store, MAX(date) AS last FROM rows GROUP BY store),
+w AS (SELECT r.*, exp(-{k} * datediff('day', r.date, m.last)) AS w FROM rows r JOIN m USING (store))
+SELECT store, product, date,
+  {r6('w * COUNT(*) OVER (PARTITION BY store) / SUM(w) OVER (PARTITION BY store)')} AS weight
+FROM w"""
+
+
+FEATURE_SQL = {
+    "feature_calendar": q_feature_calendar,
+    "feature_lags": q_feature_lags,
+    "feature_recency": q_feature_recency,
+    "feature_product": q_feature_product,
+    "future_features": q_future_features,
+    "recency_weights": q_recency_weights,
+}

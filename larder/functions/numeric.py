@@ -45,11 +45,15 @@ def count_if(cond: Column) -> Column:
 
 
 def round_all(df, digits: int = 6):
-    """Round every double column half-even (for comparisons with an oracle)."""
+    """Normalise a result for comparison with an oracle: doubles rounded
+    half-even to ``digits`` places, narrow integers widened to ``long``."""
     out = []
     for f in df.schema.fields:
-        if f.dataType.typeName() in ("double", "float"):
+        t = f.dataType.typeName()
+        if t in ("double", "float"):
             out.append(half_even(F.col(f.name), digits).alias(f.name))
+        elif t in ("integer", "short", "byte"):
+            out.append(F.col(f.name).cast("long").alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions.numeric import round_all
 from .operators import demand as DM
 from .operators import dow as DW
+from .operators import features as FT
 from .operators import lanes as LN
 from .sources import derived as D
 
@@ -65,6 +66,43 @@ def _dow_profile(version, kind):
     return q
 
 
+def _dense(spark, sf, kind):
+    return DM.dense_demand(_daily(spark, sf, kind))
+
+
+def feature_calendar(spark, sf):
+    fm = FT.add_calendar(_dense(spark, sf, "type"))
+    return round_all(fm.drop("qty"))
+
+
+def feature_lags(spark, sf):
+    d = _dense(spark, sf, "type")
+    return round_all(d.select("store", "product", "date", "qty",
+                              *[c.alias(n) for n, c in FT.lag_columns().items()]))
+
+
+def feature_recency(spark, sf):
+    d = _dense(spark, sf, "type")
+    return round_all(d.select("store", "product", "date",
+                              *[c.alias(n) for n, c in FT.recency_columns().items()]))
+
+
+def feature_product(spark, sf):
+    return round_all(FT.product_stats(_dense(spark, sf, "brand")))
+
+
+def future_features(spark, sf):
+    return round_all(FT.future_features(_dense(spark, sf, "brand")))
+
+
+def recency_weights(spark, sf):
+    d = _dense(spark, sf, "brand")
+    rows = d.select("store", "product", "date",
+                    F.lag("qty", 14).over(FT.ordered_window()).alias("l14")).where(F.col("l14").isNotNull())
+    w = FT.recency_weights(rows.drop("l14"), ["store"])
+    return round_all(w)
+
+
 def registry() -> dict[str, Query]:
     return {
         "daily_demand_dense": daily_demand_dense,
@@ -77,4 +115,10 @@ def registry() -> dict[str, Query]:
         "dow_forecast_v1": _dow_forecast(1, "type"),
         "dow_profile_v2": _dow_profile(2, "brand"),
         "dow_profile_v1": _dow_profile(1, "brand"),
+        "feature_calendar": feature_calendar,
+        "feature_lags": feature_lags,
+        "feature_recency": feature_recency,
+        "feature_product": feature_product,
+        "future_features": future_features,
+        "recency_weights": recency_weights,
     }
