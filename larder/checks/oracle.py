@@ -200,6 +200,7 @@ def oracle_sql() -> dict[str, str]:
         "dow_profile_v2": q_dow_profile(2, "brand"),
         "dow_profile_v1": q_dow_profile(1, "brand"),
         **{k: f() for k, f in FEATURE_SQL.items()},
+        **{k: f() for k, f in APP_SQL.items()},
     }
 
 
@@ -332,3 +333,252 @@ FEATURE_SQL = {
     "future_features": q_future_features,
     "recency_weights": q_recency_weights,
 }
+
+
+# --------------------------------------------------------------------------
+# replenishment app (events-derived tables)
+# --------------------------------------------------------------------------
+
+AS_OF = f"DATE '{D.APP_AS_OF.isoformat()}'"
+
+
+def app_table_ctes() -> str:
+    cats = ", ".join(f"'{c}'" for c in D.ITEM_CATEGORIES)
+    return f"""
+ev AS (SELECT event_type AS store_id, user_id AS item_id, CAST(ts AS DATE) AS d,
+              hour(ts) AS hr, value FROM events),
+usage AS (SELECT store_id, item_id, d AS usage_date,
+                 CAST(SUM(floor(value / {D.UNIT_DIVISOR})) AS DOUBLE) AS quantity_used
+          FROM ev WHERE hr < 12 GROUP BY store_id, item_id, d),
+orders AS (SELECT store_id, item_id, d AS order_date,
+                  CAST(SUM(floor(value / {D.UNIT_DIVISOR})) AS DOUBLE) AS quantity_ordered
+           FROM ev WHERE hr >= 12 GROUP BY store_id, item_id, d),
+snaps AS (SELECT store_id, item_id, d AS snapshot_date,
+                 CAST(SUM(floor(value / {D.SNAPSHOT_DIVISOR})) AS DOUBLE) AS quantity_on_hand
+          FROM ev WHERE isodow(d) = 7 GROUP BY store_id, item_id, d),
+items AS (SELECT user_id AS id, 'Item ' || CAST(user_id AS VARCHAR) AS item_name,
+                 'SKU-' || lpad(CAST(user_id AS VARCHAR), 5, '0') AS sku,
+                 [{cats}][user_id % {len(D.ITEM_CATEGORIES)} + 1] AS category,
+                 CAST(user_id % 6 + 1 AS INTEGER) AS case_pack_quantity
+          FROM (SELECT DISTINCT user_id FROM events)),
+settings AS (SELECT store_id, item_id, CAST((item_id % 5) * 4 AS DOUBLE) AS par_level,
+                    CAST(item_id % 3 AS DOUBLE) AS safety_stock,
+                    CAST((item_id % 4) * 2 AS DOUBLE) AS min_send_quantity,
+                    ['round_up_case_pack', 'round_up_integer', 'none'][item_id % 3 + 1] AS rounding_rule,
+                    CASE WHEN item_id % 7 = 0 THEN 14 END AS usage_window_days,
+                    item_id % 11 <> 0 AS active
+             FROM (SELECT DISTINCT store_id, item_id FROM ev))"""
+
+
+def overlay_cte(lo_days: int | None = None) -> str:
+    lo_u = f" AND usage_date >= {AS_OF} - {lo_days}" if lo_days else ""
+    lo_o = f" AND order_date >= {AS_OF} - {lo_days}" if lo_days else ""
+    return f"""
+ov AS (SELECT COALESCE(o.store_id, u.store_id) AS store_id, COALESCE(o.item_id, u.item_id) AS item_id,
+              COALESCE(o.order_date, u.usage_date) AS date,
+              COALESCE(o.quantity_ordered, u.quantity_used) AS qty,
+              u.usage_date IS NOT NULL AS has_usage, o.order_date IS NOT NULL AS has_order
+       FROM (SELECT * FROM usage WHERE usage_date < {AS_OF}{lo_u}) u
+       FULL OUTER JOIN (SELECT * FROM orders WHERE order_date < {AS_OF}{lo_o}) o
+         ON u.store_id = o.store_id AND u.item_id = o.item_id AND u.usage_date = o.order_date)"""
+
+
+def app_stat_ctes(decay: float = C.WEIGHTED_DECAY, m: float = 0.0) -> str:
+    same = f"isodow(ov.date) = isodow({AS_OF})"
+    w = f"POW({decay}, datediff('day', ov.date, {AS_OF}) - 1)"
+    if m > 0:
+        w = f"{w} * CASE WHEN {same} THEN {1.0 + m} ELSE 1.0 END"
+
+    def win(tag: str, col: str) -> str:
+        f = f"FILTER (WHERE ago <= {col})"
+        dm = (f"COUNT(date) FILTER (WHERE ago <= {col} AND same_dow)" if m > 0 else "0")
+        return (f"COUNT(date) {f} AS n_{tag}, SUM(qty) {f} AS sum_{tag}, SUM(qty * w) {f} AS wq_{tag}, "
+                f"SUM(w) {f} AS w_{tag}, CAST({dm} AS BIGINT) AS dowm_{tag}, "
+                f"COALESCE(BOOL_OR(has_order) {f}, false) AS ord_{tag}, "
+                f"COALESCE(BOOL_OR(has_usage) {f}, false) AS use_{tag}")
+
+    def derived(tag: str) -> str:
+        return (f"CASE WHEN n_{tag} > 0 THEN sum_{tag} / n_{tag} ELSE 0.0 END AS avg_{tag}, "
+                f"CASE WHEN n_{tag} > 0 AND w_{tag} <> 0 THEN wq_{tag} / w_{tag} ELSE 0.0 END AS wavg_{tag}, "
+                f"CASE WHEN n_{tag} = 0 THEN 'none' WHEN ord_{tag} AND use_{tag} THEN 'blended' "
+                f"WHEN ord_{tag} THEN 'actual_orders' ELSE 'daily_usage' END AS src_{tag}")
+
+    r = C.ROUTING_WINDOW
+    return f"""
+sw AS (SELECT s.*, i.item_name, i.case_pack_quantity,
+              CASE WHEN s.usage_window_days > 0 THEN s.usage_window_days ELSE {C.USAGE_WINDOW_SHORT} END AS ws,
+              CASE WHEN s.usage_window_days > 0 THEN GREATEST(2 * s.usage_window_days, {C.USAGE_WINDOW_LONG})
+                   ELSE {C.USAGE_WINDOW_LONG} END AS wl
+       FROM settings s LEFT JOIN items i ON i.id = s.item_id WHERE s.active),
+j AS (SELECT sw.store_id, sw.item_id, sw.ws, sw.wl, ov.date, ov.qty, ov.has_usage, ov.has_order,
+             datediff('day', ov.date, {AS_OF}) AS ago, {same} AS same_dow, {w} AS w
+      FROM sw LEFT JOIN ov ON ov.store_id = sw.store_id AND ov.item_id = sw.item_id),
+st AS (SELECT store_id, item_id, {win('s', 'ws')}, {win('l', 'wl')},
+              COUNT(date) FILTER (WHERE ago <= {r}) AS r_n,
+              COUNT(date) FILTER (WHERE ago <= {r} AND qty > 0) AS r_no,
+              SUM(qty) FILTER (WHERE ago <= {r}) AS r_sum,
+              SUM(qty) FILTER (WHERE ago <= {r} AND qty > 0) AS r_nz,
+              STDDEV_SAMP(qty) FILTER (WHERE ago <= {r} AND qty > 0) AS r_sd
+       FROM j GROUP BY store_id, item_id),
+s2 AS (SELECT st.*, sw.par_level, sw.safety_stock, sw.min_send_quantity, sw.rounding_rule,
+              sw.case_pack_quantity, sw.item_name, sw.ws, sw.wl, {derived('s')}, {derived('l')},
+              CASE WHEN r_n > 0 THEN 1.0 - r_no / r_n ELSE 1.0 END AS zr,
+              CASE WHEN r_n > 0 THEN r_sum / r_n ELSE 0.0 END AS r_avg,
+              CASE WHEN r_no > 0 THEN r_nz / r_no ELSE 0.0 END AS anz,
+              CASE WHEN r_no > 1 AND r_nz / r_no > 0 THEN r_sd / (r_nz / r_no) ELSE 0.0 END AS r_cv
+       FROM st JOIN sw USING (store_id, item_id))"""
+
+
+def app_forecast_ctes(weighted: bool = False, m: float = 0.0) -> str:
+    a = "wavg" if weighted else "avg"
+    method = "historical_weighted_v1" if weighted else "historical_simple_v1"
+    k = C.MIN_DATA_POINTS_HIGH
+    r = C.ROUTING_WINDOW
+    conf = "dconf"
+    extra = ""
+    if weighted:
+        extra += f""",
+s4b AS (SELECT *, dconf = 'high' AND dcov > 0 AND dcov < 0.5 AS low_cov FROM s4),
+s4c AS (SELECT *, CASE WHEN low_cov THEN 'medium' ELSE dconf END AS dconf_b FROM s4b),
+s4d AS (SELECT *, {('dwin > 0 AND ddowm < GREATEST(1, dwin // 7) AND dconf_b = ' + chr(39) + 'high' + chr(39)) if m > 0 else 'false'} AS sparse_dow FROM s4c),
+s5 AS (SELECT *, CASE WHEN sparse_dow THEN 'medium' ELSE dconf_b END AS dconf2 FROM s4d)"""
+    else:
+        extra += """,
+s5 AS (SELECT *, false AS low_cov, false AS sparse_dow, dconf AS dconf2 FROM s4)"""
+    return f"""
+s3 AS (SELECT *,
+         CASE WHEN r_n = 0 THEN 'dormant' WHEN zr >= {C.DORMANT_ZERO_RATE} THEN 'dormant'
+              WHEN zr >= {C.INTERMITTENT_ZERO_RATE} THEN 'intermittent' ELSE 'daily' END AS lane,
+         CASE WHEN n_s >= {k} THEN 'S' WHEN n_l >= {k} THEN 'L'
+              WHEN n_s > 0 OR n_l > 0 THEN (CASE WHEN n_l > n_s THEN 'l' ELSE 's' END)
+              ELSE 'N' END AS pick
+       FROM s2),
+s4 AS (SELECT *,
+         CASE pick WHEN 'S' THEN 'high' WHEN 'L' THEN 'medium' ELSE 'low' END AS {conf},
+         CASE WHEN pick = 'N' THEN 0.0 WHEN pick IN ('L', 'l') THEN {a}_l ELSE {a}_s END AS davg,
+         CASE WHEN pick = 'N' THEN 0 WHEN pick IN ('L', 'l') THEN wl ELSE ws END AS dwin,
+         CASE WHEN pick = 'N' THEN 0 WHEN pick IN ('L', 'l') THEN n_l ELSE n_s END AS dpts,
+         CASE WHEN pick = 'N' THEN 'none' WHEN pick IN ('L', 'l') THEN src_l ELSE src_s END AS dsrc,
+         CASE WHEN pick = 'N' THEN 0 WHEN pick IN ('L', 'l') THEN dowm_l ELSE dowm_s END AS ddowm,
+         CASE WHEN (CASE WHEN pick = 'N' THEN 0 WHEN pick IN ('L', 'l') THEN wl ELSE ws END) <= 0 THEN 0.0
+              ELSE LEAST((CASE WHEN pick = 'N' THEN 0 WHEN pick IN ('L', 'l') THEN n_l ELSE n_s END)
+                         / (CASE WHEN pick = 'N' THEN 0 WHEN pick IN ('L', 'l') THEN wl ELSE ws END), 1.0)
+              END AS dcov
+       FROM s3){extra},
+fc AS (SELECT *,
+         CASE lane WHEN 'dormant' THEN 0.0
+                   WHEN 'intermittent' THEN (CASE WHEN r_no = 0 THEN 0.0 ELSE round_even((r_no / r_n) * anz, 4) END)
+                   ELSE davg END AS avg0,
+         CAST(CASE WHEN lane = 'daily' THEN dwin ELSE {r} END AS BIGINT) AS window_days,
+         CAST(CASE WHEN lane = 'daily' THEN dpts WHEN lane = 'dormant' THEN r_n ELSE r_no END AS BIGINT) AS data_points,
+         CASE WHEN lane = 'daily' THEN dsrc WHEN r_no > 0 THEN 'actual_orders' ELSE 'none' END AS data_source,
+         CASE lane WHEN 'dormant' THEN 'dormant_v1' WHEN 'intermittent' THEN 'intermittent_v1'
+                   ELSE '{method}' END AS forecast_method,
+         CASE WHEN lane = 'daily' THEN dconf2 WHEN lane = 'dormant' THEN 'low'
+              WHEN r_no < 3 THEN 'low' ELSE 'medium' END AS conf0,
+         (lane = 'intermittent' AND r_no < 3) AS lane_low
+       FROM s5),
+oh AS (SELECT store_id, item_id, arg_max(quantity_on_hand, snapshot_date) AS oh_qty,
+              MAX(snapshot_date) AS ohd
+       FROM snaps WHERE snapshot_date <= {AS_OF} GROUP BY store_id, item_id),
+f2 AS (SELECT fc.*, oh.ohd,
+         CASE WHEN oh.ohd IS NULL THEN NULL
+              WHEN datediff('day', oh.ohd, {AS_OF}) > 0 AND avg0 > 0
+                THEN GREATEST(0.0, oh.oh_qty - avg0 * datediff('day', oh.ohd, {AS_OF}))
+              ELSE oh.oh_qty END AS on_hand,
+         CASE WHEN oh.ohd IS NULL AND conf0 = 'high' THEN 'medium' ELSE conf0 END AS confidence_level
+       FROM fc LEFT JOIN oh USING (store_id, item_id)),
+rc AS (SELECT *,
+         CASE WHEN avg0 = 0 AND data_points = 0 THEN par_level ELSE avg0 END AS favg,
+         GREATEST(par_level, (CASE WHEN avg0 = 0 AND data_points = 0 THEN par_level ELSE avg0 END)
+                  + safety_stock) AS target,
+         CASE WHEN case_pack_quantity IS NULL OR case_pack_quantity <= 0 THEN 1.0
+              ELSE CAST(case_pack_quantity AS DOUBLE) END AS cp
+       FROM f2),
+rc2 AS (SELECT *, GREATEST(0.0, target - COALESCE(on_hand, 0.0)) AS need0 FROM rc),
+rc3 AS (SELECT *, CASE WHEN need0 > 0 AND need0 < min_send_quantity THEN min_send_quantity ELSE need0 END AS need1
+        FROM rc2),
+rc4 AS (SELECT *, CASE WHEN need1 <= 0 THEN 0.0
+                       WHEN rounding_rule = 'round_up_integer' THEN ceil(round_even(need1, 6))
+                       WHEN rounding_rule = 'round_up_case_pack' THEN ceil(round_even(need1 / cp, 6)) * cp
+                       ELSE need1 END AS need2 FROM rc3),
+rec AS (SELECT *, CASE WHEN need2 > 0 THEN ceil(round_even(need2, 6)) ELSE need2 END AS recommended_quantity
+        FROM rc4),
+recw AS (SELECT *, concat_ws(',',
+           CASE WHEN lane = 'dormant' THEN 'dormant_product' END,
+           CASE WHEN lane = 'intermittent' THEN 'intermittent_demand' END,
+           CASE WHEN lane = 'dormant' OR (lane = 'daily' AND pick NOT IN ('S', 'L')) OR lane_low
+                THEN 'sparse_usage_history' END,
+           CASE WHEN lane = 'daily' AND low_cov THEN 'low_data_coverage' END,
+           CASE WHEN lane = 'daily' AND sparse_dow THEN 'sparse_dow_history' END,
+           CASE WHEN conf0 = 'low' THEN 'low_confidence' END,
+           CASE WHEN ohd IS NULL THEN 'missing_snapshot' END,
+           CASE WHEN recommended_quantity > par_level * 2 AND par_level > 0
+                THEN 'unusual_recommendation' END) AS warning_flags
+         FROM rec)"""
+
+
+def _app_with(weighted=False, m=0.0, decay=C.WEIGHTED_DECAY) -> str:
+    return with_(app_table_ctes(), overlay_cte(), app_stat_ctes(decay, m),
+                 app_forecast_ctes(weighted, m))
+
+
+def q_recommendation(weighted: bool = False, m: float = 0.0) -> str:
+    return _app_with(weighted, m) + f"""
+SELECT store_id, item_id, lane, {r6('recommended_quantity')} AS recommended_quantity,
+       confidence_level, forecast_method, {r6('favg')} AS forecast_avg_daily_usage,
+       {r6('on_hand')} AS on_hand, {r6('target')} AS forecast_target, window_days, data_points,
+       data_source, warning_flags
+FROM recw"""
+
+
+def q_plan_stats() -> str:
+    return _app_with() + """
+SELECT COUNT(*) FILTER (WHERE recommended_quantity > 0) AS lines,
+       COUNT(DISTINCT CASE WHEN recommended_quantity > 0 THEN store_id END) AS stores,
+       COUNT(*) FILTER (WHERE recommended_quantity > 0 AND confidence_level = 'low') AS low_confidence,
+       COUNT(*) FILTER (WHERE recommended_quantity > 0 AND warning_flags <> '') AS with_warnings,
+       COUNT(*) FILTER (WHERE NOT recommended_quantity > 0) AS zero_skipped
+FROM recw"""
+
+
+def q_avg_orders() -> str:
+    return with_(app_table_ctes(), overlay_cte(), app_stat_ctes()) + f"""
+SELECT store_id, item_id, {r6('avg_s')} AS avg_short, n_s AS count_short, src_s AS source_short,
+       {r6('avg_l')} AS avg_long, n_l AS count_long, src_l AS source_long FROM s2"""
+
+
+def q_weighted_avg_orders(m: float = 0.5) -> str:
+    return with_(app_table_ctes(), overlay_cte(), app_stat_ctes(C.WEIGHTED_DECAY, m)) + f"""
+SELECT store_id, item_id, {r6('wavg_s')} AS wavg_short, n_s AS count_short, dowm_s AS dow_matches_short,
+       {r6('wavg_l')} AS wavg_long, n_l AS count_long, dowm_l AS dow_matches_long FROM s2"""
+
+
+def q_demand_stats() -> str:
+    return with_(app_table_ctes(), overlay_cte(), app_stat_ctes()) + f"""
+SELECT store_id, item_id, {r6('zr')} AS zero_rate, {r6('r_avg')} AS avg_demand,
+       {r6('anz')} AS avg_nonzero, {r6('r_cv')} AS cv, r_n AS n_days, r_no AS n_order_days FROM s2"""
+
+
+def q_latest_on_hand() -> str:
+    return with_(app_table_ctes()) + f"""
+SELECT store_id, item_id, arg_max(quantity_on_hand, snapshot_date) AS on_hand,
+       MAX(snapshot_date) AS on_hand_date
+FROM snaps WHERE snapshot_date <= {AS_OF} GROUP BY store_id, item_id"""
+
+
+def q_overlay_demand() -> str:
+    return with_(app_table_ctes(), overlay_cte(C.USAGE_WINDOW_LONG)) + f"""
+SELECT store_id, item_id, date, {r6('qty')} AS qty, has_usage, has_order FROM ov"""
+
+
+APP_SQL = {
+    "overlay_demand": q_overlay_demand,
+    "avg_orders": q_avg_orders,
+    "weighted_avg_orders": q_weighted_avg_orders,
+    "demand_stats": q_demand_stats,
+    "latest_on_hand": q_latest_on_hand,
+    "recommendation": lambda: q_recommendation(False),
+    "recommendation_weighted": lambda: q_recommendation(True, 0.5),
+    "plan_stats": q_plan_stats,
+}

@@ -18,6 +18,8 @@ from .operators import demand as DM
 from .operators import dow as DW
 from .operators import features as FT
 from .operators import lanes as LN
+from .operators import replenish as RP
+from .config import AppParams
 from .sources import derived as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +105,78 @@ def recency_weights(spark, sf):
     return round_all(w)
 
 
+def _app(spark, sf):
+    return dict(usage=D.app_usage(spark, sf), orders=D.app_orders(spark, sf),
+                snapshots=D.app_snapshots(spark, sf), settings=D.app_settings(spark, sf),
+                items=D.app_items(spark, sf))
+
+
+def _app_stats(spark, sf, params):
+    t = _app(spark, sf)
+    p = F.lit(D.APP_AS_OF)
+    sw = RP.setting_windows(t["settings"], params).join(
+        t["items"].select(F.col("id").alias("item_id"), "item_name", "case_pack_quantity"),
+        "item_id", "left")
+    span = sw.agg(F.max(F.greatest("wl", "ws", F.lit(params.routing_window)))).scalar()
+    ov = DM.overlay_demand(t["usage"], t["orders"], p, span)
+    return RP.pair_statistics(sw, ov, p, params)
+
+
+def overlay_demand(spark, sf):
+    t = _app(spark, sf)
+    return round_all(DM.overlay_demand(t["usage"], t["orders"], D.APP_AS_OF,
+                                       AppParams().window_long))
+
+
+def avg_orders(spark, sf):
+    st = _app_stats(spark, sf, AppParams())
+    return round_all(st.select(
+        "store_id", "item_id", F.col("avg_s").alias("avg_short"), F.col("n_s").alias("count_short"),
+        F.col("src_s").alias("source_short"), F.col("avg_l").alias("avg_long"),
+        F.col("n_l").alias("count_long"), F.col("src_l").alias("source_long")))
+
+
+def weighted_avg_orders(spark, sf):
+    st = _app_stats(spark, sf, AppParams(forecast_method="historical_weighted_v1",
+                                         dow_multiplier=0.5))
+    return round_all(st.select(
+        "store_id", "item_id", F.col("wavg_s").alias("wavg_short"),
+        F.col("n_s").alias("count_short"), F.col("dowm_s").alias("dow_matches_short"),
+        F.col("wavg_l").alias("wavg_long"), F.col("n_l").alias("count_long"),
+        F.col("dowm_l").alias("dow_matches_long")))
+
+
+def demand_stats(spark, sf):
+    st = _app_stats(spark, sf, AppParams())
+    return round_all(st.select(
+        "store_id", "item_id", F.col("r_zero_rate").alias("zero_rate"),
+        F.col("r_avg_demand").alias("avg_demand"), F.col("r_avg_nonzero").alias("avg_nonzero"),
+        F.col("r_cv").alias("cv"), F.col("r_n_days").alias("n_days"),
+        F.col("r_n_order_days").alias("n_order_days")))
+
+
+def latest_on_hand(spark, sf):
+    return round_all(RP.latest_on_hand(D.app_snapshots(spark, sf), D.APP_AS_OF))
+
+
+def _recommendations(spark, sf, params):
+    t = _app(spark, sf)
+    return RP.build_recommendations(t["usage"], t["orders"], t["snapshots"], t["settings"],
+                                    t["items"], D.APP_AS_OF, params)
+
+
+def _recommendation(params):
+    def q(spark, sf):
+        r = _recommendations(spark, sf, params)
+        return round_all(r.select(*RP.RECOMMENDATION_COLUMNS,
+                                  F.concat_ws(",", "warning_flags").alias("warning_flags")))
+    return q
+
+
+def plan_stats(spark, sf):
+    return RP.plan_stats(_recommendations(spark, sf, AppParams()))
+
+
 def registry() -> dict[str, Query]:
     return {
         "daily_demand_dense": daily_demand_dense,
@@ -121,4 +195,13 @@ def registry() -> dict[str, Query]:
         "feature_product": feature_product,
         "future_features": future_features,
         "recency_weights": recency_weights,
+        "overlay_demand": overlay_demand,
+        "avg_orders": avg_orders,
+        "weighted_avg_orders": weighted_avg_orders,
+        "demand_stats": demand_stats,
+        "latest_on_hand": latest_on_hand,
+        "recommendation": _recommendation(AppParams()),
+        "recommendation_weighted": _recommendation(
+            AppParams(forecast_method="historical_weighted_v1", dow_multiplier=0.5)),
+        "plan_stats": plan_stats,
     }
