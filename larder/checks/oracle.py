@@ -201,6 +201,7 @@ def oracle_sql() -> dict[str, str]:
         "dow_profile_v1": q_dow_profile(1, "brand"),
         **{k: f() for k, f in FEATURE_SQL.items()},
         **{k: f() for k, f in APP_SQL.items()},
+        **{k: f() for k, f in PACKING_SQL.items()},
     }
 
 
@@ -582,3 +583,99 @@ APP_SQL = {
     "recommendation_weighted": lambda: q_recommendation(True, 0.5),
     "plan_stats": q_plan_stats,
 }
+
+
+# --------------------------------------------------------------------------
+# safety stock, delivery schedule, packing (on the brand lane forecast)
+# --------------------------------------------------------------------------
+
+SPORADIC_EXAMPLE = ("Brand#3", "Brand#13", "Brand#23")
+
+
+def packing_ctes() -> str:
+    spor = ", ".join(f"'{p}'" for p in SPORADIC_EXAMPLE)
+    m = C.SAFETY_MULTIPLIER
+    return f"""
+lf AS (SELECT h.store, h.product, l.lane, h.day_idx, h.date,
+         CASE WHEN l.lane = 'daily' THEN (CASE WHEN t.tot = 0 THEN 0.0
+                   ELSE GREATEST(0.0, COALESCE(p.dow_avg, 0.0) * t.trend2) END)
+              WHEN l.lane = 'intermittent' THEN l.intermittent_rate ELSE 0.0 END AS pred
+       FROM horizon2 h JOIN lanes2 l ON h.store = l.store AND h.product = l.product
+       JOIN trend t ON h.store = t.store AND h.product = t.product
+       LEFT JOIN prof2 p ON p.store = h.store AND p.product = h.product AND p.dow = h.dow),
+ss AS (SELECT store, product, SUM(qty) AS tot, COUNT(*) FILTER (WHERE qty > 0) AS nzc,
+              AVG(qty) FILTER (WHERE qty > 0) AS nzm, STDDEV_SAMP(qty) FILTER (WHERE qty > 0) AS nzs,
+              AVG(CASE WHEN qty > 0 THEN 1.0 ELSE 0.0 END) AS ofq
+       FROM dense GROUP BY store, product),
+sf AS (SELECT lf.*, ss.tot, ss.ofq, ss.nzm,
+         lf.pred * CASE WHEN (CASE WHEN ss.nzc > 1 AND ss.nzm > 0 THEN ss.nzs / ss.nzm ELSE 0.0 END) > {C.SAFETY_VOLATILE_CV}
+                        THEN {m + C.SAFETY_VOLATILE_EXTRA} ELSE {m} END AS p1,
+         GREATEST(1.0, round_even(COALESCE(ss.nzm, 1.0) * 0.5, 0)) AS floor_q
+       FROM lf LEFT JOIN ss USING (store, product)),
+safe AS (SELECT store, product, lane, day_idx, date,
+           CASE WHEN tot IS NULL OR tot = 0 THEN pred
+                WHEN product IN ({spor}) AND ofq > {C.SPORADIC_MIN_ORDER_FREQ} AND p1 > 0 AND p1 < floor_q
+                  THEN floor_q
+                ELSE p1 END AS pred
+         FROM sf),
+sched0 AS (SELECT store, product, n_order_days AS k,
+             GREATEST(1.0, round_even(n_days / n_order_days, 0)) AS itv,
+             GREATEST(1.0, round_even(window_nonzero_qty / n_order_days, 0)) AS aq
+           FROM lanes2 WHERE lane IN ('intermittent', 'periodic')),
+sched AS (SELECT s.store, s.product, CAST(d.day_idx AS BIGINT) AS day_idx,
+            CASE WHEN s.k > 0 AND ({C.HORIZON_DAYS} / s.itv) * s.aq >= 0.5
+                      AND d.day_idx % CAST(s.itv AS BIGINT) = 0 THEN s.aq ELSE 0.0 END AS qty
+          FROM sched0 s CROSS JOIN (SELECT unnest(range(0, {C.HORIZON_DAYS})) AS day_idx) d),
+pq AS (SELECT f.store, f.product, f.day_idx, f.date,
+         CASE WHEN f.lane IN ('intermittent', 'periodic') THEN COALESCE(s.qty, 0.0)
+              ELSE round_even(f.pred, 0) END AS qty
+       FROM safe f LEFT JOIN sched s ON s.store = f.store AND s.product = f.product AND s.day_idx = f.day_idx),
+par AS (SELECT DISTINCT store, product,
+               CAST(((length(store) + length(product)) % 4) * 10 AS BIGINT) AS max_qty FROM lines),
+keep AS (SELECT store, product, SUM(qty) AS total FROM pq GROUP BY store, product HAVING SUM(qty) >= 1),
+pl0 AS (SELECT pq.store, pq.product, pq.day_idx, pq.date,
+          CASE WHEN par.max_qty IS NULL THEN pq.qty ELSE LEAST(pq.qty, CAST(par.max_qty AS DOUBLE)) END AS qty,
+          keep.total, CAST(par.max_qty AS DOUBLE) AS par
+        FROM pq JOIN keep USING (store, product) LEFT JOIN par USING (store, product)),
+pl AS (SELECT pl0.*, SUM(qty) OVER (PARTITION BY store, product) AS capped_total FROM pl0)"""
+
+
+def _packing_with() -> str:
+    return with_(demand_ctes("brand"), lane_ctes(), dow_ctes(), packing_ctes())
+
+
+def q_safety_stock() -> str:
+    return _packing_with() + f"""
+SELECT store, product, lane, day_idx, date, {r6('pred')} AS pred FROM safe"""
+
+
+def q_delivery_schedule() -> str:
+    return _packing_with() + f"""
+SELECT store, product, day_idx, {r6('qty')} AS qty FROM sched"""
+
+
+def q_packing_list() -> str:
+    return _packing_with() + f"""
+SELECT store, product, day_idx, date, {r6('qty')} AS qty, {r6('total')} AS total,
+       {r6('capped_total')} AS capped_total, {r6('par')} AS par FROM pl"""
+
+
+def q_packing_totals() -> str:
+    return _packing_with() + f"""
+SELECT store, day_idx, {r6('SUM(qty)')} AS total FROM pl GROUP BY ROLLUP (store, day_idx)
+HAVING store IS NOT NULL"""
+
+
+def q_check_stock() -> str:
+    return _packing_with() + """
+SELECT store, product, max_qty AS par FROM par
+WHERE max_qty > 0 AND NOT EXISTS (SELECT 1 FROM pl WHERE pl.store = par.store AND pl.product = par.product)"""
+
+
+PACKING_SQL = {
+    "safety_stock": q_safety_stock,
+    "delivery_schedule": q_delivery_schedule,
+    "packing_list": q_packing_list,
+    "packing_totals": q_packing_totals,
+    "check_stock": q_check_stock,
+}

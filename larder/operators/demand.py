@@ -8,8 +8,9 @@ Scale notes
   its size is pairs x days and every series stays bounded by the number of
   calendar days, whatever the skew of the raw lines.  Pairs never observed
   together are all-zero series and are not materialised (see README).
-* The global date bounds are scalar subqueries (``DataFrame.scalar``), so
-  the whole thing stays one lazy plan.
+* The global date bounds set the forecast horizon; they are resolved once
+  (one aggregate job, two values to the driver) and then used as literals,
+  so they are not re-planned as subqueries inside every expression.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ def daily_demand(lines: DataFrame) -> DataFrame:
 
 
 def date_bounds(daily: DataFrame) -> tuple[Column, Column]:
-    """Global first and last demand date as scalar subqueries."""
-    return daily.agg(F.min("date")).scalar(), daily.agg(F.max("date")).scalar()
+    """Global first and last demand date, as literal columns."""
+    row = daily.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
+    return F.lit(row["lo"]), F.lit(row["hi"])
 
 
 def dense_demand(daily: DataFrame, first: Column | None = None,

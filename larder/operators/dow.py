@@ -4,8 +4,8 @@ Both DOW models are computed from ONE aggregate per series over the sparse
 daily table.  Zero-filled days add nothing to a numerator, and every series
 spans the same global calendar, so the per-weekday denominators (day counts
 or sums of decay weights) are seven numbers shared by every series.  They
-come from a generated calendar of at most (last - first + 1) days, reduced
-to one array-valued scalar subquery.
+come from a generated calendar of at most (last - first + 1) days and are
+passed to the per-series plan as two literal arrays.
 """
 
 from __future__ import annotations
@@ -23,15 +23,20 @@ from .demand import date_bounds
 
 def calendar_weights(daily: DataFrame, first: Column, last: Column,
                      decay: float = C.DOW_DECAY) -> tuple[Column, Column]:
-    """Per-weekday day counts and decay-weight sums over the global calendar."""
+    """Per-weekday day counts and decay-weight sums over the global calendar.
+
+    These depend only on the two bounds, so they are computed from a
+    generated calendar of (last - first + 1) rows and returned as literal
+    arrays of seven numbers.
+    """
     cal = daily.sparkSession.range(1).select(F.explode(F.sequence(first, last)).alias("date"))
     w = F.pow(F.lit(decay), F.datediff(last, F.col("date")))
     d = dow("date")
-    counts = cal.agg(F.array(*[F.sum(F.when(d == k, 1.0).otherwise(0.0))
-                               for k in range(7)])).scalar()
-    weights = cal.agg(F.array(*[F.sum(F.when(d == k, w).otherwise(0.0))
-                                for k in range(7)])).scalar()
-    return counts, weights
+    row = cal.agg(F.array(*[F.sum(F.when(d == k, 1.0).otherwise(0.0)) for k in range(7)]).alias("c"),
+                  F.array(*[F.sum(F.when(d == k, w).otherwise(0.0)) for k in range(7)]).alias("w")
+                  ).first()
+    return (F.array(*[F.lit(float(x)) for x in row["c"]]),
+            F.array(*[F.lit(float(x)) for x in row["w"]]))
 
 
 def dow_aggs(last: Column, decay: float = C.DOW_DECAY) -> list[Column]:
@@ -114,13 +119,15 @@ def dow_profile(daily: DataFrame, version: int = 2) -> DataFrame:
 
 
 def lane_forecast(daily: DataFrame, product_config: ProductConfig | None = None,
-                  days: int = C.HORIZON_DAYS) -> DataFrame:
+                  days: int = C.HORIZON_DAYS, first: Column | None = None,
+                  last: Column | None = None) -> DataFrame:
     """Lane routing + flat lane rates + DOW v2 for the daily lane.
 
     One aggregate over the daily table feeds both the router and the DOW
     model; the horizon is a per-series generator (14 rows per series).
     """
-    first, last = date_bounds(daily)
+    if first is None or last is None:
+        first, last = date_bounds(daily)
     counts, weights = calendar_weights(daily, first, last)
     s = series_summary(daily, first, last)
     s = L.classify_lanes(s, product_config).withColumns(dow_profile_columns(2, counts, weights))

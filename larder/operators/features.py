@@ -159,7 +159,7 @@ def tail_stats(dense: DataFrame, last: Column | None = None) -> DataFrame:
     dense — so one hash aggregate replaces sorting each series.
     """
     if last is None:
-        last = dense.agg(F.max("date")).scalar()
+        last = F.lit(dense.agg(F.max("date")).first()[0])
     ago = F.datediff(last, F.col("date"))
     q = F.col("qty")
 
@@ -193,7 +193,8 @@ def future_features(dense: DataFrame, days: int = C.HORIZON_DAYS) -> DataFrame:
     Series with zero total demand get no rows.  ``lag_7``/``lag_14`` are the
     first values of the last 7/14 rows (the series' first value when shorter).
     """
-    first_day, last = dense.agg(F.min("date")).scalar(), dense.agg(F.max("date")).scalar()
+    row = dense.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
+    first_day, last = F.lit(row["lo"]), F.lit(row["hi"])
     t = tail_stats(dense, last)
     first_q = dense.where(F.col("date") == first_day).select(
         "store", "product", F.col("qty").alias("first_qty"))

@@ -285,7 +285,8 @@ def build_recommendations(usage: DataFrame, orders: DataFrame, snapshots: DataFr
     sw = setting_windows(settings, params)
     sw = sw.join(items.select(F.col("id").alias("item_id"), "item_name", "case_pack_quantity"),
                  "item_id", "left").withColumn("plan_date", p)
-    span = sw.agg(F.max(F.greatest("wl", "ws", F.lit(params.routing_window)))).scalar()
+    span = int(sw.agg(F.max(F.greatest("wl", "ws", F.lit(params.routing_window)))).first()[0]
+               or params.routing_window)
     ov = overlay_demand(usage, orders, p, span)
     st = pair_statistics(sw, ov, p, params)
     oh = latest_on_hand(snapshots, p)

@@ -19,6 +19,8 @@ from .operators import dow as DW
 from .operators import features as FT
 from .operators import lanes as LN
 from .operators import replenish as RP
+from .operators import packing as PK
+from .config import ProductConfig
 from .config import AppParams
 from .sources import derived as D
 
@@ -117,7 +119,8 @@ def _app_stats(spark, sf, params):
     sw = RP.setting_windows(t["settings"], params).join(
         t["items"].select(F.col("id").alias("item_id"), "item_name", "case_pack_quantity"),
         "item_id", "left")
-    span = sw.agg(F.max(F.greatest("wl", "ws", F.lit(params.routing_window)))).scalar()
+    span = int(sw.agg(F.max(F.greatest("wl", "ws", F.lit(params.routing_window)))).first()[0]
+               or params.routing_window)
     ov = DM.overlay_demand(t["usage"], t["orders"], p, span)
     return RP.pair_statistics(sw, ov, p, params)
 
@@ -177,6 +180,44 @@ def plan_stats(spark, sf):
     return RP.plan_stats(_recommendations(spark, sf, AppParams()))
 
 
+SPORADIC_EXAMPLE = ProductConfig(sporadic=frozenset({"Brand#3", "Brand#13", "Brand#23"}))
+
+
+def _packing(spark, sf):
+    """Brand lane forecast -> safety stock -> schedule -> whole units."""
+    daily = _daily(spark, sf, "brand")
+    first, last = DM.date_bounds(daily)
+    fc = DW.lane_forecast(daily, SPORADIC_EXAMPLE, first=first, last=last)
+    safe = PK.apply_safety_stock(fc, PK.series_stats(daily, first, last), SPORADIC_EXAMPLE)
+    lanes = LN.lanes(daily, SPORADIC_EXAMPLE, first, last)
+    sched = PK.delivery_schedule(lanes)
+    qty = PK.packing_quantities(safe, sched)
+    par = D.par_levels(spark, sf, "brand")
+    plist = PK.packing_list(qty, par)
+    return dict(safe=safe, sched=sched, qty=qty, plist=plist, par=par)
+
+
+def safety_stock(spark, sf):
+    return round_all(_packing(spark, sf)["safe"])
+
+
+def delivery_schedule(spark, sf):
+    return round_all(_packing(spark, sf)["sched"])
+
+
+def packing_list(spark, sf):
+    return round_all(_packing(spark, sf)["plist"])
+
+
+def packing_totals(spark, sf):
+    return round_all(PK.packing_totals(_packing(spark, sf)["plist"]))
+
+
+def check_stock(spark, sf):
+    p = _packing(spark, sf)
+    return PK.check_stock(p["plist"], p["par"])
+
+
 def registry() -> dict[str, Query]:
     return {
         "daily_demand_dense": daily_demand_dense,
@@ -204,4 +245,9 @@ def registry() -> dict[str, Query]:
         "recommendation_weighted": _recommendation(
             AppParams(forecast_method="historical_weighted_v1", dow_multiplier=0.5)),
         "plan_stats": plan_stats,
+        "safety_stock": safety_stock,
+        "delivery_schedule": delivery_schedule,
+        "packing_list": packing_list,
+        "packing_totals": packing_totals,
+        "check_stock": check_stock,
     }

@@ -252,7 +252,7 @@ def forecast_history(spark: SparkSession, sf_dir: str, kind: str = "type") -> Da
     """
     lines = demand_lines(spark, sf_dir, kind)
     daily = lines.groupBy("store", "product", "date").agg(F.sum("qty").alias("qty"))
-    last = daily.agg(F.max("date")).scalar()
+    last = F.lit(daily.agg(F.max("date")).first()[0])
     pairs = daily.select("store", "product").distinct()
     grid = pairs.select(
         "store", "product",
