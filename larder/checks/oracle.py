@@ -99,7 +99,7 @@ lanes2 AS (
   FROM lanes)"""
 
 
-def dow_ctes() -> str:
+def dow_ctes(days: int | str = C.HORIZON_DAYS) -> str:
     """prof2 / prof1 (per weekday) and trend2 / trend1 (per series) on dense."""
     d = C.DOW_DECAY
     return f"""
@@ -118,7 +118,7 @@ trend AS (
   FROM dense GROUP BY store, product),
 horizon AS (
   SELECT p.store, p.product,
-         CAST(unnest(generate_series(b.d1 + 1, b.d1 + {C.HORIZON_DAYS}, INTERVAL 1 DAY)) AS DATE) AS date
+         CAST(unnest(generate_series(b.d1 + 1, b.d1 + CAST({days} AS INTEGER), INTERVAL 1 DAY)) AS DATE) AS date
   FROM (SELECT DISTINCT store, product FROM daily) p CROSS JOIN bounds b),
 horizon2 AS (
   SELECT h.*, CAST(datediff('day', (SELECT d1 FROM bounds), h.date) - 1 AS BIGINT) AS day_idx,
@@ -202,6 +202,7 @@ def oracle_sql() -> dict[str, str]:
         **{k: f() for k, f in FEATURE_SQL.items()},
         **{k: f() for k, f in APP_SQL.items()},
         **{k: f() for k, f in PACKING_SQL.items()},
+        **{k: f() for k, f in BACKTEST_SQL.items()},
     }
 
 
@@ -679,3 +680,101 @@ PACKING_SQL = {
     "packing_totals": q_packing_totals,
     "check_stock": q_check_stock,
 }
+
+
+# --------------------------------------------------------------------------
+# hold-out backtest (DOW + lane configuration) and accuracy report
+# --------------------------------------------------------------------------
+
+def backtest_ctes(kind: str = "brand") -> str:
+    """``daily`` = full daily sums, ``bounds`` = (first day, training end),
+    ``dense`` = zero-filled training rows, ``test`` = zero-filled actuals."""
+    mt, td = C.BACKTEST_MIN_TRAIN, C.BACKTEST_TEST_DAYS
+    return f"""
+lines AS ({lines_sql(kind)}),
+daily AS (SELECT store, product, date, SUM(qty) AS qty FROM lines GROUP BY store, product, date),
+b0 AS (SELECT MIN(date) AS d0, MAX(date) AS d1, datediff('day', MIN(date), MAX(date)) AS hist FROM daily),
+bt AS (SELECT d0, d1, CASE WHEN hist < {mt + td} THEN GREATEST(1, hist - {mt}) ELSE {td} END AS td FROM b0),
+bounds AS (SELECT d0, CAST(d1 - CAST(td AS INTEGER) AS DATE) AS d1 FROM bt),
+grid AS (
+  SELECT p.store, p.product,
+         CAST(unnest(generate_series(b.d0, b.d1, INTERVAL 1 DAY)) AS DATE) AS date
+  FROM (SELECT DISTINCT store, product FROM daily) p CROSS JOIN bounds b),
+dense AS (
+  SELECT g.store, g.product, g.date, COALESCE(d.qty, 0.0) AS qty,
+         datediff('day', g.date, (SELECT d1 FROM bounds)) AS days_ago,
+         isodow(g.date) - 1 AS dow
+  FROM grid g LEFT JOIN daily d
+    ON d.store = g.store AND d.product = g.product AND d.date = g.date)"""
+
+
+def q_backtest_lanes(kind: str = "brand") -> str:
+    return with_(backtest_ctes(kind), lane_ctes(), dow_ctes("(SELECT td FROM bt)")) + f"""
+, res AS (
+  SELECT h.store, h.product, h.date, COALESCE(d.qty, 0.0) AS actual, l.lane,
+    CASE WHEN l.lane = 'daily' THEN NULL WHEN l.lane = 'intermittent'
+         THEN round_even(l.intermittent_rate, 2) ELSE 0.0 END AS pred_lane,
+    CASE WHEN l.lane = 'daily' THEN round_even(CASE WHEN t.tot = 0 THEN 0.0
+         ELSE GREATEST(0.0, COALESCE(p.dow_avg, 0.0) * t.trend2) END, 1) END AS pred_dow
+  FROM horizon2 h JOIN lanes2 l ON h.store = l.store AND h.product = l.product
+  JOIN trend t ON h.store = t.store AND h.product = t.product
+  LEFT JOIN prof2 p ON p.store = h.store AND p.product = h.product AND p.dow = h.dow
+  LEFT JOIN daily d ON d.store = h.store AND d.product = h.product AND d.date = h.date
+  WHERE (h.store, h.product) IN (SELECT store, product FROM daily GROUP BY store, product
+                                 HAVING SUM(qty) <> 0)
+    AND (SELECT datediff('day', d0, d1) + 1 FROM bounds) >= {C.BACKTEST_MIN_TRAIN_ROWS}),
+filled AS (SELECT store, product, date, actual, lane,
+    CASE WHEN lane = 'daily' THEN (0.0 + {C.DEFAULT_WEIGHTS['dow']} * pred_dow) / (0.0 + {C.DEFAULT_WEIGHTS['dow']})
+         ELSE pred_lane END AS pred_lane, pred_dow FROM res)"""
+
+
+def _metrics(a: str = "actual", p: str = "pred") -> str:
+    return (f"round_even(AVG(abs({a} - {p})), 2) AS mae, "
+            f"round_even(AVG(CASE WHEN {a} > 0 THEN abs(({a} - {p}) / {a}) END) * 100, 1) AS mape, "
+            f"round_even(SUM(abs({a} - {p})) / GREATEST(SUM({a}), 1.0) * 100, 1) AS wmape, "
+            f"round_even(AVG({p} - {a}), 2) AS bias, "
+            f"round_even(AVG(CASE WHEN abs({a} - {p}) <= 1 THEN 1.0 ELSE 0.0 END) * 100, 1) AS within_1")
+
+
+def q_backtest_rows() -> str:
+    return q_backtest_lanes() + f"""
+SELECT store, product, date, {r6('actual')} AS actual, lane, {r6('pred_lane')} AS pred_lane,
+       {r6('pred_dow')} AS pred_dow FROM res"""
+
+
+def q_accuracy_by_lane() -> str:
+    return q_backtest_lanes() + f"""
+, lg AS (
+  SELECT store, product, lane, actual, 'ensemble' AS model, pred_lane AS pred FROM filled WHERE lane = 'daily'
+  UNION ALL SELECT store, product, lane, actual, 'dow', pred_dow FROM filled WHERE lane = 'daily'
+  UNION ALL SELECT store, product, lane, actual, 'lane', pred_lane FROM filled WHERE lane <> 'daily'),
+lg2 AS (SELECT *, model IN ('ensemble', 'lane') AND lane <> 'dormant' AS final FROM lg WHERE pred IS NOT NULL),
+g AS (SELECT lane, model, final, store, COUNT(*) AS n, COUNT(DISTINCT (store, product)) AS products,
+             {_metrics()}
+      FROM lg2 GROUP BY GROUPING SETS ((lane, model), (final, store), (final)))
+SELECT CASE WHEN lane IS NOT NULL THEN 'lane' WHEN store IS NOT NULL THEN 'store' ELSE 'overall' END AS scope,
+       COALESCE(lane, store, 'all') AS key, COALESCE(model, 'final') AS model, n, products,
+       {r6('mae')} AS mae, {r6('mape')} AS mape, {r6('wmape')} AS wmape, {r6('bias')} AS bias,
+       {r6('within_1')} AS within_1
+FROM g WHERE lane IS NOT NULL OR final"""
+
+
+def q_lane_distribution() -> str:
+    return q_backtest_lanes() + """
+SELECT lane, COUNT(DISTINCT (store, product)) AS series FROM res GROUP BY lane"""
+
+
+def q_worst_products() -> str:
+    return q_backtest_lanes() + f"""
+SELECT store, product, lane, {r6('wmape')} AS wmape, {r6('mae')} AS mae, {r6('total_actual')} AS total_actual
+FROM (SELECT store, product, MAX(lane) AS lane, SUM(actual) AS total_actual, {_metrics('actual', 'pred_lane')}
+      FROM filled WHERE lane <> 'dormant' GROUP BY store, product HAVING SUM(actual) >= 2)
+ORDER BY wmape DESC, store, product LIMIT 10"""
+
+
+BACKTEST_SQL = {
+    "backtest_lanes": q_backtest_rows,
+    "accuracy_by_lane": q_accuracy_by_lane,
+    "lane_distribution": q_lane_distribution,
+    "worst_products": q_worst_products,
+}

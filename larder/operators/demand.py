@@ -31,10 +31,16 @@ def daily_demand(lines: DataFrame) -> DataFrame:
     return lines.groupBy("store", "product", "date").agg(F.sum("qty").alias("qty"))
 
 
+def date_bound_values(daily: DataFrame):
+    """Global first and last demand date (one aggregate job, two values)."""
+    row = daily.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
+    return row["lo"], row["hi"]
+
+
 def date_bounds(daily: DataFrame) -> tuple[Column, Column]:
     """Global first and last demand date, as literal columns."""
-    row = daily.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
-    return F.lit(row["lo"]), F.lit(row["hi"])
+    lo, hi = date_bound_values(daily)
+    return F.lit(lo), F.lit(hi)
 
 
 def dense_demand(daily: DataFrame, first: Column | None = None,

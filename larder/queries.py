@@ -20,6 +20,7 @@ from .operators import features as FT
 from .operators import lanes as LN
 from .operators import replenish as RP
 from .operators import packing as PK
+from .operators import evaluate as EV
 from .config import ProductConfig
 from .config import AppParams
 from .sources import derived as D
@@ -218,6 +219,26 @@ def check_stock(spark, sf):
     return PK.check_stock(p["plist"], p["par"])
 
 
+def _backtest(spark, sf):
+    return EV.backtest(_daily(spark, sf, "brand"))
+
+
+def backtest_lanes(spark, sf):
+    return round_all(_backtest(spark, sf))
+
+
+def accuracy_by_lane(spark, sf):
+    return round_all(EV.accuracy_report(EV.fill_ensemble(_backtest(spark, sf))))
+
+
+def lane_distribution(spark, sf):
+    return EV.lane_distribution(_backtest(spark, sf))
+
+
+def worst_products(spark, sf):
+    return round_all(EV.worst_products(EV.fill_ensemble(_backtest(spark, sf))))
+
+
 def registry() -> dict[str, Query]:
     return {
         "daily_demand_dense": daily_demand_dense,
@@ -250,4 +271,8 @@ def registry() -> dict[str, Query]:
         "packing_list": packing_list,
         "packing_totals": packing_totals,
         "check_stock": check_stock,
+        "backtest_lanes": backtest_lanes,
+        "accuracy_by_lane": accuracy_by_lane,
+        "lane_distribution": lane_distribution,
+        "worst_products": worst_products,
     }
