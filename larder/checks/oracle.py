@@ -203,6 +203,7 @@ def oracle_sql() -> dict[str, str]:
         **{k: f() for k, f in APP_SQL.items()},
         **{k: f() for k, f in PACKING_SQL.items()},
         **{k: f() for k, f in BACKTEST_SQL.items()},
+        **{k: f() for k, f in FEEDBACK_SQL.items()},
     }
 
 
@@ -778,3 +779,160 @@ BACKTEST_SQL = {
     "lane_distribution": q_lane_distribution,
     "worst_products": q_worst_products,
 }
+
+
+# --------------------------------------------------------------------------
+# feedback loop (history derived from the type demand)
+# --------------------------------------------------------------------------
+
+def history_ctes() -> str:
+    """``hist`` = the recorded-forecast fixture; needs ``daily``/``bounds``."""
+    past, fut, pend = D.HISTORY_PAST_DAYS, D.HISTORY_FUTURE_DAYS, D.HISTORY_PENDING_DAYS
+    return f"""
+hgrid AS (SELECT p.store, p.product,
+            CAST(unnest(generate_series(b.d1 - {past - 1}, b.d1 + {fut}, INTERVAL 1 DAY)) AS DATE) AS date
+          FROM (SELECT DISTINCT store, product FROM daily) p CROSS JOIN bounds b),
+hist0 AS (SELECT g.store, g.product, g.date, COALESCE(d.qty, 0.0) AS q,
+            dayofmonth(g.date) AS dom, (SELECT d1 FROM bounds) AS d1
+          FROM hgrid g LEFT JOIN daily d
+            ON d.store = g.store AND d.product = g.product AND d.date = g.date),
+hist1 AS (SELECT store, product, date, q,
+            CASE WHEN date > d1 THEN CAST(dom % 4 + 1 AS DOUBLE)
+                 ELSE round_even(q * (CAST(0.8 AS DOUBLE) + (dom % 5) * CAST(0.1 AS DOUBLE)) + dom % 3, 0)
+            END AS predicted,
+            CASE WHEN date <= d1 - {pend} THEN q END AS actual
+          FROM hist0),
+hist AS (SELECT store, product, date, predicted, actual,
+           CASE WHEN actual IS NOT NULL THEN round_even((predicted - actual) * 100, 0) / 100 END AS error,
+           CASE WHEN q >= 5 THEN 'high' ELSE 'low' END AS volume_tier, 'v2' AS model_version,
+           CAST(date AS TIMESTAMP) AS recorded_at
+         FROM hist1),
+matched AS (
+  SELECT h.store, h.product, h.date, h.predicted,
+    CASE WHEN d.qty IS NOT NULL THEN d.qty WHEN h.date <= (SELECT MAX(date) FROM daily) THEN 0.0
+         ELSE h.actual END AS actual, h.actual AS old_actual, h.error AS old_error,
+    h.volume_tier, h.model_version, h.recorded_at
+  FROM hist h LEFT JOIN daily d ON d.store = h.store AND d.product = h.product AND d.date = h.date),
+matched2 AS (
+  SELECT store, product, date, predicted, actual,
+    CASE WHEN actual IS DISTINCT FROM old_actual THEN round_even((predicted - actual) * 100, 0) / 100
+         ELSE old_error END AS error,
+    volume_tier, model_version, recorded_at, actual IS DISTINCT FROM old_actual AS changed
+  FROM matched),
+factors AS (
+  SELECT store, product,
+    round_even(LEAST(GREATEST(SUM(actual) / SUM(predicted), 0.5), 2.0) * 1000, 0) / 1000 AS factor
+  FROM matched2 WHERE actual IS NOT NULL AND actual > 0
+  GROUP BY store, product HAVING COUNT(*) >= {C.CORRECTION_MIN_POINTS} AND SUM(predicted) > 0)"""
+
+
+def _fb_with() -> str:
+    return with_(demand_ctes("type"), history_ctes())
+
+
+def q_match_actuals() -> str:
+    return _fb_with() + f"""
+SELECT store, product, date, {r6('predicted')} AS predicted, {r6('actual')} AS actual,
+       {r6('error')} AS error, volume_tier, model_version, recorded_at, changed FROM matched2"""
+
+
+def q_correction_factors() -> str:
+    return _fb_with() + f"SELECT store, product, {r6('factor')} AS factor FROM factors"
+
+
+def q_confidence_score() -> str:
+    w = C.CONFIDENCE_WEIGHTS
+    return _fb_with() + f"""
+, g AS (SELECT store, product, COUNT(*) AS n, AVG(abs(actual - predicted)) AS mae,
+               AVG(actual) AS av, STDDEV_POP(actual) AS sd
+        FROM matched2 WHERE actual IS NOT NULL GROUP BY store, product),
+g2 AS (SELECT g.*, COALESCE(f.factor, 1.0) AS factor,
+              CASE WHEN av > 0 THEN (CASE WHEN n > 1 THEN sd ELSE 0.0 END) / av ELSE 0.0 END AS cv
+       FROM g LEFT JOIN factors f USING (store, product)),
+g3 AS (SELECT *,
+   LEAST(100.0, n / 14.0 * 100) * {w['data']}
+   + (CASE WHEN av > 0 THEN GREATEST(0.0, (1 - mae / av) * 100) WHEN mae = 0 THEN 50.0 ELSE 0.0 END) * {w['accuracy']}
+   + GREATEST(0.0, (1 - LEAST(cv, 2.0) / 2) * 100) * {w['stability']}
+   + GREATEST(0.0, (1 - abs(factor - 1)) * 100) * {w['calibration']} AS score FROM g2)
+SELECT store, product,
+  CASE WHEN score >= {C.CONFIDENCE_HIGH} THEN 'High' WHEN score >= {C.CONFIDENCE_MEDIUM} THEN 'Medium'
+       ELSE 'Low' END AS confidence,
+  {r6('round_even(score, 1)')} AS score, n AS data_points, {r6('round_even(mae, 2)')} AS avg_mae,
+  {r6('round_even(av, 2)')} AS avg_demand, {r6('round_even(cv, 2)')} AS demand_cv,
+  {r6('factor')} AS correction_factor
+FROM g3"""
+
+
+def q_accuracy_summary() -> str:
+    return _fb_with() + f"""
+SELECT m.store, m.product, COUNT(*) AS forecasts,
+  {r6('round_even(AVG(abs(actual - predicted)), 2)')} AS mae,
+  {r6('round_even(SUM(abs(actual - predicted)) / GREATEST(SUM(actual), 1.0) * 100, 1)')} AS wmape,
+  {r6('round_even(AVG(predicted - actual), 2)')} AS bias,
+  {r6('COALESCE(MAX(f.factor), 1.0)')} AS correction_factor
+FROM matched2 m LEFT JOIN factors f ON f.store = m.store AND f.product = m.product
+WHERE actual IS NOT NULL GROUP BY m.store, m.product"""
+
+
+def q_forecast_vs_actual() -> str:
+    return _fb_with() + """
+SELECT date, store, product, CAST(trunc(predicted) AS BIGINT) AS predicted,
+       CAST(trunc(actual) AS BIGINT) AS actual,
+       abs(CAST(trunc(predicted) AS BIGINT) - CAST(trunc(actual) AS BIGINT)) AS mae
+FROM matched2 WHERE actual IS NOT NULL"""
+
+
+def q_feedback_summary() -> str:
+    return _fb_with() + f"""
+SELECT COUNT(*) AS total, COUNT(actual) AS completed, COUNT(*) - COUNT(actual) AS pending,
+  {_metrics('actual', 'predicted')}
+FROM matched2"""
+
+
+def q_gap_rows() -> str:
+    return _fb_with() + f"""
+, older AS (SELECT * FROM hist WHERE date <= (SELECT d1 FROM bounds) - 10)
+SELECT d.store, d.product, d.date, {r6('d.qty')} AS qty FROM daily d
+WHERE d.date > (SELECT MAX(date) FROM older)
+  AND NOT EXISTS (SELECT 1 FROM older o WHERE o.store = d.store AND o.product = d.product AND o.date = d.date)"""
+
+
+def q_history_upsert() -> str:
+    return with_(demand_ctes("type"), history_ctes(), lane_ctes(), dow_ctes()) + f"""
+, tiers AS (SELECT store, product, {_tier('AVG(qty)')} AS tier FROM dense GROUP BY store, product),
+newf AS (
+  SELECT h.store, h.product, h.date,
+    round_even(CASE WHEN l.lane = 'daily' THEN (CASE WHEN t.tot = 0 THEN 0.0
+          ELSE GREATEST(0.0, COALESCE(p.dow_avg, 0.0) * t.trend2) END)
+         WHEN l.lane = 'intermittent' THEN l.intermittent_rate ELSE 0.0 END, 0) AS n_pred,
+    ti.tier AS n_tier,
+    CASE l.lane WHEN 'dormant' THEN 'dormant' WHEN 'intermittent' THEN 'intermittent_v1'
+                WHEN 'periodic' THEN 'periodic_v1' ELSE 'ensemble_v2' END AS n_model
+  FROM horizon2 h JOIN lanes2 l ON h.store = l.store AND h.product = l.product
+  JOIN trend t ON h.store = t.store AND h.product = t.product
+  LEFT JOIN prof2 p ON p.store = h.store AND p.product = h.product AND p.dow = h.dow
+  JOIN tiers ti ON ti.store = h.store AND ti.product = h.product),
+up AS (
+  SELECT COALESCE(h.store, n.store) AS store, COALESCE(h.product, n.product) AS product,
+         COALESCE(h.date, n.date) AS date,
+         CASE WHEN n.n_pred IS NOT NULL THEN n.n_pred ELSE h.predicted END AS predicted,
+         h.actual, h.error,
+         CASE WHEN n.n_pred IS NOT NULL THEN n.n_tier ELSE h.volume_tier END AS volume_tier,
+         CASE WHEN n.n_pred IS NOT NULL THEN n.n_model ELSE h.model_version END AS model_version,
+         CASE WHEN n.n_pred IS NOT NULL THEN CAST((SELECT d1 FROM bounds) + 1 AS TIMESTAMP)
+              ELSE h.recorded_at END AS recorded_at
+  FROM hist h FULL OUTER JOIN newf n ON h.store = n.store AND h.product = n.product AND h.date = n.date)
+SELECT store, product, date, {r6('predicted')} AS predicted, {r6('actual')} AS actual, {r6('error')} AS error,
+       volume_tier, model_version, recorded_at FROM up"""
+
+
+FEEDBACK_SQL = {
+    "match_actuals": q_match_actuals,
+    "correction_factors": q_correction_factors,
+    "confidence_score": q_confidence_score,
+    "accuracy_summary": q_accuracy_summary,
+    "forecast_vs_actual": q_forecast_vs_actual,
+    "feedback_summary": q_feedback_summary,
+    "gap_rows": q_gap_rows,
+    "history_upsert": q_history_upsert,
+}

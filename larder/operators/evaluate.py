@@ -39,7 +39,8 @@ def metric_columns(actual="actual", pred="pred") -> list[Column]:
         half_even(F.avg(F.when(a > 0, F.abs((a - p) / a))) * 100, 1).alias("mape"),
         half_even(F.sum(err) / F.greatest(F.sum(a), F.lit(1.0)) * 100, 1).alias("wmape"),
         half_even(F.avg(p - a), 2).alias("bias"),
-        half_even(F.avg(F.when(err <= 1, 1.0).otherwise(0.0)) * 100, 1).alias("within_1"),
+        half_even(F.avg(F.when(err.isNotNull(), F.when(err <= 1, 1.0).otherwise(0.0))) * 100, 1)
+        .alias("within_1"),
     ]
 
 

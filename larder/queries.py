@@ -21,6 +21,7 @@ from .operators import lanes as LN
 from .operators import replenish as RP
 from .operators import packing as PK
 from .operators import evaluate as EV
+from .operators import feedback as FB
 from .config import ProductConfig
 from .config import AppParams
 from .sources import derived as D
@@ -239,6 +240,60 @@ def worst_products(spark, sf):
     return round_all(EV.worst_products(EV.fill_ensemble(_backtest(spark, sf))))
 
 
+def _matched(spark, sf):
+    hist = D.forecast_history(spark, sf, "type")
+    return FB.match_actuals(hist, _daily(spark, sf, "type"))
+
+
+def match_actuals(spark, sf):
+    return round_all(_matched(spark, sf))
+
+
+def correction_factors(spark, sf):
+    return round_all(FB.correction_factors(_matched(spark, sf)))
+
+
+def confidence_score(spark, sf):
+    return round_all(FB.confidence_scores(_matched(spark, sf)))
+
+
+def accuracy_summary(spark, sf):
+    return round_all(FB.accuracy_summary(_matched(spark, sf)))
+
+
+def forecast_vs_actual(spark, sf):
+    return FB.forecast_vs_actual(_matched(spark, sf))
+
+
+def feedback_summary(spark, sf):
+    return round_all(FB.feedback_summary(_matched(spark, sf)))
+
+
+def gap_rows(spark, sf):
+    daily = _daily(spark, sf, "type")
+    hist = D.forecast_history(spark, sf, "type")
+    last = daily.agg(F.max("date")).first()[0]
+    older = hist.where(F.col("date") <= F.date_sub(F.lit(last), 10))
+    return round_all(FB.gap_rows(older, daily))
+
+
+def history_upsert(spark, sf):
+    daily = _daily(spark, sf, "type")
+    first, last = DM.date_bounds(daily)
+    fc = DW.lane_forecast(daily, first=first, last=last)
+    tiers = FT.volume_tiers(DM.dense_demand(daily, first, last))
+    model = (F.when(F.col("lane") == "dormant", F.lit("dormant"))
+              .when(F.col("lane") == "intermittent", F.lit("intermittent_v1"))
+              .when(F.col("lane") == "periodic", F.lit("periodic_v1"))
+              .otherwise(F.lit("ensemble_v2")))
+    entries = fc.join(tiers, ["store", "product"]).select(
+        "store", "product", "date", F.col("pred").alias("predicted"), "volume_tier",
+        model.alias("model_version"))
+    hist = D.forecast_history(spark, sf, "type")
+    ts = F.date_add(last, 1).cast("timestamp_ntz")
+    return round_all(FB.record_forecasts(hist, entries, ts))
+
+
 def registry() -> dict[str, Query]:
     return {
         "daily_demand_dense": daily_demand_dense,
@@ -275,4 +330,12 @@ def registry() -> dict[str, Query]:
         "accuracy_by_lane": accuracy_by_lane,
         "lane_distribution": lane_distribution,
         "worst_products": worst_products,
+        "match_actuals": match_actuals,
+        "correction_factors": correction_factors,
+        "confidence_score": confidence_score,
+        "accuracy_summary": accuracy_summary,
+        "forecast_vs_actual": forecast_vs_actual,
+        "feedback_summary": feedback_summary,
+        "gap_rows": gap_rows,
+        "history_upsert": history_upsert,
     }
