@@ -734,7 +734,8 @@ def _metrics(a: str = "actual", p: str = "pred") -> str:
             f"round_even(AVG(CASE WHEN {a} > 0 THEN abs(({a} - {p}) / {a}) END) * 100, 1) AS mape, "
             f"round_even(SUM(abs({a} - {p})) / GREATEST(SUM({a}), 1.0) * 100, 1) AS wmape, "
             f"round_even(AVG({p} - {a}), 2) AS bias, "
-            f"round_even(AVG(CASE WHEN abs({a} - {p}) <= 1 THEN 1.0 ELSE 0.0 END) * 100, 1) AS within_1")
+            f"round_even(AVG(CASE WHEN abs({a} - {p}) <= 1 THEN 1.0 WHEN abs({a} - {p}) > 1 THEN 0.0 END)"
+            " * 100, 1) AS within_1")
 
 
 def q_backtest_rows() -> str:
