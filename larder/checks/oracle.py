@@ -204,6 +204,7 @@ def oracle_sql() -> dict[str, str]:
         **{k: f() for k, f in PACKING_SQL.items()},
         **{k: f() for k, f in BACKTEST_SQL.items()},
         **{k: f() for k, f in FEEDBACK_SQL.items()},
+        **{k: f() for k, f in REPORT_SQL.items()},
     }
 
 
@@ -937,3 +938,166 @@ FEEDBACK_SQL = {
     "gap_rows": q_gap_rows,
     "history_upsert": q_history_upsert,
 }
+
+
+# --------------------------------------------------------------------------
+# warehouse reports (plan lines from lineitem ⋈ orders, one plan per day)
+# --------------------------------------------------------------------------
+
+def plan_ctes() -> str:
+    st = D.PRIORITY_TO_STATUS
+    cf = D.RETURNFLAG_TO_CONFIDENCE
+    st_case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in st.items())
+    cf_case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in cf.items())
+    pid = "CAST(year({d}) * 10000 + month({d}) * 100 + day({d}) AS BIGINT)"
+    return f"""
+pl0 AS (SELECT {pid.format(d='l.l_shipdate')} AS plan_id, l.l_suppkey AS store_id, l.l_partkey AS item_id,
+               MIN(l.l_orderkey * 10 + l.l_linenumber) AS id, SUM(l.l_quantity) AS recommended_quantity,
+               MIN(o.o_orderpriority) AS prio, MAX(l.l_returnflag) AS flag, MAX(l.l_discount) AS disc,
+               MAX(o.o_orderdate) AS last_status_change_at
+        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2, 3),
+pl1 AS (SELECT *, CASE prio {st_case} ELSE 'delivered' END AS status,
+               CASE flag {cf_case} ELSE 'low' END AS confidence_level FROM pl0),
+lines AS (SELECT id, plan_id, store_id, item_id, recommended_quantity,
+            CASE WHEN status = 'pending' THEN NULL WHEN status = 'shorted'
+                 THEN CAST(floor(recommended_quantity / 2) AS DOUBLE) ELSE recommended_quantity END
+              AS actual_quantity,
+            status, confidence_level,
+            list_concat(
+              CASE WHEN confidence_level = 'low' THEN ['low_confidence'] ELSE CAST([] AS VARCHAR[]) END,
+              CASE WHEN disc >= 0.08 THEN ['missing_snapshot'] ELSE CAST([] AS VARCHAR[]) END,
+              CASE WHEN recommended_quantity > 100 THEN ['unusual_recommendation']
+                   ELSE CAST([] AS VARCHAR[]) END) AS warning_flags,
+            last_status_change_at
+          FROM pl1),
+plans AS (SELECT DISTINCT {pid.format(d='l_shipdate')} AS id, CAST(l_shipdate AS DATE) AS plan_date,
+            CASE WHEN day(l_shipdate) <= 10 THEN 'completed' WHEN day(l_shipdate) <= 20 THEN 'in_progress'
+                 ELSE 'draft' END AS status FROM lineitem),
+pstores AS (SELECT s_suppkey AS id, s_name AS name FROM supplier),
+pitems AS (SELECT p_partkey AS id, p_name AS item_name, 'P-' || CAST(p_partkey AS VARCHAR) AS sku,
+                  p_type AS category FROM part),
+porders AS (SELECT l_suppkey AS store_id, l_partkey AS item_id, CAST(l_shipdate AS DATE) AS order_date,
+                   CAST(SUM(floor(l_quantity * (1 - l_discount) + l_tax * 20)) AS DOUBLE) AS quantity_ordered
+            FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2, 3),
+audit AS (SELECT l_orderkey * 10 + l_linenumber AS id,
+                 CASE WHEN l_returnflag = 'N' THEN 'plan' ELSE 'plan_line' END AS entity_type,
+                 l_orderkey * 10 + l_linenumber AS entity_id,
+                 CASE WHEN l_linestatus = 'F' THEN 'status_change' ELSE 'quantity_change' END AS action,
+                 l_shipdate AS changed_at FROM lineitem)"""
+
+
+def _pick_list_sql(category: str | None = None, search: str | None = None) -> str:
+    cond = []
+    if category:
+        cond.append(f"i.category = '{category}'")
+    if search:
+        cond.append(f"(i.item_name ILIKE '%{search}%' OR i.sku ILIKE '%{search}%')")
+    where = ("WHERE " + " AND ".join(cond)) if cond else ""
+    return with_(plan_ctes()) + f"""
+SELECT l.plan_id, l.item_id, i.item_name, i.sku, i.category,
+       {r6('SUM(l.recommended_quantity)')} AS total_recommended,
+       {r6('SUM(COALESCE(l.actual_quantity, 0.0))')} AS total_actual,
+       COUNT(DISTINCT l.store_id) AS store_count
+FROM lines l JOIN pitems i ON i.id = l.item_id {where}
+GROUP BY l.plan_id, l.item_id, i.item_name, i.sku, i.category"""
+
+
+def q_status_pivot() -> str:
+    cols = ", ".join(f"COUNT(*) FILTER (WHERE status = '{s}') AS {s}" for s in C.LINE_STATUSES)
+    return with_(plan_ctes()) + f"SELECT plan_id, item_id, {cols} FROM lines GROUP BY plan_id, item_id"
+
+
+def q_store_breakdown() -> str:
+    return with_(plan_ctes()) + """
+SELECT l.plan_id, l.item_id, COUNT(*) AS lines,
+       string_agg(s.name || ':' || l.status, '|' ORDER BY s.name, l.status, l.id) AS breakdown
+FROM lines l JOIN pstores s ON s.id = l.store_id GROUP BY l.plan_id, l.item_id"""
+
+
+def q_dashboard() -> str:
+    cnt = ", ".join(f"COUNT(*) FILTER (WHERE status = '{s}') AS {s}_lines" for s in C.LINE_STATUSES)
+    pct = ", ".join(f"round_even(CAST({s}_lines AS DOUBLE) * 100.0 / GREATEST(total_lines, 1), 1) AS {s}_pct"
+                    for s in C.LINE_STATUSES)
+    return with_(plan_ctes()) + f"""
+, g AS (SELECT plan_id, COUNT(*) AS total_lines, SUM(recommended_quantity) AS total_quantity,
+               COUNT(DISTINCT store_id) AS total_stores, {cnt} FROM lines GROUP BY plan_id)
+SELECT g.plan_id, total_lines, {r6('total_quantity')} AS total_quantity, total_stores,
+       {', '.join(f'{s}_lines' for s in C.LINE_STATUSES)}, {pct},
+       p.plan_date, p.status AS plan_status
+FROM g JOIN plans p ON p.id = g.plan_id"""
+
+
+def q_delivery_progress() -> str:
+    return with_(plan_ctes()) + """
+SELECT plan_id, store_id, status, COUNT(*) AS n,
+       round_even(CAST(COUNT(*) AS DOUBLE) * 100.0 / SUM(COUNT(*)) OVER (PARTITION BY plan_id, store_id), 1) AS pct
+FROM lines GROUP BY plan_id, store_id, status"""
+
+
+def q_exceptions() -> str:
+    return with_(plan_ctes()) + """
+SELECT plan_id, id, store_id, item_id, status, confidence_level, status = 'shorted' AS is_shorted,
+       confidence_level = 'low' AS is_low_confidence, len(warning_flags) > 0 AS has_warnings
+FROM lines WHERE status = 'shorted' OR confidence_level = 'low' OR len(warning_flags) > 0"""
+
+
+def q_activity_top() -> str:
+    return with_(plan_ctes()) + f"""
+SELECT plan_id, rank, id, entity_id, action, changed_at FROM (
+  SELECT l.plan_id, a.id, a.entity_id, a.action, a.changed_at,
+         ROW_NUMBER() OVER (PARTITION BY l.plan_id ORDER BY a.changed_at DESC, a.id DESC,
+                                                           a.action DESC) AS rank
+  FROM audit a JOIN lines l ON l.id = a.entity_id WHERE a.entity_type = 'plan_line')
+WHERE rank <= {C.ACTIVITY_LOG_LIMIT}"""
+
+
+def _accuracy_cte() -> str:
+    return """
+acc AS (SELECT l.plan_id, l.id, l.store_id, l.item_id, l.recommended_quantity AS predicted,
+          o.quantity_ordered AS actual, o.quantity_ordered - l.recommended_quantity AS diff,
+          CASE WHEN o.quantity_ordered > 0 THEN abs(o.quantity_ordered - l.recommended_quantity) / o.quantity_ordered * 100
+               WHEN o.quantity_ordered IS NOT NULL AND l.recommended_quantity > 0 THEN 100.0 END AS pct_error,
+          CASE WHEN o.quantity_ordered IS NULL THEN 'no_actual'
+               WHEN abs(o.quantity_ordered - l.recommended_quantity) < 0.01 THEN 'match'
+               WHEN o.quantity_ordered - l.recommended_quantity > 0 THEN 'under' ELSE 'over' END AS status,
+          l.confidence_level
+        FROM lines l JOIN plans p ON p.id = l.plan_id
+        LEFT JOIN porders o ON o.store_id = l.store_id AND o.item_id = l.item_id AND o.order_date = p.plan_date)"""
+
+
+def q_prediction_accuracy() -> str:
+    return with_(plan_ctes(), _accuracy_cte()) + f"""
+SELECT plan_id, id, store_id, item_id, {r6('predicted')} AS predicted, {r6('actual')} AS actual,
+       {r6('diff')} AS diff, {r6('pct_error')} AS pct_error, status, confidence_level FROM acc"""
+
+
+def q_prediction_summary() -> str:
+    return with_(plan_ctes(), _accuracy_cte()) + f"""
+SELECT plan_id, COUNT(*) AS total_lines, COUNT(*) FILTER (WHERE status = 'match') AS matched_lines,
+       COUNT(*) FILTER (WHERE status = 'over') AS over_predicted,
+       COUNT(*) FILTER (WHERE status = 'under') AS under_predicted,
+       COUNT(*) FILTER (WHERE status = 'no_actual') AS no_actual,
+       {r6('SUM(predicted)')} AS total_predicted_qty, {r6('COALESCE(SUM(actual), 0.0)')} AS total_actual_qty,
+       {r6('COALESCE(SUM(abs(diff)), 0.0)')} AS total_abs_error,
+       {r6('CASE WHEN COALESCE(SUM(actual), 0.0) > 0 THEN COALESCE(SUM(abs(diff)), 0.0) / SUM(actual) * 100 END')} AS wmape
+FROM acc GROUP BY plan_id"""
+
+
+def q_plan_categories() -> str:
+    return with_(plan_ctes()) + """
+SELECT DISTINCT l.plan_id, i.category FROM lines l JOIN pitems i ON i.id = l.item_id"""
+
+
+REPORT_SQL = {
+    "pick_list": lambda: _pick_list_sql(),
+    "pick_list_search": lambda: _pick_list_sql("STANDARD", "ring"),
+    "status_pivot": q_status_pivot,
+    "store_breakdown": q_store_breakdown,
+    "dashboard": q_dashboard,
+    "delivery_progress": q_delivery_progress,
+    "exceptions": q_exceptions,
+    "activity_top": q_activity_top,
+    "prediction_accuracy": q_prediction_accuracy,
+    "prediction_summary": q_prediction_summary,
+    "plan_categories": q_plan_categories,
+}

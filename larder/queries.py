@@ -22,6 +22,7 @@ from .operators import replenish as RP
 from .operators import packing as PK
 from .operators import evaluate as EV
 from .operators import feedback as FB
+from .operators import reports as RT
 from .config import ProductConfig
 from .config import AppParams
 from .sources import derived as D
@@ -294,6 +295,54 @@ def history_upsert(spark, sf):
     return round_all(FB.record_forecasts(hist, entries, ts))
 
 
+def _pick_list(category=None, search=None):
+    def q(spark, sf):
+        return round_all(RT.pick_list(D.plan_lines(spark, sf), D.plan_items(spark, sf),
+                                      category, search))
+    return q
+
+
+def status_pivot(spark, sf):
+    return RT.status_pivot(D.plan_lines(spark, sf))
+
+
+def store_breakdown(spark, sf):
+    return RT.store_breakdown(D.plan_lines(spark, sf), D.plan_stores(spark, sf))
+
+
+def dashboard(spark, sf):
+    return round_all(RT.dashboard(D.plan_lines(spark, sf), D.plans(spark, sf)))
+
+
+def delivery_progress(spark, sf):
+    return round_all(RT.delivery_progress(D.plan_lines(spark, sf)))
+
+
+def exceptions(spark, sf):
+    return RT.exceptions(D.plan_lines(spark, sf))
+
+
+def activity_top(spark, sf):
+    return RT.activity_top(D.plan_lines(spark, sf), D.audit_logs(spark, sf))
+
+
+def _accuracy(spark, sf):
+    return RT.prediction_accuracy(D.plan_lines(spark, sf), D.plans(spark, sf),
+                                  D.plan_orders(spark, sf))
+
+
+def prediction_accuracy(spark, sf):
+    return round_all(_accuracy(spark, sf))
+
+
+def prediction_summary(spark, sf):
+    return round_all(RT.prediction_summary(_accuracy(spark, sf)))
+
+
+def plan_categories(spark, sf):
+    return RT.plan_categories(D.plan_lines(spark, sf), D.plan_items(spark, sf))
+
+
 def registry() -> dict[str, Query]:
     return {
         "daily_demand_dense": daily_demand_dense,
@@ -338,4 +387,15 @@ def registry() -> dict[str, Query]:
         "feedback_summary": feedback_summary,
         "gap_rows": gap_rows,
         "history_upsert": history_upsert,
+        "pick_list": _pick_list(),
+        "pick_list_search": _pick_list("STANDARD", "ring"),
+        "status_pivot": status_pivot,
+        "store_breakdown": store_breakdown,
+        "dashboard": dashboard,
+        "delivery_progress": delivery_progress,
+        "exceptions": exceptions,
+        "activity_top": activity_top,
+        "prediction_accuracy": prediction_accuracy,
+        "prediction_summary": prediction_summary,
+        "plan_categories": plan_categories,
     }

@@ -180,13 +180,19 @@ def _case_map(c: Column, mapping: dict, default: str) -> Column:
     return out.otherwise(F.lit(default))
 
 
+def _plan_id(ts: Column) -> Column:
+    """Plan key = ship date as yyyymmdd."""
+    return (F.year(ts) * 10000 + F.month(ts) * 100 + F.dayofmonth(ts)).cast("long")
+
+
 def plan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One plan per ship date; a line per (supplier, part) shipped that day."""
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                     "l_quantity", "l_discount", "l_returnflag"])
+                     "l_quantity", "l_discount", "l_returnflag", "l_shipdate"])
     od = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate", "o_orderpriority"])
     g = (li.join(od, li.l_orderkey == od.o_orderkey)
-           .groupBy(F.year("o_orderdate").cast("long").alias("plan_id"),
+           .groupBy(_plan_id(F.col("l_shipdate")).alias("plan_id"),
                     F.col("l_suppkey").alias("store_id"),
                     F.col("l_partkey").alias("item_id"))
            .agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
@@ -212,6 +218,28 @@ def plan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "last_status_change_at")
 
 
+def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan headers: id, plan_date, status (by day of month)."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_shipdate"])
+    d = li.select(F.to_date("l_shipdate").alias("plan_date")).distinct()
+    dom = F.dayofmonth("plan_date")
+    return d.select(_plan_id(F.col("plan_date")).alias("id"), "plan_date",
+                    F.when(dom <= 10, F.lit("completed")).when(dom <= 20, F.lit("in_progress"))
+                     .otherwise(F.lit("draft")).alias("status"))
+
+
+def plan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store orders recorded against plan lines (finished line items)."""
+    li = read_table(spark, sf_dir, "lineitem",
+                    ["l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax",
+                     "l_linestatus", "l_shipdate"])
+    f = li.where(F.col("l_linestatus") == "F")
+    q = F.floor(F.col("l_quantity") * (1 - F.col("l_discount")) + F.col("l_tax") * 20)
+    return (f.groupBy(F.col("l_suppkey").alias("store_id"), F.col("l_partkey").alias("item_id"),
+                      F.to_date("l_shipdate").alias("order_date"))
+             .agg(F.sum(q).cast("double").alias("quantity_ordered")))
+
+
 def plan_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     sup = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"])
     return sup.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"),
