@@ -205,6 +205,7 @@ def oracle_sql() -> dict[str, str]:
         **{k: f() for k, f in BACKTEST_SQL.items()},
         **{k: f() for k, f in FEEDBACK_SQL.items()},
         **{k: f() for k, f in REPORT_SQL.items()},
+        **{k: f() for k, f in IMPORT_SQL.items()},
     }
 
 
@@ -1101,3 +1102,159 @@ REPORT_SQL = {
     "prediction_summary": q_prediction_summary,
     "plan_categories": q_plan_categories,
 }
+
+
+# --------------------------------------------------------------------------
+# import validation and upsert (usage rows rendered from lineitem)
+# --------------------------------------------------------------------------
+
+def import_ctes(max_rows: int = C.CSV_MAX_ROWS) -> str:
+    as_of = f"DATE '{D.IMPORT_AS_OF.isoformat()}'"
+    return f"""
+raw0 AS (SELECT CAST(year(l_shipdate) AS BIGINT) AS file, l_orderkey * 10 + l_linenumber AS line_key,
+                l_partkey, l_suppkey, l_quantity, l_shipdate, l_returnflag FROM lineitem),
+raw AS (SELECT file,
+          ROW_NUMBER() OVER (PARTITION BY file ORDER BY line_key, l_partkey, l_suppkey, l_quantity,
+                                                         l_shipdate, l_returnflag) + 1 AS line_no,
+          CASE WHEN line_key % 97 = 1 THEN 'NOPE' WHEN line_key % 97 = 2 THEN '  '
+               ELSE 'ST' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') END AS store_code,
+          CASE WHEN line_key % 97 = 3 THEN 'P-0' ELSE 'P-' || CAST(l_partkey AS VARCHAR) END AS sku,
+          CASE WHEN line_key % 97 = 4 THEN '31/31/2001' WHEN line_key % 97 = 5 THEN '2031-01-01'
+               WHEN line_key % 97 % 2 = 0 THEN strftime(l_shipdate, '%-m/%-d/%Y')
+               ELSE strftime(l_shipdate, '%Y-%m-%d') END AS usage_date,
+          CASE WHEN line_key % 97 = 6 THEN 'NaN' WHEN line_key % 97 = 7 THEN 'inf'
+               WHEN line_key % 97 = 8 THEN '-3' WHEN line_key % 97 = 9 THEN '1000000'
+               WHEN line_key % 97 = 10 THEN 'abc' ELSE CAST(l_quantity AS VARCHAR) END AS quantity_used,
+          CASE WHEN l_returnflag = 'R' THEN ' returned ' END AS notes
+        FROM raw0),
+istores AS (SELECT s_suppkey AS id, 'ST' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code FROM supplier),
+iitems AS (SELECT p_partkey AS id, 'P-' || CAST(p_partkey AS VARCHAR) AS sku FROM part),
+chk AS (SELECT r.file, r.line_no, r.notes AS raw_notes, s.id AS store_id, i.id AS item_id,
+          CAST(COALESCE(try_strptime(trim(r.usage_date), '%Y-%m-%d'),
+                        try_strptime(trim(r.usage_date), '%m/%d/%Y'),
+                        try_strptime(trim(r.usage_date), '%m-%d-%Y')) AS DATE) AS date,
+          TRY_CAST(trim(r.quantity_used) AS DOUBLE) AS quantity
+        FROM raw r
+        LEFT JOIN istores s ON upper(trim(s.code)) = upper(trim(r.store_code))
+        LEFT JOIN iitems i ON upper(trim(i.sku)) = upper(trim(r.sku))),
+chk1 AS (SELECT *,
+          CASE WHEN store_id IS NULL THEN 'unknown_store' WHEN item_id IS NULL THEN 'unknown_sku'
+               WHEN date IS NULL THEN 'invalid_date' WHEN date > {as_of} THEN 'future_date'
+               WHEN NOT (quantity IS NOT NULL AND NOT isnan(quantity) AND abs(quantity) < CAST('inf' AS DOUBLE)
+                         AND quantity >= 0 AND quantity <= {C.CSV_MAX_QUANTITY}) THEN 'invalid_quantity'
+          END AS reason0, line_no - 1 > {max_rows} AS over
+        FROM chk),
+checked AS (SELECT file, line_no,
+              CASE WHEN over THEN 'over_limit' WHEN reason0 IS NULL THEN 'imported' ELSE 'skipped' END AS status,
+              CASE WHEN NOT over THEN reason0 END AS reason, store_id, item_id, date,
+              CASE WHEN quantity IS NOT NULL AND NOT isnan(quantity) AND abs(quantity) < CAST('inf' AS DOUBLE)
+                        AND quantity >= 0 AND quantity <= {C.CSV_MAX_QUANTITY} THEN quantity END AS quantity,
+              CASE WHEN trim(raw_notes) IS NULL OR trim(raw_notes) = '' THEN NULL
+                   ELSE substr(trim(raw_notes), 1, {C.CSV_MAX_NOTE_LENGTH}) END AS notes
+            FROM chk1)"""
+
+
+def q_import_validate(max_rows: int = C.CSV_MAX_ROWS) -> str:
+    return with_(import_ctes(max_rows)) + f"""
+SELECT file, line_no, status, reason, store_id, item_id, date, {r6('quantity')} AS quantity, notes
+FROM checked"""
+
+
+def q_import_summary() -> str:
+    return with_(import_ctes()) + """
+SELECT file, COUNT(*) FILTER (WHERE status = 'imported') AS imported,
+       COUNT(*) FILTER (WHERE status = 'skipped') AS skipped,
+       COUNT(*) FILTER (WHERE status = 'over_limit') > 0 AS row_limit_exceeded
+FROM checked GROUP BY file"""
+
+
+def q_import_upsert() -> str:
+    return with_(import_ctes()) + f"""
+, existing AS (SELECT l_suppkey AS store_id, l_partkey AS item_id, CAST(l_shipdate AS DATE) AS usage_date,
+                      SUM(l_quantity) AS quantity_used, 'seed' AS source, CAST(NULL AS VARCHAR) AS notes
+               FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2, 3),
+latest AS (SELECT store_id, item_id, date AS usage_date, quantity AS quantity_used, 'csv_import' AS source, notes
+           FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY store_id, item_id, date
+                                              ORDER BY file DESC, line_no DESC) AS rn
+                 FROM checked WHERE status = 'imported') WHERE rn = 1),
+merged AS (SELECT * FROM existing e WHERE NOT EXISTS (
+             SELECT 1 FROM latest n WHERE n.store_id = e.store_id AND n.item_id = e.item_id
+                                      AND n.usage_date = e.usage_date)
+           UNION ALL SELECT * FROM latest)
+SELECT store_id, item_id, usage_date, {r6('quantity_used')} AS quantity_used, source, notes FROM merged"""
+
+
+# --------------------------------------------------------------------------
+# dimensions from facts
+# --------------------------------------------------------------------------
+
+OBSOLETE_EXAMPLE = ("Brand#25",)
+CATEGORY_EXAMPLE = {"Brand#1": "Dairy", "Brand#2": "Coffee", "Brand#3": "Supplies"}
+
+
+def dim_ctes() -> str:
+    obs = ", ".join(f"'{o}'" for o in OBSOLETE_EXAMPLE)
+    return f"""
+lines AS ({lines_sql('brand')}),
+par AS (SELECT DISTINCT store, product,
+               CAST(((length(store) + length(product)) % 4) * 10 AS BIGINT) AS max_qty FROM lines),
+names AS (SELECT DISTINCT item_name FROM (SELECT product AS item_name FROM lines
+                                          UNION ALL SELECT product FROM par)
+          WHERE item_name <> '' AND item_name NOT IN ({obs}))"""
+
+
+def q_item_dimension() -> str:
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CATEGORY_EXAMPLE.items())
+    return with_(dim_ctes()) + f"""
+SELECT item_name,
+       upper(regexp_replace(regexp_replace(item_name, '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS sku,
+       CASE item_name {cases} ELSE 'Other' END AS category, 'each' AS unit_of_measure,
+       CAST(1 AS BIGINT) AS case_pack_quantity, 'dry' AS storage_type, true AS active
+FROM names"""
+
+
+def q_settings_from_facts() -> str:
+    return with_(dim_ctes()) + """
+, pairs AS (SELECT DISTINCT store, product FROM (SELECT store, product FROM lines
+                                                 UNION ALL SELECT store, product FROM par))
+SELECT p.store, p.product, COALESCE(CAST(par.max_qty AS DOUBLE), 0.0) AS par_level,
+       0.0::DOUBLE AS safety_stock, 0.0::DOUBLE AS reorder_threshold, 0.0::DOUBLE AS min_send_quantity,
+       'none' AS rounding_rule, true AS active
+FROM pairs p LEFT JOIN par ON par.store = p.store AND par.product = p.product"""
+
+
+def q_par_coverage() -> str:
+    return with_(dim_ctes()) + """
+SELECT n.item_name, COALESCE(bool_or(par.max_qty > 0), false) AS has_par
+FROM names n LEFT JOIN par ON par.product = n.item_name GROUP BY n.item_name"""
+
+
+def q_quality_summary() -> str:
+    return with_(app_table_ctes()) + """
+, dup AS (SELECT store_id, item_id FROM settings GROUP BY 1, 2 HAVING COUNT(*) > 1),
+v AS (SELECT s.store_id, s.item_id, concat_ws(',',
+        CASE WHEN par_level < 0 THEN 'negative_par_level' END,
+        CASE WHEN safety_stock < 0 THEN 'negative_safety_stock' END,
+        CASE WHEN min_send_quantity < 0 THEN 'negative_min_send_quantity' END,
+        CASE WHEN rounding_rule NOT IN ('round_up_case_pack', 'round_up_integer', 'none') THEN 'invalid_rounding_rule' END,
+        CASE WHEN usage_window_days IS NOT NULL AND (usage_window_days < 1 OR usage_window_days > 90)
+             THEN 'invalid_usage_window' END,
+        CASE WHEN d.store_id IS NOT NULL THEN 'duplicate_setting' END,
+        CASE WHEN i.id IS NULL THEN 'unknown_item' END,
+        CASE WHEN i.case_pack_quantity < 1 THEN 'invalid_case_pack' END) AS violations
+      FROM settings s LEFT JOIN dup d ON d.store_id = s.store_id AND d.item_id = s.item_id
+      LEFT JOIN items i ON i.id = s.item_id)
+SELECT CASE WHEN violations = '' THEN 'ok' ELSE violations END AS violation, COUNT(*) AS n
+FROM v GROUP BY 1"""
+
+
+IMPORT_SQL = {
+    "import_validate": q_import_validate,
+    "import_validate_capped": lambda: q_import_validate(5000),
+    "import_summary": q_import_summary,
+    "import_upsert": q_import_upsert,
+    "item_dimension": q_item_dimension,
+    "settings_from_facts": q_settings_from_facts,
+    "par_coverage": q_par_coverage,
+    "quality_summary": q_quality_summary,
+}

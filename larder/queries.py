@@ -23,6 +23,8 @@ from .operators import packing as PK
 from .operators import evaluate as EV
 from .operators import feedback as FB
 from .operators import reports as RT
+from .operators import imports as IM
+from .operators import dimensions as DI
 from .config import ProductConfig
 from .config import AppParams
 from .sources import derived as D
@@ -343,6 +345,56 @@ def plan_categories(spark, sf):
     return RT.plan_categories(D.plan_lines(spark, sf), D.plan_items(spark, sf))
 
 
+def _checked(spark, sf, max_rows=None):
+    kw = {} if max_rows is None else {"max_rows": max_rows}
+    return IM.validate(D.raw_import(spark, sf), D.plan_stores(spark, sf), D.plan_items(spark, sf),
+                       D.IMPORT_AS_OF, **kw)
+
+
+def _import_validate(max_rows=None):
+    def q(spark, sf):
+        return round_all(_checked(spark, sf, max_rows))
+    return q
+
+
+def import_summary(spark, sf):
+    return IM.import_summary(_checked(spark, sf))
+
+
+def import_upsert(spark, sf):
+    new = IM.upsert(D.plan_usage(spark, sf), _checked(spark, sf),
+                    {"store_id": "store_id", "item_id": "item_id", "usage_date": "date"},
+                    {"quantity_used": "quantity", "notes": "notes"})
+    return round_all(new.select("store_id", "item_id", "usage_date", "quantity_used", "source",
+                                "notes"))
+
+
+OBSOLETE_EXAMPLE = frozenset({"Brand#25"})
+CATEGORY_EXAMPLE = {"Brand#1": "Dairy", "Brand#2": "Coffee", "Brand#3": "Supplies"}
+
+
+def _names(spark, sf):
+    return DI.product_names(D.demand_lines(spark, sf, "brand"), D.par_levels(spark, sf, "brand"),
+                            OBSOLETE_EXAMPLE)
+
+
+def item_dimension(spark, sf):
+    return round_all(DI.item_dimension(_names(spark, sf), CATEGORY_EXAMPLE))
+
+
+def settings_from_facts(spark, sf):
+    return DI.settings_from_facts(D.demand_lines(spark, sf, "brand"), D.par_levels(spark, sf, "brand"))
+
+
+def par_coverage(spark, sf):
+    return DI.par_coverage(_names(spark, sf), D.par_levels(spark, sf, "brand"))
+
+
+def quality_summary(spark, sf):
+    chk = DI.quality_checks(D.app_settings(spark, sf), D.app_items(spark, sf))
+    return DI.quality_summary(chk)
+
+
 def registry() -> dict[str, Query]:
     return {
         "daily_demand_dense": daily_demand_dense,
@@ -398,4 +450,12 @@ def registry() -> dict[str, Query]:
         "prediction_accuracy": prediction_accuracy,
         "prediction_summary": prediction_summary,
         "plan_categories": plan_categories,
+        "import_validate": _import_validate(),
+        "import_validate_capped": _import_validate(5000),
+        "import_summary": import_summary,
+        "import_upsert": import_upsert,
+        "item_dimension": item_dimension,
+        "settings_from_facts": settings_from_facts,
+        "par_coverage": par_coverage,
+        "quality_summary": quality_summary,
     }

@@ -30,6 +30,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rownum import bucketed_row_number
 from .tables import read_table
 
 # Fixed values of the fixture mappings.
@@ -48,6 +49,8 @@ RETURNFLAG_TO_CONFIDENCE = {"A": "high", "N": "medium", "R": "low"}
 HISTORY_PAST_DAYS = 60
 HISTORY_FUTURE_DAYS = 7
 HISTORY_PENDING_DAYS = 14
+IMPORT_AS_OF = dt.date(2002, 1, 1)
+IMPORT_BUCKET = 1 << 14
 
 
 # --------------------------------------------------------------------------
@@ -311,23 +314,27 @@ def raw_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage-import rows as text, one bad field injected per reject reason.
 
     Columns mirror a usage CSV (``store_code, sku, usage_date,
-    quantity_used, notes``) plus ``file`` (order year) and ``line_no``
-    (record number in the file, header = 1).  Rows are the line items; the
-    key decides which rows carry which defect.
+    quantity_used, notes``) plus ``file`` (ship year) and ``line_no``
+    (record number in the file, header = 1).  Rows are the line items,
+    numbered in key order; the key decides which rows carry which defect.
     """
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                      "l_quantity", "l_shipdate", "l_returnflag"])
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    k = key % 97
+    k = F.col("line_key") % 97
     store = F.concat(F.lit("ST"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0"))
     sku = F.concat(F.lit("P-"), F.col("l_partkey").cast("string"))
     date_iso = F.date_format("l_shipdate", "yyyy-MM-dd")
     date_us = F.date_format("l_shipdate", "M/d/yyyy")
     qty = F.col("l_quantity").cast("string")
-    return li.select(
-        F.year("l_shipdate").cast("long").alias("file"),
-        key.alias("line_key"),
+    base = li.select("*", F.year("l_shipdate").cast("long").alias("file"), key.alias("line_key"))
+    order = [F.col(c) for c in ("line_key", "l_partkey", "l_suppkey", "l_quantity",
+                                "l_shipdate", "l_returnflag")]
+    numbered = bucketed_row_number(base, ["file"], F.floor(F.col("line_key") / IMPORT_BUCKET),
+                                   order, out="_rn")
+    return numbered.select(
+        "file", (F.col("_rn") + 1).alias("line_no"),
         F.when(k == 1, F.lit("NOPE")).when(k == 2, F.lit("  ")).otherwise(store).alias("store_code"),
         F.when(k == 3, F.lit("P-0")).otherwise(sku).alias("sku"),
         F.when(k == 4, F.lit("31/31/2001"))
@@ -337,3 +344,15 @@ def raw_import(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(k == 9, F.lit("1000000")).when(k == 10, F.lit("abc"))
          .otherwise(qty).alias("quantity_used"),
         F.when(F.col("l_returnflag") == "R", F.lit(" returned ")).alias("notes"))
+
+
+def plan_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Existing usage table of the plan world (open line items per day)."""
+    li = read_table(spark, sf_dir, "lineitem",
+                    ["l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_shipdate"])
+    return (li.where(F.col("l_linestatus") == "O")
+              .groupBy(F.col("l_suppkey").alias("store_id"), F.col("l_partkey").alias("item_id"),
+                       F.to_date("l_shipdate").alias("usage_date"))
+              .agg(F.sum("l_quantity").alias("quantity_used"))
+              .withColumn("source", F.lit("seed"))
+              .withColumn("notes", F.lit(None).cast("string")))
