@@ -27,13 +27,15 @@ from .operators import imports as IM
 from .operators import dimensions as DI
 from .config import ProductConfig
 from .config import AppParams
+from .plans.materialize import materialize
 from .sources import derived as D
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _daily(spark, sf, kind):
-    return DM.daily_demand(D.demand_lines(spark, sf, kind))
+    """Daily demand, materialised once per query (see plans.materialize)."""
+    return materialize(DM.daily_demand(D.demand_lines(spark, sf, kind)), f"daily-{kind}")
 
 
 def daily_demand_dense(spark, sf):

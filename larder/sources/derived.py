@@ -79,10 +79,17 @@ def demand_lines(spark: SparkSession, sf_dir: str, kind: str = "type") -> DataFr
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_partkey", "l_suppkey", "l_quantity", "l_shipdate"])
     part = read_table(spark, sf_dir, "part", ["p_partkey", pcol])
-    sr = supplier_region(spark, sf_dir)
+    sup = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
+    nat = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
+    reg = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
+    # each dimension joins the fact directly: the planner size-checks it on
+    # its own (a pre-joined dimension chain is estimated as the product of
+    # its inputs and would force a shuffle of the fact table)
     return (li.join(part, li.l_partkey == part.p_partkey)
-              .join(sr, li.l_suppkey == sr.s_suppkey)
-              .select("store", F.col(pcol).alias("product"),
+              .join(sup, li.l_suppkey == sup.s_suppkey)
+              .join(nat, sup.s_nationkey == nat.n_nationkey)
+              .join(reg, nat.n_regionkey == reg.r_regionkey)
+              .select(F.col("r_name").alias("store"), F.col(pcol).alias("product"),
                       F.to_date("l_shipdate").alias("date"),
                       F.col("l_quantity").alias("qty")))
 
