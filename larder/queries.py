@@ -25,6 +25,8 @@ from .operators import feedback as FB
 from .operators import reports as RT
 from .operators import imports as IM
 from .operators import dimensions as DI
+from .operators import models as MD
+from .plans import forecast_run as FR
 from .config import ProductConfig
 from .config import AppParams
 from .plans.materialize import materialize
@@ -397,6 +399,50 @@ def quality_summary(spark, sf):
     return DI.quality_summary(chk)
 
 
+# ---- models (no SQL twin: fitted models / numerical optimisation) -------
+
+def holt_winters(spark, sf):
+    daily = _daily(spark, sf, "type")
+    first, last = DM.date_bounds(daily)
+    return round_all(MD.holt_winters(DM.dense_demand(daily, first, last), last))
+
+
+def _gbt_fit(spark, sf, kind="type"):
+    daily = _daily(spark, sf, kind)
+    first, last = DM.date_bounds(daily)
+    dense = materialize(DM.dense_demand(daily, first, last), f"dense-{kind}")
+    lanes = LN.lanes(daily, None, first, last).where(F.col("lane") == "daily")
+    train = FT.complete_rows(FT.feature_matrix(dense)).join(lanes.select("store", "product"),
+                                                           ["store", "product"], "left_semi")
+    train = materialize(FT.recency_weights(train, ["store"]), f"gbt-train-{kind}")
+    fit = MD.fit_gbt(train)
+    return fit, dense
+
+
+def gbt_forecast(spark, sf):
+    fit, dense = _gbt_fit(spark, sf)
+    fut = FT.future_features(dense)
+    return round_all(MD.predict_gbt(fit, fut).select("store", "product", "day_idx", "date", "pred_gbt"))
+
+
+def feature_importance(spark, sf):
+    fit, _ = _gbt_fit(spark, sf)
+    rows = MD.feature_importance(fit)
+    return round_all(spark.createDataFrame(rows, "store string, feature string, importance double"))
+
+
+def ensemble_forecast(spark, sf):
+    res = FR.run_forecast(D.demand_lines(spark, sf, "type"))
+    return round_all(res.predictions)
+
+
+def ensemble_weights(spark, sf):
+    daily = _daily(spark, sf, "type")
+    bt = EV.backtest(daily, predictors={"dow": EV.dow_predictor, "exp": FR.exp_predictor,
+                                        "gbt": FR.gbt_predictor()})
+    return EV.ensemble_weights(bt)
+
+
 def registry() -> dict[str, Query]:
     return {
         "daily_demand_dense": daily_demand_dense,
@@ -460,4 +506,8 @@ def registry() -> dict[str, Query]:
         "settings_from_facts": settings_from_facts,
         "par_coverage": par_coverage,
         "quality_summary": quality_summary,
+        "holt_winters": holt_winters,
+        "gbt_forecast": gbt_forecast,
+        "ensemble_weights": ensemble_weights,
+        "ensemble_forecast": ensemble_forecast,
     }
