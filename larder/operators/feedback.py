@@ -155,3 +155,8 @@ def gap_rows(history: DataFrame, actuals_daily: DataFrame) -> DataFrame:
         cond = F.col("date") > F.lit(last_covered)
     return (actuals_daily.where(cond)
                          .join(history.select(*KEY), KEY, "left_anti"))
+
+
+def top_corrections(factors: DataFrame, k: int = 10) -> DataFrame:
+    """A15 listing: the ``k`` factors furthest from 1 (a top-k report)."""
+    return factors.orderBy(F.abs(F.col("factor") - 1).desc(), *PAIR).limit(k)

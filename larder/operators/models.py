@@ -236,3 +236,101 @@ def blend(weights: dict | None = None) -> Column:
     p = (wc("dow") * F.coalesce("pred_dow", F.lit(0.0)) + wc("exp") * F.coalesce("pred_exp", F.lit(0.0))
          + wc("gbt") * F.coalesce("pred_gbt", F.lit(0.0)))
     return F.greatest(F.lit(0.0), p)
+
+
+# --------------------------------------------------------------------------
+# Recursive day-by-day prediction
+# --------------------------------------------------------------------------
+
+TAIL = 28
+
+
+def _mean(arr: Column) -> Column:
+    return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / F.size(arr)
+
+
+def _std(arr: Column) -> Column:
+    """Sample standard deviation of an array (0 when fewer than 2 values)."""
+    m = _mean(arr)
+    ss = F.aggregate(arr, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
+    return F.when(F.size(arr) > 1, F.sqrt(ss / (F.size(arr) - 1))).otherwise(F.lit(0.0))
+
+
+def _tail(arr: Column, k: int) -> Column:
+    return F.when(F.size(arr) >= k, F.slice(arr, -k, k)).otherwise(arr)
+
+
+def recursive_state(dense: DataFrame, last) -> DataFrame:
+    """Per series: last <= 28 quantities, length, first value, last order
+    date / quantity and the frozen whole-history statistics."""
+    ago = F.datediff(last, F.col("date"))
+    q = F.col("qty")
+    g = dense.groupBy(*KEYS).agg(
+        F.sort_array(F.collect_list(F.when(ago < TAIL, F.struct("date", "qty")))).alias("_t"),
+        F.count(F.lit(1)).alias("n"), F.sum(q).alias("total"), F.avg(q).alias("hist_avg"),
+        F.stddev_samp(q).alias("hist_std"), F.avg((q > 0).cast("double")).alias("order_freq"),
+        F.min_by(q, F.col("date")).alias("first_qty"), F.min("date").alias("first_date"),
+        F.max(F.when(q > 0, F.col("date"))).alias("lod"),
+        F.max_by(F.when(q > 0, q), F.when(q > 0, F.col("date"))).alias("loq"))
+    cv = F.when(F.col("hist_avg") > 0, F.coalesce(F.col("hist_std"), F.lit(0.0)) / F.col("hist_avg")) \
+          .otherwise(F.lit(0.0))
+    return g.select(*KEYS, F.transform("_t", lambda x: x["qty"]).alias("buf"), "n", "total",
+                    "hist_avg", F.greatest(F.lit(0.0), F.least(F.lit(10.0), cv)).alias("cv"),
+                    "order_freq", "first_qty",
+                    F.coalesce("lod", "first_date").alias("last_order_date"),
+                    F.coalesce("loq", F.lit(0.0)).alias("last_order_qty"))
+
+
+def recursive_gbt(fit: dict, dense: DataFrame, last, days: int = C.HORIZON_DAYS,
+                  materialize=None) -> DataFrame:
+    """Day-by-day GBT forecast: each prediction is appended to the series'
+    buffer before the next day's lags and rolling statistics are formed;
+    whole-history statistics stay frozen.  Zero series and stores without a
+    model predict 0.  ``materialize`` (e.g. ``plans.materialize``) cuts the
+    lineage after each step."""
+    state = recursive_state(dense, last)
+    outs = []
+    for i in range(days):
+        d = F.date_add(last, i + 1)
+        b = F.col("buf")
+        n = F.col("n") + i
+        r7, r14, r28 = _tail(b, 7), _tail(b, 14), _tail(b, 28)
+        rm7, rm28 = _mean(r7), _mean(r28)
+        w = F.weekday(d)
+        feats = {
+            "dow": w, "day_of_month": F.dayofmonth(d),
+            "is_weekend": (w >= 5).cast("int"), "is_monday": (w == 0).cast("int"),
+            "is_friday": (w == 4).cast("int"),
+            "dow_sin": F.sin(F.lit(2 * np.pi) * w / 7), "dow_cos": F.cos(F.lit(2 * np.pi) * w / 7),
+            "dom_sin": F.sin(F.lit(2 * np.pi) * F.dayofmonth(d) / 31),
+            "dom_cos": F.cos(F.lit(2 * np.pi) * F.dayofmonth(d) / 31),
+            "lag_1": F.element_at(b, -1),
+            "lag_7": F.when(n >= 7, F.element_at(b, -7)).otherwise(F.col("first_qty")),
+            "lag_14": F.when(n >= 14, F.element_at(b, -14)).otherwise(F.col("first_qty")),
+            "rolling_mean_7": rm7, "rolling_mean_14": _mean(r14), "rolling_mean_28": rm28,
+            "rolling_std_7": _std(r7), "rolling_std_14": _std(r14),
+            "rolling_max_7": F.array_max(r7), "last_order_qty": F.col("last_order_qty"),
+            "trend_7_28": F.when(rm28 > 0, F.greatest(F.lit(0.2), F.least(F.lit(5.0), rm7 / rm28)))
+                           .otherwise(F.lit(1.0)),
+            "days_since_last_order": F.datediff(d, F.col("last_order_date")),
+            "product_hist_avg": F.col("hist_avg"), "product_cv": F.col("cv"),
+            "order_frequency": F.col("order_freq"),
+        }
+        step = state.withColumns({k: v.cast("double") if k not in ("dow", "day_of_month") else v
+                                  for k, v in feats.items()})
+        p = predict_gbt(fit, step, "p")
+        p = p.withColumn("p", F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.col("p")))
+        p = p.select(*state.columns, "p", d.alias("date"))
+        outs.append(p.select(*KEYS, F.lit(i).alias("day_idx"), "date", F.col("p").alias("pred_gbt")))
+        state = p.select(
+            *KEYS, _tail(F.concat(F.col("buf"), F.array(F.col("p"))), TAIL).alias("buf"),
+            "n", "total", "hist_avg", "cv", "order_freq", "first_qty",
+            F.when(F.col("p") > 0, F.col("date")).otherwise(F.col("last_order_date")).alias("last_order_date"),
+            F.when(F.col("p") > 0, F.col("p")).otherwise(F.col("last_order_qty")).alias("last_order_qty"))
+        if materialize is not None:
+            state = materialize(state, "recursive-state")
+            outs[-1] = materialize(outs[-1], "recursive-out")
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out

@@ -175,7 +175,7 @@ def _ladder(params: AppParams, weighted: bool) -> dict[str, Column]:
     points = F.when(none_, F.lit(0)).when(pick_long, nl).otherwise(ns)
     source = F.when(none_, F.lit("none")).when(pick_long, F.col("src_l")).otherwise(F.col("src_s"))
     dowm = F.when(none_, F.lit(0)).when(pick_long, F.col("dowm_l")).otherwise(F.col("dowm_s"))
-    return {"d_avg": avg, "d_conf": conf, "d_window": window.cast("long"),
+    return {"d_avg": avg, "d_conf": conf, "d_conf0": conf, "d_window": window.cast("long"),
             "d_points": points.cast("long"), "d_source": source, "d_dowm": dowm.cast("long"),
             "d_sparse": ~use_short & ~use_long}
 
@@ -247,11 +247,97 @@ def forecast(stats: DataFrame, on_hand: DataFrame, params: AppParams,
         F.when(missing, F.lit("missing_snapshot"))))
     return (df.withColumns({"avg_daily_usage": avg, "window_days": window,
                             "data_points": points, "data_coverage": cov,
-                            "data_source": source, "forecast_method": method})
+                            "data_source": source, "forecast_method": method,
+                            "snapshot_qty": F.col("on_hand"), "snapshot_age": days_since})
               .withColumns({"on_hand": projected, "confidence_level": conf,
                             "warnings": flags}))
 
 
+# Phrases of the explanation text and the source labels.
+SIMPLE_LABELS = {"actual_orders": "actual orders", "blended": "orders + usage",
+                 "daily_usage": "usage history"}
+WEIGHTED_LABELS = {"actual_orders": "orders", "blended": "orders+usage", "daily_usage": "usage"}
+
+
+def _label(src: Column, labels: dict, default: str) -> Column:
+    return F.coalesce(_lookup(labels, src), F.lit(default))
+
+
+def _num(x: Column, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f", x)
+
+
+def explanation_steps(params: AppParams) -> Column:
+    """The forecast part of the explanation, as an array of phrases."""
+    lane = F.col("lane")
+    ws, wl = F.col("ws").cast("string"), F.col("wl").cast("string")
+    nd, no = F.col("r_n_days"), F.col("r_n_order_days")
+    rw = str(params.routing_window)
+    pick_long = F.col("d_window") == F.col("wl")
+    use_short = F.col("d_conf0") == "high"
+    weighted = params.forecast_method == "historical_weighted_v1"
+    if weighted:
+        lab = _label(F.when(pick_long, F.col("src_l")).otherwise(F.col("src_s")), WEIGHTED_LABELS, "usage")
+        dec = str(params.decay)
+        first = (F.when(use_short, F.concat(F.lit("Weighted "), ws, F.lit("-day avg "), lab,
+                                            F.lit(f" (decay={dec})")))
+                  .when(F.col("d_conf0") == "medium",
+                        F.concat(F.lit("Weighted "), wl, F.lit("-day avg "), lab,
+                                 F.lit(f" (decay={dec}, insufficient "), ws, F.lit("-day data)")))
+                  .when(F.col("d_points") > 0, F.lit("Limited order history available (weighted)"))
+                  .otherwise(F.lit("No order history available")))
+    else:
+        lab = _label(F.when(pick_long, F.col("src_l")).otherwise(F.col("src_s")), SIMPLE_LABELS,
+                     "usage history")
+        first = (F.when(use_short, F.concat(F.lit("Based on "), ws, F.lit("-day average "), lab))
+                  .when(F.col("d_conf0") == "medium",
+                        F.concat(F.lit("Based on "), wl, F.lit("-day average "), lab,
+                                 F.lit(" (insufficient "), ws, F.lit("-day data)")))
+                  .when(F.col("d_points") > 0, F.lit("Limited order history available"))
+                  .otherwise(F.lit("No order history available")))
+    extra = [F.when(F.col("low_cov"), F.concat(F.lit("Data coverage "),
+                                                _num(F.col("d_cov") * 100, 0), F.lit("% of "),
+                                                F.col("d_window").cast("string"), F.lit("-day window")))]
+    if weighted and params.dow_multiplier > 0:
+        extra += [F.lit(f"DOW weighting x{1 + params.dow_multiplier:.1f} applied"),
+                  F.when(F.col("sparse_dow"), F.concat(
+                      F.lit("Only "), F.col("d_dowm").cast("string"),
+                      F.lit(" same-weekday data point(s) in "), F.col("d_window").cast("string"),
+                      F.lit("-day window")))]
+    freq = no / F.when(nd > 0, nd)
+    lane_text = (
+        F.when(lane == "dormant", F.when(nd > 0, F.concat(
+            F.lit("Dormant: "), no.cast("string"), F.lit("/"), nd.cast("string"),
+            F.lit(f" order-days in {rw}-day window (zero rate "),
+            _num(F.col("r_zero_rate") * 100, 0), F.lit("%)")))
+            .otherwise(F.lit("Dormant: no demand history in lookback window")))
+        .when((lane == "intermittent") & (no == 0), F.lit("Intermittent: no orders in lookback window"))
+        .when(lane == "intermittent", F.concat(
+            F.lit("Intermittent: "), no.cast("string"), F.lit(" orders in "), nd.cast("string"),
+            F.lit(" days (freq "), _num(freq * 100, 0), F.lit("%, avg "),
+            _num(F.col("r_avg_nonzero"), 1), F.lit(" when ordered → "),
+            _num(F.col("avg_daily_usage"), 2), F.lit("/day expected)")))
+        .when((lane == "periodic") & (no == 0), F.lit("Periodic: no orders in lookback window"))
+        .when(lane == "periodic", F.concat(
+            F.lit("Periodic: "), no.cast("string"), F.lit(" orders in "), nd.cast("string"),
+            F.lit(" days (avg interval "), _num(nd / F.when(no > 0, no), 1), F.lit("d, avg size "),
+            _num(F.col("r_avg_nonzero"), 1), F.lit(" → "), _num(F.col("avg_daily_usage"), 2),
+            F.lit("/day)"))))
+    on_hand = (F.when(F.col("on_hand_date").isNull(),
+                      F.lit("No inventory snapshot found — assuming 0 on hand"))
+                .when((F.col("snapshot_age") > 0) & (F.col("avg_daily_usage") > 0), F.concat(
+                    F.lit("On-hand: "), _num(F.col("snapshot_qty"), 2), F.lit(" (as of "),
+                    F.col("on_hand_date").cast("string"), F.lit("), projected to "),
+                    _num(F.col("on_hand"), 2), F.lit(" by "), F.col("plan_date").cast("string"),
+                    F.lit(" ("), F.col("snapshot_age").cast("string"), F.lit("d × "),
+                    _num(F.col("avg_daily_usage"), 4), F.lit("/d)")))
+                .otherwise(F.concat(F.lit("On-hand: "), _num(F.col("snapshot_qty"), 2),
+                                    F.lit(" (as of "), F.col("on_hand_date").cast("string"), F.lit(")"))))
+    daily_steps = F.array(first, *extra)
+    return F.array_compact(F.concat(
+        F.when(lane == "daily", daily_steps).otherwise(F.array(lane_text)), F.array(on_hand)))
+
+
 def recommend(fc: DataFrame) -> DataFrame:
     """Par fallback, target, need, min-send, rounding, whole units, flag."""
     par = F.coalesce(F.col("par_level"), F.lit(0.0))
@@ -269,6 +355,23 @@ def recommend(fc: DataFrame) -> DataFrame:
     need = F.when(need > 0, ceil6(need)).otherwise(need)
     df = fc.withColumns({"forecast_avg_daily_usage": avg, "forecast_target": target})
     df = df.withColumn("recommended_quantity", need)
+    if "explain" in df.columns:
+        pre = F.greatest(F.lit(0.0), target - on_hand)
+        pre = F.when((pre > 0) & (pre < min_send), min_send).otherwise(pre)
+        rounded = apply_rounding(pre, rule, cp)
+        steps = F.array_compact(F.array(
+            F.when((F.col("avg_daily_usage") == 0) & (F.col("data_points") == 0),
+                   F.lit("Using par level as fallback demand estimate")),
+            F.when((F.greatest(F.lit(0.0), target - on_hand) > 0)
+                   & (F.greatest(F.lit(0.0), target - on_hand) < min_send),
+                   F.concat(F.lit("Raised to minimum send quantity ("), _num(min_send, 2), F.lit(")"))),
+            F.when((rounded != pre) & (rounded > 0) & (rule == "round_up_case_pack"),
+                   F.concat(F.lit("Rounded up to case pack of "), cp.cast("string"))),
+            F.when((rounded != pre) & (rounded > 0) & (rule == "round_up_integer"),
+                   F.lit("Rounded up to whole unit")),
+            F.when((ceil6(rounded) != rounded) & (rounded > 0), F.lit("Rounded up to whole unit"))))
+        df = df.withColumn("explanation_text", F.concat(
+            F.concat_ws(". ", F.concat(F.col("explain"), steps)), F.lit(".")))
     unusual = (F.col("recommended_quantity") > par * 2) & (par > 0)
     return df.withColumn("warning_flags", F.when(
         unusual, F.concat(F.col("warnings"), F.array(F.lit("unusual_recommendation"))))
@@ -290,7 +393,8 @@ def build_recommendations(usage: DataFrame, orders: DataFrame, snapshots: DataFr
     ov = overlay_demand(usage, orders, p, span)
     st = pair_statistics(sw, ov, p, params)
     oh = latest_on_hand(snapshots, p)
-    return recommend(forecast(st, oh, params, product_config))
+    fc = forecast(st, oh, params, product_config)
+    return recommend(fc.withColumn("explain", explanation_steps(params)))
 
 
 RECOMMENDATION_COLUMNS = [

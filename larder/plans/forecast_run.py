@@ -146,3 +146,51 @@ def rounded_history_entries(result: ForecastResult) -> DataFrame:
     p = result.predictions
     return p.select(*KEYS, "date", half_even(F.col("pred"), 0).alias("predicted"),
                     "volume_tier", F.col("model").alias("model_version"))
+
+
+def backfill(history: DataFrame, daily: DataFrame, weights: dict | None = None,
+             product_config: ProductConfig | None = None, use_gbt: bool = True) -> DataFrame:
+    """Predictions for sales days missing from the history, as the
+    model would have made them before the first gap day.
+
+    Gap rows come from C12.  Lanes use the full history (as the reference
+    does); daily-lane series get DOW + Holt-Winters + one pooled GBT fitted
+    on data before the first gap day, blended with ``weights``; no
+    corrections or safety stock.  Returns the new history rows
+    (``model_version = v2_backfill``) with actual and error filled.
+    """
+    from ..operators import feedback as FB
+    gaps = FB.gap_rows(history, daily)
+    gap_start = gaps.agg(F.min("date")).first()[0]
+    if gap_start is None:
+        return history.limit(0)
+    lo, hi = DM.date_bound_values(daily)
+    days = (hi - gap_start).days + 1
+    first, tlast = F.lit(lo), F.lit(gap_start - dt.timedelta(days=1))
+    pairs = daily.select(*KEYS).distinct()
+    train = (daily.where(F.col("date") < F.lit(gap_start))
+                  .unionByName(pairs.select(*KEYS, first.alias("date"), F.lit(0.0).alias("qty"))))
+    lanes_full = LN.lanes(daily, product_config, first, F.lit(hi)).select(*KEYS, "lane")
+    base = DW.lane_forecast(train, product_config, days, first, tlast).drop("lane") \
+             .join(lanes_full, KEYS)
+    preds = base.withColumnRenamed("pred", "pred_dow")
+    preds = preds.join(exp_predictor(train, first, tlast, days), [*KEYS, "day_idx"], "left")
+    if use_gbt:
+        preds = preds.join(gbt_predictor(max_store_models=0)(train, first, tlast, days),
+                           [*KEYS, "day_idx"], "left")
+    else:
+        preds = preds.withColumn("pred_gbt", F.lit(0.0))
+    preds = preds.withColumns({"w_dow": F.lit(None).cast("double"), "w_exp": F.lit(None).cast("double"),
+                               "w_gbt": F.lit(None).cast("double")})
+    lane_rate = DW.lane_forecast(train, product_config, days, first, tlast) \
+                  .select(*KEYS, "day_idx", F.col("pred").alias("lane_pred"))
+    preds = preds.join(lane_rate, [*KEYS, "day_idx"])
+    pred = F.when(F.col("lane") == "daily", MD.blend(weights)).when(
+        F.col("lane") == "dormant", F.lit(0.0)).otherwise(F.col("lane_pred"))
+    p = preds.select(*KEYS, "date", pred.alias("pred"))
+    rows = gaps.join(p, [*KEYS, "date"])
+    return rows.select(*KEYS, "date", half_even(F.col("pred"), 0).alias("predicted"),
+                       F.col("qty").alias("actual"),
+                       half_even(half_even(F.col("pred"), 0) - F.col("qty"), 2).alias("error"),
+                       F.lit("unknown").alias("volume_tier"), F.lit("v2_backfill").alias("model_version"),
+                       F.col("date").cast("timestamp_ntz").alias("recorded_at"))

@@ -425,6 +425,20 @@ def gbt_forecast(spark, sf):
     return round_all(MD.predict_gbt(fit, fut).select("store", "product", "day_idx", "date", "pred_gbt"))
 
 
+def gbt_recursive(spark, sf):
+    fit, dense = _gbt_fit(spark, sf)
+    last = F.lit(dense.agg(F.max("date")).first()[0])
+    return round_all(MD.recursive_gbt(fit, dense, last, materialize=materialize))
+
+
+def backfill(spark, sf):
+    daily = _daily(spark, sf, "type")
+    hist = D.forecast_history(spark, sf, "type")
+    last = daily.agg(F.max("date")).first()[0]
+    older = hist.where(F.col("date") <= F.date_sub(F.lit(last), 10))
+    return round_all(FR.backfill(older, daily))
+
+
 def feature_importance(spark, sf):
     fit, _ = _gbt_fit(spark, sf)
     rows = MD.feature_importance(fit)
@@ -508,6 +522,8 @@ def registry() -> dict[str, Query]:
         "quality_summary": quality_summary,
         "holt_winters": holt_winters,
         "gbt_forecast": gbt_forecast,
+        "gbt_recursive": gbt_recursive,
+        "backfill": backfill,
         "ensemble_weights": ensemble_weights,
         "ensemble_forecast": ensemble_forecast,
     }

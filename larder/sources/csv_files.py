@@ -147,3 +147,28 @@ def import_rows_from_lines(spark: SparkSession, lines: DataFrame, required: tupl
     bad = headers.join(spark.createDataFrame(problems or [("", "")], "header string, missing string"),
                        "header").where(F.col("missing") != "")
     return rows, bad.select("file", "missing")
+
+
+def read_par_levels(spark: SparkSession, path: str, normalize: bool = False,
+                    store_names: dict | None = None, aliases: dict | None = None) -> DataFrame:
+    """Par levels ``store, product, max_qty`` from a CSV export of the
+    par sheet (header row, then store, product, max quantity).
+
+    Rows missing any of the three are skipped.  ``normalize=False`` keeps
+    raw names and whole numbers (batch side); ``normalize=True`` maps store
+    names to codes, normalises product names and keeps fractional values,
+    dropping unparsable quantities (seed side).
+    """
+    raw = spark.read.option("header", True).csv(path)
+    c = raw.columns[:3]
+    r = raw.select(F.col(c[0]).alias("store"), F.col(c[1]).alias("product"),
+                   F.col(c[2]).alias("max_qty"))
+    r = r.where(F.col("store").isNotNull() & (F.trim("store") != "") & F.col("product").isNotNull()
+                & (F.trim("product") != "") & F.col("max_qty").isNotNull())
+    q = F.trim("max_qty").try_cast("double")
+    if not normalize:
+        return r.select("store", "product", q.cast("long").alias("max_qty")).where(F.col("max_qty").isNotNull())
+    from ..operators.lanes import _lookup
+    store = F.coalesce(_lookup(store_names or {}, F.trim("store")), F.trim("store"))
+    return r.select(store.alias("store"), normalize_product(F.col("product"), aliases or {}).alias("product"),
+                    q.alias("max_qty")).where(F.col("max_qty").isNotNull())

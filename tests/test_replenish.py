@@ -104,3 +104,10 @@ def test_dow_matches(app, spark):
 def test_plan_stats(app):
     s = RP.plan_stats(_recs(app)).first()
     assert s.lines == 8 and s.stores == 2 and s.zero_skipped == 0
+
+
+def test_explanation_text(app):
+    x = _recs(app).where("store_id = 1 AND item_id = 1").first()
+    assert x.explanation_text.startswith("Based on 30-day average usage history. On-hand: 3.00 (as of ")
+    assert "projected to 0.00" in x.explanation_text
+    assert x.explanation_text.endswith("Rounded up to case pack of 4.")
