@@ -48,6 +48,7 @@ SPORADIC_REG = dict(maxIter=50, maxDepth=3, stepSize=0.1, subsamplingRate=0.8,
                     minInstancesPerNode=3, lossType="absolute", seed=42)
 SPORADIC_THRESHOLD = 0.5
 MAX_STORE_MODELS = 20
+ROWS_PER_PARTITION = 500_000   # training partitions sized by rows, not by upstream layout
 
 
 # --------------------------------------------------------------------------
@@ -134,14 +135,19 @@ def fit_gbt(train: DataFrame, weight_col: str | None = "weight",
         reg = reg.setWeightCol(weight_col)
     if len(counts) <= max_store_models:
         # the per-store fits are independent Spark jobs: submit them from
-        # driver threads so their (small, overhead-bound) jobs overlap
+        # driver threads so their (small, overhead-bound) jobs overlap; each
+        # store's rows get partitions sized by row count (boosting runs a
+        # few jobs per tree, so task count per job dominates small fits)
         def one(s):
-            return s, Pipeline(stages=[_assembler(), reg.copy()]).fit(train.where(F.col("store") == s))
+            parts = max(1, -(-counts[s] // ROWS_PER_PARTITION))
+            rows = train.where(F.col("store") == s).repartition(parts)
+            return s, Pipeline(stages=[_assembler(), reg.copy()]).fit(rows)
         with ThreadPoolExecutor(max_workers=min(len(fitted), 8)) as pool:
             models = dict(pool.map(one, sorted(fitted)))
         return {"mode": "per_store", "models": models}
     idx = StringIndexer(inputCol="store", outputCol="store_idx", handleInvalid="keep")
-    rows = train.where(F.col("store").isin(list(fitted)))
+    parts = max(1, -(-sum(counts[s] for s in fitted) // ROWS_PER_PARTITION))
+    rows = train.where(F.col("store").isin(list(fitted))).repartition(parts)
     model = Pipeline(stages=[idx, _assembler(["store_idx"]), reg]).fit(rows)
     return {"mode": "pooled", "models": {"*": model}}
 

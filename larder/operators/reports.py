@@ -31,10 +31,12 @@ def pick_list(lines: DataFrame, items: DataFrame, category: str | None = None,
         pat = f"%{search.strip()}%"
         it = it.where(F.col("item_name").ilike(pat) | F.col("sku").ilike(pat))
     j = lines.join(it, "item_id")
+    # a plan has one line per (store, item) (unique key), so counting lines
+    # per (plan, item) counts distinct stores without a distinct aggregate
     return j.groupBy("plan_id", "item_id", "item_name", "sku", "category").agg(
         F.sum("recommended_quantity").alias("total_recommended"),
         F.sum(F.coalesce("actual_quantity", F.lit(0.0))).alias("total_actual"),
-        F.countDistinct("store_id").alias("store_count"))
+        F.count(F.lit(1)).alias("store_count"))
 
 
 def status_pivot(lines: DataFrame) -> DataFrame:

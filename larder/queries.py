@@ -201,7 +201,7 @@ def _packing(spark, sf):
     lanes = LN.lanes(daily, SPORADIC_EXAMPLE, first, last)
     sched = PK.delivery_schedule(lanes)
     qty = PK.packing_quantities(safe, sched)
-    par = D.par_levels(spark, sf, "brand")
+    par = D.par_levels_for(daily)
     plist = PK.packing_list(qty, par)
     return dict(safe=safe, sched=sched, qty=qty, plist=plist, par=par)
 

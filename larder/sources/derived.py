@@ -99,7 +99,12 @@ def par_levels(spark: SparkSession, sf_dir: str, kind: str = "brand") -> DataFra
 
     The value is assigned from the key lengths so that zero par occurs.
     """
-    pairs = demand_lines(spark, sf_dir, kind).select("store", "product").distinct()
+    return par_levels_for(demand_lines(spark, sf_dir, kind))
+
+
+def par_levels_for(demand: DataFrame) -> DataFrame:
+    """Par levels for the pairs of any demand table (raw lines or daily)."""
+    pairs = demand.select("store", "product").distinct()
     return pairs.withColumn(
         "max_qty",
         (((F.length("store") + F.length("product")) % 4) * 10).cast("long"))
