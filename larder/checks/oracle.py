@@ -206,6 +206,7 @@ def oracle_sql() -> dict[str, str]:
         **{k: f() for k, f in FEEDBACK_SQL.items()},
         **{k: f() for k, f in REPORT_SQL.items()},
         **{k: f() for k, f in IMPORT_SQL.items()},
+        **{k: f() for k, f in EXTRA_SQL.items()},
     }
 
 
@@ -1258,3 +1259,29 @@ IMPORT_SQL = {
     "par_coverage": q_par_coverage,
     "quality_summary": q_quality_summary,
 }
+
+
+def q_top_corrections() -> str:
+    return _fb_with() + f"""
+SELECT store, product, {r6('factor')} AS factor FROM factors
+ORDER BY abs(factor - 1) DESC, store, product LIMIT 10"""
+
+
+def q_plan_stores() -> str:
+    return with_(plan_ctes()) + """
+SELECT DISTINCT l.plan_id, s.name AS store_name FROM lines l JOIN pstores s ON s.id = l.store_id"""
+
+
+def q_packing_v1() -> str:
+    return with_(demand_ctes("type"), dow_ctes()) + f"""
+, f AS (SELECT h.store, h.product, CASE WHEN t.tot = 0 THEN 0.0 ELSE COALESCE(p.dow_avg, 0.0) * t.trend1 END AS pred
+        FROM horizon2 h JOIN trend t ON h.store = t.store AND h.product = t.product
+        LEFT JOIN prof1 p ON p.store = h.store AND p.product = h.product AND p.dow = h.dow)
+SELECT store, product, {r6('SUM(pred)')} AS total FROM f GROUP BY store, product HAVING SUM(pred) >= 0.5"""
+
+
+EXTRA_SQL = {
+    "top_corrections": q_top_corrections,
+    "plan_stores": q_plan_stores,
+    "packing_v1": q_packing_v1,
+}

@@ -47,9 +47,31 @@ def clean_notes(c: Column, max_len: int = C.CSV_MAX_NOTE_LENGTH) -> Column:
     return F.when(t.isNull() | (t == ""), F.lit(None).cast("string")).otherwise(F.substring(t, 1, max_len))
 
 
+def lookup_ids(rows: DataFrame, stores: DataFrame, items: DataFrame, store_col: str = "store_code",
+               sku_col: str = "sku", name_first: bool = False) -> DataFrame:
+    """Store / item ids by upper-cased trimmed code (and, for the
+    enquiry layout, by name first, then by code)."""
+    r = rows.withColumn("_s", F.upper(F.trim(store_col))).withColumn("_i", F.upper(F.trim(sku_col)))
+    s_code = stores.select(F.upper(F.trim("code")).alias("_s"), F.col("id").alias("_sid_code"))
+    i_code = items.select(F.upper(F.trim("sku")).alias("_i"), F.col("id").alias("_iid_code"))
+    r = r.join(s_code, "_s", "left").join(i_code, "_i", "left")
+    if name_first:
+        s_name = stores.select(F.upper(F.trim("name")).alias("_s"), F.col("id").alias("_sid_name"))
+        i_name = items.select(F.upper(F.trim("item_name")).alias("_i"), F.col("id").alias("_iid_name"))
+        r = r.join(s_name, "_s", "left").join(i_name, "_i", "left")
+        sid = F.coalesce("_sid_name", "_sid_code")
+        iid = F.coalesce("_iid_name", "_iid_code")
+    else:
+        sid, iid = F.col("_sid_code"), F.col("_iid_code")
+    out = r.withColumn("store_id", sid).withColumn("item_id", iid)
+    return out.drop(*[c for c in out.columns if c.startswith("_sid") or c.startswith("_iid")
+                      or c in ("_s", "_i")])
+
+
 def validate(rows: DataFrame, stores: DataFrame, items: DataFrame, as_of,
              date_col: str = "usage_date", qty_col: str = "quantity_used",
-             max_rows: int = C.CSV_MAX_ROWS) -> DataFrame:
+             max_rows: int = C.CSV_MAX_ROWS, store_col: str = "store_code",
+             sku_col: str = "sku", name_first: bool = False) -> DataFrame:
     """Validate import rows against the store and item dimensions.
 
     ``stores``: ``id, code`` (active rows); ``items``: ``id, sku``.  Lookups
@@ -59,11 +81,16 @@ def validate(rows: DataFrame, stores: DataFrame, items: DataFrame, as_of,
     is a valid quantity) and notes.
     """
     as_of = F.lit(dt.date.fromisoformat(as_of) if isinstance(as_of, str) else as_of)
-    sm = stores.select(F.upper(F.trim("code")).alias("_code"), F.col("id").alias("store_id"))
-    im = items.select(F.upper(F.trim("sku")).alias("_sku"), F.col("id").alias("item_id"))
-    r = (rows.withColumn("_code", F.upper(F.trim("store_code")))
-             .withColumn("_sku", F.upper(F.trim("sku")))
-             .join(sm, "_code", "left").join(im, "_sku", "left"))
+    if "notes" not in rows.columns:                 # the notes column is optional
+        rows = rows.withColumn("notes", F.lit(None).cast("string"))
+    if name_first:
+        r = lookup_ids(rows, stores, items, store_col, sku_col, name_first=True)
+    else:
+        sm = stores.select(F.upper(F.trim("code")).alias("_code"), F.col("id").alias("store_id"))
+        im = items.select(F.upper(F.trim("sku")).alias("_sku"), F.col("id").alias("item_id"))
+        r = (rows.withColumn("_code", F.upper(F.trim(store_col)))
+                 .withColumn("_sku", F.upper(F.trim(sku_col)))
+                 .join(sm, "_code", "left").join(im, "_sku", "left"))
     d = parse_date(F.col(date_col))
     q = parse_quantity(F.col(qty_col))
     reason = (F.when(F.col("store_id").isNull(), F.lit("unknown_store"))

@@ -123,3 +123,9 @@ def check_stock(plist: DataFrame, par_levels: DataFrame) -> DataFrame:
 def packing_order(plist: DataFrame) -> DataFrame:
     """products by uncapped total descending (product breaks ties)."""
     return plist.orderBy("store", F.col("total").desc(), "product", "day_idx")
+
+
+def packing_v1(preds: DataFrame, min_total: float = 0.5) -> DataFrame:
+    """B16 (v1 export): series whose unrounded 14-day total is >= 0.5."""
+    t = preds.groupBy(*KEYS).agg(F.sum("pred").alias("total"))
+    return t.where(F.col("total") >= min_total)

@@ -145,3 +145,9 @@ def plan_categories(lines: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct item categories per plan."""
     it = items.select(F.col("id").alias("item_id"), "category")
     return lines.join(it, "item_id").select("plan_id", "category").distinct()
+
+
+def plan_stores(lines: DataFrame, stores: DataFrame) -> DataFrame:
+    """Distinct store names per plan (sorted when rendered)."""
+    st = stores.select(F.col("id").alias("store_id"), F.col("name").alias("store_name"))
+    return lines.join(st, "store_id").select("plan_id", "store_name").distinct()

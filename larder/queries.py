@@ -457,6 +457,18 @@ def ensemble_weights(spark, sf):
     return EV.ensemble_weights(bt)
 
 
+def top_corrections(spark, sf):
+    return round_all(FB.top_corrections(FB.correction_factors(_matched(spark, sf))))
+
+
+def plan_stores(spark, sf):
+    return RT.plan_stores(D.plan_lines(spark, sf), D.plan_stores(spark, sf))
+
+
+def packing_v1(spark, sf):
+    return round_all(PK.packing_v1(DW.dow_forecast(_daily(spark, sf, "type"), version=1)))
+
+
 def registry() -> dict[str, Query]:
     return {
         "daily_demand_dense": daily_demand_dense,
@@ -520,6 +532,9 @@ def registry() -> dict[str, Query]:
         "settings_from_facts": settings_from_facts,
         "par_coverage": par_coverage,
         "quality_summary": quality_summary,
+        "top_corrections": top_corrections,
+        "plan_stores": plan_stores,
+        "packing_v1": packing_v1,
         "holt_winters": holt_winters,
         "gbt_forecast": gbt_forecast,
         "gbt_recursive": gbt_recursive,

@@ -28,6 +28,7 @@ ORDER_MARKERS = ("CustomerName", "OrderNumber")
 OUTPUT_PREFIXES = ("packing_list_", "forecast_accuracy")
 SALES_DATE_FORMATS = ("M/d/yyyy", "yyyy-M-d", "M-d-yyyy", "M/d/yyyy H:mm", "yyyy-M-d H:mm:ss")
 BOM = "﻿"
+DELIMITERS = (",", "\t", ";", "|")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -49,6 +50,14 @@ def is_title_row(line: Column) -> Column:
     return (s == "") | ((F.size(parts) > 1) & (empty / F.size(parts) > 0.5))
 
 
+def sniff_delimiter(header: str) -> str:
+    """The candidate delimiter occurring most often in the header line
+    (comma on ties or when none occurs)."""
+    counts = [(header.count(d), -i, d) for i, d in enumerate(DELIMITERS)]
+    best = max(counts)
+    return best[2] if best[0] > 0 else ","
+
+
 def _split_header(h: str) -> list[str]:
     import csv
     import io
@@ -108,7 +117,7 @@ def read_sales_files(spark: SparkSession, path: str, stores: tuple | None = None
 
 
 def import_rows(spark: SparkSession, path: str, required: tuple[str, ...],
-                delimiter: str = ",") -> tuple[DataFrame, DataFrame]:
+                delimiter: str | None = ",") -> tuple[DataFrame, DataFrame]:
     """A7-A11 text side: import files -> (rows, header_problems).
 
     Leading title rows are skipped (A10); the header is matched
@@ -121,15 +130,17 @@ def import_rows(spark: SparkSession, path: str, required: tuple[str, ...],
 
 
 def import_rows_from_lines(spark: SparkSession, lines: DataFrame, required: tuple[str, ...],
-                           delimiter: str = ",") -> tuple[DataFrame, DataFrame]:
-    """``import_rows`` over already numbered lines (``file, line_no, value``)."""
+                           delimiter: str | None = ",") -> tuple[DataFrame, DataFrame]:
+    """``import_rows`` over already numbered lines (``file, line_no, value``).
+    ``delimiter=None`` sniffs it per header layout (A9)."""
     title = is_title_row(F.col("value"))
     first_real = lines.where(~title).groupBy("file").agg(F.min("line_no").alias("hdr_no"))
     j = lines.join(first_real, "file")
     headers = j.where(F.col("line_no") == F.col("hdr_no")).select("file", F.col("value").alias("header"))
     problems, frames = [], []
     for r in headers.select("header").distinct().collect():
-        cols = [c.strip().lstrip(BOM).lower() for c in _split_header(r["header"].replace(delimiter, ","))]
+        sep = delimiter or sniff_delimiter(r["header"])
+        cols = [c.strip().lstrip(BOM).lower() for c in _split_header(r["header"].replace(sep, ","))]
         missing = [c for c in required if c not in cols]
         if missing:
             problems.append((r["header"], ", ".join(missing)))
@@ -138,7 +149,7 @@ def import_rows_from_lines(spark: SparkSession, lines: DataFrame, required: tupl
         part = (j.join(headers, "file").where((F.col("header") == r["header"])
                                               & (F.col("line_no") > F.col("hdr_no")))
                  .select("file", (F.col("line_no") - F.col("hdr_no") + 1).alias("line_no"),
-                         F.from_csv("value", schema, {"sep": delimiter}).alias("r")))
+                         F.from_csv("value", schema, {"sep": sep}).alias("r")))
         frames.append(part.select("file", "line_no",
                                   *[F.col(f"r.c{i}").alias(c) for i, c in enumerate(cols)]))
     rows = None

@@ -95,3 +95,20 @@ def test_versioned_table_and_stream(spark):
     assert [(r.usage_date.isoformat(), r.quantity_used) for r in t.collect()] == [("2026-03-01", 6.0)]
     v1 = sinks.write_version(t.withColumn("quantity_used", F.lit(1.0)), table)
     assert v1.endswith("v=2") and sinks.read_latest(spark, table).first().quantity_used == 1.0
+
+
+def test_orders_layout_sniffed_and_name_first(spark):
+    d = _dir()
+    with open(os.path.join(d, "orders.txt"), "w") as f:
+        f.write("store_code;sku;order_date;quantity_ordered\n")
+        f.write("K-Town;Oat Milk;2026-03-01;3\n")                 # names, not codes
+        f.write("KTOWN;MILK-OAT;2026-03-02;4\n")                  # codes
+    assert CF.sniff_delimiter("a;b;c|d") == ";" and CF.sniff_delimiter("a\tb\tc") == "\t"
+    rows, bad = CF.import_rows(spark, d, ("store_code", "sku", "order_date", "quantity_ordered"),
+                               delimiter=None)
+    stores = spark.createDataFrame([(2, "K-Town", "KTOWN")], "id long, name string, code string")
+    items = spark.createDataFrame([(2, "Oat Milk", "MILK-OAT")], "id long, item_name string, sku string")
+    chk = IM.validate(rows, stores, items, dt.date(2026, 3, 14), date_col="order_date",
+                      qty_col="quantity_ordered", name_first=True)
+    got = sorted((r.line_no, r.status, r.store_id, r.item_id, r.quantity) for r in chk.collect())
+    assert got == [(2, "imported", 2, 2, 3.0), (3, "imported", 2, 2, 4.0)]
