@@ -54,3 +54,16 @@ def fmt_key(c) -> Column:
 
 def fmt_tab(c) -> Column:
     return F.date_format(col(c), "MM-dd")
+
+
+def date_lit(d) -> Column:
+    """A literal date column that remembers its Python value (so parameter
+    tables derived from it need no Spark job)."""
+    c = F.lit(d)
+    c._larder_value = d
+    return c
+
+
+def lit_value(c):
+    """The Python value behind ``date_lit`` (None for other columns)."""
+    return getattr(c, "_larder_value", None)

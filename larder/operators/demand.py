@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calendar import date_lit
+
 KEYS = ("store", "product")
 
 
@@ -40,7 +42,7 @@ def date_bound_values(daily: DataFrame):
 def date_bounds(daily: DataFrame) -> tuple[Column, Column]:
     """Global first and last demand date, as literal columns."""
     lo, hi = date_bound_values(daily)
-    return F.lit(lo), F.lit(hi)
+    return date_lit(lo), date_lit(hi)
 
 
 def dense_demand(daily: DataFrame, first: Column | None = None,

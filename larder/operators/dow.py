@@ -10,12 +10,15 @@ passed to the per-series plan as two literal arrays.
 
 from __future__ import annotations
 
+import datetime as dt
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import ProductConfig
-from ..functions.calendar import dow
+from ..functions.calendar import dow, lit_value
 from ..functions.numeric import clip
 from . import lanes as L
 from .demand import date_bounds
@@ -29,6 +32,12 @@ def calendar_weights(daily: DataFrame, first: Column, last: Column,
     generated calendar of (last - first + 1) rows and returned as literal
     arrays of seven numbers.
     """
+    lo, hi = lit_value(first), lit_value(last)
+    if lo is not None and hi is not None:
+        days = [lo + dt.timedelta(days=i) for i in range((hi - lo).days + 1)]
+        cnt = [float(sum(1 for d in days if d.weekday() == k)) for k in range(7)]
+        wts = [math.fsum(decay ** (hi - d).days for d in days if d.weekday() == k) for k in range(7)]
+        return (F.array(*[F.lit(x) for x in cnt]), F.array(*[F.lit(x) for x in wts]))
     cal = daily.sparkSession.range(1).select(F.explode(F.sequence(first, last)).alias("date"))
     w = F.pow(F.lit(decay), F.datediff(last, F.col("date")))
     d = dow("date")

@@ -20,6 +20,7 @@ from .. import config as C
 from ..config import ProductConfig
 from ..functions.numeric import half_even
 from . import dow as DW
+from ..functions.calendar import date_lit
 from .demand import date_bound_values
 
 KEYS = ["store", "product"]
@@ -81,7 +82,7 @@ def backtest(daily: DataFrame, test_days: int = C.BACKTEST_TEST_DAYS,
     train_last = test_start - dt.timedelta(days=1)
     if (train_last - lo).days + 1 < C.BACKTEST_MIN_TRAIN_ROWS:
         return _empty_backtest(daily, predictors)
-    first, tlast = F.lit(lo), F.lit(train_last)
+    first, tlast = date_lit(lo), date_lit(train_last)
 
     # every series of the full calendar takes part (a series with no
     # training demand is routed dormant); a zero row keeps it in the plan

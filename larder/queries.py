@@ -248,8 +248,9 @@ def worst_products(spark, sf):
 
 
 def _matched(spark, sf):
-    hist = D.forecast_history(spark, sf, "type")
-    return FB.match_actuals(hist, _daily(spark, sf, "type"))
+    daily = _daily(spark, sf, "type")
+    first, last = DM.date_bounds(daily)
+    return FB.match_actuals(D.forecast_history_for(daily, last), daily)
 
 
 def match_actuals(spark, sf):
@@ -278,9 +279,9 @@ def feedback_summary(spark, sf):
 
 def gap_rows(spark, sf):
     daily = _daily(spark, sf, "type")
-    hist = D.forecast_history(spark, sf, "type")
-    last = daily.agg(F.max("date")).first()[0]
-    older = hist.where(F.col("date") <= F.date_sub(F.lit(last), 10))
+    first, last = DM.date_bounds(daily)
+    hist = D.forecast_history_for(daily, last)
+    older = hist.where(F.col("date") <= F.date_sub(last, 10))
     return round_all(FB.gap_rows(older, daily))
 
 
@@ -296,7 +297,7 @@ def history_upsert(spark, sf):
     entries = fc.join(tiers, ["store", "product"]).select(
         "store", "product", "date", F.col("pred").alias("predicted"), "volume_tier",
         model.alias("model_version"))
-    hist = D.forecast_history(spark, sf, "type")
+    hist = D.forecast_history_for(daily, last)
     ts = F.date_add(last, 1).cast("timestamp_ntz")
     return round_all(FB.record_forecasts(hist, entries, ts))
 
@@ -433,9 +434,9 @@ def gbt_recursive(spark, sf):
 
 def backfill(spark, sf):
     daily = _daily(spark, sf, "type")
-    hist = D.forecast_history(spark, sf, "type")
-    last = daily.agg(F.max("date")).first()[0]
-    older = hist.where(F.col("date") <= F.date_sub(F.lit(last), 10))
+    first, last = DM.date_bounds(daily)
+    hist = D.forecast_history_for(daily, last)
+    older = hist.where(F.col("date") <= F.date_sub(last, 10))
     return round_all(FR.backfill(older, daily))
 
 

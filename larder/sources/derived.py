@@ -85,10 +85,10 @@ def demand_lines(spark: SparkSession, sf_dir: str, kind: str = "type") -> DataFr
     # each dimension joins the fact directly: the planner size-checks it on
     # its own (a pre-joined dimension chain is estimated as the product of
     # its inputs and would force a shuffle of the fact table)
+    natreg = nat.join(reg, nat.n_regionkey == reg.r_regionkey)   # two tiny tables: one broadcast
     return (li.join(part, li.l_partkey == part.p_partkey)
               .join(sup, li.l_suppkey == sup.s_suppkey)
-              .join(nat, sup.s_nationkey == nat.n_nationkey)
-              .join(reg, nat.n_regionkey == reg.r_regionkey)
+              .join(natreg, sup.s_nationkey == natreg.n_nationkey)
               .select(F.col("r_name").alias("store"), F.col(pcol).alias("product"),
                       F.to_date("l_shipdate").alias("date"),
                       F.col("l_quantity").alias("qty")))
@@ -294,8 +294,13 @@ def forecast_history(spark: SparkSession, sf_dir: str, kind: str = "type") -> Da
     of the last 14 data days are still pending (null), future days too.
     """
     lines = demand_lines(spark, sf_dir, kind)
-    daily = lines.groupBy("store", "product", "date").agg(F.sum("qty").alias("qty"))
-    last = F.lit(daily.agg(F.max("date")).first()[0])
+    return forecast_history_for(lines.groupBy("store", "product", "date").agg(F.sum("qty").alias("qty")))
+
+
+def forecast_history_for(daily: DataFrame, last: Column | None = None) -> DataFrame:
+    """``forecast_history`` over an existing daily-demand table."""
+    if last is None:
+        last = F.lit(daily.agg(F.max("date")).first()[0])
     pairs = daily.select("store", "product").distinct()
     grid = pairs.select(
         "store", "product",
