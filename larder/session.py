@@ -46,7 +46,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     fault-tolerant location; we read it from the session.  Only when it is
     unset (local runs, tests) do we create a scratch folder of our own.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:                      # no SparkContext on this client (e.g. Spark Connect)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            return configured
+        local = tempfile.mkdtemp(prefix="larder-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.conf.set("spark.checkpoint.dir", local)
+        return local
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         if not sc.getCheckpointDir():
