@@ -65,7 +65,8 @@ def _split_header(h: str) -> list[str]:
 
 
 def read_sales_files(spark: SparkSession, path: str, stores: tuple | None = None,
-                     aliases: dict | None = None, dedup: bool = True) -> DataFrame:
+                     aliases: dict | None = None, dedup: bool = True,
+                     drop_bad: bool = False) -> DataFrame:
     """A3: every sales CSV under ``path`` -> ``store, product, date, qty``.
 
     The first line decides the layout: an enquiry export (title row, header
@@ -73,6 +74,8 @@ def read_sales_files(spark: SparkSession, path: str, stores: tuple | None = None
     sales-order layout is tried.  Output files are skipped.  Rows of other
     stores are dropped (exact match), blank quantities become 0, product
     names are trimmed and normalised, exact duplicates are removed (G2).
+    ``drop_bad=True`` drops rows whose date or quantity does not parse
+    instead (the seed loaders' rule, A5).
     """
     lines = numbered_lines(spark, path)
     for p in OUTPUT_PREFIXES:
@@ -108,11 +111,14 @@ def read_sales_files(spark: SparkSession, path: str, stores: tuple | None = None
     else:
         raw = raw.where(F.col("store").isNotNull() & (F.col("store") != ""))
     d = F.trim("date")
+    q = F.trim("qty").try_cast("double")
     out = raw.select(
         "store", normalize_product(F.col("product"), aliases or {}).alias("product"),
         F.coalesce(*[F.to_date(F.try_to_timestamp(d, F.lit(fmt))) for fmt in SALES_DATE_FORMATS])
         .alias("date"),
-        F.coalesce(F.trim("qty").try_cast("double"), F.lit(0.0)).alias("qty"))
+        (q if drop_bad else F.coalesce(q, F.lit(0.0))).alias("qty"))
+    if drop_bad:
+        out = out.where(F.col("date").isNotNull() & F.col("qty").isNotNull())
     return out.dropDuplicates(["store", "product", "date", "qty"]) if dedup else out
 
 
