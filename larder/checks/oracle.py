@@ -1231,22 +1231,30 @@ FROM names n LEFT JOIN par ON par.product = n.item_name GROUP BY n.item_name"""
 
 
 def q_quality_summary() -> str:
-    return with_(app_table_ctes()) + """
-, dup AS (SELECT store_id, item_id FROM settings GROUP BY 1, 2 HAVING COUNT(*) > 1),
-v AS (SELECT s.store_id, s.item_id, concat_ws(',',
-        CASE WHEN par_level < 0 THEN 'negative_par_level' END,
-        CASE WHEN safety_stock < 0 THEN 'negative_safety_stock' END,
-        CASE WHEN min_send_quantity < 0 THEN 'negative_min_send_quantity' END,
-        CASE WHEN rounding_rule NOT IN ('round_up_case_pack', 'round_up_integer', 'none') THEN 'invalid_rounding_rule' END,
-        CASE WHEN usage_window_days IS NOT NULL AND (usage_window_days < 1 OR usage_window_days > 90)
-             THEN 'invalid_usage_window' END,
-        CASE WHEN d.store_id IS NOT NULL THEN 'duplicate_setting' END,
-        CASE WHEN i.id IS NULL THEN 'unknown_item' END,
-        CASE WHEN i.case_pack_quantity < 1 THEN 'invalid_case_pack' END) AS violations
-      FROM settings s LEFT JOIN dup d ON d.store_id = s.store_id AND d.item_id = s.item_id
-      LEFT JOIN items i ON i.id = s.item_id)
-SELECT CASE WHEN violations = '' THEN 'ok' ELSE violations END AS violation, COUNT(*) AS n
-FROM v GROUP BY 1"""
+    def code(cond: str, name: str) -> str:
+        return f"CASE WHEN {cond} THEN ['{name}'] ELSE CAST([] AS VARCHAR[]) END"
+    codes = ", ".join([
+        code("par_level < 0", "negative_par_level"),
+        code("safety_stock < 0", "negative_safety_stock"),
+        code("reorder_threshold < 0", "negative_reorder_threshold"),
+        code("min_send_quantity < 0", "negative_min_send_quantity"),
+        code("rounding_rule NOT IN ('round_up_case_pack', 'round_up_integer', 'none')",
+             "invalid_rounding_rule"),
+        code("usage_window_days IS NOT NULL AND (usage_window_days < 1 OR usage_window_days > 90)",
+             "invalid_usage_window"),
+        code("d.store_id IS NOT NULL", "duplicate_setting"),
+        code("i.id IS NULL", "unknown_item"),
+        code("i.case_pack_quantity < 1", "invalid_case_pack"),
+        code("length(i.item_name) > 200", "item_name_too_long"),
+        code("length(i.sku) > 50", "sku_too_long")])
+    return with_(app_table_ctes()) + f"""
+, settings2 AS (SELECT *, 1.0 AS reorder_threshold FROM settings),
+dup AS (SELECT store_id, item_id FROM settings2 GROUP BY 1, 2 HAVING COUNT(*) > 1),
+v AS (SELECT list_concat({codes}) AS codes
+      FROM settings2 s LEFT JOIN dup d ON d.store_id = s.store_id AND d.item_id = s.item_id
+      LEFT JOIN items i ON i.id = s.item_id),
+e AS (SELECT unnest(CASE WHEN len(codes) = 0 THEN ['ok'] ELSE codes END) AS violation FROM v)
+SELECT violation, COUNT(*) AS n FROM e GROUP BY violation"""
 
 
 IMPORT_SQL = {

@@ -65,5 +65,8 @@ def date_lit(d) -> Column:
 
 
 def lit_value(c):
-    """The Python value behind ``date_lit`` (None for other columns)."""
-    return getattr(c, "_larder_value", None)
+    """The Python value behind ``date_lit`` (None for other columns).
+
+    Read from the instance dict: ``Column.__getattr__`` turns unknown
+    attribute names into field accessors instead of raising."""
+    return vars(c).get("_larder_value") if hasattr(c, "__dict__") else None

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.numeric import count_if
 from .lanes import _lookup
 
 
@@ -106,4 +105,4 @@ def quality_summary(checked: DataFrame) -> DataFrame:
 
 
 __all__ = ["make_sku", "normalize_product", "product_names", "item_dimension",
-           "settings_from_facts", "par_coverage", "quality_checks", "quality_summary", "count_if"]
+           "settings_from_facts", "par_coverage", "quality_checks", "quality_summary"]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.calendar import calendar_columns, dow
+from ..functions.calendar import calendar_columns
 from ..functions.numeric import clip
 
 
@@ -228,4 +228,4 @@ def future_features(dense: DataFrame, days: int = C.HORIZON_DAYS) -> DataFrame:
 
 
 __all__ = ["feature_matrix", "complete_rows", "volume_tiers", "recency_weights",
-           "tail_stats", "future_features", "MODEL_FEATURES", "dow"]
+           "tail_stats", "future_features", "MODEL_FEATURES"]
