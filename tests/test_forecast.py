@@ -127,3 +127,9 @@ def test_recursive_gbt_small(spark):
     # rolling std (sample std in both) -> identical first-day predictions
     for r in static:
         assert abs(rec0[(r.store, r.product)] - r.pred_gbt) < 1e-9
+
+
+def test_lit_value_only_for_tagged_columns(spark):
+    from larder.functions.calendar import date_lit, lit_value
+    assert lit_value(date_lit(D0)) == D0
+    assert lit_value(F.lit(D0)) is None          # plain literals carry no value
