@@ -1288,7 +1288,16 @@ def q_packing_v1() -> str:
 SELECT store, product, {r6('SUM(pred)')} AS total FROM f GROUP BY store, product HAVING SUM(pred) >= 0.5"""
 
 
+def q_delivery_sheet() -> str:
+    return with_(plan_ctes()) + f"""
+SELECT l.plan_id, l.store_id, l.id, l.item_id, i.item_name, i.sku, i.category,
+       {r6('l.recommended_quantity')} AS recommended_quantity, {r6('l.actual_quantity')} AS actual_quantity,
+       l.status, l.confidence_level
+FROM lines l JOIN pitems i ON i.id = l.item_id"""
+
+
 EXTRA_SQL = {
+    "delivery_sheet": q_delivery_sheet,
     "top_corrections": q_top_corrections,
     "plan_stores": q_plan_stores,
     "packing_v1": q_packing_v1,

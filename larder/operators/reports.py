@@ -151,3 +151,17 @@ def plan_stores(lines: DataFrame, stores: DataFrame) -> DataFrame:
     """Distinct store names per plan (sorted when rendered)."""
     st = stores.select(F.col("id").alias("store_id"), F.col("name").alias("store_name"))
     return lines.join(st, "store_id").select("plan_id", "store_name").distinct()
+
+
+def delivery_sheet(lines: DataFrame, items: DataFrame) -> DataFrame:
+    """K3 + C4: every plan line with its item, per store; ``sheet_order``
+    renders it in the report order (category, item name)."""
+    it = items.select(F.col("id").alias("item_id"), "item_name", "sku", "category")
+    return lines.join(it, "item_id").select(
+        "plan_id", "store_id", "id", "item_id", "item_name", "sku", "category",
+        "recommended_quantity", "actual_quantity", "status", "confidence_level")
+
+
+def sheet_order(sheet: DataFrame) -> DataFrame:
+    """plan, store, then category and item name (line id breaks ties)."""
+    return sheet.orderBy("plan_id", "store_id", "category", "item_name", "id")

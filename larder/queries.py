@@ -470,6 +470,10 @@ def packing_v1(spark, sf):
     return round_all(PK.packing_v1(DW.dow_forecast(_daily(spark, sf, "type"), version=1)))
 
 
+def delivery_sheet(spark, sf):
+    return round_all(RT.delivery_sheet(D.plan_lines(spark, sf), D.plan_items(spark, sf)))
+
+
 def registry() -> dict[str, Query]:
     return {
         "daily_demand_dense": daily_demand_dense,
@@ -536,6 +540,7 @@ def registry() -> dict[str, Query]:
         "top_corrections": top_corrections,
         "plan_stores": plan_stores,
         "packing_v1": packing_v1,
+        "delivery_sheet": delivery_sheet,
         "holt_winters": holt_winters,
         "gbt_forecast": gbt_forecast,
         "gbt_recursive": gbt_recursive,
