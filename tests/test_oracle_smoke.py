@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 FAST = ["lane_forecast", "lane_classify", "dow_forecast_v1", "feature_lags", "feature_recency",
         "future_features", "recommendation_weighted", "packing_list", "accuracy_by_lane",
         "match_actuals", "confidence_score", "dashboard", "activity_top", "import_validate",
-        "history_upsert"]
+        "history_upsert", "delivery_sheet", "top_corrections", "packing_v1", "plan_stores",
+        "quality_summary", "gap_rows"]
 
 
 def _norm(v):
