@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text
+from . import byte_bpe, html_text, quality_rules
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op9_byte_bpe(spark, sf_dir):
         tokenizers.PATTERN)
 
 
+def op10_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def registry():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
