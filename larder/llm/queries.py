@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text, quality_mil, quality_rules, simhash, toxicity
+from . import byte_bpe, html_text, quality_mil, quality_rules, simhash, toxicity, winnowing
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_winnowing(spark, sf_dir):
+    return winnowing.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     tokenizers = byte_bpe.public_tokenizers()
     return byte_bpe.encode_documents(
