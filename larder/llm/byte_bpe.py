@@ -45,6 +45,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import pack, planes, table_of, unpack, unplaned
+
 BLOCK_CHARS = 12_000_000
 TOKENIZERS_DIR = "/opt/tokenizers"
 
@@ -151,39 +153,6 @@ _ENCODED = T.StructType([
 ])
 
 
-def _arrow(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    return to_arrow_schema(schema)
-
-
-def _table(rows: list[tuple], schema: T.StructType) -> pa.Table:
-    fields = _arrow(schema)
-    columns = list(zip(*rows)) if rows else [[]] * len(fields)
-    return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, fields)],
-                                schema=fields)
-
-
-def _pack(sizes, body: bytes) -> bytes:
-    """Item sizes and the items' bytes, end to end, compressed."""
-    sizes = np.asarray(sizes, np.uint32)
-    return zstandard.compress(np.uint32(len(sizes)).tobytes() + sizes.tobytes() + body, 3)
-
-
-def _unpack(packed: bytes) -> tuple[np.ndarray, bytes]:
-    raw = zstandard.decompress(packed)
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    return np.frombuffer(raw, np.uint32, n, 4), raw[4 + 4 * n:]
-
-
-def _planes(numbers: np.ndarray) -> bytes:
-    """Four byte planes: the high ones are almost constant and compress to nothing."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unplaned(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-
-
 def _explode(pattern: str, block_chars: int, n_shards: int):
     """Batches of (id, text) to the rows of ``_EXPLODED``."""
 
@@ -198,12 +167,12 @@ def _explode(pattern: str, block_chars: int, n_shards: int):
         for s in range(n_shards):
             own = [coded[i] for i in order[cuts[s]:cuts[s + 1]].tolist()]
             if own:
-                rows.append((f"w{s}", block, s, _pack([len(w) for w in own], b"".join(own)),
+                rows.append((f"w{s}", block, s, pack([len(w) for w in own], b"".join(own)),
                              None, None))
         at = place[np.array(numbers, np.int64)] if numbers else np.empty(0, np.int64)
-        rows.append((f"d{block}", block, None, zstandard.compress(_planes(at), 3), ids,
+        rows.append((f"d{block}", block, None, zstandard.compress(planes(at), 3), ids,
                      np.diff(np.array([0, *ends])).tolist()))
-        return _table(rows, _EXPLODED).to_batches()
+        return table_of(rows, _EXPLODED).to_batches()
 
     def run(batches):
         from pyspark import TaskContext
@@ -240,13 +209,13 @@ def _encode(vocabulary: str):
 
     def run(group: pa.Table) -> pa.Table:
         if not group.column("key")[0].as_py().startswith("w"):
-            return _table([], _CODED)
+            return table_of([], _CODED)
         if vocabulary not in _MERGERS:
             _MERGERS[vocabulary] = Merger(load_ranks(vocabulary))
         encode, known, rows = _MERGERS[vocabulary].encode, {}, []
         for block, shard, packed in zip(*(group.column(c).to_pylist()
                                           for c in ("block", "shard", "packed"))):
-            sizes, body = _unpack(packed)
+            sizes, body = unpack(packed)
             ends = np.cumsum(sizes, dtype=np.int64).tolist()
             out, start = [], 0
             for end in ends:
@@ -256,8 +225,8 @@ def _encode(vocabulary: str):
                 if ids is None:
                     ids = known[word] = np.array(encode(word), np.uint32).tobytes()
                 out.append(ids)
-            rows.append((f"d{block}", shard, _pack([len(x) // 4 for x in out], b"".join(out))))
-        return _table(rows, _CODED)
+            rows.append((f"d{block}", shard, pack([len(x) // 4 for x in out], b"".join(out))))
+        return table_of(rows, _CODED)
 
     return run
 
@@ -281,12 +250,12 @@ def _reassemble(vocabulary: str):
 
     def run(coded: pa.Table, block: pa.Table) -> pa.Table:
         if not block.num_rows or not block.column("key")[0].as_py().startswith("d"):
-            return _table([], _ENCODED)
+            return table_of([], _ENCODED)
         tokens, decimal = token_table(vocabulary)
         decimals, decoded, counts = [], [], []
         shards = sorted(zip(coded.column("shard").to_pylist(), coded.column("packed").to_pylist()))
         for _, packed in shards:
-            sizes, body = _unpack(packed)
+            sizes, body = unpack(packed)
             ids, start = np.frombuffer(body, np.uint32).tolist(), 0
             for size in sizes.tolist():
                 own = ids[start:start + size]
@@ -298,7 +267,7 @@ def _reassemble(vocabulary: str):
         rows = []
         for doc_ids, lengths, packed in zip(*(block.column(c).to_pylist()
                                               for c in ("doc_ids", "lengths", "packed"))):
-            positions, start = _unplaned(zstandard.decompress(packed)), 0
+            positions, start = unplaned(zstandard.decompress(packed)), 0
             for doc_id, length in zip(doc_ids, lengths):
                 own = positions[start:start + length]
                 start += length
@@ -307,7 +276,7 @@ def _reassemble(vocabulary: str):
                     doc_id, int(count[own].sum()),
                     hashlib.sha256(" ".join([decimals[i] for i in at]).encode()).hexdigest(),
                     hashlib.sha256(b"".join([decoded[i] for i in at])).hexdigest()))
-        return _table(rows, _ENCODED)
+        return table_of(rows, _ENCODED)
 
     return run
 

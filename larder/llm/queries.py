@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text, quality_mil, quality_rules, simhash, toxicity, winnowing
+from . import (byte_bpe, html_text, neural_lm, quality_mil, quality_rules, simhash, toxicity,
+               winnowing)
 from .common import table
 
 
@@ -10,6 +11,10 @@ def op1_html_extraction(spark, sf_dir):
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return neural_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality_mil.score(docs, quality_mil.fit(docs, table(spark, sf_dir, "labels")))
