@@ -145,12 +145,17 @@ _CODED = T.StructType([
     T.StructField("shard", T.IntegerType()),
     T.StructField("packed", T.BinaryType()),
 ])
-_ENCODED = T.StructType([
+_DIGESTS = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("n_tokens", T.LongType()),
     T.StructField("ids_sha256", T.StringType()),
     T.StructField("decoded_sha256", T.StringType()),
 ])
+_TOKENS_OUT = T.StructType([
+    T.StructField("doc_id", T.LongType()),
+    T.StructField("ids", T.ArrayType(T.IntegerType())),
+    T.StructField("decoded", T.BinaryType()),
+])
 
 
 def _explode(pattern: str, block_chars: int, n_shards: int):
@@ -245,14 +250,15 @@ def token_table(vocabulary: str) -> tuple[list[bytes], list[str]]:
     return _TOKENS[vocabulary]
 
 
-def _reassemble(vocabulary: str):
-    """The ids of a block's words and the block's positions, to ``_ENCODED`` rows."""
+def _reassemble(vocabulary: str, digests: bool):
+    """The ids of a block's words and the block's positions, to each document's row."""
+    schema = _DIGESTS if digests else _TOKENS_OUT
 
     def run(coded: pa.Table, block: pa.Table) -> pa.Table:
         if not block.num_rows or not block.column("key")[0].as_py().startswith("d"):
-            return table_of([], _ENCODED)
+            return table_of([], schema)
         tokens, decimal = token_table(vocabulary)
-        decimals, decoded, counts = [], [], []
+        decimals, decoded, counts, word_ids = [], [], [], []
         shards = sorted(zip(coded.column("shard").to_pylist(), coded.column("packed").to_pylist()))
         for _, packed in shards:
             sizes, body = unpack(packed)
@@ -260,7 +266,10 @@ def _reassemble(vocabulary: str):
             for size in sizes.tolist():
                 own = ids[start:start + size]
                 start += size
-                decimals.append(" ".join([decimal[i] for i in own]))
+                if digests:
+                    decimals.append(" ".join([decimal[i] for i in own]))
+                else:
+                    word_ids.append(own)
                 decoded.append(b"".join([tokens[i] for i in own]))
             counts.append(sizes)
         count = np.concatenate(counts).astype(np.int64) if counts else np.empty(0, np.int64)
@@ -272,22 +281,31 @@ def _reassemble(vocabulary: str):
                 own = positions[start:start + length]
                 start += length
                 at = own.tolist()
-                rows.append((
-                    doc_id, int(count[own].sum()),
-                    hashlib.sha256(" ".join([decimals[i] for i in at]).encode()).hexdigest(),
-                    hashlib.sha256(b"".join([decoded[i] for i in at])).hexdigest()))
-        return table_of(rows, _ENCODED)
+                text = b"".join([decoded[i] for i in at])
+                if digests:
+                    rows.append((
+                        doc_id, int(count[own].sum()),
+                        hashlib.sha256(" ".join([decimals[i] for i in at]).encode()).hexdigest(),
+                        hashlib.sha256(text).hexdigest()))
+                else:
+                    rows.append((doc_id, [t for i in at for t in word_ids[i]], text))
+        return table_of(rows, schema)
 
     return run
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id",
-                     text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row's whole text."""
+                     text: str = "text", block_chars: int = BLOCK_CHARS,
+                     digests: bool = False) -> DataFrame:
+    """doc_id, ids and decoded (bytes) of every row's whole text.
+
+    With ``digests``: doc_id, n_tokens, ids_sha256 (of the decimal ids joined
+    by one space) and decoded_sha256, made where the ids are.
+    """
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n_shards = max(8, texts.rdd.getNumPartitions())
     exploded = texts.mapInArrow(_explode(pattern, block_chars, n_shards), _EXPLODED)
     # Both uses group by the same key, so the exploded rows are shuffled once and read twice.
     coded = exploded.groupBy("key").applyInArrow(_encode(vocabulary), _CODED)
     return (coded.groupBy("key").cogroup(exploded.groupBy("key"))
-            .applyInArrow(_reassemble(vocabulary), _ENCODED))
+            .applyInArrow(_reassemble(vocabulary, digests), _DIGESTS if digests else _TOKENS_OUT))

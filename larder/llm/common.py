@@ -42,3 +42,11 @@ def id_remainder(doc_id: int, modulus: int) -> int:
 def fold(col, modulus: int):
     """The same remainder as a Spark column; -1 for a null id."""
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % modulus, F.lit(-1))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (whatever the case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

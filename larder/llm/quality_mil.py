@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, stored
+from .common import fold, fresh_name, stored
 
 PASSAGE = 64
 MAX_TRAIN = 6_000
@@ -186,5 +186,5 @@ def score(docs: DataFrame, model: QualityModel, modulus: int = 3, held_out: int
 
 def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The rows predicted good, with the columns of ``docs``."""
-    mark = "_quality_" + "_".join(docs.columns)
-    return docs.withColumn(mark, model.column(docs["text"])).where(F.col(f"`{mark}`") >= 0.5).drop(mark)
+    mark = fresh_name(docs, "_quality")
+    return docs.withColumn(mark, model.column(docs["text"])).where(F.col(mark) >= 0.5).drop(mark)

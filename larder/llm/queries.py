@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (byte_bpe, html_text, neural_lm, quality_mil, quality_rules, simhash, toxicity,
-               winnowing)
+from . import (byte_bpe, chat, html_text, mixing, neural_lm, quality_mil, quality_rules, simhash,
+               toxicity, winnowing)
 from .common import table
 
 
@@ -34,11 +34,19 @@ def op6_winnowing(spark, sf_dir):
     return winnowing.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_formatting(spark, sf_dir):
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
+def op8_mixing(spark, sf_dir):
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     tokenizers = byte_bpe.public_tokenizers()
     return byte_bpe.encode_documents(
         table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.tiktoken"),
-        tokenizers.PATTERN)
+        tokenizers.PATTERN, digests=True)
 
 
 def op10_quality_rules(spark, sf_dir):

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, words_of
+from .common import fresh_name, stored, words_of
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -236,7 +236,7 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp (signed), fingerprint (16 hex digits), component_id for every row."""
+    """doc_id, fp (signed), fingerprint (16 hex digits), root, component_id for every row."""
     prints = stored(docs.select(F.col(doc_id).alias("doc_id"),
                                 fingerprint_column(F.col(text), shingle).alias("fp")),
                     "fingerprints")
@@ -246,7 +246,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = stored(named, "roots")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = named.join(ids, "root").select("fp", "component_id")
+    by_print = named.join(ids, "root").select("fp", "root", "component_id")
     return prints.join(by_print, "fp").select(
         "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        "component_id")
+        "root", "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+             shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each component: the one with the least id.  Columns as in ``docs``.
+
+    Of several rows with that id in the component one stays; where no row of
+    a component has an id, one of its rows stays.
+    """
+    found = stored(near_duplicates(docs, doc_id, text, shingle, max_bits)
+                   .select("doc_id", "fp", "root", "component_id"), "components")
+    by_id = found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id"))
+    single = by_id.where("n = 1 AND doc_id = component_id").select("doc_id")
+    kept = docs.join(single, docs[doc_id] == single["doc_id"], "left_semi")
+    odd = by_id.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_odd"))
+    if odd.isEmpty():
+        return kept
+    # Ids that are null or repeated do not name a row: look at these rows' fingerprints.
+    mark = fresh_name(docs, "_fp")
+    rows = (docs.join(odd, docs[doc_id].eqNullSafe(odd["_odd"]), "left_semi")
+            .withColumn(mark, fingerprint_column(F.col(f"`{text}`"), shingle)))
+    roots = found.select(F.col("fp").alias("_of"), "root", "component_id").distinct()
+    least = fresh_name(rows, "_root")
+    rows = rows.join(roots.withColumnsRenamed({"root": least, "component_id": least + "c"}),
+                     F.col(mark) == F.col("_of"))
+    rows = rows.where(F.col(f"`{doc_id}`").eqNullSafe(F.col(least + "c"))).dropDuplicates([least])
+    return kept.unionByName(rows.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, stored
+from .common import fold, fresh_name, stored
 
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 12_000
@@ -226,5 +226,5 @@ def score(docs: DataFrame, model: ToxicityModel, modulus: int = 5, held_out: int
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows that are not predicted toxic, with the columns of ``docs``."""
-    mark = "_toxicity_" + "_".join(docs.columns)
-    return docs.withColumn(mark, model.column(docs["text"])).where(F.col(f"`{mark}`") < 0.5).drop(mark)
+    mark = fresh_name(docs, "_toxicity")
+    return docs.withColumn(mark, model.column(docs["text"])).where(F.col(mark) < 0.5).drop(mark)
