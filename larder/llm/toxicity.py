@@ -44,8 +44,8 @@ MAX_UNLABELLED = 12_000
 MAX_FEATURES = 1_024
 MIN_POSITIVE_DF = 3
 MODELS = 3
-STEPS = 300
-RATE = 0.05
+STEPS = 250
+RATE = 0.06
 DECAY = 1e-5
 _WORD = regex.compile(r"[^\W\d_]+")
 _CACHE = 400_000
@@ -101,21 +101,34 @@ class ToxicityModel:
         return F.pandas_udf(run, T.DoubleType())(text)
 
 
-def _distinct_features(batches):
+def _document_frequencies(batches):
+    """A task's features with the positive and unlabelled documents that have them."""
+    counts: dict[str, list[int]] = {}
+
+    def flushed():
+        p, u = zip(*counts.values()) if counts else ((), ())
+        out = pd.DataFrame({"feature": list(counts), "p": np.array(p, np.int64),
+                            "u": np.array(u, np.int64)})
+        counts.clear()
+        return out
+
     for batch in batches:
-        marks, names = [], []
         for mark, text in zip(batch["positive"], batch["text"]):
-            own = {f for w in words(text) for f in word_features(w)}
-            names.extend(own)
-            marks.extend([mark] * len(own))
-        yield pd.DataFrame({"feature": names, "positive": np.array(marks, bool)})
+            side = 0 if mark else 1
+            for f in {f for w in words(text) for f in word_features(w)}:
+                own = counts.get(f)
+                if own is None:
+                    own = counts[f] = [0, 0]
+                own[side] += 1
+            if len(counts) > _CACHE:
+                yield flushed()
+    yield flushed()
 
 
 def _choose(sample: DataFrame, n_positive: int, n_unlabelled: int, limit: int) -> list[str]:
     """The features whose document frequency rises most from unlabelled to positive."""
-    counts = (sample.mapInPandas(_distinct_features, "feature string, positive boolean")
-              .groupBy("feature").agg(F.sum(F.col("positive").cast("long")).alias("p"),
-                                      F.sum((~F.col("positive")).cast("long")).alias("u"))
+    counts = (sample.mapInPandas(_document_frequencies, "feature string, p long, u long")
+              .groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
               .where(F.col("p") >= MIN_POSITIVE_DF))
     p, u = F.col("p") / n_positive, (F.col("u") + 0.5) / (n_unlabelled + 1)
     z = (p - u) / F.sqrt(p * (1 - p) / n_positive + u * (1 - u) / n_unlabelled + 1e-9)
@@ -124,6 +137,13 @@ def _choose(sample: DataFrame, n_positive: int, n_unlabelled: int, limit: int) -
     return [r.feature for r in rows]
 
 
+def _merged(x: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows with features, and one row of zeros that stands for all the others."""
+    some = x.any(axis=1)
+    return (np.concatenate([x[some], np.zeros((1, x.shape[1]))]).astype(np.float32),
+            np.append(weight[some], weight[~some].sum()).astype(np.float32))
+
+
 def nnpu_fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int,
              steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative PU risk with sigmoid loss (Adam).
@@ -134,10 +154,10 @@ def nnpu_fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int,
     d = x_p.shape[1]
     w_p = rng.poisson(1, len(x_p)) + 0.05
     w_u = rng.poisson(1, len(x_u)) + 0.05
-    w_p, w_u = w_p / w_p.sum(), w_u / w_u.sum()
-    theta = np.zeros(d + 1)
+    (x_p, w_p), (x_u, w_u) = _merged(x_p, w_p / w_p.sum()), _merged(x_u, w_u / w_u.sum())
+    theta = np.zeros(d + 1, np.float32)
     theta[d] = np.log(prior / (1 - prior))
-    m, v = np.zeros(d + 1), np.zeros(d + 1)
+    m, v = np.zeros(d + 1, np.float32), np.zeros(d + 1, np.float32)
 
     def positive_part(x, weight):
         """Weighted mean of sigmoid(z), and its gradient."""
@@ -154,8 +174,9 @@ def nnpu_fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int,
         g[:d] += DECAY * theta[:d]
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
-        theta = theta - RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    return theta[:d], float(theta[d])
+        theta = theta - np.float32(RATE) * (m / np.float32(1 - 0.9 ** step)) / (
+            np.sqrt(v / np.float32(1 - 0.999 ** step)) + np.float32(1e-8))
+    return theta[:d].astype(float), float(theta[d])
 
 
 def _vectors(features: dict[str, int]):
