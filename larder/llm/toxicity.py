@@ -107,7 +107,7 @@ def _document_frequencies(batches):
 
     def flushed():
         p, u = zip(*counts.values()) if counts else ((), ())
-        out = pd.DataFrame({"feature": list(counts), "p": np.array(p, np.int64),
+        out = pd.DataFrame({"feature": np.array([*counts, None], object)[:-1], "p": np.array(p, np.int64),
                             "u": np.array(u, np.int64)})
         counts.clear()
         return out
