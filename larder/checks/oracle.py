@@ -538,6 +538,15 @@ SELECT store_id, item_id, lane, {r6('recommended_quantity')} AS recommended_quan
 FROM recw"""
 
 
+def q_plan_generate() -> str:
+    return _app_with() + f"""
+SELECT CAST(1 AS BIGINT) AS plan_id, store_id, item_id, {r6('recommended_quantity')} AS recommended_quantity,
+       'pending' AS status, confidence_level, forecast_method,
+       {r6('favg')} AS forecast_avg_daily_usage, {r6('on_hand')} AS forecast_on_hand,
+       {r6('target')} AS forecast_target, true AS has_id, true AS has_text
+FROM recw WHERE recommended_quantity > 0"""
+
+
 def q_plan_stats() -> str:
     return _app_with() + """
 SELECT COUNT(*) FILTER (WHERE recommended_quantity > 0) AS lines,
@@ -587,6 +596,7 @@ APP_SQL = {
     "recommendation": lambda: q_recommendation(False),
     "recommendation_weighted": lambda: q_recommendation(True, 0.5),
     "plan_stats": q_plan_stats,
+    "plan_generate": q_plan_generate,
 }
 
 
@@ -791,10 +801,10 @@ BACKTEST_SQL = {
 
 def history_ctes() -> str:
     """``hist`` = the recorded-forecast fixture; needs ``daily``/``bounds``."""
-    past, fut, pend = D.HISTORY_PAST_DAYS, D.HISTORY_FUTURE_DAYS, D.HISTORY_PENDING_DAYS
+    fut, pend = 7, 14
     return f"""
 hgrid AS (SELECT p.store, p.product,
-            CAST(unnest(generate_series(b.d1 - {past - 1}, b.d1 + {fut}, INTERVAL 1 DAY)) AS DATE) AS date
+            CAST(unnest(generate_series(b.d0, b.d1 + {fut}, INTERVAL 1 DAY)) AS DATE) AS date
           FROM (SELECT DISTINCT store, product FROM daily) p CROSS JOIN bounds b),
 hist0 AS (SELECT g.store, g.product, g.date, COALESCE(d.qty, 0.0) AS q,
             dayofmonth(g.date) AS dom, (SELECT d1 FROM bounds) AS d1
@@ -896,7 +906,7 @@ FROM matched2"""
 def q_gap_rows() -> str:
     return _fb_with() + f"""
 , older AS (SELECT * FROM hist WHERE date <= (SELECT d1 FROM bounds) - 10)
-SELECT d.store, d.product, d.date, {r6('d.qty')} AS qty FROM daily d
+SELECT d.store, d.product, d.date, {r6('d.qty')} AS qty FROM dense d
 WHERE d.date > (SELECT MAX(date) FROM older)
   AND NOT EXISTS (SELECT 1 FROM older o WHERE o.store = d.store AND o.product = d.product AND o.date = d.date)"""
 
@@ -1009,11 +1019,73 @@ def q_status_pivot() -> str:
     return with_(plan_ctes()) + f"SELECT plan_id, item_id, {cols} FROM lines GROUP BY plan_id, item_id"
 
 
+def event_ctes() -> str:
+    """Status events, their rejects and the valid ones in order; needs ``plan_ctes``."""
+    return """
+klines AS (SELECT * REPLACE ((plan_id * 100000 + store_id) * 1000000 + item_id AS id) FROM lines),
+ev AS (SELECT CASE WHEN id % 50 = 0 AND seq = 1 THEN -id ELSE id END AS line_id,
+         CASE WHEN seq = 1 THEN CASE WHEN id % 5 = 0 THEN 'lost' ELSE 'picked' END
+              WHEN seq = 3 AND id % 3 = 0 THEN 'loaded' END AS status,
+         CASE WHEN seq = 1 THEN recommended_quantity
+              WHEN seq = 2 THEN CASE id % 7 WHEN 0 THEN CAST('nan' AS DOUBLE) WHEN 1 THEN NULL
+                WHEN 2 THEN CAST('inf' AS DOUBLE) WHEN 3 THEN -1.0 ELSE recommended_quantity - 1 END
+         END AS actual_quantity,
+         CASE WHEN seq = 3 AND id % 4 = 0 THEN 'late' END AS picker_note,
+         CASE WHEN id % 2 = 0 THEN CAST(last_status_change_at AS TIMESTAMP)
+              ELSE CAST(CAST(last_status_change_at AS DATE) + CAST(seq AS INTEGER) AS TIMESTAMP) END
+           AS changed_at, CAST(seq AS BIGINT) AS seq
+       FROM klines CROSS JOIN (SELECT unnest([1, 2, 3]) AS seq)),
+judged AS (SELECT e.*, l.status AS line_status, l.actual_quantity AS line_quantity,
+         CASE WHEN l.id IS NULL THEN 'unknown_line'
+              WHEN e.status NOT IN ('pending', 'picked', 'shorted', 'loaded', 'delivered')
+                THEN 'invalid_status'
+              WHEN isnan(e.actual_quantity) OR isinf(e.actual_quantity) THEN 'invalid_quantity'
+              WHEN e.actual_quantity < 0 THEN 'negative_quantity'
+              WHEN e.status IS NULL AND e.actual_quantity IS NULL AND e.picker_note IS NULL
+                THEN 'nothing_to_change' END AS reject_reason
+       FROM ev e LEFT JOIN klines l ON l.id = e.line_id),
+good AS (SELECT *,
+         COALESCE(last_value(status IGNORE NULLS) OVER w, line_status) AS old_status,
+         COALESCE(last_value(actual_quantity IGNORE NULLS) OVER w, line_quantity) AS old_quantity
+       FROM judged WHERE reject_reason IS NULL
+       WINDOW w AS (PARTITION BY line_id ORDER BY changed_at, seq
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+def q_line_status_apply() -> str:
+    return with_(plan_ctes(), event_ctes()) + f"""
+, last_of AS (SELECT line_id,
+    arg_max(status, (changed_at, seq)) FILTER (WHERE status IS NOT NULL) AS status,
+    arg_max(actual_quantity, (changed_at, seq)) FILTER (WHERE actual_quantity IS NOT NULL) AS qty,
+    arg_max(picker_note, (changed_at, seq)) FILTER (WHERE picker_note IS NOT NULL) AS note
+  FROM good GROUP BY line_id)
+SELECT l.id, l.plan_id, COALESCE(n.status, l.status) AS status,
+       {r6('COALESCE(n.qty, l.actual_quantity)')} AS actual_quantity, n.note AS picker_note
+FROM klines l LEFT JOIN last_of n ON n.line_id = l.id"""
+
+
+def q_line_status_audit() -> str:
+    return with_(plan_ctes(), event_ctes()) + """
+SELECT line_id AS entity_id, old_status AS old_value, concat_ws('; ',
+    CASE WHEN status IS NOT NULL THEN 'status: ' || old_status || ' -> ' || status END,
+    CASE WHEN actual_quantity IS NOT NULL THEN 'actual_qty: '
+      || COALESCE(CAST(old_quantity AS VARCHAR), 'None') || ' -> '
+      || CAST(actual_quantity AS VARCHAR) END,
+    CASE WHEN picker_note IS NOT NULL THEN 'note updated' END) AS new_value, changed_at, seq
+FROM good"""
+
+
+def q_line_status_rejects() -> str:
+    return with_(plan_ctes(), event_ctes()) + """
+SELECT line_id, seq, reject_reason FROM judged WHERE reject_reason IS NOT NULL"""
+
+
 def q_store_breakdown() -> str:
     return with_(plan_ctes()) + """
-SELECT l.plan_id, l.item_id, COUNT(*) AS lines,
-       string_agg(s.name || ':' || l.status, '|' ORDER BY s.name, l.status, l.id) AS breakdown
-FROM lines l JOIN pstores s ON s.id = l.store_id GROUP BY l.plan_id, l.item_id"""
+SELECT l.plan_id, l.item_id, s.name AS store_name, l.recommended_quantity AS recommended,
+       l.actual_quantity AS actual, l.status,
+       ROW_NUMBER() OVER (PARTITION BY l.plan_id, l.item_id ORDER BY s.name, l.id) AS position
+FROM lines l JOIN pstores s ON s.id = l.store_id"""
 
 
 def q_dashboard() -> str:
@@ -1095,6 +1167,9 @@ REPORT_SQL = {
     "pick_list_search": lambda: _pick_list_sql("STANDARD", "ring"),
     "status_pivot": q_status_pivot,
     "store_breakdown": q_store_breakdown,
+    "line_status_apply": q_line_status_apply,
+    "line_status_audit": q_line_status_audit,
+    "line_status_rejects": q_line_status_rejects,
     "dashboard": q_dashboard,
     "delivery_progress": q_delivery_progress,
     "exceptions": q_exceptions,
@@ -1109,7 +1184,8 @@ REPORT_SQL = {
 # import validation and upsert (usage rows rendered from lineitem)
 # --------------------------------------------------------------------------
 
-def import_ctes(max_rows: int = C.CSV_MAX_ROWS) -> str:
+def import_ctes(row_notice: int | None = None) -> str:
+    over = "false" if row_notice is None else f"line_no - 1 > {row_notice}"
     as_of = f"DATE '{D.IMPORT_AS_OF.isoformat()}'"
     return f"""
 raw0 AS (SELECT CAST(year(l_shipdate) AS BIGINT) AS file, l_orderkey * 10 + l_linenumber AS line_key,
@@ -1143,29 +1219,31 @@ chk1 AS (SELECT *,
                WHEN date IS NULL THEN 'invalid_date' WHEN date > {as_of} THEN 'future_date'
                WHEN NOT (quantity IS NOT NULL AND NOT isnan(quantity) AND abs(quantity) < CAST('inf' AS DOUBLE)
                          AND quantity >= 0 AND quantity <= {C.CSV_MAX_QUANTITY}) THEN 'invalid_quantity'
-          END AS reason0, line_no - 1 > {max_rows} AS over
+          END AS reason, {over} AS over_notice
         FROM chk),
 checked AS (SELECT file, line_no,
-              CASE WHEN over THEN 'over_limit' WHEN reason0 IS NULL THEN 'imported' ELSE 'skipped' END AS status,
-              CASE WHEN NOT over THEN reason0 END AS reason, store_id, item_id, date,
+              CASE WHEN reason IS NULL THEN 'imported' ELSE 'skipped' END AS status,
+              reason, store_id, item_id, date, over_notice,
+              COALESCE(length(trim(raw_notes)) > 500, false) AS note_too_long,
               CASE WHEN quantity IS NOT NULL AND NOT isnan(quantity) AND abs(quantity) < CAST('inf' AS DOUBLE)
                         AND quantity >= 0 AND quantity <= {C.CSV_MAX_QUANTITY} THEN quantity END AS quantity,
               CASE WHEN trim(raw_notes) IS NULL OR trim(raw_notes) = '' THEN NULL
-                   ELSE substr(trim(raw_notes), 1, {C.CSV_MAX_NOTE_LENGTH}) END AS notes
+                   ELSE trim(raw_notes) END AS notes
             FROM chk1)"""
 
 
-def q_import_validate(max_rows: int = C.CSV_MAX_ROWS) -> str:
-    return with_(import_ctes(max_rows)) + f"""
-SELECT file, line_no, status, reason, store_id, item_id, date, {r6('quantity')} AS quantity, notes
+def q_import_validate(row_notice: int | None = None) -> str:
+    return with_(import_ctes(row_notice)) + f"""
+SELECT file, line_no, status, reason, store_id, item_id, date, {r6('quantity')} AS quantity, notes,
+       over_notice, note_too_long
 FROM checked"""
 
 
 def q_import_summary() -> str:
-    return with_(import_ctes()) + """
+    return with_(import_ctes(10000)) + """
 SELECT file, COUNT(*) FILTER (WHERE status = 'imported') AS imported,
        COUNT(*) FILTER (WHERE status = 'skipped') AS skipped,
-       COUNT(*) FILTER (WHERE status = 'over_limit') > 0 AS row_limit_exceeded
+       bool_or(over_notice) AS row_limit_exceeded
 FROM checked GROUP BY file"""
 
 
@@ -1244,15 +1322,35 @@ def q_quality_summary() -> str:
              "invalid_usage_window"),
         code("d.store_id IS NOT NULL", "duplicate_setting"),
         code("i.id IS NULL", "unknown_item"),
+        code("i.id IS NOT NULL AND COALESCE(trim(i.item_name), '') = ''", "blank_item_name"),
+        code("i.id IS NOT NULL AND COALESCE(trim(i.sku), '') = ''", "blank_sku"),
+        code("c.code IS NOT NULL", "duplicate_sku"),
         code("i.case_pack_quantity < 1", "invalid_case_pack"),
         code("length(i.item_name) > 200", "item_name_too_long"),
         code("length(i.sku) > 50", "sku_too_long")])
     return with_(app_table_ctes()) + f"""
-, settings2 AS (SELECT *, 1.0 AS reorder_threshold FROM settings),
+, settings1 AS (SELECT store_id, item_id,
+    CASE WHEN item_id % 17 = 1 THEN -1.0 ELSE par_level END AS par_level,
+    CASE WHEN item_id % 17 = 2 THEN -1.0 ELSE safety_stock END AS safety_stock,
+    CASE WHEN item_id % 17 = 3 THEN -1.0 ELSE 1.0 END AS reorder_threshold,
+    CASE WHEN item_id % 17 = 4 THEN -1.0 ELSE min_send_quantity END AS min_send_quantity,
+    CASE WHEN item_id % 17 = 5 THEN 'half_up' ELSE rounding_rule END AS rounding_rule,
+    CASE WHEN item_id % 17 = 6 THEN 91 WHEN item_id % 17 = 7 THEN 0 ELSE usage_window_days END
+      AS usage_window_days FROM settings),
+settings2 AS (SELECT * FROM settings1 UNION ALL SELECT * FROM settings1 WHERE item_id % 17 = 8
+  UNION ALL SELECT * REPLACE (-item_id - 1 AS item_id) FROM settings1 WHERE item_id % 17 = 9),
+items2 AS (SELECT id,
+    CASE WHEN id % 17 = 10 THEN repeat('n', 201) WHEN id % 17 = 11 THEN ' ' ELSE item_name END
+      AS item_name,
+    CASE WHEN id % 17 = 12 THEN repeat(sku, 9) WHEN id % 17 = 13 THEN ''
+         WHEN id % 17 = 14 THEN 'sku-shared' ELSE sku END AS sku,
+    CASE WHEN id % 17 = 15 THEN 0 ELSE case_pack_quantity END AS case_pack_quantity FROM items),
+codes AS (SELECT upper(trim(sku)) AS code FROM items2 WHERE trim(sku) <> ''
+          GROUP BY 1 HAVING COUNT(*) > 1),
 dup AS (SELECT store_id, item_id FROM settings2 GROUP BY 1, 2 HAVING COUNT(*) > 1),
 v AS (SELECT list_concat({codes}) AS codes
       FROM settings2 s LEFT JOIN dup d ON d.store_id = s.store_id AND d.item_id = s.item_id
-      LEFT JOIN items i ON i.id = s.item_id),
+      LEFT JOIN items2 i ON i.id = s.item_id LEFT JOIN codes c ON c.code = upper(trim(i.sku))),
 e AS (SELECT unnest(CASE WHEN len(codes) = 0 THEN ['ok'] ELSE codes END) AS violation FROM v)
 SELECT violation, COUNT(*) AS n FROM e GROUP BY violation"""
 

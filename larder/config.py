@@ -63,10 +63,9 @@ ROUNDING_RULES = ("round_up_case_pack", "round_up_integer", "none")
 PLAN_STATUSES = ("draft", "in_progress", "completed")
 LINE_STATUSES = ("pending", "picked", "shorted", "loaded", "delivered")
 CONFIDENCE_LEVELS = ("high", "medium", "low")
-CSV_MAX_ROWS = 10000
+CSV_ROW_NOTICE = 10000           # files with more rows are flagged, never cut
 CSV_MAX_QUANTITY = 999999
-CSV_MAX_NOTE_LENGTH = 500
-BULK_UPDATE_MAX_LINES = 500
+CSV_MAX_NOTE_LENGTH = 500        # longer notes are flagged, never cut
 ACTIVITY_LOG_LIMIT = 200
 # --- end of fixed values ----------------------------------------------------
 

@@ -87,10 +87,21 @@ def quality_checks(settings: DataFrame, items: DataFrame) -> DataFrame:
         F.when(~F.col("rounding_rule").isin(*C.ROUNDING_RULES), F.lit("invalid_rounding_rule")),
         F.when(uw.isNotNull() & ((uw < 1) | (uw > 90)), F.lit("invalid_usage_window")),
         F.when(F.col("_dup").isNotNull(), F.lit("duplicate_setting"))))
-    it = items.select(F.col("id").alias("item_id"), "case_pack_quantity", "sku", "item_name")
+    code = F.upper(F.trim("sku"))
+    shared = (items.where(code != "").groupBy(code.alias("_code"))
+              .agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
+              .select("_code", F.lit(True).alias("_shared")))
+    it = items.withColumn("_code", code).join(shared, "_code", "left").select(
+        F.col("id").alias("item_id"), F.lit(True).alias("_found"), "case_pack_quantity", "sku",
+        "item_name", "_shared")
     s = s.join(it, "item_id", "left")
+    found = F.col("_found").isNotNull()
+    blank = lambda c: found & (F.coalesce(F.trim(c), F.lit("")) == "")     # noqa: E731
     item_checks = F.array_compact(F.array(
-        F.when(F.col("sku").isNull(), F.lit("unknown_item")),
+        F.when(~found, F.lit("unknown_item")),
+        F.when(blank("item_name"), F.lit("blank_item_name")),
+        F.when(blank("sku"), F.lit("blank_sku")),
+        F.when(F.col("_shared"), F.lit("duplicate_sku")),
         F.when(F.col("case_pack_quantity") < 1, F.lit("invalid_case_pack")),
         F.when(F.length("item_name") > 200, F.lit("item_name_too_long")),
         F.when(F.length("sku") > 50, F.lit("sku_too_long"))))

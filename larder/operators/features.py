@@ -132,9 +132,9 @@ def recency_weights(rows: DataFrame, group_cols=("store",),
     """exp(-ln2/half_life * days before the group's last date), scaled
     so the weights of a training group sum to its row count.
 
-    The group totals come from a (group, date) pre-aggregate — a hash
-    aggregate with partial combine — joined back on the group key, so a
-    store holding a third of all rows is never funnelled into one task.
+    The weights come from a (group, date) pre-aggregate — a hash aggregate
+    with partial combine, one row a group and day — joined back on group and
+    date, so a store holding a third of all rows is spread over its days.
     """
     gcols = list(group_cols)
     if half_life <= 0:
@@ -147,9 +147,9 @@ def recency_weights(rows: DataFrame, group_cols=("store",),
                   .agg(F.sum(F.col("_c") * F.exp(F.lit(-k) * F.datediff("_last", "date")))
                        .alias("_wsum"), F.sum("_c").alias("_n")))
     w = F.exp(F.lit(-k) * F.datediff("_last", "date"))
-    return (rows.join(tot, gcols)
-                .withColumn("weight", w * F.col("_n") / F.col("_wsum"))
-                .drop("_last", "_wsum", "_n"))
+    weights = per_day.join(tot, gcols).select(
+        *gcols, "date", (w * F.col("_n") / F.col("_wsum")).alias("weight"))
+    return rows.join(weights, [*gcols, "date"])
 
 
 def tail_stats(dense: DataFrame, last: Column | None = None) -> DataFrame:

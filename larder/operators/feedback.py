@@ -39,15 +39,16 @@ def record_forecasts(history: DataFrame, entries: DataFrame, recorded_at) -> Dat
         *KEY, half_even(F.col("predicted"), 0).alias("n_pred"),
         (F.col("volume_tier") if "volume_tier" in entries.columns else F.lit("unknown")).alias("n_tier"),
         (F.col("model_version") if "model_version" in entries.columns else F.lit("v2")).alias("n_model"))
+    # one row a key on either side: the latest record, the largest prediction
+    new = new.groupBy(*KEY).agg(F.max_by(F.struct("n_pred", "n_tier", "n_model"), F.struct(
+        "n_pred", "n_tier", "n_model")).alias("n")).select(*KEY, "n.*")
+    history = dedupe_history(history)
     j = history.join(new, KEY, "full")
     hit = F.col("n_pred").isNotNull()
     return j.select(
         *KEY,
         F.when(hit, F.col("n_pred")).otherwise(F.col("predicted")).alias("predicted"),
-        F.when(hit & F.col("predicted").isNull(), F.lit(None).cast("double"))
-         .otherwise(F.col("actual")).alias("actual"),
-        F.when(hit & F.col("predicted").isNull(), F.lit(None).cast("double"))
-         .otherwise(F.col("error")).alias("error"),
+        "actual", "error",
         F.when(hit, F.col("n_tier")).otherwise(F.col("volume_tier")).alias("volume_tier"),
         F.when(hit, F.col("n_model")).otherwise(F.col("model_version")).alias("model_version"),
         F.when(hit, ts.cast("timestamp_ntz")).otherwise(F.col("recorded_at")).alias("recorded_at"))
@@ -138,15 +139,11 @@ def feedback_summary(history: DataFrame) -> DataFrame:
                        count_if(~done).alias("pending"), *metric_columns("actual", "predicted"))
 
 
-def factor_directions(factors: DataFrame) -> DataFrame:
-    """Factors listed with their direction (scale up / scale down)."""
-    return factors.select(*PAIR, "factor", F.when(F.col("factor") > 1, F.lit("scale up"))
-                          .otherwise(F.lit("scale down")).alias("direction"))
-
-
 def gap_rows(history: DataFrame, actuals_daily: DataFrame) -> DataFrame:
-    """Sales (store, product, date) not yet in the history, after the
-    last covered date (from the first sales date when the history is empty)."""
+    """Days (store, product, date) not yet in the history, after the
+    last covered date (from the first sales date when the history is empty).
+
+    ``actuals_daily`` is the dense daily table: days without sales are gaps too."""
     last_covered = history.agg(F.max("date")).first()[0]
     if last_covered is None:
         start = F.lit(actuals_daily.agg(F.min("date")).first()[0])

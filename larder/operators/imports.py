@@ -41,10 +41,18 @@ def valid_quantity(q: Column, max_qty: float = C.CSV_MAX_QUANTITY) -> Column:
             & (q >= 0) & (q <= max_qty))
 
 
-def clean_notes(c: Column, max_len: int = C.CSV_MAX_NOTE_LENGTH) -> Column:
-    """Trimmed, blank -> null, cut at ``max_len`` characters."""
+def clean_notes(c: Column) -> Column:
+    """Trimmed, blank -> null; the whole text is kept."""
     t = F.trim(c)
-    return F.when(t.isNull() | (t == ""), F.lit(None).cast("string")).otherwise(F.substring(t, 1, max_len))
+    return F.when(t.isNull() | (t == ""), F.lit(None).cast("string")).otherwise(t)
+
+
+def one_id_per_key(dimension: DataFrame, key: str, out: str, name: str) -> DataFrame:
+    """Active rows' ids by upper-cased trimmed ``key``: one id each (the largest, i.e. the last)."""
+    active = dimension.where(F.coalesce("active", F.lit(True))) if "active" in dimension.columns \
+        else dimension
+    return (active.where(F.col(key).isNotNull()).groupBy(F.upper(F.trim(key)).alias(out))
+            .agg(F.max("id").alias(name)))
 
 
 def lookup_ids(rows: DataFrame, stores: DataFrame, items: DataFrame, store_col: str = "store_code",
@@ -52,12 +60,12 @@ def lookup_ids(rows: DataFrame, stores: DataFrame, items: DataFrame, store_col:
     """Store / item ids by upper-cased trimmed code (and, for the
     enquiry layout, by name first, then by code)."""
     r = rows.withColumn("_s", F.upper(F.trim(store_col))).withColumn("_i", F.upper(F.trim(sku_col)))
-    s_code = stores.select(F.upper(F.trim("code")).alias("_s"), F.col("id").alias("_sid_code"))
-    i_code = items.select(F.upper(F.trim("sku")).alias("_i"), F.col("id").alias("_iid_code"))
+    s_code = one_id_per_key(stores, "code", "_s", "_sid_code")
+    i_code = one_id_per_key(items, "sku", "_i", "_iid_code")
     r = r.join(s_code, "_s", "left").join(i_code, "_i", "left")
     if name_first:
-        s_name = stores.select(F.upper(F.trim("name")).alias("_s"), F.col("id").alias("_sid_name"))
-        i_name = items.select(F.upper(F.trim("item_name")).alias("_i"), F.col("id").alias("_iid_name"))
+        s_name = one_id_per_key(stores, "name", "_s", "_sid_name")
+        i_name = one_id_per_key(items, "item_name", "_i", "_iid_name")
         r = r.join(s_name, "_s", "left").join(i_name, "_i", "left")
         sid = F.coalesce("_sid_name", "_sid_code")
         iid = F.coalesce("_iid_name", "_iid_code")
@@ -70,15 +78,18 @@ def lookup_ids(rows: DataFrame, stores: DataFrame, items: DataFrame, store_col:
 
 def validate(rows: DataFrame, stores: DataFrame, items: DataFrame, as_of,
              date_col: str = "usage_date", qty_col: str = "quantity_used",
-             max_rows: int = C.CSV_MAX_ROWS, store_col: str = "store_code",
-             sku_col: str = "sku", name_first: bool = False) -> DataFrame:
+             row_notice: int | None = None, store_col: str = "store_code",
+             sku_col: str = "sku", name_first: bool = False,
+             note_notice: int = C.CSV_MAX_NOTE_LENGTH) -> DataFrame:
     """Validate import rows against the store and item dimensions.
 
-    ``stores``: ``id, code`` (active rows); ``items``: ``id, sku``.  Lookups
-    are equi-joins on the upper-cased trimmed code (C1).  Returns every
-    input row with ``status`` (imported / skipped / over_limit), ``reason``,
+    ``stores``: ``id, code``; ``items``: ``id, sku``; rows that are not
+    ``active`` are not found and one id stands for a key (C1, B11).  Returns
+    every input row with ``status`` (imported / skipped), ``reason``,
     ``store_id``, ``item_id``, the parsed date, the quantity (null unless it
-    is a valid quantity) and notes.
+    is a valid quantity), the whole notes and two flags: ``over_notice``
+    (beyond ``row_notice`` rows of its file, if given) and ``note_too_long``.
+    Flagged rows are imported like any other: nothing is cut.
     """
     as_of = F.lit(dt.date.fromisoformat(as_of) if isinstance(as_of, str) else as_of)
     if "notes" not in rows.columns:                 # the notes column is optional
@@ -86,8 +97,8 @@ def validate(rows: DataFrame, stores: DataFrame, items: DataFrame, as_of,
     if name_first:
         r = lookup_ids(rows, stores, items, store_col, sku_col, name_first=True)
     else:
-        sm = stores.select(F.upper(F.trim("code")).alias("_code"), F.col("id").alias("store_id"))
-        im = items.select(F.upper(F.trim("sku")).alias("_sku"), F.col("id").alias("item_id"))
+        sm = one_id_per_key(stores, "code", "_code", "store_id")
+        im = one_id_per_key(items, "sku", "_sku", "item_id")
         r = (rows.withColumn("_code", F.upper(F.trim(store_col)))
                  .withColumn("_sku", F.upper(F.trim(sku_col)))
                  .join(sm, "_code", "left").join(im, "_sku", "left"))
@@ -98,22 +109,23 @@ def validate(rows: DataFrame, stores: DataFrame, items: DataFrame, as_of,
                .when(d.isNull(), F.lit("invalid_date"))
                .when(d > as_of, F.lit("future_date"))
                .when(~valid_quantity(q), F.lit("invalid_quantity")))
-    over = F.col("line_no") - 1 > max_rows
-    status = (F.when(over, F.lit("over_limit"))
-               .when(reason.isNull(), F.lit("imported")).otherwise(F.lit("skipped")))
-    return r.select("file", "line_no", status.alias("status"),
-                    F.when(~over, reason).alias("reason"),
+    over = F.lit(False) if row_notice is None else F.col("line_no") - 1 > row_notice
+    notes = clean_notes(F.col("notes"))
+    return r.select("file", "line_no",
+                    F.when(reason.isNull(), F.lit("imported")).otherwise(F.lit("skipped"))
+                    .alias("status"), reason.alias("reason"),
                     "store_id", "item_id", d.alias("date"),
-                    F.when(valid_quantity(q), q).alias("quantity"),
-                    clean_notes(F.col("notes")).alias("notes"))
+                    F.when(valid_quantity(q), q).alias("quantity"), notes.alias("notes"),
+                    over.alias("over_notice"),
+                    F.coalesce(F.length(notes) > note_notice, F.lit(False)).alias("note_too_long"))
 
 
 def import_summary(checked: DataFrame) -> DataFrame:
-    """Per file imported / skipped counts and the row-limit flag."""
+    """Per file imported / skipped counts and whether the row notice was passed."""
     s = F.col("status")
     return checked.groupBy("file").agg(count_if(s == "imported").alias("imported"),
                                        count_if(s == "skipped").alias("skipped"),
-                                       (count_if(s == "over_limit") > 0).alias("row_limit_exceeded"))
+                                       F.bool_or("over_notice").alias("row_limit_exceeded"))
 
 
 def upsert(existing: DataFrame, checked: DataFrame, key: dict[str, str], value_cols: dict[str, str],

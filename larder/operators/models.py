@@ -47,8 +47,6 @@ SPORADIC_CLS = dict(maxIter=50, maxDepth=3, stepSize=0.1, subsamplingRate=0.8,
 SPORADIC_REG = dict(maxIter=50, maxDepth=3, stepSize=0.1, subsamplingRate=0.8,
                     minInstancesPerNode=3, lossType="absolute", seed=42)
 SPORADIC_THRESHOLD = 0.5
-MAX_STORE_MODELS = 20
-ROWS_PER_PARTITION = 500_000   # training partitions sized by rows, not by upstream layout
 
 
 # --------------------------------------------------------------------------
@@ -116,38 +114,40 @@ def _assembler(extra: list[str] | None = None) -> VectorAssembler:
                            handleInvalid="keep")
 
 
+def _by_key(rows: DataFrame) -> DataFrame:
+    """Rows dealt by a hash of their key, so row sampling does not depend on the input's layout."""
+    return rows.repartition(*[c for c in (*KEYS, "date") if c in rows.columns])
+
+
 def fit_gbt(train: DataFrame, weight_col: str | None = "weight",
-            max_store_models: int = MAX_STORE_MODELS, params: dict | None = None) -> dict:
-    """Fit per-store models (or one pooled model above the threshold).
+            mode: str = "pooled", params: dict | None = None) -> dict:
+    """One pooled model with the store as a feature, whatever the number of stores.
 
     ``train``: complete feature rows with ``store``, ``qty`` and (optionally)
-    a recency ``weight``.  Stores with fewer than 20 rows get no model.
-    Returns ``{"mode": "per_store" | "pooled", "models": {store: model}}``.
+    a recency ``weight``.  Stores with fewer than 20 rows are not learned
+    from.  ``mode="per_store"`` fits a model for every store instead: one
+    driver-submitted fit each, for callers with a handful of stores.
+    Returns ``{"mode": mode, "models": {store or "*": model}}``.
     """
     params = dict(GBT_PARAMS, **(params or {}))
-    counts = {r["store"]: r["n"] for r in
-              train.groupBy("store").agg(F.count(F.lit(1)).alias("n")).collect()}
-    fitted = {s for s, n in counts.items() if n >= C.GBT_MIN_ROWS}
-    if not fitted:
-        return {"mode": "per_store", "models": {}}
+    enough = (train.groupBy("store").agg(F.count(F.lit(1)).alias("_n"))
+              .where(F.col("_n") >= C.GBT_MIN_ROWS).select("store"))
+    if enough.isEmpty():
+        return {"mode": mode, "models": {}}
     reg = GBTRegressor(featuresCol="features", labelCol="qty", **params)
     if weight_col:
         reg = reg.setWeightCol(weight_col)
-    if len(counts) <= max_store_models:
-        # the per-store fits are independent Spark jobs: submit them from
-        # driver threads so their (small, overhead-bound) jobs overlap; each
-        # store's rows get partitions sized by row count (boosting runs a
-        # few jobs per tree, so task count per job dominates small fits)
+    rows = _by_key(train.join(enough, "store", "left_semi"))
+    if mode == "per_store":
+        # independent Spark jobs, submitted from driver threads so that they overlap
+        stores = [r["store"] for r in enough.orderBy("store").collect()]
+
         def one(s):
-            parts = max(1, -(-counts[s] // ROWS_PER_PARTITION))
-            rows = train.where(F.col("store") == s).repartition(parts)
-            return s, Pipeline(stages=[_assembler(), reg.copy()]).fit(rows)
-        with ThreadPoolExecutor(max_workers=min(len(fitted), 8)) as pool:
-            models = dict(pool.map(one, sorted(fitted)))
-        return {"mode": "per_store", "models": models}
+            return s, Pipeline(stages=[_assembler(), reg.copy()]).fit(
+                rows.where(F.col("store") == s))
+        with ThreadPoolExecutor(max_workers=min(len(stores), 8)) as pool:
+            return {"mode": mode, "models": dict(pool.map(one, stores))}
     idx = StringIndexer(inputCol="store", outputCol="store_idx", handleInvalid="keep")
-    parts = max(1, -(-sum(counts[s] for s in fitted) // ROWS_PER_PARTITION))
-    rows = train.where(F.col("store").isin(list(fitted))).repartition(parts)
     model = Pipeline(stages=[idx, _assembler(["store_idx"]), reg]).fit(rows)
     return {"mode": "pooled", "models": {"*": model}}
 
@@ -161,8 +161,10 @@ def predict_gbt(fit: dict, rows: DataFrame, out_col: str = "pred_gbt") -> DataFr
         return rows.withColumn(out_col, F.lit(0.0))
     if fit["mode"] == "pooled":
         p = models["*"].transform(filled)
-        return p.withColumn(out_col, F.greatest(F.lit(0.0), F.col("prediction"))) \
-                .drop("features", "prediction", "store_idx")
+        # a store the model has not learned from is the indexer's extra value
+        known = F.col("store_idx") < len(models["*"].stages[0].labels)
+        value = F.when(known, F.greatest(F.lit(0.0), F.col("prediction"))).otherwise(F.lit(0.0))
+        return p.withColumn(out_col, value).drop("features", "prediction", "store_idx")
     parts = []
     for s, m in models.items():
         p = m.transform(filled.where(F.col("store") == s))
@@ -186,47 +188,45 @@ def feature_importance(fit: dict) -> list[tuple[str, str, float]]:
 
 
 def fit_sporadic(train: DataFrame, weight_col: str | None = "weight") -> dict:
-    """Per store P(qty > 0) classifier + regressor on non-zero rows.
-
-    Needs >= 20 rows, >= 3 rows of each class and >= 5 non-zero rows."""
-    stats = train.groupBy("store").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("qty") > 0).cast("int")).alias("pos"))
-    ok = [r["store"] for r in stats.collect()
-          if r["n"] >= C.GBT_MIN_ROWS and r["pos"] >= 5 and r["n"] - r["pos"] >= 3]
-
-    def one(store):
-        rows = train.where(F.col("store") == store).withColumn(
-            "label", (F.col("qty") > 0).cast("double"))
-        cls = GBTClassifier(featuresCol="features", labelCol="label", **SPORADIC_CLS)
-        reg = GBTRegressor(featuresCol="features", labelCol="qty", **SPORADIC_REG)
-        if weight_col:
-            cls, reg = cls.setWeightCol(weight_col), reg.setWeightCol(weight_col)
-        cm = Pipeline(stages=[_assembler(), cls]).fit(rows)
-        rm = Pipeline(stages=[_assembler(), reg]).fit(rows.where(F.col("qty") > 0))
-        return store, (cm, rm)
-
-    if not ok:
+    """P(qty > 0) classifier and regressor on non-zero rows, the store as a feature.
+
+    Learns from stores with >= 20 rows, >= 3 rows without and >= 5 with sales.
+    Returns ``{}`` when there are none, else the two pipelines and those
+    stores' table."""
+    ok = (train.groupBy("store").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum((F.col("qty") > 0).cast("int")).alias("_pos"))
+        .where((F.col("_n") >= C.GBT_MIN_ROWS) & (F.col("_pos") >= 5)
+               & (F.col("_n") - F.col("_pos") >= 3)).select("store"))
+    if ok.isEmpty():
         return {}
-    with ThreadPoolExecutor(max_workers=min(len(ok), 8)) as pool:
-        return dict(pool.map(one, ok))
+    rows = _by_key(train.join(ok, "store", "left_semi")).withColumn(
+        "label", (F.col("qty") > 0).cast("double"))
+    cls = GBTClassifier(featuresCol="features", labelCol="label", **SPORADIC_CLS)
+    reg = GBTRegressor(featuresCol="features", labelCol="qty", **SPORADIC_REG)
+    if weight_col:
+        cls, reg = cls.setWeightCol(weight_col), reg.setWeightCol(weight_col)
+    idx = StringIndexer(inputCol="store", outputCol="store_idx", handleInvalid="keep").fit(rows)
+    stages = [idx, _assembler(["store_idx"])]
+    return {"classifier": Pipeline(stages=[*stages, cls]).fit(rows),
+            "regressor": Pipeline(stages=[*stages, reg]).fit(rows.where(F.col("qty") > 0)),
+            "stores": ok}
 
 
 def predict_sporadic(models: dict, rows: DataFrame, out_col: str = "pred_sporadic") -> DataFrame:
-    """p >= 0.5 -> predicted quantity, else p x quantity; floored at 0."""
-    filled = rows.fillna(0.0, subset=list(MODEL_FEATURES))
+    """p >= 0.5 -> predicted quantity, else p x quantity; floored at 0.  Null for other stores."""
     if not models:
         return rows.withColumn(out_col, F.lit(None).cast("double"))
-    out = filled.where(~F.col("store").isin(list(models))).withColumn(out_col, F.lit(None).cast("double"))
-    for s, (cm, rm) in models.items():
-        part = filled.where(F.col("store") == s)
-        p = cm.transform(part).withColumn("_p", vector_to_array("probability")[1]) \
-              .drop("features", "rawPrediction", "probability", "prediction")
-        q = rm.transform(p).withColumn("_q", F.greatest(F.lit(0.0), F.col("prediction"))) \
-              .drop("features", "prediction")
-        q = q.withColumn(out_col, F.greatest(F.lit(0.0), F.when(
-            F.col("_p") >= SPORADIC_THRESHOLD, F.col("_q")).otherwise(F.col("_p") * F.col("_q"))))
-        out = out.unionByName(q.drop("_p", "_q"))
-    return out
+    known = models["stores"].withColumn("_known", F.lit(True))
+    filled = rows.fillna(0.0, subset=list(MODEL_FEATURES)).join(known, "store", "left")
+    scratch = ("features", "rawPrediction", "probability", "prediction", "store_idx")
+    p = models["classifier"].transform(filled).withColumn(
+        "_p", vector_to_array("probability")[1]).drop(*scratch)
+    q = models["regressor"].transform(p).withColumn(
+        "_q", F.greatest(F.lit(0.0), F.col("prediction"))).drop(*scratch)
+    value = F.when(F.col("_p") >= SPORADIC_THRESHOLD, F.col("_q")).otherwise(
+        F.col("_p") * F.col("_q"))
+    return q.withColumn(out_col, F.when(F.col("_known"), F.greatest(F.lit(0.0), value))) \
+            .drop("_p", "_q", "_known")
 
 
 # --------------------------------------------------------------------------
@@ -256,10 +256,10 @@ def _mean(arr: Column) -> Column:
 
 
 def _std(arr: Column) -> Column:
-    """Sample standard deviation of an array (0 when fewer than 2 values)."""
+    """Population standard deviation of an array (0 when fewer than 2 values)."""
     m = _mean(arr)
     ss = F.aggregate(arr, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
-    return F.when(F.size(arr) > 1, F.sqrt(ss / (F.size(arr) - 1))).otherwise(F.lit(0.0))
+    return F.when(F.size(arr) > 1, F.sqrt(ss / F.size(arr))).otherwise(F.lit(0.0))
 
 
 def _tail(arr: Column, k: int) -> Column:

@@ -322,7 +322,8 @@ def explanation_steps(params: AppParams) -> Column:
             F.lit("Periodic: "), no.cast("string"), F.lit(" orders in "), nd.cast("string"),
             F.lit(" days (avg interval "), _num(nd / F.when(no > 0, no), 1), F.lit("d, avg size "),
             _num(F.col("r_avg_nonzero"), 1), F.lit(" → "), _num(F.col("avg_daily_usage"), 2),
-            F.lit("/day)"))))
+            F.lit("/day over "), _num(F.greatest(nd / F.when(no > 0, no), F.lit(
+                float(params.delivery_window))), 1), F.lit("d window)"))))
     on_hand = (F.when(F.col("on_hand_date").isNull(),
                       F.lit("No inventory snapshot found — assuming 0 on hand"))
                 .when((F.col("snapshot_age") > 0) & (F.col("avg_daily_usage") > 0), F.concat(
@@ -381,8 +382,14 @@ def recommend(fc: DataFrame) -> DataFrame:
 def build_recommendations(usage: DataFrame, orders: DataFrame, snapshots: DataFrame,
                           settings: DataFrame, items: DataFrame, plan_date,
                           params: AppParams | None = None,
-                          product_config: ProductConfig | None = None) -> DataFrame:
-    """Recommendation for every active (store, item) setting (J4 body)."""
+                          product_config: ProductConfig | None = None,
+                          store=None) -> DataFrame:
+    """Recommendation for every active (store, item) setting (J4 body).
+
+    ``store`` (e.g. ``plans.materialize``) may write the forecast, one row a
+    setting, between the lane rules and the text: with the text in use both
+    in one generated method grow beyond the compiler's limit.
+    """
     params = params or AppParams()
     p = _lit_date(plan_date)
     sw = setting_windows(settings, params)
@@ -394,6 +401,8 @@ def build_recommendations(usage: DataFrame, orders: DataFrame, snapshots: DataFr
     st = pair_statistics(sw, ov, p, params)
     oh = latest_on_hand(snapshots, p)
     fc = forecast(st, oh, params, product_config)
+    if store is not None:
+        fc = store(fc, "plan-forecast")
     return recommend(fc.withColumn("explain", explanation_steps(params)))
 
 

@@ -47,16 +47,15 @@ def status_pivot(lines: DataFrame) -> DataFrame:
 
 
 def store_breakdown(lines: DataFrame, stores: DataFrame) -> DataFrame:
-    """Per plan and item the stores carrying it, ordered by store name,
-    rendered ``name:status`` and joined by ``|``; also the line count."""
+    """A row per plan, item and store with its recommended and actual
+    quantity and status; ``position`` orders an item's stores by name.  An
+    item has one line a store, so a window partition is bounded by the stores."""
     st = stores.select(F.col("id").alias("store_id"), F.col("name").alias("store_name"))
-    j = lines.join(st, "store_id")
-    g = j.groupBy("plan_id", "item_id").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.array_sort(F.collect_list(F.struct("store_name", "status", "id"))).alias("entries"))
-    return g.select("plan_id", "item_id", "lines",
-                    F.concat_ws("|", F.transform("entries", lambda e: F.concat(
-                        e["store_name"], F.lit(":"), e["status"]))).alias("breakdown"))
+    order = Window.partitionBy("plan_id", "item_id").orderBy("store_name", "id")
+    return lines.join(st, "store_id").select(
+        "plan_id", "item_id", "store_name", F.col("recommended_quantity").alias("recommended"),
+        F.col("actual_quantity").alias("actual"), "status",
+        F.row_number().over(order).cast("long").alias("position"))
 
 
 def dashboard(lines: DataFrame, plans: DataFrame) -> DataFrame:

@@ -39,8 +39,8 @@ class ForecastResult:
     backtest: DataFrame         # hold-out rows with model columns
 
 
-def gbt_predictor(max_store_models: int = MD.MAX_STORE_MODELS):
-    """Backtest predictor: per-store GBT on the training slice's daily-lane
+def gbt_predictor():
+    """Backtest predictor: GBT on the training slice's daily-lane
     series, predicting the static future features of the test days."""
     def predict(train: DataFrame, first, train_last, days: int) -> DataFrame:
         dense = DM.dense_demand(train.groupBy(*KEYS, "date").agg(F.sum("qty").alias("qty")),
@@ -48,7 +48,7 @@ def gbt_predictor(max_store_models: int = MD.MAX_STORE_MODELS):
         lanes = LN.lanes(train, None, first, train_last).where(F.col("lane") == "daily")
         fm = FT.complete_rows(FT.feature_matrix(dense)).join(lanes.select(*KEYS), KEYS, "left_semi")
         fm = materialize(FT.recency_weights(fm, ["store"]), "bt-gbt-train")
-        fit = MD.fit_gbt(fm, max_store_models=max_store_models)
+        fit = MD.fit_gbt(fm)
         fut = FT.future_features(dense, days)
         return MD.predict_gbt(fit, fut).select(*KEYS, "day_idx", "pred_gbt")
     return predict
@@ -62,8 +62,7 @@ def exp_predictor(train: DataFrame, first, train_last, days: int) -> DataFrame:
 
 def run_forecast(lines: DataFrame, product_config: ProductConfig | None = None,
                  par_levels: DataFrame | None = None, corrections: DataFrame | None = None,
-                 days: int = C.HORIZON_DAYS, use_gbt: bool = True,
-                 max_store_models: int = MD.MAX_STORE_MODELS) -> ForecastResult:
+                 days: int = C.HORIZON_DAYS, use_gbt: bool = True) -> ForecastResult:
     pc = product_config or ProductConfig()
     daily = materialize(DM.daily_demand(lines), "daily")
     lo, hi = DM.date_bound_values(daily)
@@ -71,7 +70,7 @@ def run_forecast(lines: DataFrame, product_config: ProductConfig | None = None,
 
     predictors = {"dow": EV.dow_predictor, "exp": exp_predictor}
     if use_gbt:
-        predictors["gbt"] = gbt_predictor(max_store_models)
+        predictors["gbt"] = gbt_predictor()
     bt = materialize(EV.backtest(daily, C.BACKTEST_TEST_DAYS, pc, predictors), "backtest")
     models = ("dow", "exp", "gbt") if use_gbt else ("dow", "exp")
     wrow = EV.ensemble_weights(bt, models).first()
@@ -91,7 +90,7 @@ def run_forecast(lines: DataFrame, product_config: ProductConfig | None = None,
         daily_pairs = base.where(F.col("lane") == "daily").select(*KEYS).distinct()
         train = FT.complete_rows(FT.feature_matrix(dense)).join(daily_pairs, KEYS, "left_semi")
         train = materialize(FT.recency_weights(train, ["store"]), "gbt-train")
-        fit = MD.fit_gbt(train, max_store_models=max_store_models)
+        fit = MD.fit_gbt(train)
         fut = FT.future_features(dense, days)
         gb = MD.predict_gbt(fit, fut).select(*KEYS, "day_idx", "pred_gbt")
         spor_train = train.join(tiers.where(F.col("volume_tier") == "sporadic"), KEYS, "left_semi")
@@ -176,7 +175,7 @@ def backfill(history: DataFrame, daily: DataFrame, weights: dict | None = None,
     preds = base.withColumnRenamed("pred", "pred_dow")
     preds = preds.join(exp_predictor(train, first, tlast, days), [*KEYS, "day_idx"], "left")
     if use_gbt:
-        preds = preds.join(gbt_predictor(max_store_models=0)(train, first, tlast, days),
+        preds = preds.join(gbt_predictor()(train, first, tlast, days),
                            [*KEYS, "day_idx"], "left")
     else:
         preds = preds.withColumn("pred_gbt", F.lit(0.0))

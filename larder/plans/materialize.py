@@ -8,20 +8,40 @@ plans start from a small columnar table (with statistics for the planner)
 and a lost executor never forces recomputation from the raw tables.
 (An eager ``DataFrame.checkpoint()`` would evaluate the plan twice unless
 cached first.)
+
+All tables of one application stand in one folder, which is deleted when the
+driver's Python ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
+_RUN = uuid.uuid4().hex
+_cleaned: set[str] = set()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:                      # the context is gone: nothing can be reached any more
+        pass
+
 
 def table_path(df: DataFrame, name: str = "table") -> str:
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    return f"{base}/larder-tables/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/larder-tables-{_RUN}"
+    if folder not in _cleaned:
+        _cleaned.add(folder)
+        atexit.register(_delete, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

@@ -27,8 +27,9 @@ from .operators import imports as IM
 from .operators import dimensions as DI
 from .operators import models as MD
 from .plans import forecast_run as FR
+from .plans import plan_lifecycle as PL
 from .config import ProductConfig
-from .config import AppParams
+from .config import CSV_ROW_NOTICE, AppParams
 from .plans.materialize import materialize
 from .sources import derived as D
 
@@ -189,6 +190,44 @@ def plan_stats(spark, sf):
     return RP.plan_stats(_recommendations(spark, sf, AppParams()))
 
 
+PLANS_SCHEMA = ("id long, plan_date date, status string, generated_at timestamp_ntz, "
+                "generated_by_user_id long")
+
+
+def plan_generate(spark, sf):
+    """J4 over the app tables: the lines of a new plan."""
+    t = _app(spark, sf)
+    out = PL.generate_plan(
+        spark.createDataFrame([], PLANS_SCHEMA),
+        spark.createDataFrame([], "id long, plan_id long"), t["usage"], t["orders"],
+        t["snapshots"], t["settings"], t["items"], D.APP_AS_OF, plan_id=1)
+    return round_all(out["lines"].select(
+        F.col("plan_id").cast("int").alias("plan_id"), "store_id", "item_id",
+        "recommended_quantity", "status", "confidence_level", "forecast_method",
+        "forecast_avg_daily_usage", "forecast_on_hand", "forecast_target",
+        F.col("id").isNotNull().alias("has_id"),
+        (F.length("explanation_text") > 0).alias("has_text")))
+
+
+def _line_status(spark, sf):
+    lines = D.keyed_plan_lines(spark, sf).withColumn("picker_note", F.lit(None).cast("string"))
+    return PL.update_line_status(lines, D.status_events(spark, sf))
+
+
+def line_status_apply(spark, sf):
+    return round_all(_line_status(spark, sf)["lines"].select(
+        "id", "plan_id", "status", "actual_quantity", "picker_note"))
+
+
+def line_status_audit(spark, sf):
+    return _line_status(spark, sf)["audit"].select("entity_id", "old_value", "new_value",
+                                                   "changed_at", "seq")
+
+
+def line_status_rejects(spark, sf):
+    return _line_status(spark, sf)["rejected"].select("line_id", "seq", "reject_reason")
+
+
 SPORADIC_EXAMPLE = ProductConfig(sporadic=frozenset({"Brand#3", "Brand#13", "Brand#23"}))
 
 
@@ -282,7 +321,7 @@ def gap_rows(spark, sf):
     first, last = DM.date_bounds(daily)
     hist = D.forecast_history_for(daily, last)
     older = hist.where(F.col("date") <= F.date_sub(last, 10))
-    return round_all(FB.gap_rows(older, daily))
+    return round_all(FB.gap_rows(older, DM.dense_demand(daily, first, last)))
 
 
 def history_upsert(spark, sf):
@@ -350,20 +389,19 @@ def plan_categories(spark, sf):
     return RT.plan_categories(D.plan_lines(spark, sf), D.plan_items(spark, sf))
 
 
-def _checked(spark, sf, max_rows=None):
-    kw = {} if max_rows is None else {"max_rows": max_rows}
+def _checked(spark, sf, row_notice=None):
     return IM.validate(D.raw_import(spark, sf), D.plan_stores(spark, sf), D.plan_items(spark, sf),
-                       D.IMPORT_AS_OF, **kw)
+                       D.IMPORT_AS_OF, row_notice=row_notice)
 
 
-def _import_validate(max_rows=None):
+def _import_validate(row_notice=None):
     def q(spark, sf):
-        return round_all(_checked(spark, sf, max_rows))
+        return round_all(_checked(spark, sf, row_notice))
     return q
 
 
 def import_summary(spark, sf):
-    return IM.import_summary(_checked(spark, sf))
+    return IM.import_summary(_checked(spark, sf, CSV_ROW_NOTICE))
 
 
 def import_upsert(spark, sf):
@@ -396,7 +434,7 @@ def par_coverage(spark, sf):
 
 
 def quality_summary(spark, sf):
-    chk = DI.quality_checks(D.app_settings(spark, sf), D.app_items(spark, sf))
+    chk = DI.quality_checks(D.faulty_settings(spark, sf), D.faulty_items(spark, sf))
     return DI.quality_summary(chk)
 
 
@@ -522,6 +560,10 @@ def registry() -> dict[str, Query]:
         "pick_list_search": _pick_list("STANDARD", "ring"),
         "status_pivot": status_pivot,
         "store_breakdown": store_breakdown,
+        "plan_generate": plan_generate,
+        "line_status_apply": line_status_apply,
+        "line_status_audit": line_status_audit,
+        "line_status_rejects": line_status_rejects,
         "dashboard": dashboard,
         "delivery_progress": delivery_progress,
         "exceptions": exceptions,

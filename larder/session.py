@@ -39,28 +39,34 @@ def get_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def _scratch(master: str) -> str:
+    """A folder of our own, for local runs only: other machines could not see it."""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(
+            "spark.checkpoint.dir must name a folder that the driver and all executors share; "
+            f"it is not set and the master is {master!r}")
+    return tempfile.mkdtemp(prefix="larder-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the submitter sets ``spark.checkpoint.dir`` to a shared,
-    fault-tolerant location; we read it from the session.  Only when it is
-    unset (local runs, tests) do we create a scratch folder of our own.
+    fault-tolerant location; we read it from the session and refuse to run
+    without it.  Only with a local master (local runs, tests), where driver
+    and executors are one process, an unset value gets a scratch folder.
     """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:                      # no SparkContext on this client (e.g. Spark Connect)
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured:
-            return configured
-        local = tempfile.mkdtemp(prefix="larder-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", local)
-        return local
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if configured:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir() or configured
-    local = tempfile.mkdtemp(prefix="larder-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+        if not configured:
+            _scratch("a remote session")
+        return configured
+    configured = configured or sc.getCheckpointDir()
+    if not configured:
+        configured = _scratch(sc.master)
+        spark.conf.set("spark.checkpoint.dir", configured)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured

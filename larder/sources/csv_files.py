@@ -24,20 +24,23 @@ SALES_ORDER_COLUMNS = {"CustomerName": "store", "ProductDescription": "product",
 SALES_ENQUIRY_COLUMNS = {"Customer": "store", "Product": "product",
                          "Order Date": "date", "Quantity": "qty"}
 ENQUIRY_MARKER = "Sales Enquiry"
-ORDER_MARKERS = ("CustomerName", "OrderNumber")
 OUTPUT_PREFIXES = ("packing_list_", "forecast_accuracy")
 SALES_DATE_FORMATS = ("M/d/yyyy", "yyyy-M-d", "M-d-yyyy", "M/d/yyyy H:mm", "yyyy-M-d H:mm:ss")
 BOM = "﻿"
 DELIMITERS = (",", "\t", ";", "|")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, file_name, line_no, value`` for every line of every file."""
+def numbered_lines(spark: SparkSession, path: str, skip_blank: bool = False) -> DataFrame:
+    """``file, file_name, line_no, value`` for every line of every file.
+
+    ``skip_blank``: lines without text are no records and get no number."""
     t = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_seq"))
+    if skip_blank:
+        t = t.where(F.trim("value") != "")
     n = bucketed_row_number(t, ["file"], F.col("_start"), [F.col("_seq")], out="line_no")
     return n.select("file", "file_name", "line_no", "value")
 
@@ -58,10 +61,10 @@ def sniff_delimiter(header: str) -> str:
     return best[2] if best[0] > 0 else ","
 
 
-def _split_header(h: str) -> list[str]:
+def _split_header(h: str, delimiter: str = ",") -> list[str]:
     import csv
     import io
-    return next(csv.reader(io.StringIO(h.lstrip(BOM))))
+    return next(csv.reader(io.StringIO(h.lstrip(BOM)), delimiter=delimiter))
 
 
 def read_sales_files(spark: SparkSession, path: str, stores: tuple | None = None,
@@ -95,7 +98,7 @@ def read_sales_files(spark: SparkSession, path: str, stores: tuple | None = None
         cols = _split_header(header)
         mapping = SALES_ENQUIRY_COLUMNS if kind_ == "enquiry" else SALES_ORDER_COLUMNS
         if not set(mapping) <= set(cols):
-            continue                      # unrecognised layout: file skipped
+            continue                      # told by sales_file_problems
         schema = ", ".join(f"`c{i}` string" for i in range(len(cols)))
         parsed = (data.where((F.col("kind") == kind_) & (F.col("header") == header))
                       .select(F.from_csv("value", schema).alias("r")))
@@ -122,6 +125,24 @@ def read_sales_files(spark: SparkSession, path: str, stores: tuple | None = None
     return out.dropDuplicates(["store", "product", "date", "qty"]) if dedup else out
 
 
+def sales_file_problems(spark: SparkSession, path: str) -> DataFrame:
+    """Sales files under ``path`` that ``read_sales_files`` cannot read: ``file, missing``."""
+    lines = numbered_lines(spark, path)
+    for p in OUTPUT_PREFIXES:
+        lines = lines.where(~F.col("file_name").startswith(p))
+    first = F.regexp_replace(F.col("value"), f"^{BOM}", "")
+    enquiry = F.max(F.when(F.col("line_no") == 1, first.contains(ENQUIRY_MARKER)))
+    heads = lines.where(F.col("line_no") <= 2).groupBy("file").agg(
+        enquiry.alias("enquiry"), F.max(F.when(F.col("line_no") == 1, first)).alias("one"),
+        F.max(F.when(F.col("line_no") == 2, first)).alias("two"))
+    header = F.coalesce(F.when(F.col("enquiry"), F.col("two")).otherwise(F.col("one")), F.lit(""))
+    names = F.transform(F.split(F.regexp_replace(header, '"', ""), ","), F.trim)
+    wanted = F.when(F.col("enquiry"), F.array(*[F.lit(c) for c in SALES_ENQUIRY_COLUMNS])) \
+              .otherwise(F.array(*[F.lit(c) for c in SALES_ORDER_COLUMNS]))
+    missing = F.array_join(F.array_except(wanted, names), ", ")
+    return heads.select("file", missing.alias("missing")).where(F.col("missing") != "")
+
+
 def import_rows(spark: SparkSession, path: str, required: tuple[str, ...],
                 delimiter: str | None = ",") -> tuple[DataFrame, DataFrame]:
     """A7-A11 text side: import files -> (rows, header_problems).
@@ -132,7 +153,8 @@ def import_rows(spark: SparkSession, path: str, required: tuple[str, ...],
     count from the header (= 1) as the reference does.  Files missing a
     required column produce one row in ``header_problems`` and no data.
     """
-    return import_rows_from_lines(spark, numbered_lines(spark, path), required, delimiter)
+    return import_rows_from_lines(spark, numbered_lines(spark, path, skip_blank=True), required,
+                                  delimiter)
 
 
 def import_rows_from_lines(spark: SparkSession, lines: DataFrame, required: tuple[str, ...],
@@ -146,7 +168,7 @@ def import_rows_from_lines(spark: SparkSession, lines: DataFrame, required: tupl
     problems, frames = [], []
     for r in headers.select("header").distinct().collect():
         sep = delimiter or sniff_delimiter(r["header"])
-        cols = [c.strip().lstrip(BOM).lower() for c in _split_header(r["header"].replace(sep, ","))]
+        cols = [c.strip().lstrip(BOM).lower() for c in _split_header(r["header"], sep)]
         missing = [c for c in required if c not in cols]
         if missing:
             problems.append((r["header"], ", ".join(missing)))

@@ -46,7 +46,6 @@ PRIORITY_TO_STATUS = {
     "5-LOW": "delivered",
 }
 RETURNFLAG_TO_CONFIDENCE = {"A": "high", "N": "medium", "R": "low"}
-HISTORY_PAST_DAYS = 60
 HISTORY_FUTURE_DAYS = 7
 HISTORY_PENDING_DAYS = 14
 IMPORT_AS_OF = dt.date(2002, 1, 1)
@@ -288,7 +287,7 @@ def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def forecast_history(spark: SparkSession, sf_dir: str, kind: str = "type") -> DataFrame:
-    """Recorded forecasts for the last 60 data days plus 7 future days.
+    """Recorded forecasts for the whole calendar plus 7 future days.
 
     predicted is a deterministic perturbation of the real demand; actuals
     of the last 14 data days are still pending (null), future days too.
@@ -299,13 +298,12 @@ def forecast_history(spark: SparkSession, sf_dir: str, kind: str = "type") -> Da
 
 def forecast_history_for(daily: DataFrame, last: Column | None = None) -> DataFrame:
     """``forecast_history`` over an existing daily-demand table."""
-    if last is None:
-        last = F.lit(daily.agg(F.max("date")).first()[0])
+    first, latest = daily.agg(F.min("date"), F.max("date")).first()
+    first, last = F.lit(first), F.lit(latest) if last is None else last
     pairs = daily.select("store", "product").distinct()
     grid = pairs.select(
         "store", "product",
-        F.explode(F.sequence(F.date_sub(last, HISTORY_PAST_DAYS - 1),
-                             F.date_add(last, HISTORY_FUTURE_DAYS))).alias("date"))
+        F.explode(F.sequence(first, F.date_add(last, HISTORY_FUTURE_DAYS))).alias("date"))
     h = grid.join(daily, ["store", "product", "date"], "left")
     dom = F.dayofmonth("date")
     q = F.coalesce(F.col("qty"), F.lit(0.0))
@@ -373,3 +371,63 @@ def plan_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
               .agg(F.sum("l_quantity").alias("quantity_used"))
               .withColumn("source", F.lit("seed"))
               .withColumn("notes", F.lit(None).cast("string")))
+
+
+# --------------------------------------------------------------------------
+# rows that break the dimension rules; status events on plan lines
+# --------------------------------------------------------------------------
+
+def faulty_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``app_settings`` with one fault a rule on chosen items, one setting twice and unknown items."""
+    s, item = app_settings(spark, sf_dir), F.col("item_id")
+    k = item % 17
+    s = s.withColumns({
+        "par_level": F.when(k == 1, F.lit(-1.0)).otherwise(F.col("par_level")),
+        "safety_stock": F.when(k == 2, F.lit(-1.0)).otherwise(F.col("safety_stock")),
+        "reorder_threshold": F.when(k == 3, F.lit(-1.0)).otherwise(F.col("reorder_threshold")),
+        "min_send_quantity": F.when(k == 4, F.lit(-1.0)).otherwise(F.col("min_send_quantity")),
+        "rounding_rule": F.when(k == 5, F.lit("half_up")).otherwise(F.col("rounding_rule")),
+        "usage_window_days": F.when(k == 6, F.lit(91)).when(k == 7, F.lit(0))
+                              .otherwise(F.col("usage_window_days"))})
+    return s.unionByName(s.where(k == 8)).unionByName(
+        s.where(k == 9).withColumn("item_id", F.lit(-1) * item - 1))
+
+
+def faulty_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``app_items`` with over-long names and codes, blanks, shared codes and empty case packs."""
+    k = F.col("id") % 17
+    return app_items(spark, sf_dir).withColumns({
+        "item_name": F.when(k == 10, F.repeat(F.lit("n"), 201)).when(k == 11, F.lit(" "))
+                      .otherwise(F.col("item_name")),
+        "sku": F.when(k == 12, F.repeat(F.col("sku"), 9)).when(k == 13, F.lit(""))
+                .when(k == 14, F.lit("sku-shared")).otherwise(F.col("sku")),
+        "case_pack_quantity": F.when(k == 15, F.lit(0)).otherwise(F.col("case_pack_quantity"))})
+
+
+def keyed_plan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``plan_lines`` with an id of its own for every (plan, store, item)."""
+    key = (F.col("plan_id") * 100_000 + F.col("store_id")) * 1_000_000 + F.col("item_id")
+    return plan_lines(spark, sf_dir).withColumn("id", key)
+
+
+def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three events a plan line: some without a field, not finite, of unknown lines or statuses."""
+    k, seq = F.col("id"), F.col("seq")
+    nan, none = F.lit(float("nan")), F.lit(None)
+    rec = F.col("recommended_quantity")
+    ev = keyed_plan_lines(spark, sf_dir).select("id", "recommended_quantity", "last_status_change_at",
+                                          F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)]))
+                                          .alias("seq"))
+    return ev.select(
+        F.when((k % 50 == 0) & (seq == 1), -k).otherwise(k).alias("line_id"),
+        F.when(seq == 1, F.when(k % 5 == 0, F.lit("lost")).otherwise(F.lit("picked")))
+         .when((seq == 3) & (k % 3 == 0), F.lit("loaded")).alias("status"),
+        F.when(seq == 1, rec)
+         .when(seq == 2, F.when(k % 7 == 0, nan).when(k % 7 == 1, none)
+                          .when(k % 7 == 2, F.lit(float("inf"))).when(k % 7 == 3, F.lit(-1.0))
+                          .otherwise(rec - 1)).alias("actual_quantity"),
+        F.when((seq == 3) & (k % 4 == 0), F.lit("late")).alias("picker_note"),
+        F.when(k % 2 == 0, F.col("last_status_change_at"))
+         .otherwise(F.date_add(F.to_date("last_status_change_at"), seq).cast("timestamp_ntz"))
+         .cast("timestamp_ntz").alias("changed_at"),
+        seq.cast("long").alias("seq"))

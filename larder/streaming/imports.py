@@ -25,7 +25,7 @@ USAGE_SCHEMA = ("store_id long, item_id long, usage_date date, quantity_used dou
 
 
 def _number(batch: DataFrame) -> DataFrame:
-    b = batch.withColumn("_seq", F.monotonically_increasing_id())
+    b = batch.where(F.trim("value") != "").withColumn("_seq", F.monotonically_increasing_id())
     n = bucketed_row_number(b, ["file"], F.col("_start"), [F.col("_seq")], out="line_no")
     return n.select("file", "line_no", "value")
 

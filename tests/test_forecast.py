@@ -92,18 +92,33 @@ def test_plan_lifecycle(app, spark):
     again = PL.generate_plan(out["plans"], out["lines"], app["usage"], app["orders"], app["snapshots"],
                              app["settings"], app["items"], AS_OF, plan_id=8, regenerate=True)
     assert again["plans"].count() == 1 and again["lines"].count() == 8
-    lines2 = again["lines"].withColumn("id", F.col("store_id") * 10 + F.col("item_id"))
-    ev = spark.createDataFrame([(11, "picked", None, None, dt.datetime(2026, 3, 14, 9)),
-                                (11, "delivered", 12.0, "ok", dt.datetime(2026, 3, 14, 10)),
-                                (12, "lost", None, None, dt.datetime(2026, 3, 14, 9)),
-                                (99, "picked", None, None, dt.datetime(2026, 3, 14, 9))],
+    lines2 = again["lines"]
+    ids = {(r.store_id, r.item_id): r.id for r in lines2.collect()}
+    assert len(set(ids.values())) == 8 and None not in ids.values()
+    assert lines2.where("explanation_text IS NULL").count() == 0
+    one, two = ids[1, 1], ids[1, 2]
+    nan = float("nan")
+    ev = spark.createDataFrame([(one, "picked", 5.0, "x" * 600, dt.datetime(2026, 3, 14, 9)),
+                                (one, "loaded", None, None, dt.datetime(2026, 3, 14, 10)),
+                                (two, "lost", None, None, dt.datetime(2026, 3, 14, 9)),
+                                (two, None, nan, None, dt.datetime(2026, 3, 14, 9)),
+                                (two, None, float("inf"), None, dt.datetime(2026, 3, 14, 9)),
+                                (two, None, None, None, dt.datetime(2026, 3, 14, 9)),
+                                (-99, "picked", None, None, dt.datetime(2026, 3, 14, 9))],
                                "line_id long, status string, actual_quantity double, picker_note string, "
                                "changed_at timestamp")
     up = PL.update_line_status(lines2, ev)
-    l11 = up["lines"].where("id = 11").first()
-    assert (l11.status, l11.actual_quantity, l11.picker_note) == ("delivered", 12.0, "ok")
-    assert sorted(r.reject_reason for r in up["rejected"].collect()) == ["invalid_status", "unknown_line"]
-    assert up["audit"].count() == 2
+    line = up["lines"].where(F.col("id") == one).first()
+    assert (line.status, line.actual_quantity, line.picker_note) == ("loaded", 5.0, "x" * 600)
+    assert up["lines"].where(F.col("id") == two).first().status == "pending"
+    assert sorted(r.reject_reason for r in up["rejected"].collect()) == [
+        "invalid_quantity", "invalid_quantity", "invalid_status", "nothing_to_change", "unknown_line"]
+    audit = [(r.old_value, r.new_value, r.note_too_long)
+             for r in up["audit"].orderBy("changed_at").collect()]
+    assert audit == [("pending", "status: pending -> picked; actual_qty: None -> 5.0; note updated",
+                      True), ("picked", "status: picked -> loaded", False)]
+    bulk = PL.bulk_update_status(lines2, ev.select("line_id"), "delivered", dt.datetime(2026, 3, 15))
+    assert bulk["lines"].where("status = 'delivered'").count() == 2 and bulk["audit"].count() == 3
     gone = PL.delete_draft_plan(again["plans"], again["lines"], 7)
     assert gone["plans"].count() == 0 and gone["lines"].count() == 0
 
@@ -115,8 +130,10 @@ def test_recursive_gbt_small(spark):
     daily = _daily(spark, rows)
     dense = DM.dense_demand(daily)
     train = FT.recency_weights(FT.complete_rows(FT.feature_matrix(dense)), ["store"])
+    each = MD.fit_gbt(train, mode="per_store", params={"maxIter": 3})
+    assert each["mode"] == "per_store" and set(each["models"]) == {"A", "B"}
     fit = MD.fit_gbt(train, params={"maxIter": 3})
-    assert fit["mode"] == "per_store" and set(fit["models"]) == {"A", "B"}
+    assert fit["mode"] == "pooled"
     last = F.lit(D0 + dt.timedelta(days=59))
     out = MD.recursive_gbt(fit, dense, last, days=5).collect()
     assert len(out) == 4 * 5 and all(r.pred_gbt >= 0 for r in out)

@@ -58,19 +58,19 @@ def test_import_validation_rules(spark):
         f.write("GARDENA,MILK-WHL,2026-03-02,-1,\n")              # 9 negative
         f.write("GARDENA,MILK-WHL,2026-03-02,1000000,\n")         # 10 too large
         f.write("GARDENA,MILK-WHL,2026-03-03,7,\n")               # 11 valid
-        f.write("GARDENA,MILK-WHL,2026-03-03,8,\n")               # 12 valid, over the cap of 10
+        f.write("GARDENA,MILK-WHL,2026-03-03,8,\n")               # 12 valid, beyond the notice of 10: flagged, not cut
     rows, bad = CF.import_rows(spark, d, ("store_code", "sku", "usage_date", "quantity_used"))
     assert bad.count() == 0
     stores = spark.createDataFrame([(1, "GARDENA")], "id long, code string")
     items = spark.createDataFrame([(1, "MILK-WHL")], "id long, sku string")
-    chk = IM.validate(rows, stores, items, dt.date(2026, 3, 14), max_rows=10)
+    chk = IM.validate(rows, stores, items, dt.date(2026, 3, 14), row_notice=10)
     got = {r.line_no: (r.status, r.reason) for r in chk.collect()}
     assert got[2] == ("imported", None) and got[11] == ("imported", None)
     assert [got[i][1] for i in range(3, 11)] == ["unknown_store", "unknown_sku", "invalid_date",
                                                 "future_date"] + ["invalid_quantity"] * 4
-    assert got[12] == ("over_limit", None)
+    assert got[12] == ("imported", None) and chk.where("line_no = 12").first().over_notice
     s = IM.import_summary(chk).first()
-    assert (s.imported, s.skipped, s.row_limit_exceeded) == (2, 8, True)
+    assert (s.imported, s.skipped, s.row_limit_exceeded) == (3, 8, True)
     assert chk.where("line_no = 2").first().notes == "ok"
 
 
