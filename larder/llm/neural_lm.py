@@ -52,9 +52,11 @@ from .common import id_remainder, stored, words_of
 BLOCK_CHARS = 24_000_000
 FREQUENT = 2_048
 CLASSES = 96
-HIDDEN = 24
+HIDDEN = 16
 WINDOW = 16
-STREAMS = 256
+STREAMS = 768                             # texts read side by side in training, at most
+LEAST_WINDOWS = 64                        # and in windows: fewer streams where a block is small
+BATCH = 16_384                            # tokens whose output layer is computed at once
 ROUNDS = 2
 FAN = 32
 RATE = 0.01
@@ -211,31 +213,55 @@ class Vocabulary:
         return table[numbers]
 
 
-def build_vocabulary(tops: list, n_ends: int, frequent: int = FREQUENT,
-                     classes: int = CLASSES) -> Vocabulary:
-    candidates, mass, n, v = [], {}, 0, 0
-    for packed, counts, endings, totals in tops:
-        sizes, body = unpack(packed)
-        ends = np.cumsum(sizes, dtype=np.int64).tolist()
-        candidates += zip([body[a:b] for a, b in zip([0, *ends], ends)],
-                          unpack(counts)[0].tolist())
-        sizes, body = unpack(endings)
-        flat = np.frombuffer(body, np.int64, 2 * len(sizes)).reshape(-1, 2)
-        at = 16 * len(sizes)
-        for size, (c, k) in zip(sizes.tolist(), flat.tolist()):
-            own = mass.setdefault(body[at:at + size], [0, 0])
-            own[0] += c
-            own[1] += k
-            at += size
-        n, v = n + totals[0], v + totals[1]
-    candidates = sorted(candidates, key=lambda x: (-x[1], x[0]))[:frequent]
-    heavy = sorted(mass, key=lambda k: (-mass[k][0], k))[:classes]
+def _words_of_tops(batches):
+    for batch in batches:
+        for packed, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            sizes, body = unpack(packed)
+            ends = np.cumsum(sizes, dtype=np.int64).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([body[a:b] for a, b in zip([0, *ends], ends)], pa.binary()),
+                 pa.array(unpack(counts)[0].astype(np.int64))], names=["word", "n"])
+
+
+def _endings_of_tops(batches):
+    for batch in batches:
+        for packed in batch.column(0).to_pylist():
+            sizes, body = unpack(packed)
+            flat = np.frombuffer(body, np.int64, 2 * len(sizes)).reshape(-1, 2)
+            ends = (16 * len(sizes) + np.cumsum(sizes, dtype=np.int64)).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([body[a:b] for a, b in zip([16 * len(sizes), *ends], ends)],
+                          pa.binary()), pa.array(flat[:, 0]), pa.array(flat[:, 1])],
+                names=["ending", "n", "k"])
+
+
+def gather_vocabulary(counted: DataFrame, n_ends: int, frequent: int = FREQUENT,
+                      classes: int = CLASSES) -> Vocabulary:
+    """The vocabulary from the shards' counts: ``frequent`` + ``classes`` + 1 rows to the driver."""
+    tops = counted.where("key = 'top'")
+    words = (tops.select("packed", "counts").mapInArrow(_words_of_tops, "word binary, n long")
+             .orderBy(F.desc("n"), "word").limit(frequent).collect())
+    endings = stored(tops.select("endings").mapInArrow(
+        _endings_of_tops, "ending binary, n long, k long").groupBy("ending")
+        .agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "lm-endings")
+    heavy = endings.orderBy(F.desc("n"), "ending").limit(classes).collect()
+    total = endings.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+                        F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
+    return build_vocabulary([(bytes(r.word), r.n) for r in words],
+                            {bytes(r.ending): (r.n, r.k) for r in heavy}, total["n"], total["k"],
+                            n_ends)
+
+
+def build_vocabulary(candidates: list[tuple[bytes, int]], heavy: dict[bytes, tuple[int, int]],
+                     n: int, v: int, n_ends: int) -> Vocabulary:
+    """``candidates``: frequent words and counts, by falling count; ``heavy``: the classes'
+    endings with the tokens and distinct words they have; ``n``, ``v``: of all words."""
     endings = {k: i + 1 for i, k in enumerate(heavy)}
     n_classes = 1 + len(heavy) + 1                       # the rest, the endings, the end
     rare_n, rare_k = np.zeros(n_classes - 1), np.zeros(n_classes - 1)
-    for k, (c, d) in mass.items():
-        rare_n[endings.get(k, 0)] += c
-        rare_k[endings.get(k, 0)] += d
+    for k, (c, d) in heavy.items():
+        rare_n[endings[k]], rare_k[endings[k]] = c, d
+    rare_n[0], rare_k[0] = n - rare_n.sum(), v - rare_k.sum()
     members: list[list[int]] = [[] for _ in range(n_classes)]
     for i, (word, c) in enumerate(candidates):
         own = endings.get(ending(word), 0)
@@ -277,7 +303,8 @@ def start_parameters(vocabulary: Vocabulary, hidden: int = HIDDEN, seed: int = 0
 
 
 def _sigmoid(x):
-    return 0.5 * (1 + np.tanh(0.5 * x))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
 
 
 def _step(gx, h, u, hidden):
@@ -379,7 +406,7 @@ class Replica:
         n = len(numbers)
         if not n:
             return
-        streams = max(1, min(streams, n // window))
+        streams = max(1, min(streams, n // (window * LEAST_WINDOWS)))
         length = -(-n // streams)
         before = np.concatenate([[END], numbers[:-1]])
         before[fresh] = END
@@ -512,7 +539,7 @@ def document_scores(p: dict, vocabulary: Vocabulary, numbers: np.ndarray, extra:
     t, active = 0, len(order)
     while active:
         # enough steps to fill a window's worth of rows, however few documents are left
-        steps = max(window, 4096 // active)
+        steps = max(window, BATCH // active)
         steps = int(min(steps, size[0] - t))
         states, targets, owner = [], [], []
         for _ in range(steps):
@@ -587,9 +614,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     learn = (F.col("doc_id").isNull()
              | (F.crc32(F.col("doc_id").cast("string").cast("binary")) % MODULUS != HELD_OUT))
     n_ends = texts.where(learn).count()
-    # FREQUENT words and the endings of each shard; far fewer than the corpus's words.
-    tops = counted.where("key = 'top'").select("packed", "counts", "endings", "totals")
-    vocabulary = build_vocabulary([tuple(r) for r in tops.collect()], n_ends)
+    vocabulary = gather_vocabulary(counted, n_ends)
     params = fit(texts, vocabulary, block_chars=block_chars)
     blocks = exploded.where("key LIKE 'd%'")
     return (counted.where("key LIKE 'd%'").groupBy("key").cogroup(blocks.groupBy("key"))

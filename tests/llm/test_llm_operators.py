@@ -76,13 +76,10 @@ def _tiny_vocabulary():
     for w, n in total:
         mass[neural_lm.ending(w)][0] += n
         mass[neural_lm.ending(w)][1] += 1
-    keys = sorted(mass)
-    flat = np.array([mass[k] for k in keys], np.int64)
-    top = (neural_lm.pack([len(w) for w, _ in total], b"".join(w for w, _ in total)),
-           neural_lm.pack([n for _, n in total], b""),
-           neural_lm.pack([len(k) for k in keys], flat.tobytes() + b"".join(keys)),
-           [sum(words.values()), len(words)])
-    return neural_lm.build_vocabulary([top], 2, frequent=4, classes=3)
+    heavy = sorted(mass, key=lambda k: (-mass[k][0], k))[:3]
+    top = sorted(total, key=lambda x: (-x[1], x[0]))[:4]
+    return neural_lm.build_vocabulary(top, {k: tuple(mass[k]) for k in heavy},
+                                      sum(words.values()), len(words), 2)
 
 
 def _params(vocabulary, hidden=5):
