@@ -435,7 +435,9 @@ s2 AS (SELECT st.*, sw.par_level, sw.safety_stock, sw.min_send_quantity, sw.roun
        FROM st JOIN sw USING (store_id, item_id))"""
 
 
-def app_forecast_ctes(weighted: bool = False, m: float = 0.0) -> str:
+def app_forecast_ctes(weighted: bool = False, m: float = 0.0, override: str = "",
+                      periodic: str = "false") -> str:
+    """``override``: WHEN branches that fix a lane; ``periodic``: condition on the item."""
     a = "wavg" if weighted else "avg"
     method = "historical_weighted_v1" if weighted else "historical_simple_v1"
     k = C.MIN_DATA_POINTS_HIGH
@@ -453,8 +455,9 @@ s5 AS (SELECT *, CASE WHEN sparse_dow THEN 'medium' ELSE dconf_b END AS dconf2 F
 s5 AS (SELECT *, false AS low_cov, false AS sparse_dow, dconf AS dconf2 FROM s4)"""
     return f"""
 s3 AS (SELECT *,
-         CASE WHEN r_n = 0 THEN 'dormant' WHEN zr >= {C.DORMANT_ZERO_RATE} THEN 'dormant'
-              WHEN zr >= {C.INTERMITTENT_ZERO_RATE} THEN 'intermittent' ELSE 'daily' END AS lane,
+         CASE {override} WHEN r_n = 0 THEN 'dormant' WHEN zr >= 0.95 THEN 'dormant'
+              WHEN zr >= 0.65 THEN 'intermittent' WHEN {periodic} THEN 'periodic'
+              ELSE 'daily' END AS lane,
          CASE WHEN n_s >= {k} THEN 'S' WHEN n_l >= {k} THEN 'L'
               WHEN n_s > 0 OR n_l > 0 THEN (CASE WHEN n_l > n_s THEN 'l' ELSE 's' END)
               ELSE 'N' END AS pick
@@ -474,15 +477,18 @@ s4 AS (SELECT *,
 fc AS (SELECT *,
          CASE lane WHEN 'dormant' THEN 0.0
                    WHEN 'intermittent' THEN (CASE WHEN r_no = 0 THEN 0.0 ELSE round_even((r_no / r_n) * anz, 4) END)
+                   WHEN 'periodic' THEN (CASE WHEN r_no = 0 THEN 0.0
+                     ELSE round_even(anz / GREATEST(r_n / r_no, 3.0), 4) END)
                    ELSE davg END AS avg0,
          CAST(CASE WHEN lane = 'daily' THEN dwin ELSE {r} END AS BIGINT) AS window_days,
          CAST(CASE WHEN lane = 'daily' THEN dpts WHEN lane = 'dormant' THEN r_n ELSE r_no END AS BIGINT) AS data_points,
          CASE WHEN lane = 'daily' THEN dsrc WHEN r_no > 0 THEN 'actual_orders' ELSE 'none' END AS data_source,
          CASE lane WHEN 'dormant' THEN 'dormant_v1' WHEN 'intermittent' THEN 'intermittent_v1'
-                   ELSE '{method}' END AS forecast_method,
+                   WHEN 'periodic' THEN 'periodic_v1' ELSE '{method}' END AS forecast_method,
          CASE WHEN lane = 'daily' THEN dconf2 WHEN lane = 'dormant' THEN 'low'
-              WHEN r_no < 3 THEN 'low' ELSE 'medium' END AS conf0,
-         (lane = 'intermittent' AND r_no < 3) AS lane_low
+              WHEN r_no < CASE lane WHEN 'periodic' THEN 4 ELSE 3 END THEN 'low'
+              ELSE 'medium' END AS conf0,
+         ((lane = 'intermittent' AND r_no < 3) OR (lane = 'periodic' AND r_no < 4)) AS lane_low
        FROM s5),
 oh AS (SELECT store_id, item_id, arg_max(quantity_on_hand, snapshot_date) AS oh_qty,
               MAX(snapshot_date) AS ohd
@@ -513,6 +519,7 @@ rec AS (SELECT *, CASE WHEN need2 > 0 THEN ceil(round_even(need2, 6)) ELSE need2
 recw AS (SELECT *, concat_ws(',',
            CASE WHEN lane = 'dormant' THEN 'dormant_product' END,
            CASE WHEN lane = 'intermittent' THEN 'intermittent_demand' END,
+           CASE WHEN lane = 'periodic' THEN 'periodic_demand' END,
            CASE WHEN lane = 'dormant' OR (lane = 'daily' AND pick NOT IN ('S', 'L')) OR lane_low
                 THEN 'sparse_usage_history' END,
            CASE WHEN lane = 'daily' AND low_cov THEN 'low_data_coverage' END,
@@ -524,13 +531,23 @@ recw AS (SELECT *, concat_ws(',',
          FROM rec)"""
 
 
-def _app_with(weighted=False, m=0.0, decay=C.WEIGHTED_DECAY) -> str:
+def _app_with(weighted=False, m=0.0, decay=C.WEIGHTED_DECAY, override="",
+              periodic="false") -> str:
     return with_(app_table_ctes(), overlay_cte(), app_stat_ctes(decay, m),
-                 app_forecast_ctes(weighted, m))
+                 app_forecast_ctes(weighted, m, override, periodic))
 
 
-def q_recommendation(weighted: bool = False, m: float = 0.0) -> str:
-    return _app_with(weighted, m) + f"""
+def q_recommendation_lanes() -> str:
+    """Some items periodic, one of each lane fixed by an override."""
+    lanes = {"Item 1": "periodic", "Item 3": "daily", "Item 5": "dormant", "Item 7": "intermittent"}
+    override = " ".join(f"WHEN item_name = '{k}' THEN '{v}'" for k, v in lanes.items())
+    periodic = "item_id % 2 = 0 AND item_id < 400"
+    return q_recommendation(override=override, periodic=periodic)
+
+
+def q_recommendation(weighted: bool = False, m: float = 0.0, override: str = "",
+                     periodic: str = "false") -> str:
+    return _app_with(weighted, m, override=override, periodic=periodic) + f"""
 SELECT store_id, item_id, lane, {r6('recommended_quantity')} AS recommended_quantity,
        confidence_level, forecast_method, {r6('favg')} AS forecast_avg_daily_usage,
        {r6('on_hand')} AS on_hand, {r6('target')} AS forecast_target, window_days, data_points,
@@ -597,6 +614,7 @@ APP_SQL = {
     "recommendation_weighted": lambda: q_recommendation(True, 0.5),
     "plan_stats": q_plan_stats,
     "plan_generate": q_plan_generate,
+    "recommendation_lanes": q_recommendation_lanes,
 }
 
 

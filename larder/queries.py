@@ -172,6 +172,21 @@ def latest_on_hand(spark, sf):
     return round_all(RP.latest_on_hand(D.app_snapshots(spark, sf), D.APP_AS_OF))
 
 
+LANES_EXAMPLE = ProductConfig(
+    lane_overrides={"Item 1": "periodic", "Item 3": "daily", "Item 5": "dormant",
+                    "Item 7": "intermittent"},
+    periodic=frozenset(f"Item {i}" for i in range(0, 400, 2)))
+
+
+def recommendation_lanes(spark, sf):
+    """Recommendations with periodic items and an override for every lane."""
+    t = _app(spark, sf)
+    r = RP.build_recommendations(t["usage"], t["orders"], t["snapshots"], t["settings"],
+                                 t["items"], D.APP_AS_OF, AppParams(), LANES_EXAMPLE)
+    return round_all(r.select(*RP.RECOMMENDATION_COLUMNS,
+                              F.concat_ws(",", "warning_flags").alias("warning_flags")))
+
+
 def _recommendations(spark, sf, params):
     t = _app(spark, sf)
     return RP.build_recommendations(t["usage"], t["orders"], t["snapshots"], t["settings"],
@@ -538,6 +553,7 @@ def registry() -> dict[str, Query]:
         "recommendation": _recommendation(AppParams()),
         "recommendation_weighted": _recommendation(
             AppParams(forecast_method="historical_weighted_v1", dow_multiplier=0.5)),
+        "recommendation_lanes": recommendation_lanes,
         "plan_stats": plan_stats,
         "safety_stock": safety_stock,
         "delivery_schedule": delivery_schedule,

@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import imports as IM
@@ -74,6 +75,35 @@ def test_import_validation_rules(spark):
     assert chk.where("line_no = 2").first().notes == "ok"
 
 
+def test_shared_folder_is_required():
+    from larder.session import _scratch
+    for master in ("yarn", "spark://host:7077", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            _scratch(master)
+
+
+def test_lookup_takes_one_active_id(spark):
+    rows = spark.createDataFrame([("f", 2, "a ", "X", "2026-03-01", "1")],
+                                 "file string, line_no long, store_code string, sku string, "
+                                 "usage_date string, quantity_used string")
+    stores = spark.createDataFrame([(1, "A", True), (2, "a", True), (3, "A", False)],
+                                   "id long, code string, active boolean")
+    items = spark.createDataFrame([(5, "x", True)], "id long, sku string, active boolean")
+    got = IM.validate(rows, stores, items, dt.date(2026, 3, 14)).collect()
+    assert [(r.store_id, r.item_id) for r in got] == [(2, 5)]
+
+
+def test_blank_lines_and_unread_files(spark):
+    d = _dir()
+    with open(os.path.join(d, "u.csv"), "w") as f:
+        f.write('"store;code";sku;usage_date;quantity_used\n\nA;X;2026-03-01;1\n   \nB;Y;2026-03-01;2\n')
+    rows, bad = CF.import_rows(spark, d, ("store;code", "sku"), delimiter=";")
+    assert sorted((r.line_no, r.sku) for r in rows.collect()) == [(2, "X"), (3, "Y")]
+    assert bad.count() == 0
+    assert [r.missing for r in CF.sales_file_problems(spark, d).collect()] == [
+        "CustomerName, ProductDescription, OrderDate, OrderQuantity"]
+
+
 def test_missing_header_reported(spark):
     d = _dir()
     with open(os.path.join(d, "bad.csv"), "w") as f:
