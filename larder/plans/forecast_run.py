@@ -152,44 +152,67 @@ def backfill(history: DataFrame, daily: DataFrame, weights: dict | None = None,
     """Predictions for sales days missing from the history, as the
     model would have made them before the first gap day.
 
-    Gap rows come from C12.  Lanes use the full history (as the reference
-    does); daily-lane series get DOW + Holt-Winters + one pooled GBT fitted
-    on data before the first gap day, blended with ``weights``; no
-    corrections or safety stock.  Returns the new history rows
+    Gap rows come from C12 over the dense daily table, so days without sales
+    are filled in too.  Lanes use the full history (the run looks back); the
+    flat rates and the DOW and Holt-Winters fits of a series use its days
+    before the first gap.  GBT and the sporadic model learn from all series
+    and dates.  ``weights``: the hold-out weights of the full history unless
+    given.  No corrections or safety stock.  Returns the new history rows
     (``model_version = v2_backfill``) with actual and error filled.
     """
     from ..operators import feedback as FB
-    gaps = FB.gap_rows(history, daily)
+    lo, hi = DM.date_bound_values(daily)
+    first, last = F.lit(lo), F.lit(hi)
+    dense = materialize(DM.dense_demand(daily, first, last), "backfill-dense")
+    gaps = FB.gap_rows(history, dense.select(*KEYS, "date", "qty"))
     gap_start = gaps.agg(F.min("date")).first()[0]
     if gap_start is None:
         return history.limit(0)
-    lo, hi = DM.date_bound_values(daily)
     days = (hi - gap_start).days + 1
-    first, tlast = F.lit(lo), F.lit(gap_start - dt.timedelta(days=1))
+    tlast = F.lit(gap_start - dt.timedelta(days=1))
+    if weights is None:
+        predictors = {"dow": EV.dow_predictor, "exp": exp_predictor}
+        if use_gbt:
+            predictors["gbt"] = gbt_predictor()
+        models = tuple(predictors)
+        row = EV.ensemble_weights(EV.backtest(daily, C.BACKTEST_TEST_DAYS, product_config,
+                                              predictors), models).first()
+        weights = {"gbt": 0.0} | {m: float(row[m]) for m in models}
     pairs = daily.select(*KEYS).distinct()
-    train = (daily.where(F.col("date") < F.lit(gap_start))
-                  .unionByName(pairs.select(*KEYS, first.alias("date"), F.lit(0.0).alias("qty"))))
-    lanes_full = LN.lanes(daily, product_config, first, F.lit(hi)).select(*KEYS, "lane")
-    base = DW.lane_forecast(train, product_config, days, first, tlast).drop("lane") \
-             .join(lanes_full, KEYS)
-    preds = base.withColumnRenamed("pred", "pred_dow")
+    train = (daily.select(*KEYS, "date", "qty").where(F.col("date") < F.lit(gap_start))
+                  .unionByName(pairs.select(*KEYS, first.alias("date"), F.lit(0.0).alias("qty")))
+                  .groupBy(*KEYS, "date").agg(F.sum("qty").alias("qty")))
+    lane_of = LN.lanes(daily, product_config, first, last).select(*KEYS, "lane")
+    rates = LN.window_stats(train, first, tlast).select(
+        *KEYS, LN.intermittent_rate().alias("rate_i"), LN.periodic_rate().alias("rate_p"))
+    preds = DW.dow_forecast(train, 2, days, first, tlast).withColumnRenamed("pred", "pred_dow")
     preds = preds.join(exp_predictor(train, first, tlast, days), [*KEYS, "day_idx"], "left")
+    tiers = FT.volume_tiers(dense).select(*KEYS, "volume_tier")
     if use_gbt:
-        preds = preds.join(gbt_predictor()(train, first, tlast, days),
-                           [*KEYS, "day_idx"], "left")
+        rows = materialize(FT.recency_weights(FT.complete_rows(FT.feature_matrix(dense)),
+                                              ["store"]), "backfill-train")
+        future = FT.future_features(dense.where(F.col("date") < F.lit(gap_start)), days)
+        gbt = MD.predict_gbt(MD.fit_gbt(rows), future).select(*KEYS, "day_idx", "pred_gbt")
+        rare = rows.join(tiers.where(F.col("volume_tier") == "sporadic"), KEYS, "left_semi")
+        spor = MD.predict_sporadic(MD.fit_sporadic(rare), future).select(
+            *KEYS, "day_idx", "pred_sporadic")
+        preds = preds.join(gbt, [*KEYS, "day_idx"], "left").join(spor, [*KEYS, "day_idx"], "left")
     else:
-        preds = preds.withColumn("pred_gbt", F.lit(0.0))
-    preds = preds.withColumns({"w_dow": F.lit(None).cast("double"), "w_exp": F.lit(None).cast("double"),
-                               "w_gbt": F.lit(None).cast("double")})
-    lane_rate = DW.lane_forecast(train, product_config, days, first, tlast) \
-                  .select(*KEYS, "day_idx", F.col("pred").alias("lane_pred"))
-    preds = preds.join(lane_rate, [*KEYS, "day_idx"])
-    pred = F.when(F.col("lane") == "daily", MD.blend(weights)).when(
-        F.col("lane") == "dormant", F.lit(0.0)).otherwise(F.col("lane_pred"))
-    p = preds.select(*KEYS, "date", pred.alias("pred"))
-    rows = gaps.join(p, [*KEYS, "date"])
-    return rows.select(*KEYS, "date", half_even(F.col("pred"), 0).alias("predicted"),
-                       F.col("qty").alias("actual"),
-                       half_even(half_even(F.col("pred"), 0) - F.col("qty"), 2).alias("error"),
-                       F.lit("unknown").alias("volume_tier"), F.lit("v2_backfill").alias("model_version"),
-                       F.col("date").cast("timestamp_ntz").alias("recorded_at"))
+        preds = preds.withColumn("pred_gbt", F.lit(0.0)).withColumn(
+            "pred_sporadic", F.lit(None).cast("double"))
+    none = F.lit(None).cast("double")
+    preds = preds.withColumns({"w_dow": none, "w_exp": none, "w_gbt": none})
+    preds = preds.join(lane_of, KEYS).join(tiers, KEYS, "left").join(rates, KEYS, "left")
+    lane = F.col("lane")
+    sporadic = (F.col("volume_tier") == "sporadic") & F.col("pred_sporadic").isNotNull()
+    pred = (F.when(lane == "dormant", F.lit(0.0))
+             .when(lane == "intermittent", F.coalesce("rate_i", F.lit(0.0)))
+             .when(lane == "periodic", F.coalesce("rate_p", F.lit(0.0)))
+             .when(sporadic, F.greatest(F.lit(0.0), F.col("pred_sporadic")))
+             .otherwise(MD.blend(weights)))
+    p = preds.select(*KEYS, "date", "volume_tier", half_even(pred, 2).alias("predicted"))
+    return gaps.join(p, [*KEYS, "date"]).select(
+        *KEYS, "date", "predicted", half_even(F.col("qty"), 2).alias("actual"),
+        half_even(F.col("predicted") - F.col("qty"), 2).alias("error"), "volume_tier",
+        F.lit("v2_backfill").alias("model_version"),
+        F.col("date").cast("timestamp_ntz").alias("recorded_at"))

@@ -150,3 +150,42 @@ def test_lit_value_only_for_tagged_columns(spark):
     from larder.functions.calendar import date_lit, lit_value
     assert lit_value(date_lit(D0)) == D0
     assert lit_value(F.lit(D0)) is None          # plain literals carry no value
+
+
+def test_backfill_fills_days_without_sales(spark):
+    from larder.plans import forecast_run as FR
+    rows = [("A", "x", d, 1 + d % 3) for d in range(90)]
+    rows += [("A", "rare", d, 4) for d in range(0, 90, 6)] + [("A", "dead", 0, 1)]
+    daily = _daily(spark, rows)
+    history = spark.createDataFrame(
+        [("A", p, D0 + dt.timedelta(days=79), 1.0) for p in ("x", "rare", "dead")],
+        "store string, product string, date date, predicted double")
+    weights = {"dow": 1.0, "exp": 0.0, "gbt": 0.0}
+    got = {(r["product"], (r["date"] - D0).days): r for r in
+           FR.backfill(history, daily, weights, use_gbt=False).collect()}
+    assert len(got) == 3 * 10                          # every series, every day after the history
+    assert got["x", 85].actual == 2 and got["rare", 85].actual == 0 and got["dead", 85].actual == 0
+    assert all(got["dead", d].predicted == 0 for d in range(80, 90))
+    window = [4 if d % 6 == 0 else 0 for d in range(80)][-28:]
+    orders = [q for q in window if q]
+    expected = round(len(orders) / 28 * sum(orders) / len(orders), 2)
+    assert got["rare", 83].predicted == expected
+    r = got["rare", 84]
+    assert r.error == round(expected - 4, 2) and r.model_version == "v2_backfill"
+
+
+def test_sporadic_model_is_pooled(spark, monkeypatch):
+    monkeypatch.setitem(MD.SPORADIC_CLS, "maxIter", 2)
+    monkeypatch.setitem(MD.SPORADIC_REG, "maxIter", 2)
+    rng = np.random.default_rng(0)
+    rows = []
+    for store, n in (("A", 40), ("B", 40), ("C", 5)):
+        for _ in range(n):
+            x = float(rng.random() < 0.5)
+            rows.append((store, "p", 5.0 * x, 1.0, *[x] * len(MD.MODEL_FEATURES)))
+    df = spark.createDataFrame(rows, "store string, product string, qty double, weight double, "
+                               + ", ".join(f"{c} double" for c in MD.MODEL_FEATURES))
+    out = MD.predict_sporadic(MD.fit_sporadic(df), df).collect()
+    assert len(out) == 85
+    assert all(r.pred_sporadic is None for r in out if r.store == "C")
+    assert all((r.pred_sporadic > 2.5) == (r.qty > 0) for r in out if r.store != "C")
