@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larder.config import AppParams
 from larder.functions.numeric import half_even
 from larder.operators import demand as DM
 from larder.operators import dow as DW
