@@ -274,7 +274,10 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     stats = stored(_grouped(stored(stats, "mcd-statistics")), "mcd-grouped")
     vectors = stats.where("NOT base_failed").select("group", *DIMS)
     sizes = vectors.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {MIN_GROUP}")
-    estimate = robust_estimates(vectors).join(sizes.select("group"), "group")
+    # Written, so that the planner knows its size: the hot group's rows then need no shuffle
+    # while the estimates are small, and a skew-split shuffle join beyond that.
+    estimate = stored(robust_estimates(vectors).join(sizes.select("group"), "group"),
+                      "mcd-estimate")
     judged = stats.join(estimate, "group", "left").withColumn(
         "distance", F.when(~F.col("base_failed"), _distance()))
     return judged.select(
