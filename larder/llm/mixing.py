@@ -9,9 +9,14 @@ token totals
 
 match the targets, by distributed projected-gradient least squares on
 
-    1/2 sum_d (T_d(r)/N - t_d)^2 + RIDGE/2 sum_i (n_i/N) (r_i - 1)^2,  r >= 0,
+    1/2 (T(r)/N - t)' S (T(r)/N - t) + RIDGE/2 sum_i (n_i/N) (r_i - 1)^2,  r >= 0,
 
 whose small second term makes the solution unique (the rates closest to 1).
+S is the inverse of the Gram matrix sum_i (n_i/N) p_i p_i', so a rare domain
+moves as fast as a common one and is held as close to its own target; where
+the Gram matrix is even anyway (``EVEN``), S is the identity.  Steps go on
+until every domain is within ``TOLERANCE`` of its target, relative to that
+target; targets missed by more than ``MISSED`` raise an error.
 A step needs one number a domain from all documents: Spark sums the totals
 under the present rates, and every rate is updated from its own posterior
 with the residuals.  A document's rate follows from its posterior and the
@@ -43,9 +48,12 @@ from .common import fresh_name, stored
 MAX_TRAIN = 4_000
 PAIRS = 1_024
 FIT_STEPS, FIT_RATE, FIT_DECAY = 200, 0.05, 1e-3
-RIDGE = 1e-3
-MAX_STEPS = 60
-TOLERANCE = 1e-5
+RIDGE = 1e-4
+MAX_STEPS = 300
+EVEN = 0.1            # least eigenvalue of a Gram matrix that needs no scaling
+TOLERANCE = 1e-3      # error of a domain's total relative to its target, at which steps end
+MISSED = 1e-2         # the same error, from which on the targets count as not met
+STALLED = 1e-7        # largest relative move of a step that changes nothing any more
 TEMPERATURE = 0.7
 
 
@@ -148,9 +156,22 @@ def targets_of(totals: np.ndarray, weights: np.ndarray | None, keep_all: bool =
     return wanted * scale
 
 
+def metric_of(gram: np.ndarray) -> np.ndarray:
+    """The weights S of the residuals: the inverse Gram matrix, or the identity if it is even."""
+    value, vector = np.linalg.eigh(gram)
+    if value[0] >= EVEN:
+        return np.eye(len(gram))
+    return (vector / np.maximum(value, 1e-9 * value[-1])) @ vector.T
+
+
+def relative_errors(reached: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Each domain's error relative to its own target (to all tokens if that is zero)."""
+    return np.abs(reached - target) / np.where(target > 0, target, 1.0)
+
+
 def fit_rates(members: DataFrame, n_domains: int, weights: np.ndarray | None = None,
               keep_all: bool = True) -> tuple[list[np.ndarray], float, np.ndarray, np.ndarray]:
-    """Residuals of all steps, step length, targets and reached totals (shares of N).
+    """Scaled residuals of all steps, step length, targets and reached totals (shares of N).
 
     ``members``: rows with ``n`` (tokens) and ``p`` (posterior).
     """
@@ -166,20 +187,28 @@ def fit_rates(members: DataFrame, n_domains: int, weights: np.ndarray | None = N
     gram = np.array([[first[f"g{a}_{b}"] for b in range(n_domains)]
                      for a in range(n_domains)]) / n
     target = targets_of(totals, weights, keep_all)
-    step = 1.0 / (float(np.linalg.eigvalsh(gram).max()) + RIDGE)
+    metric = metric_of(gram)
+    # S G has the eigenvalues of the scaled problem: 1, or those of the Gram matrix.
+    step = 1.0 / (float(np.linalg.eigvals(metric @ gram).real.max()) + RIDGE)
     residuals: list[np.ndarray] = []
-    reached = totals
-    for _ in range(MAX_STEPS):
-        residuals.append(reached - target)
+    reached, moved = totals, np.inf
+    while (relative_errors(reached, target).max() > TOLERANCE and moved > STALLED
+           and len(residuals) < MAX_STEPS):
+        residuals.append(metric @ (reached - target))
         rates = members.select("n", "p", rate_column(F.col("p"), residuals, step).alias("r"))
         row = rates.agg(*[F.sum(F.col("r") * F.col("n") * x) for x in p]).first()
         new = np.array(row) / n
-        moved, reached = float(np.abs(new - reached).max()), new
-        if moved < TOLERANCE:
-            break
+        moved, reached = float(relative_errors(new, reached).max()), new
     return residuals, step, target, reached
 
 
+def require_met(target: np.ndarray, reached: np.ndarray, domains: list[str]) -> None:
+    missed = [f"{d}: {r:.3g} of all tokens instead of {t:.3g}" for d, r, t, e
+              in zip(domains, reached, target, relative_errors(reached, target)) if e > MISSED]
+    if missed:
+        raise RuntimeError("mixing targets are not met: " + "; ".join(missed))
+
+
 def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang",
         weights: dict[str, float] | None = None,
         keep_all: bool = True) -> tuple[DataFrame, str, list[str]]:
@@ -188,7 +217,8 @@ def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang",
     wanted = None if weights is None else np.array([weights.get(d, 0.0) for d in model.domains])
     members = stored(docs.select(n_words(F.col("text")).alias("n"),
                                  model.column(F.col("text")).alias("p")), "mixing-members")
-    residuals, step, _, _ = fit_rates(members, len(model.domains), wanted, keep_all)
+    residuals, step, target, reached = fit_rates(members, len(model.domains), wanted, keep_all)
+    require_met(target, reached, model.domains)
     name = fresh_name(docs, "_mix")
     out = docs.withColumn(name, F.struct(n_words(docs["text"]).alias("n_tokens"),
                                          model.column(docs["text"]).alias("posterior")))

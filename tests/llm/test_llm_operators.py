@@ -369,6 +369,19 @@ def test_mixing_meets_targets(spark):
     assert target == pytest.approx([0.2, 0.3, 0.5])
 
 
+@pytest.mark.parametrize("shares", [(0.9, 0.07, 0.02, 0.01), (0.6, 0.3, 0.099, 0.001)])
+def test_mixing_meets_rare_targets(spark, shares):
+    rows = [(int(round(1e6 * s)), [0.997 * (i == d) + 0.003 * share for i, share
+                                   in enumerate(shares)]) for d, s in enumerate(shares)]
+    members = spark.createDataFrame(rows, "n long, p array<double>")
+    _, _, target, reached = mixing.fit_rates(members, 4)
+    assert target[3] > 2 * shares[3]
+    assert reached == pytest.approx(target, rel=0.01)
+    mixing.require_met(target, reached, list("abcd"))
+    with pytest.raises(RuntimeError, match="d: "):
+        mixing.require_met(target, np.array([*target[:3], 0.2 * target[3]]), list("abcd"))
+
+
 def test_mixing_query(spark):
     rows = queries.op8_mixing(spark, MEDIUM).collect()
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()}
