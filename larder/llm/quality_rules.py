@@ -11,8 +11,9 @@ are rejected.
   covariance, repeat.  A step is one pass: distances fall into narrow
   logarithmic bins, and bins carry sums and sums of products, so a group is
   only ever seen as a bounded number of partial sums (map-side combined).
-  The support is cut at a bin edge; nothing is sampled and no group is
-  collected, however many rows it has.
+  The bin at the support's edge counts with the share that is needed of it, so
+  many rows at one distance do not widen the support; nothing is sampled and
+  no group is collected, however many rows it has.
 * Groups smaller than ``MIN_GROUP`` are pooled by language, and languages
   still too small over the corpus; if even that pool is too small there is
   no estimate and the method rejects nothing.
@@ -45,7 +46,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
 
 DIMS = ("word_len", "symbols", "caps", "stutter", "repeats", "dup_lines", "stops", "spread")
-SUPPORT = 0.75
+SUPPORT = 0.5         # the usual half: up to that share of junk cannot move the estimate
 STEPS = 6
 MIN_GROUP = 100
 # Least standard deviation of each statistic: what one odd word does to a short text.
@@ -223,17 +224,19 @@ def _concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("d2").alias("sum_d2"), *sums)
     order = Window.partitionBy("group").orderBy("bin")
     every = Window.partitionBy("group")
+    needed = F.lit(SUPPORT) * F.col("all") - F.col("below")
     support = (bins.withColumn("below", F.sum("n").over(order) - F.col("n"))
-               .withColumn("all", F.sum("n").over(every))
-               .where(F.col("below") < F.lit(SUPPORT) * F.col("all")))
+               .withColumn("all", F.sum("n").over(every)).where(needed > 0)
+               .withColumn("part", F.least(F.lit(1.0), needed / F.col("n"))))
+    part = F.col("part")
     total = support.groupBy("group").agg(
-        F.sum("n").alias("n"), F.max("all").alias("all"),
-        F.max("bin").alias("edge"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(len(sums))])
+        F.sum(part * F.col("n")).alias("n"),
+        *[F.sum(part * F.col(f"s{k}")).alias(f"s{k}") for k in range(len(sums))])
     mean = [F.col(f"s{k}") / F.col("n") for k in range(d)]
     place = {p: d + k for k, p in enumerate(products)}
     cov = [F.col(f"s{place[min(i, j), max(i, j)]}") / F.col("n") - mean[i] * mean[j]
            for i in range(d) for j in range(d)]
-    # The covariance of the nearest three quarters is too small by a known factor.
+    # The covariance of the nearest half is too small by a known factor.
     factor = F.lit(consistency(SUPPORT, d))
     return total.select("group", F.array(*mean).alias("centre"), _inverse_udf(
         F.array(*[factor * c for c in cov])).alias("precision"))

@@ -451,6 +451,20 @@ def test_mcd_resists_outliers(spark):
     assert (distance[200:] <= quality_rules.CUTOFF).all()
 
 
+def test_mcd_resists_a_third_of_copies(spark):
+    rng = np.random.default_rng(1)
+    d = len(quality_rules.DIMS)
+    x = rng.normal(0.0, 1.0, (1_000, d))
+    x[:340] = 4.0
+    vectors = spark.createDataFrame([("g", *map(float, v)) for v in x], "group string, " + ", ".join(
+        f"{c} double" for c in quality_rules.DIMS))
+    estimate = quality_rules.robust_estimates(vectors).first()
+    gap = x - np.array(estimate.centre)
+    distance = np.einsum("ni,ij,nj->n", gap, np.array(estimate.precision).reshape(d, d), gap)
+    assert (distance[:340] > quality_rules.CUTOFF).all()
+    assert (distance[340:] <= quality_rules.CUTOFF).all()
+
+
 def test_rules_keep_good_documents(spark):
     labels = spark.read.parquet(f"{MEDIUM}/labels.parquet")
     rows = queries.op10_quality_rules(spark, MEDIUM).join(labels, "doc_id").collect()
