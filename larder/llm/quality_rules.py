@@ -14,9 +14,10 @@ are rejected.
   The bin at the support's edge counts with the share that is needed of it, so
   many rows at one distance do not widen the support; nothing is sampled and
   no group is collected, however many rows it has.
-* Groups smaller than ``MIN_GROUP`` are pooled by language, and languages
-  still too small over the corpus; if even that pool is too small there is
-  no estimate and the method rejects nothing.
+* Groups smaller than ``MIN_GROUP`` are judged by the estimate over all rows
+  of their language, and those of languages still too small by the one over
+  the whole corpus; only a corpus smaller than that has no estimate, and the
+  method then rejects nothing.
 * The statistics do not depend on a text's length by themselves, so that a
   long or short clean document is no outlier for its length alone.
 
@@ -148,22 +149,33 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             .mapInArrow(_statistics_batches, _STATS))
 
 
-def _grouped(stats: DataFrame) -> DataFrame:
-    """Adds ``group``: language and source, or the pool a small group falls into."""
-    sizes = (stats.where("NOT base_failed")
-             .groupBy(F.col("lang").alias("own_lang"), F.col("source").alias("own_source"))
-             .agg(F.count(F.lit(1)).alias("n"))
-             .withColumn("whole", F.to_json(F.struct("own_lang", "own_source")))
-             .withColumn("pool", F.to_json(F.struct("own_lang"))))
-    small = F.col("n") < MIN_GROUP
-    pools = sizes.where(small).groupBy("pool").agg(F.sum("n").alias("n_pool"))
-    names = sizes.join(pools, "pool", "left").select(
-        "own_lang", "own_source",
-        F.when(~small, F.col("whole")).when(F.col("n_pool") >= MIN_GROUP, F.col("pool"))
-        .otherwise(F.lit("{}")).alias("group"))
-    return (stats.join(names, F.col("lang").eqNullSafe(F.col("own_lang"))
-                       & F.col("source").eqNullSafe(F.col("own_source")), "left")
-            .drop("own_lang", "own_source"))
+def _grouped(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``stats`` with ``group``, whose estimate judges a row, and the vectors of every estimate.
+
+    A group is a language and source, or for small ones their whole language, or else the
+    whole corpus; a row's vector takes part in each of these that some row is judged by.
+    """
+    sizes = stored(stats.where("NOT base_failed")
+                   .groupBy(F.col("lang").alias("own_lang"), F.col("source").alias("own_source"))
+                   .agg(F.count(F.lit(1)).alias("n")), "mcd-sizes")
+    langs = sizes.groupBy(F.col("own_lang").alias("of_lang")).agg(F.sum("n").alias("n_lang"))
+    own = F.concat(F.lit("source "), F.to_json(F.struct("own_lang", "own_source")))
+    lang = F.concat(F.lit("language "), F.to_json(F.struct("own_lang")))
+    names = stored(
+        sizes.join(langs, F.col("own_lang").eqNullSafe(F.col("of_lang"))).select(
+            "own_lang", "own_source", F.array(own, lang, F.lit("corpus")).alias("levels"),
+            F.when(F.col("n") >= MIN_GROUP, own).when(F.col("n_lang") >= MIN_GROUP, lang)
+            .otherwise(F.lit("corpus")).alias("group")), "mcd-names")
+    used = names.select("group").distinct()
+    parts = (names.select("own_lang", "own_source", F.explode("levels").alias("group"))
+             .join(used, "group", "left_semi"))
+
+    def named(rows: DataFrame, by: DataFrame, how: str) -> DataFrame:
+        return rows.join(by, F.col("lang").eqNullSafe(F.col("own_lang"))
+                         & F.col("source").eqNullSafe(F.col("own_source")), how)
+    vectors = named(stats.where("NOT base_failed"), parts, "inner").select("group", *DIMS)
+    return (named(stats, names.drop("levels"), "left").drop("own_lang", "own_source"),
+            stored(vectors, "mcd-vectors"))
 
 
 def _medians(stats: DataFrame, centre: DataFrame | None) -> DataFrame:
@@ -274,8 +286,8 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     stats = document_statistics(docs).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS)
         | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")))
-    stats = stored(_grouped(stored(stats, "mcd-statistics")), "mcd-grouped")
-    vectors = stats.where("NOT base_failed").select("group", *DIMS)
+    stats, vectors = _grouped(stored(stats, "mcd-statistics"))
+    stats = stored(stats, "mcd-grouped")
     sizes = vectors.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {MIN_GROUP}")
     # Written, so that the planner knows its size: the hot group's rows then need no shuffle
     # while the estimates are small, and a skew-split shuffle join beyond that.

@@ -465,6 +465,27 @@ def test_mcd_resists_a_third_of_copies(spark):
     assert (distance[340:] <= quality_rules.CUTOFF).all()
 
 
+def test_rules_judge_rare_groups(spark):
+    """A rare source, language or null language is judged by its language or the corpus."""
+    rng = random.Random(4)
+    words = "the of and stone river garden winter people market mountain house letter".split()
+
+    def clean():
+        return " ".join(rng.choice(words) for _ in range(60))
+
+    rows = [("en", "big", clean()) for _ in range(150)]
+    for lang, source in (("en", "rare"), ("xx", "a"), (None, None)):
+        rows += [(lang, source, clean()) for _ in range(10)]
+        rows += [(lang, source, clean().upper().replace(" ", " ## "))]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
+                                 "doc_id long, lang string, source string, text string")
+    found = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert len(found) == len(rows)
+    for i, (_, _, text) in enumerate(rows):
+        assert not found[i].base_failed and found[i].distance is not None
+        assert found[i].kept == ("##" not in text)
+
+
 def test_rules_keep_good_documents(spark):
     labels = spark.read.parquet(f"{MEDIUM}/labels.parquet")
     rows = queries.op10_quality_rules(spark, MEDIUM).join(labels, "doc_id").collect()
