@@ -52,9 +52,11 @@ STEPS = 6
 MIN_GROUP = 100
 # Least standard deviation of each statistic: what one odd word does to a short text.
 MIN_SD = np.array([0.08, 0.25, 0.15, 0.08, 0.10, 0.12, 0.08, 0.04])
-# Rejected: squared distance over this.  99.99 % point of chi-square with 8 degrees is 31.8;
-# twice that, as real groups have heavier tails than a normal distribution.
-CUTOFF = 64.0
+# Rejected: squared distance over this, the 99.99 % point of chi-square with 8 degrees.  In a
+# group with a median distance over chi-square's, distances are scaled down to that median; never
+# up, as MIN_SD is a floor that many equal texts must not lower.
+CUTOFF = 31.83
+MEDIAN = 7.344       # of chi-square with 8 degrees
 _CODES = 64          # quantisation of a statistic for exact medians
 _BINS_PER_OCTAVE = 8
 
@@ -278,7 +280,21 @@ def robust_estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
         "group", "centre", _inverse_udf(F.array(*diagonal)).alias("precision")), "mcd-start")
     for _ in range(steps):
         estimate = stored(_concentrate(vectors, estimate), "mcd-step")
-    return estimate
+    return _rescaled(vectors, estimate)
+
+
+def _rescaled(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
+    """``estimate`` with the precision lowered where a group's median distance is too large."""
+    counts = (vectors.join(estimate, "group")
+              .select("group", F.round(_CODES * F.log2(_distance() + 1e-6)).alias("code"))
+              .groupBy("group", "code").agg(F.count(F.lit(1)).alias("n")))
+    upto = F.sum("n").over(Window.partitionBy("group").orderBy("code"))
+    every = F.sum("n").over(Window.partitionBy("group"))
+    middle = (counts.withColumn("upto", upto).withColumn("all", every)
+              .where("2 * upto >= all").groupBy("group").agg(F.min("code").alias("code")))
+    scale = F.least(F.lit(1.0), MEDIAN / F.pow(F.lit(2.0), F.col("code") / _CODES))
+    return estimate.join(middle, "group").select(
+        "group", "centre", F.transform("precision", lambda x: x * scale).alias("precision"))
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:

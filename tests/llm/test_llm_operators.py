@@ -494,6 +494,14 @@ def test_rules_keep_good_documents(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.3
 
 
+def test_rules_reject_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = quality_rules.judge(docs).join(labels, "doc_id").where("NOT base_failed").collect()
+    assert np.mean([r.kept for r in rows if r.quality == 1]) > 0.99
+    assert np.mean([r.kept for r in rows if r.quality == 0]) < 0.01
+
+
 # --- pipeline ----------------------------------------------------------------------------------
 
 def test_pipeline_decisions(spark):
