@@ -8,7 +8,10 @@ kernel, a two-means threshold splits lines into content and the rest, and
 the regions (an ``article``/``main``, else the nearest container) that the
 content lines mark are returned whole, so that short paragraphs between
 long ones stay.  Elements that HTML itself marks as something other than the
-article (menus, footers, forms, scripts ...) never fill a line.
+article (menus, footers, forms, scripts ...) never fill a line, nor do
+elements whose class, id or role hints at that; but a hinted element that
+turns out to hold ``main``, the article or most of the text is only a wrapper
+with a misleading name, and its hint is ignored.
 
 Defined results: null or empty html, or a page without text, gives ''.
 Unclosed, misnested and cut-off tags are repaired as a browser would; a tag
@@ -53,20 +56,26 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _STATE_CLASS = re.compile(r"^(has|with|no|without|is)[-_]")
 
 
-def _hinted(tag: str, attrs) -> bool:
+HEADER_HINTS = frozenset("header masthead".split())
+
+
+def _hidden(tag: str, attrs) -> bool:
     if tag in HEADINGS or tag in ("html", "body", "main"):
         return False
+    return any(name == "hidden" or (name == "aria-hidden" and value == "true")
+               or (name == "style" and value
+                   and "display:none" in value.replace(" ", "").lower())
+               for name, value in attrs)
+
+
+def _hints(tag: str, attrs) -> frozenset:
+    """Words of class, id and role that mark something other than the article."""
+    if tag in HEADINGS or tag in ("html", "body", "main"):
+        return frozenset()
     wanted = ARTICLE_HINTS if tag == "article" else HINTS
-    for name, value in attrs:
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style" and value and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name in ("class", "id", "role") and value:
-            for part in value.lower().split():
-                if not _STATE_CLASS.match(part) and not wanted.isdisjoint(_SPLIT.split(part)):
-                    return True
-    return False
+    return frozenset(word for name, value in attrs if name in ("class", "id", "role") and value
+                     for part in value.lower().split() if not _STATE_CLASS.match(part)
+                     for word in _SPLIT.split(part) if word in wanted)
 
 
 class LineParser(HTMLParser):
@@ -74,27 +83,59 @@ class LineParser(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int]] = []
+        # lines before hints are decided: [pieces, tags since the line before, region, article?]
+        self.raw: list[tuple[list, int, int, bool]] = []
         # open elements: (tag, skipped, region id, inside an article, inside a header of it)
         self.open: list[tuple[str, bool, int, bool, bool]] = [("", False, 0, False, False)]
-        self.text: list[str] = []
+        # pieces of text: (text, hinted elements it is in, link characters)
+        self.text: list[tuple[str, tuple, int]] = []
+        self.within: list[tuple] = [()]         # hinted elements around each open element
+        self.soft: list[frozenset] = []         # the hints of each hinted element
+        self.wraps: set[int] = set()            # hinted elements with main inside
+        self.articles: list[list] = []          # [hinted elements around it, characters]
+        self.article_of: list[int] = [-1]       # article of each open element
+        self.size: dict[tuple, int] = {}        # characters by hinted elements around them
         self.tags = 0
-        self.links = 0
         self.in_link = 0
         self.n_regions = 0
 
     def flush(self):
-        text = " ".join("".join(self.text).split())
-        if text:
+        if self.text:
             _, _, region, article, _ = self.open[-1]
-            self.lines.append((text, max(1, self.tags), region, article, self.links))
-            self.tags = 0
-        self.text, self.links = [], 0
+            self.raw.append((self.text, self.tags, region, article))
+            self.text, self.tags = [], 0
+
+    def misleading(self) -> set[int]:
+        """Hinted elements that hold main, the article or most of the page's text."""
+        page = sum(self.size.values())
+        own = [0] * len(self.soft)
+        for around, n in self.size.items():
+            for h in around:
+                own[h] += n
+        longest = [0] * len(self.soft)
+        for around, n in self.articles:
+            for h in around:
+                longest[h] = max(longest[h], n)
+        return {h for h, words in enumerate(self.soft) if h in self.wraps
+                or (words.isdisjoint(ARTICLE_HINTS) and own[h]
+                    and (2 * own[h] > page or longest[h] > page - own[h]))}
+
+    @property
+    def lines(self) -> list[tuple[str, int, int, bool, int]]:
+        spared, tags, out = self.misleading(), 0, []
+        for pieces, more, region, article in self.raw:
+            tags += more
+            pieces = [p for p in pieces if spared.issuperset(p[1])]
+            text = " ".join("".join(p[0] for p in pieces).split())
+            if text:
+                out.append((text, max(1, tags), region, article, sum(p[2] for p in pieces)))
+                tags = 0
+        return out
 
     def _pop_to(self, tag: str):
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
-                del self.open[i:]
+                del self.open[i:], self.within[i:], self.article_of[i:]
                 return
             if tag not in CONTAINERS and self.open[i][0] in CONTAINERS:
                 return
@@ -102,7 +143,7 @@ class LineParser(HTMLParser):
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", (), 0))
         if tag in BLOCKS:
             self.flush()
             self._pop_to("p")
@@ -123,11 +164,23 @@ class LineParser(HTMLParser):
         elif tag in CONTAINERS and not article:
             self.n_regions += 1
             region = self.n_regions
-        if tag == "header":
+        hints, around, own = _hints(tag, attrs), self.within[-1], self.article_of[-1]
+        if tag == "header" or (article and hints and hints <= HEADER_HINTS):
             in_header = article
             skipped = skipped or not article
-        skipped = skipped or tag in SKIPPED or _hinted(tag, attrs)
+            hints = hints - HEADER_HINTS
+        skipped = skipped or tag in SKIPPED or _hidden(tag, attrs)
+        if tag == "main" and not skipped:
+            self.wraps.update(around)
+        if hints:
+            around = (*around, len(self.soft))
+            self.soft.append(hints)
+        elif tag == "article" and not skipped:
+            own = len(self.articles)
+            self.articles.append([around, 0])
         self.open.append((tag, skipped, region, article, in_header))
+        self.within.append(around)
+        self.article_of.append(own)
         if tag == "a":
             self.in_link += 1
 
@@ -148,9 +201,12 @@ class LineParser(HTMLParser):
         _, skipped, _, _, in_header = self.open[-1]
         if skipped or (in_header and not any(e[0] in HEADINGS for e in self.open)):
             return
-        self.text.append(data)
-        if self.in_link:
-            self.links += len(data.strip())
+        n = len(data.strip())
+        around = self.within[-1]
+        self.size[around] = self.size.get(around, 0) + n
+        if self.article_of[-1] >= 0:
+            self.articles[self.article_of[-1]][1] += n
+        self.text.append((data, around, n if self.in_link else 0))
 
 
 def _smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:

@@ -44,6 +44,24 @@ def test_html_article_alone():
         "Short.\nLast paragraph, again with a good number of words in it.")
 
 
+@pytest.mark.parametrize("name", ["page-with-sidebar", "sidebar-layout", "social-page",
+                                  "notice-board"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_html_misleading_wrapper(name, tag):
+    body = "A long paragraph of running text that is the main content of this page. " * 3
+    page = (f'<div class="{name}"><{tag}><h1>Title</h1><p>{body}</p></{tag}>'
+            '<div class="sidebar"><p>Side words</p></div></div><div class="social">Share</div>')
+    assert html_text.extract(page) == "Title\n" + body.strip()
+
+
+@pytest.mark.parametrize("tag", ["div", "header"])
+def test_html_hinted_header_keeps_heading(tag):
+    page = (f'<article><{tag} class="entry-header"><h1>Title</h1><p>by someone</p></{tag}>'
+            "<p>A long paragraph of running text that is the main content.</p></article>")
+    assert html_text.extract(page) == (
+        "Title\nA long paragraph of running text that is the main content.")
+
+
 def test_html_without_article_element():
     page = ("<div class=top><a href=a>Home</a> <a href=b>News</a></div><div><h2>Title</h2>"
             "<p>A long paragraph of running text that is the main content of this page.</p>"
