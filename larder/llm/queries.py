@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (byte_bpe, chat, html_text, mixing, neural_lm, quality_mil, quality_rules, simhash,
-               toxicity, winnowing)
+from . import (alignment, byte_bpe, chat, html_text, merkle, mixing, neural_lm, pii, quality_mil,
+               quality_rules, simhash, toxicity, winnowing)
 from .common import table
 
 
@@ -53,10 +53,23 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark, sf_dir):
+    return alignment.align_public(table(spark, sf_dir, "documents"))
+
+
+def op13_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def registry():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB twins of the queries that SQL can express."""
-    return {}
+    return {"op11_merkle_manifest": merkle.ORACLE_SQL}
