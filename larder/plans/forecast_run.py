@@ -11,6 +11,7 @@ output; the daily table is materialised once.
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -39,25 +40,60 @@ class ForecastResult:
     backtest: DataFrame         # hold-out rows with model columns
 
 
-def gbt_predictor():
-    """Backtest predictor: GBT on the training slice's daily-lane
-    series, predicting the static future features of the test days."""
+def _daily_lane(lanes: DataFrame) -> DataFrame:
+    return lanes.where(F.col("lane") == "daily").select(*KEYS)
+
+
+def _train_grid(train: DataFrame, first, train_last) -> DataFrame:
+    return DM.dense_demand(train.groupBy(*KEYS, "date").agg(F.sum("qty").alias("qty")),
+                           first, train_last)
+
+
+def gbt_predictor(product_config: ProductConfig | None = None):
+    """Backtest predictor: GBT fitted to the training slice's daily-lane
+    series, then day by day over the test days."""
     def predict(train: DataFrame, first, train_last, days: int) -> DataFrame:
-        dense = DM.dense_demand(train.groupBy(*KEYS, "date").agg(F.sum("qty").alias("qty")),
-                                first, train_last)
-        lanes = LN.lanes(train, None, first, train_last).where(F.col("lane") == "daily")
-        fm = FT.complete_rows(FT.feature_matrix(dense)).join(lanes.select(*KEYS), KEYS, "left_semi")
-        fm = materialize(FT.recency_weights(fm, ["store"]), "bt-gbt-train")
-        fit = MD.fit_gbt(fm)
-        fut = FT.future_features(dense, days)
-        return MD.predict_gbt(fit, fut).select(*KEYS, "day_idx", "pred_gbt")
+        dense = materialize(_train_grid(train, first, train_last), "bt-dense")
+        pairs = materialize(_daily_lane(LN.lanes(train, product_config, first, train_last)),
+                            "bt-daily-pairs")
+        fm = FT.complete_rows(FT.feature_matrix(dense.join(pairs, KEYS, "left_semi")))
+        fit = MD.fit_gbt(materialize(FT.recency_weights(fm, ["store"]), "bt-gbt-train"))
+        return MD.recursive_gbt(fit, dense, train_last, days, only=pairs).select(
+            *KEYS, "day_idx", "pred_gbt")
     return predict
 
 
-def exp_predictor(train: DataFrame, first, train_last, days: int) -> DataFrame:
-    dense = DM.dense_demand(train.groupBy(*KEYS, "date").agg(F.sum("qty").alias("qty")),
-                            first, train_last)
-    return MD.holt_winters(dense, train_last, days).select(*KEYS, "day_idx", "pred_exp")
+def exp_predictor(train: DataFrame, first, train_last, days: int,
+                  product_config: ProductConfig | None = None) -> DataFrame:
+    """Holt-Winters over the training slice, for the daily lane only."""
+    pairs = _daily_lane(LN.lanes(train, product_config, first, train_last))
+    return MD.holt_winters(_train_grid(train, first, train_last), train_last, days,
+                           only=pairs).select(*KEYS, "day_idx", "pred_exp")
+
+
+def predictors(product_config: ProductConfig | None = None, use_gbt: bool = True) -> dict:
+    """The hold-out predictors of the ensemble, by model."""
+    found = {"dow": EV.dow_predictor,
+             "exp": lambda *args: exp_predictor(*args, product_config=product_config)}
+    return found | ({"gbt": gbt_predictor(product_config)} if use_gbt else {})
+
+
+def _learned(dense: DataFrame, pairs: DataFrame, tiers: DataFrame, last,
+             days: int) -> tuple[DataFrame, DataFrame]:
+    """Day-by-day GBT of the daily-lane series ``pairs``, and the two-stage model's of
+    those of the sporadic tier.  The models' Spark jobs overlap."""
+    features = FT.complete_rows(FT.feature_matrix(dense.join(pairs, KEYS, "left_semi")))
+    train = materialize(FT.recency_weights(features, ["store"]), "gbt-train")
+    rare = materialize(pairs.join(tiers.where(F.col("volume_tier") == "sporadic"), KEYS,
+                                  "left_semi"), "sporadic-pairs")
+    rare_train = materialize(FT.recency_weights(
+        train.drop("weight").join(rare, KEYS, "left_semi"), ["store"]), "sporadic-train")
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        gbt, sporadic = pool.submit(MD.fit_gbt, train), pool.submit(MD.fit_sporadic, rare_train)
+        gbt, sporadic = gbt.result(), sporadic.result()
+    return (MD.recursive_gbt(gbt, dense, last, days, only=pairs).select(*KEYS, "day_idx", "pred_gbt"),
+            MD.recursive_sporadic(sporadic, dense, last, days, only=rare).select(
+                *KEYS, "day_idx", "pred_sporadic"))
 
 
 def run_forecast(lines: DataFrame, product_config: ProductConfig | None = None,
@@ -68,10 +104,8 @@ def run_forecast(lines: DataFrame, product_config: ProductConfig | None = None,
     lo, hi = DM.date_bound_values(daily)
     first, last = F.lit(lo), F.lit(hi)
 
-    predictors = {"dow": EV.dow_predictor, "exp": exp_predictor}
-    if use_gbt:
-        predictors["gbt"] = gbt_predictor()
-    bt = materialize(EV.backtest(daily, C.BACKTEST_TEST_DAYS, pc, predictors), "backtest")
+    bt = materialize(EV.backtest(daily, C.BACKTEST_TEST_DAYS, pc, predictors(pc, use_gbt)),
+                     "backtest")
     models = ("dow", "exp", "gbt") if use_gbt else ("dow", "exp")
     wrow = EV.ensemble_weights(bt, models).first()
     weights = {m: float(wrow[m]) for m in models}
@@ -81,21 +115,14 @@ def run_forecast(lines: DataFrame, product_config: ProductConfig | None = None,
     dense = materialize(DM.dense_demand(daily, first, last), "dense")
     base = DW.lane_forecast(daily, pc, days, first, last)          # lane + DOW preds
     preds = base.withColumnRenamed("pred", "pred_lane_or_dow")
-    hw = MD.holt_winters(dense, last, days).select(*KEYS, "day_idx", "pred_exp")
+    daily_pairs = materialize(_daily_lane(LN.lanes(daily, pc, first, last)), "daily-pairs")
+    hw = MD.holt_winters(dense, last, days, only=daily_pairs).select(*KEYS, "day_idx", "pred_exp")
     preds = preds.join(hw, [*KEYS, "day_idx"], "left")
 
     tiers = FT.volume_tiers(dense).select(*KEYS, "volume_tier")
     preds = preds.join(tiers, KEYS, "left")
     if use_gbt:
-        daily_pairs = base.where(F.col("lane") == "daily").select(*KEYS).distinct()
-        train = FT.complete_rows(FT.feature_matrix(dense)).join(daily_pairs, KEYS, "left_semi")
-        train = materialize(FT.recency_weights(train, ["store"]), "gbt-train")
-        fit = MD.fit_gbt(train)
-        fut = FT.future_features(dense, days)
-        gb = MD.predict_gbt(fit, fut).select(*KEYS, "day_idx", "pred_gbt")
-        spor_train = train.join(tiers.where(F.col("volume_tier") == "sporadic"), KEYS, "left_semi")
-        spor = MD.fit_sporadic(spor_train)
-        sp = MD.predict_sporadic(spor, fut).select(*KEYS, "day_idx", "pred_sporadic")
+        gb, sp = _learned(dense, daily_pairs, tiers, last, days)
         preds = preds.join(gb, [*KEYS, "day_idx"], "left").join(sp, [*KEYS, "day_idx"], "left")
     else:
         preds = preds.withColumn("pred_gbt", F.lit(0.0)).withColumn("pred_sporadic", F.lit(None).cast("double"))
@@ -171,12 +198,10 @@ def backfill(history: DataFrame, daily: DataFrame, weights: dict | None = None,
     days = (hi - gap_start).days + 1
     tlast = F.lit(gap_start - dt.timedelta(days=1))
     if weights is None:
-        predictors = {"dow": EV.dow_predictor, "exp": exp_predictor}
-        if use_gbt:
-            predictors["gbt"] = gbt_predictor()
-        models = tuple(predictors)
-        row = EV.ensemble_weights(EV.backtest(daily, C.BACKTEST_TEST_DAYS, product_config,
-                                              predictors), models).first()
+        models = ("dow", "exp", "gbt") if use_gbt else ("dow", "exp")
+        row = EV.ensemble_weights(EV.backtest(
+            daily, C.BACKTEST_TEST_DAYS, product_config, predictors(product_config, use_gbt)),
+            models).first()
         weights = {"gbt": 0.0} | {m: float(row[m]) for m in models}
     pairs = daily.select(*KEYS).distinct()
     train = (daily.select(*KEYS, "date", "qty").where(F.col("date") < F.lit(gap_start))
@@ -186,7 +211,9 @@ def backfill(history: DataFrame, daily: DataFrame, weights: dict | None = None,
     rates = LN.window_stats(train, first, tlast).select(
         *KEYS, LN.intermittent_rate().alias("rate_i"), LN.periodic_rate().alias("rate_p"))
     preds = DW.dow_forecast(train, 2, days, first, tlast).withColumnRenamed("pred", "pred_dow")
-    preds = preds.join(exp_predictor(train, first, tlast, days), [*KEYS, "day_idx"], "left")
+    smoothed = MD.holt_winters(_train_grid(train, first, tlast), tlast, days,
+                               only=_daily_lane(lane_of))
+    preds = preds.join(smoothed.select(*KEYS, "day_idx", "pred_exp"), [*KEYS, "day_idx"], "left")
     tiers = FT.volume_tiers(dense).select(*KEYS, "volume_tier")
     if use_gbt:
         rows = materialize(FT.recency_weights(FT.complete_rows(FT.feature_matrix(dense)),

@@ -458,31 +458,43 @@ def quality_summary(spark, sf):
 def holt_winters(spark, sf):
     daily = _daily(spark, sf, "type")
     first, last = DM.date_bounds(daily)
-    return round_all(MD.holt_winters(DM.dense_demand(daily, first, last), last))
+    pairs = LN.lanes(daily, None, first, last).where(F.col("lane") == "daily")
+    return round_all(MD.holt_winters(DM.dense_demand(daily, first, last), last, only=pairs))
 
 
-def _gbt_fit(spark, sf, kind="type"):
+def _gbt_train(spark, sf, kind="type"):
+    """The dense grid, its last day and the daily lane's weighted training rows."""
     daily = _daily(spark, sf, kind)
     first, last = DM.date_bounds(daily)
     dense = materialize(DM.dense_demand(daily, first, last), f"dense-{kind}")
-    lanes = LN.lanes(daily, None, first, last).where(F.col("lane") == "daily")
-    train = FT.complete_rows(FT.feature_matrix(dense)).join(lanes.select("store", "product"),
-                                                           ["store", "product"], "left_semi")
-    train = materialize(FT.recency_weights(train, ["store"]), f"gbt-train-{kind}")
-    fit = MD.fit_gbt(train)
-    return fit, dense
+    pairs = LN.lanes(daily, None, first, last).where(F.col("lane") == "daily")
+    rows = FT.complete_rows(FT.feature_matrix(dense.join(pairs, ["store", "product"],
+                                                         "left_semi")))
+    return dense, last, materialize(FT.recency_weights(rows, ["store"]), f"gbt-train-{kind}")
 
 
 def gbt_forecast(spark, sf):
-    fit, dense = _gbt_fit(spark, sf)
+    dense, _, train = _gbt_train(spark, sf)
     fut = FT.future_features(dense)
-    return round_all(MD.predict_gbt(fit, fut).select("store", "product", "day_idx", "date", "pred_gbt"))
+    return round_all(MD.predict_gbt(MD.fit_gbt(train), fut).select(
+        "store", "product", "day_idx", "date", "pred_gbt"))
 
 
 def gbt_recursive(spark, sf):
-    fit, dense = _gbt_fit(spark, sf)
-    last = F.lit(dense.agg(F.max("date")).first()[0])
-    return round_all(MD.recursive_gbt(fit, dense, last, materialize=materialize))
+    dense, last, train = _gbt_train(spark, sf)
+    return round_all(MD.recursive_gbt(MD.fit_gbt(train), dense, last))
+
+
+def sporadic_recursive(spark, sf):
+    """The two-stage model over the users' series, whose orders are rare."""
+    daily = materialize(_daily(spark, sf, "events"), "daily-events")
+    first, last = DM.date_bounds(daily)
+    dense = materialize(DM.dense_demand(daily, first, last), "dense-events")
+    rare = FT.volume_tiers(dense).where(F.col("volume_tier") == "sporadic")
+    rows = FT.complete_rows(FT.feature_matrix(dense.join(rare, ["store", "product"],
+                                                         "left_semi")))
+    models = MD.fit_sporadic(materialize(FT.recency_weights(rows, ["store"]), "sporadic-train"))
+    return round_all(MD.recursive_sporadic(models, dense, last, only=rare))
 
 
 def backfill(spark, sf):
@@ -494,8 +506,7 @@ def backfill(spark, sf):
 
 
 def feature_importance(spark, sf):
-    fit, _ = _gbt_fit(spark, sf)
-    rows = MD.feature_importance(fit)
+    rows = MD.feature_importance(MD.fit_gbt(_gbt_train(spark, sf)[2]))
     return round_all(spark.createDataFrame(rows, "store string, feature string, importance double"))
 
 
@@ -506,9 +517,7 @@ def ensemble_forecast(spark, sf):
 
 def ensemble_weights(spark, sf):
     daily = _daily(spark, sf, "type")
-    bt = EV.backtest(daily, predictors={"dow": EV.dow_predictor, "exp": FR.exp_predictor,
-                                        "gbt": FR.gbt_predictor()})
-    return EV.ensemble_weights(bt)
+    return EV.ensemble_weights(EV.backtest(daily, predictors=FR.predictors()))
 
 
 def top_corrections(spark, sf):
@@ -602,6 +611,8 @@ def registry() -> dict[str, Query]:
         "holt_winters": holt_winters,
         "gbt_forecast": gbt_forecast,
         "gbt_recursive": gbt_recursive,
+        "sporadic_recursive": sporadic_recursive,
+        "feature_importance": feature_importance,
         "backfill": backfill,
         "ensemble_weights": ensemble_weights,
         "ensemble_forecast": ensemble_forecast,

@@ -68,15 +68,6 @@ def test_dow_v2_matches_direct(spark):
         assert abs(pred[i] - expect) < 1e-9
 
 
-def test_holt_winters_invariants():
-    y = np.tile([1, 2, 3, 4, 5, 9, 0], 8).astype(float)
-    fc = MD.holt_winters_forecast(y, 14)
-    assert len(fc) == 14 and (fc >= 0).all()
-    assert abs(fc[:7].mean() - y.mean()) < 1.0                    # seasonal level preserved
-    assert np.allclose(MD.holt_winters_forecast(np.array([1.0, 2.0, 3.0]), 5), 2.0)   # short -> mean
-    assert np.allclose(MD.holt_winters_forecast(np.zeros(30), 3), 0.0)
-
-
 def test_plan_lifecycle(app, spark):
     plans = spark.createDataFrame([], "id long, plan_date date, status string, "
                                       "generated_at timestamp_ntz, generated_by_user_id long")
@@ -122,29 +113,6 @@ def test_plan_lifecycle(app, spark):
     assert gone["plans"].count() == 0 and gone["lines"].count() == 0
 
 
-def test_recursive_gbt_small(spark):
-    from larder.operators import features as FT
-    rng = np.random.default_rng(3)
-    rows = [(s, p, d, int(rng.integers(0, 5))) for s in ("A", "B") for p in ("x", "y") for d in range(60)]
-    daily = _daily(spark, rows)
-    dense = DM.dense_demand(daily)
-    train = FT.recency_weights(FT.complete_rows(FT.feature_matrix(dense)), ["store"])
-    each = MD.fit_gbt(train, mode="per_store", params={"maxIter": 3})
-    assert each["mode"] == "per_store" and set(each["models"]) == {"A", "B"}
-    fit = MD.fit_gbt(train, params={"maxIter": 3})
-    assert fit["mode"] == "pooled"
-    last = F.lit(D0 + dt.timedelta(days=59))
-    out = MD.recursive_gbt(fit, dense, last, days=5).collect()
-    assert len(out) == 4 * 5 and all(r.pred_gbt >= 0 for r in out)
-    assert sorted({r.day_idx for r in out}) == [0, 1, 2, 3, 4]
-    static = MD.predict_gbt(fit, FT.future_features(dense, 5)).where("day_idx = 0").collect()
-    rec0 = {(r.store, r.product): r.pred_gbt for r in out if r.day_idx == 0}
-    # day 0 of the recursion sees exactly the static features except the
-    # rolling std (sample std in both) -> identical first-day predictions
-    for r in static:
-        assert abs(rec0[(r.store, r.product)] - r.pred_gbt) < 1e-9
-
-
 def test_lit_value_only_for_tagged_columns(spark):
     from larder.functions.calendar import date_lit, lit_value
     assert lit_value(date_lit(D0)) == D0
@@ -171,20 +139,3 @@ def test_backfill_fills_days_without_sales(spark):
     assert got["rare", 83].predicted == expected
     r = got["rare", 84]
     assert r.error == round(expected - 4, 2) and r.model_version == "v2_backfill"
-
-
-def test_sporadic_model_is_pooled(spark, monkeypatch):
-    monkeypatch.setitem(MD.SPORADIC_CLS, "maxIter", 2)
-    monkeypatch.setitem(MD.SPORADIC_REG, "maxIter", 2)
-    rng = np.random.default_rng(0)
-    rows = []
-    for store, n in (("A", 40), ("B", 40), ("C", 5)):
-        for _ in range(n):
-            x = float(rng.random() < 0.5)
-            rows.append((store, "p", 5.0 * x, 1.0, *[x] * len(MD.MODEL_FEATURES)))
-    df = spark.createDataFrame(rows, "store string, product string, qty double, weight double, "
-                               + ", ".join(f"{c} double" for c in MD.MODEL_FEATURES))
-    out = MD.predict_sporadic(MD.fit_sporadic(df), df).collect()
-    assert len(out) == 85
-    assert all(r.pred_sporadic is None for r in out if r.store == "C")
-    assert all((r.pred_sporadic > 2.5) == (r.qty > 0) for r in out if r.store != "C")
