@@ -17,9 +17,11 @@ their values.
 * Log loss: a leaf's value is one Newton step.
 
 Row sampling goes by a hash of the row's key and the tree's number, so a fit
-does not depend on how rows are dealt to tasks.  Predictions so far are
-stored with the blocks every ``REFRESH`` trees; a pass adds the few trees
-since.  The model is a few arrays (trees x nodes), whatever the input.
+does not depend on how rows are dealt to tasks.  The executors keep the
+blocks with their predictions so far and add a tree when it is grown; every
+``REFRESH`` trees they are stored, which bounds what a lost executor's blocks
+take to make again.  The model is a few arrays (trees x nodes), whatever the
+input.
 """
 
 from __future__ import annotations
@@ -164,9 +166,13 @@ def _pack(model: Ensemble):
     return run
 
 
-def _loaded(blocks: DataFrame):
-    """The blocks' rows, kept by the executors; a lost part is read again from its file."""
-    return blocks.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+def _loaded(blocks: DataFrame, n_rows: float | None = None):
+    """The blocks, kept by the executors in tasks of about BLOCK_ROWS rows at least (many small
+    files would cost more to start than to read); a lost part is read again from its file."""
+    rows = blocks.rdd.map(tuple)
+    if n_rows is not None:
+        rows = rows.coalesce(max(1, int(-(-n_rows // BLOCK_ROWS))))
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _arrays(row, n_features):
@@ -198,19 +204,18 @@ def _merged(*parts):
     return slot, [np.bincount(at, np.concatenate(c), len(slot)) for c in columns]
 
 
-def _sums(rows, model: Ensemble, recent, collect) -> dict[str, np.ndarray]:
+def _sums(rows, model: Ensemble, collect) -> dict[str, np.ndarray]:
     """Sums of ``collect``'s columns by its slot: within a task, then over a tree of tasks.
 
     The sums are arrays of their own, not rows, which is why this is a tree
     aggregate and no grouping: nothing but one array a task is moved.
     """
-    n, depth = len(model.features), model.depth
+    n = len(model.features)
 
     def run(part):
         total = None
         for row in part:
-            x, y, w, h, f = _arrays(row, n)
-            own = collect(x, y, w, h, f + evaluate(x, *recent, depth))
+            own = collect(*_arrays(row, n))
             total = own if total is None else _merged(total, own)
         if total is not None:
             yield total
@@ -309,9 +314,12 @@ def fit(rows: DataFrame, features, label: Column, weight: Column | None, key: li
         if params.loss == "log":
             return _by_slot(np.zeros(len(y), np.int64), (w * y, w, np.ones(len(y))))
         return _by_slot(sketch_bin(y), (w * y, w, np.ones(len(y))))
-    sums = _sums(held, model, trees, first)
-    if not len(sums["slot"]):
+    sums = _sums(held, model, first)
+    held.unpersist()
+    n_rows = sums["c"].sum()
+    if not n_rows:
         return None
+    held = _loaded(blocks, n_rows)
     delta = 0.0
     if params.loss == "log":
         share = np.clip(sums["a"][0] / max(sums["b"][0], 1e-300), 1e-9, 1 - 1e-9)
@@ -321,14 +329,15 @@ def fit(rows: DataFrame, features, label: Column, weight: Column | None, key: li
         values, weights = sums["a"][use] / sums["b"][use], sums["b"][use]
         model.start = round(quantile(values, weights, 0.5), DIGITS)
         delta = round(quantile(np.abs(values - model.start), weights, params.alpha), DIGITS)
-    offset, since = model.start, 0                 # blocks were packed with a start of zero
+    held, spent = _advanced(held, len(features), lambda x: model.start), held
     model.gain = np.zeros(len(features))
     for tree in range(params.trees):
-        recent = tuple(part[since:] for part in trees)
         feature, cut = np.zeros(nodes, np.int16), np.full(nodes, NO_SPLIT, np.uint8)
         for level in range(params.depth):
-            found = _sums(held, model, recent, _moved(
-                _histograms(params, delta, tree, feature, cut, level), offset))
+            found = _sums(held, model, _histograms(params, delta, tree, feature, cut, level))
+            if spent is not None:                            # the new blocks are there now
+                spent.unpersist()
+                spent = None
             hist = np.zeros((3, 2 ** level * len(features) * MAX_BINS))
             for row, c in zip(hist, ("a", "b", "c")):
                 row[found["slot"]] = found[c]
@@ -339,7 +348,7 @@ def fit(rows: DataFrame, features, label: Column, weight: Column | None, key: li
                 model.gain[k] += gain
             if not splits:
                 break
-        found = _sums(held, model, recent, _moved(_leaf_sums(params, tree, feature, cut), offset))
+        found = _sums(held, model, _leaf_sums(params, tree, feature, cut))
         value = np.zeros(ends)
         if params.loss == "log":
             value[found["slot"]] = params.rate * np.where(
@@ -355,32 +364,29 @@ def fit(rows: DataFrame, features, label: Column, weight: Column | None, key: li
         value = value.round(DIGITS)
         trees = tuple(np.concatenate([old, new[None]]) for old, new in
                       zip(trees, (feature, cut, value)))
-        if (tree + 1) % REFRESH == 0 and tree + 1 < params.trees:
-            blocks = store(blocks.mapInArrow(_advanced(
-                len(features), tuple(part[since:] for part in trees), params.depth), _BLOCK),
-                "boosting-blocks")
-            held.unpersist()
-            held, since = _loaded(blocks), tree + 1
+        if tree + 1 < params.trees:
+            held, spent = _advanced(held, len(features), _one_tree(
+                feature, cut, value, params.depth)), held
+            if (tree + 1) % REFRESH == 0:
+                blocks = store(held.map(lambda row: tuple(bytearray(p) for p in row)).toDF(_BLOCK),
+                               "boosting-blocks")
+                held.unpersist()
+                held = _loaded(blocks, n_rows)
     held.unpersist()
     model.feature, model.cut, model.value = trees
     return model
 
 
-def _moved(collect, offset):
-    """The collector for predictions that all lie ``offset`` higher than stored."""
-    return lambda x, y, w, h, f: collect(x, y, w, h, f + offset)
+def _one_tree(feature, cut, value, depth):
+    return lambda x: value[_leaves(x, feature, cut, depth)]
 
 
-def _advanced(n_features, trees, depth):
-    """Blocks with the trees' values added to the stored predictions."""
-    def run(batches):
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y, w, h, f = _arrays(row, n_features)
-                parts = (x, y, w, h, f + evaluate(x, *trees, depth))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p.tobytes()], pa.binary()) for p in parts], names=list(_PARTS))
-    return run
+def _advanced(held, n_features, step):
+    """The blocks with ``step`` of their features added to their predictions."""
+    def run(row):
+        x, y, w, h, f = row
+        return x, y, w, h, (np.frombuffer(f) + step(_arrays(row, n_features)[0])).tobytes()
+    return held.map(run).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def predicted(model: Ensemble, *columns: Column) -> Column:

@@ -486,11 +486,11 @@ def gbt_recursive(spark, sf):
 
 
 def sporadic_recursive(spark, sf):
-    """The two-stage model over the users' series, whose orders are rare."""
-    daily = materialize(_daily(spark, sf, "events"), "daily-events")
+    """The two-stage model over the brands' series without high volume."""
+    daily = materialize(_daily(spark, sf, "brand"), "daily-brand")
     first, last = DM.date_bounds(daily)
-    dense = materialize(DM.dense_demand(daily, first, last), "dense-events")
-    rare = FT.volume_tiers(dense).where(F.col("volume_tier") == "sporadic")
+    dense = materialize(DM.dense_demand(daily, first, last), "dense-brand")
+    rare = FT.volume_tiers(dense).where(F.col("volume_tier") != "high")
     rows = FT.complete_rows(FT.feature_matrix(dense.join(rare, ["store", "product"],
                                                          "left_semi")))
     models = MD.fit_sporadic(materialize(FT.recency_weights(rows, ["store"]), "sporadic-train"))
