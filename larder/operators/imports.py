@@ -56,19 +56,21 @@ def one_id_per_key(dimension: DataFrame, key: str, out: str, name: str) -> DataF
 
 
 def lookup_ids(rows: DataFrame, stores: DataFrame, items: DataFrame, store_col: str = "store_code",
-               sku_col: str = "sku", name_first: bool = False) -> DataFrame:
+               sku_col: str = "sku", name_first: bool | Column = False) -> DataFrame:
     """Store / item ids by upper-cased trimmed code (and, for the
-    enquiry layout, by name first, then by code)."""
+    enquiry layout, by name first, then by code).  ``name_first`` may be a
+    column, for rows of several layouts."""
     r = rows.withColumn("_s", F.upper(F.trim(store_col))).withColumn("_i", F.upper(F.trim(sku_col)))
     s_code = one_id_per_key(stores, "code", "_s", "_sid_code")
     i_code = one_id_per_key(items, "sku", "_i", "_iid_code")
     r = r.join(s_code, "_s", "left").join(i_code, "_i", "left")
-    if name_first:
+    if isinstance(name_first, Column) or name_first:
         s_name = one_id_per_key(stores, "name", "_s", "_sid_name")
         i_name = one_id_per_key(items, "item_name", "_i", "_iid_name")
         r = r.join(s_name, "_s", "left").join(i_name, "_i", "left")
-        sid = F.coalesce("_sid_name", "_sid_code")
-        iid = F.coalesce("_iid_name", "_iid_code")
+        named = name_first if isinstance(name_first, Column) else F.lit(True)
+        sid = F.coalesce(F.when(named, F.col("_sid_name")), "_sid_code")
+        iid = F.coalesce(F.when(named, F.col("_iid_name")), "_iid_code")
     else:
         sid, iid = F.col("_sid_code"), F.col("_iid_code")
     out = r.withColumn("store_id", sid).withColumn("item_id", iid)
@@ -79,7 +81,7 @@ def lookup_ids(rows: DataFrame, stores: DataFrame, items: DataFrame, store_col:
 def validate(rows: DataFrame, stores: DataFrame, items: DataFrame, as_of,
              date_col: str = "usage_date", qty_col: str = "quantity_used",
              row_notice: int | None = None, store_col: str = "store_code",
-             sku_col: str = "sku", name_first: bool = False,
+             sku_col: str = "sku", name_first: bool | Column = False,
              note_notice: int = C.CSV_MAX_NOTE_LENGTH) -> DataFrame:
     """Validate import rows against the store and item dimensions.
 
@@ -94,8 +96,8 @@ def validate(rows: DataFrame, stores: DataFrame, items: DataFrame, as_of,
     as_of = F.lit(dt.date.fromisoformat(as_of) if isinstance(as_of, str) else as_of)
     if "notes" not in rows.columns:                 # the notes column is optional
         rows = rows.withColumn("notes", F.lit(None).cast("string"))
-    if name_first:
-        r = lookup_ids(rows, stores, items, store_col, sku_col, name_first=True)
+    if isinstance(name_first, Column) or name_first:
+        r = lookup_ids(rows, stores, items, store_col, sku_col, name_first)
     else:
         sm = one_id_per_key(stores, "code", "_code", "store_id")
         im = one_id_per_key(items, "sku", "_sku", "item_id")
@@ -120,6 +122,14 @@ def validate(rows: DataFrame, stores: DataFrame, items: DataFrame, as_of,
                     F.coalesce(F.length(notes) > note_notice, F.lit(False)).alias("note_too_long"))
 
 
+def validate_records(rows: DataFrame, stores: DataFrame, items: DataFrame, as_of,
+                     row_notice: int | None = None) -> DataFrame:
+    """``validate`` for rows of ``sources.records.import_records``: the enquiry layout's stores
+    and items are looked up by name, then by code; the others by code."""
+    return validate(rows, stores, items, as_of, "date", "quantity", row_notice, "store", "item",
+                    F.col("layout") == "sales_enquiry")
+
+
 def import_summary(checked: DataFrame) -> DataFrame:
     """Per file imported / skipped counts and whether the row notice was passed."""
     s = F.col("status")

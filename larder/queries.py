@@ -32,6 +32,7 @@ from .config import ProductConfig
 from .config import CSV_ROW_NOTICE, AppParams
 from .plans.materialize import materialize
 from .sources import derived as D
+from .sources import records as RC
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -415,6 +416,21 @@ def _import_validate(row_notice=None):
     return q
 
 
+def _order_files(spark, sf):
+    return RC.import_records(D.order_file_lines(spark, sf), RC.ORDER_LAYOUTS)
+
+
+def order_import(spark, sf):
+    """Order files of both layouts, three delimiters and quoted line breaks, checked in one pass."""
+    rows, _ = _order_files(spark, sf)
+    return round_all(IM.validate_records(rows, D.plan_stores(spark, sf), D.plan_items(spark, sf),
+                                         D.IMPORT_AS_OF))
+
+
+def order_file_problems(spark, sf):
+    return _order_files(spark, sf)[1]
+
+
 def import_summary(spark, sf):
     return IM.import_summary(_checked(spark, sf, CSV_ROW_NOTICE))
 
@@ -598,6 +614,8 @@ def registry() -> dict[str, Query]:
         "plan_categories": plan_categories,
         "import_validate": _import_validate(),
         "import_validate_capped": _import_validate(5000),
+        "order_import": order_import,
+        "order_file_problems": order_file_problems,
         "import_summary": import_summary,
         "import_upsert": import_upsert,
         "item_dimension": item_dimension,

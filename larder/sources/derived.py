@@ -361,6 +361,45 @@ def raw_import(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", F.lit(" returned ")).alias("notes"))
 
 
+ORDER_SPLIT = 20_000             # lines a split of the rendered order files
+
+
+def order_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The import rows as the text lines of order files: ``file, start, seq, value``.
+
+    A file is a ship year.  Years of remainder 0 by 3 are legacy files with
+    semicolons, of 1 enquiry exports with a title row, of 2 legacy files with
+    tabs.  Notes have a quoted delimiter, quotes and a line break; every
+    hundredth record is followed by a blank line.  The year 1 lacks a column.
+    """
+    raw = raw_import(spark, sf_dir)
+    kind = F.col("file") % 3
+    note = F.when(F.col("notes").isNotNull(), F.lit('"came ""back"";\t,\n\nlate"')).otherwise("")
+    by_name = F.regexp_replace("store_code", "^ST", "Supplier#000")
+    product = F.when(F.col("line_no") % 7 == 0, F.lit("Red Widget ")).otherwise(F.col("sku"))
+    legacy = ("store_code", "sku", "usage_date", "quantity_used")
+    text = (F.when(kind == 1, F.concat_ws(",", F.col("line_no").cast("string"), "usage_date",
+                                          F.lit('"a, b"'), by_name, product, "quantity_used"))
+             .when(kind == 0, F.concat_ws(";", *legacy, note))
+             .otherwise(F.concat_ws("\t", *legacy, note)))
+    text = F.when(F.col("line_no") % 100 == 0, F.concat(text, F.lit("\n"))).otherwise(text)
+    body = raw.select("file", (F.col("line_no") + 1).alias("no"), text.alias("text"))
+    title = F.when(kind == 1, F.lit("Sales Enquiry as of 03/14/2026,,,,,\n")).otherwise("")
+    names = (F.when(kind == 1, F.lit("Order No.,Order Date,Warehouse,Customer,Product,Quantity"))
+              .when(kind == 0, F.lit("store_code;SKU;order_date;quantity_ordered;notes"))
+              .otherwise(F.lit("store_code\tsku\torder_date\tquantity_ordered\tnotes")))
+    heads = raw.select("file").distinct().select(
+        "file", F.lit(1).cast("long").alias("no"), F.concat(title, names).alias("text"))
+    broken = spark.range(2).select(
+        F.lit(1).cast("long").alias("file"), (F.col("id") + 1).alias("no"),
+        F.when(F.col("id") == 0, F.lit("store_code,sku,order_date")).otherwise("ST000001,P-1,x")
+        .alias("text"))
+    every = body.unionByName(heads).unionByName(broken)
+    lines = every.select("file", "no", F.posexplode(F.split("text", "\n")).alias("part", "value"))
+    return lines.select("file", F.floor(F.col("no") / ORDER_SPLIT).alias("start"),
+                        (F.col("no") * 8 + F.col("part")).alias("seq"), "value")
+
+
 def plan_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Existing usage table of the plan world (open line items per day)."""
     li = read_table(spark, sf_dir, "lineitem",
