@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialize import materialize
 from .csv_files import BOM, DELIMITERS, is_title_row
 
 MAX_RECORD = 131_072
@@ -57,10 +58,13 @@ def _quotes(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit('"'), F.lit("")))
 
 
-def records(lines: DataFrame, max_record: int = MAX_RECORD) -> tuple[DataFrame, DataFrame]:
+def records(lines: DataFrame, max_record: int = MAX_RECORD,
+            store=materialize) -> tuple[DataFrame, DataFrame]:
     """(``file, record, value``, problems ``file, record, chars``) of numbered lines.
 
-    ``record`` counts a file's records that are not blank from 1.
+    ``record`` counts a file's records that are not blank from 1.  The lines
+    with their places in their split are stored once: the text is read and
+    shuffled once, and what follows reads the columns it needs.
     """
     split = ["file", "start"]
     before = Window.partitionBy(*split).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,6 +74,7 @@ def records(lines: DataFrame, max_record: int = MAX_RECORD) -> tuple[DataFrame,
     opens = [((F.col("_odd") == h) & ~blank).cast("long") for h in (0, 1)]
     local = local.withColumns({"_open0": F.sum(opens[0]).over(upto),
                                "_open1": F.sum(opens[1]).over(upto)})
+    local = store(local, "numbered-lines")
     # what each split does to the state it begins in, and how many records it opens
     splits = local.groupBy(*split).agg(
         (F.max_by(F.col("_odd") + quotes, "seq") % 2).alias("_flip"),

@@ -4,12 +4,15 @@ Tables that the reference updates in place (forecast history, usage,
 plans) are written as new versions: each write goes to a fresh
 ``.../v=<n>`` directory and readers take the newest complete version, so a
 failed job never leaves a half-written table behind and nothing reads the
-path it is overwriting.
+path it is overwriting.  A version is written beside and takes its number by
+one rename, so of two writers one gets the number and the other the next.
+Tables that batches update in part are ``keyed_table``'s.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,7 @@ from ..functions.calendar import fmt_header, fmt_tab
 from ..functions.numeric import half_even
 from ..operators import feedback as FB
 from ..operators import packing as PK
+from . import keyed_table
 
 
 def _versions(spark: SparkSession, base: str) -> list[int]:
@@ -35,11 +39,23 @@ def _versions(spark: SparkSession, base: str) -> list[int]:
     return sorted(out)
 
 
-def write_version(df: DataFrame, base: str) -> str:
-    """Write ``df`` as the next version of the table at ``base``."""
-    vs = _versions(df.sparkSession, base)
-    path = f"{base.rstrip('/')}/v={(vs[-1] + 1) if vs else 1}"
-    df.write.mode("errorifexists").parquet(path)
+def write_version(df: DataFrame, base: str, keep: int | None = None) -> str:
+    """Write ``df`` as the next version of the table at ``base``.
+
+    ``keep``: how many of the newest versions stay (all if not given)."""
+    spark, base = df.sparkSession, base.rstrip("/")
+    beside = f"{base}/_writing-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(beside)
+    while True:
+        vs = _versions(spark, base)
+        path = f"{base}/v={(vs[-1] + 1) if vs else 1}"
+        if keyed_table.claim(spark, beside, path):
+            break
+    if keep is not None:
+        jvm = spark.sparkContext._jvm
+        for v in _versions(spark, base)[:-max(1, keep)]:
+            old = jvm.org.apache.hadoop.fs.Path(f"{base}/v={v}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
     return path
 
 

@@ -1,9 +1,9 @@
 """Continuous usage imports with Structured Streaming (optional wrapper over A7 + J1).
 
 New CSV files dropped into a folder are picked up by the file source; each
-micro-batch goes through the same batch code (line numbering, title-row
-skip, header check, row validation) and is upserted into the versioned
-usage table.  The upsert is idempotent — replaying a batch after a failure
+micro-batch goes through the same batch code (records, title-row skip,
+layout, row validation) and is upserted into the keyed usage table, of which
+it rewrites the days it has rows of.  The upsert is idempotent — replaying a batch after a failure
 replaces the same keys with the same values — so ``foreachBatch`` with a
 checkpoint location gives effectively-once results.
 """
@@ -14,49 +14,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.rownum import bucketed_row_number
 from ..operators import imports as IM
-from ..sources import sinks
-from ..sources.csv_files import import_rows_from_lines
+from ..plans.materialize import materialize
+from ..sources import keyed_table, sinks
+from ..sources.records import USAGE_LAYOUTS, import_records
 
-USAGE_COLUMNS = ("store_code", "sku", "usage_date", "quantity_used")
 USAGE_SCHEMA = ("store_id long, item_id long, usage_date date, quantity_used double, "
                 "source string, notes string")
 
 
-def _number(batch: DataFrame) -> DataFrame:
-    b = batch.where(F.trim("value") != "").withColumn("_seq", F.monotonically_increasing_id())
-    n = bucketed_row_number(b, ["file"], F.col("_start"), [F.col("_seq")], out="line_no")
-    return n.select("file", "line_no", "value")
+KEY = ["store_id", "item_id", "usage_date"]
 
 
 def process_usage_batch(spark: SparkSession, batch: DataFrame, stores: DataFrame, items: DataFrame,
-                        as_of, table: str, rejects: str | None = None) -> None:
-    rows, bad = import_rows_from_lines(spark, _number(batch), USAGE_COLUMNS)
-    if rows is None:
-        return
-    if "notes" not in rows.columns:
-        rows = rows.withColumn("notes", F.lit(None).cast("string"))
-    checked = IM.validate(rows, stores, items, as_of)
-    current = sinks.read_latest(spark, table, USAGE_SCHEMA)
-    new = IM.upsert(current, checked, {"store_id": "store_id", "item_id": "item_id",
-                                       "usage_date": "date"},
-                    {"quantity_used": "quantity", "notes": "notes"})
-    sinks.write_version(new.select("store_id", "item_id", "usage_date", "quantity_used",
-                                   "source", "notes"), table)
-    if rejects:
-        checked.where(F.col("status") != "imported").write.mode("append").parquet(rejects)
+                        as_of, table: str, rejects: str | None = None,
+                        incremental: bool = True) -> None:
+    """Check a batch's files, upsert the valid rows and append everything else to ``rejects``
+    (default: the table's name and ``-rejects``), files that cannot be read included."""
+    lines = batch.select("file", F.col("_start").alias("start"),
+                         F.monotonically_increasing_id().alias("seq"), "value")
+    rows, problems = import_records(lines, USAGE_LAYOUTS)
+    checked = materialize(IM.validate(rows, stores, items, as_of, "date", "quantity",
+                                      store_col="store", sku_col="item"), "stream-checked")
+    names = ({"store_id": "store_id", "item_id": "item_id", "usage_date": "date"},
+             {"quantity_used": "quantity", "notes": "notes"})
+    columns = ["store_id", "item_id", "usage_date", "quantity_used", "source", "notes"]
+    if incremental:
+        none = spark.createDataFrame([], USAGE_SCHEMA)
+        new = IM.upsert(none, checked, *names).select(*columns)
+        keyed_table.upsert(new, table, KEY, keyed_table.day_segments("usage_date"), USAGE_SCHEMA)
+    else:
+        new = IM.upsert(sinks.read_latest(spark, table, USAGE_SCHEMA), checked, *names)
+        sinks.write_version(new.select(*columns), table)
+    told = problems.select("file", "line_no", F.lit("skipped").alias("status"),
+                           F.col("problem").alias("reason"))
+    (checked.where(F.col("status") != "imported").unionByName(told, allowMissingColumns=True)
+     .write.mode("append").parquet(rejects or f"{table.rstrip('/')}-rejects"))
 
 
 def start_usage_import(spark: SparkSession, input_dir: str, stores: DataFrame, items: DataFrame,
                        as_of, table: str, checkpoint: str, rejects: str | None = None,
-                       available_now: bool = False) -> StreamingQuery:
+                       available_now: bool = False, incremental: bool = True) -> StreamingQuery:
+    """New files of ``input_dir`` into the usage table.  ``incremental``: a keyed table, of
+    which a batch rewrites its own days only; else whole versions (``sinks``)."""
     lines = (spark.readStream.format("text").option("maxFilesPerTrigger", 100).load(input_dir)
                   .select("value", F.col("_metadata.file_path").alias("file"),
                           F.col("_metadata.file_block_start").alias("_start")))
 
     def each(batch: DataFrame, epoch: int) -> None:
-        process_usage_batch(spark, batch, stores, items, as_of, table, rejects)
+        process_usage_batch(spark, batch, stores, items, as_of, table, rejects, incremental)
 
     w = lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -119,7 +119,8 @@ def test_versioned_table_and_stream(spark):
     with open(os.path.join(d, "a.csv"), "w") as f:
         f.write("store_code,sku,usage_date,quantity_used\nGARDENA,MILK-WHL,2026-03-01,5\n"
                 "GARDENA,MILK-WHL,2026-03-01,6\n")                 # last row of the file wins
-    q = start_usage_import(spark, d, stores, items, dt.date(2026, 3, 14), table, ck, available_now=True)
+    q = start_usage_import(spark, d, stores, items, dt.date(2026, 3, 14), table, ck, available_now=True,
+                           incremental=False)
     q.awaitTermination(120)
     t = sinks.read_latest(spark, table)
     assert [(r.usage_date.isoformat(), r.quantity_used) for r in t.collect()] == [("2026-03-01", 6.0)]
