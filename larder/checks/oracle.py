@@ -1455,7 +1455,57 @@ SELECT l.plan_id, l.store_id, l.id, l.item_id, i.item_name, i.sku, i.category,
 FROM lines l JOIN pitems i ON i.id = l.item_id"""
 
 
+def weight_ctes() -> str:
+    """Fixed hold-out rows, and inverse mean absolute errors of all rows and of each series."""
+    maes = ", ".join(f"round_even(AVG(abs(actual - pred_{m})), 2) AS {m}, COUNT(pred_{m}) AS n_{m}"
+                     for m in ("dow", "exp", "gbt"))
+    inverse = {m: f"CASE WHEN n_{m} > 0 THEN 1.0 / GREATEST({m}, 0.001) ELSE 0.0 END"
+               for m in ("dow", "exp", "gbt")}
+    return f"""
+bt AS (SELECT store, product, date, qty AS actual, length(store) <> 6 AS is_daily,
+         CASE WHEN length(store) <> 6 THEN qty + k % 5 - 2 END AS pred_dow,
+         CASE WHEN length(store) <> 6 AND k % 11 <> 0 THEN qty + (k % 7) * 0.5 - 1 END AS pred_exp,
+         CASE WHEN length(store) <> 6 AND length(product) % 3 <> 0 THEN qty + k % 3 - 1.25 END AS pred_gbt
+       FROM (SELECT *, day(date) + length(product) AS k FROM daily)),
+use AS (SELECT * FROM bt WHERE is_daily AND pred_dow IS NOT NULL AND pred_exp IS NOT NULL),
+allm AS (SELECT COUNT(*) AS n, {maes} FROM use),
+allw AS (SELECT n, {inverse['dow']} AS w_dow, {inverse['exp']} AS w_exp, n_gbt,
+                {inverse['gbt']} AS w_gbt0 FROM allm),
+allv AS (SELECT n, w_dow, w_exp,
+                CASE WHEN n_gbt > 0 THEN w_gbt0 ELSE GREATEST(w_dow, w_exp) * 1.1 END AS w_gbt FROM allw),
+shared AS (SELECT CASE WHEN n = 0 THEN 0.33 ELSE round_even(w_dow / (w_dow + w_exp + w_gbt), 3) END AS dow,
+                  CASE WHEN n = 0 THEN 0.34 ELSE round_even(w_exp / (w_dow + w_exp + w_gbt), 3) END AS exp,
+                  CASE WHEN n = 0 THEN 0.33 ELSE round_even(w_gbt / (w_dow + w_exp + w_gbt), 3) END AS gbt
+           FROM allv),
+own AS (SELECT store, product, {maes} FROM use GROUP BY store, product HAVING COUNT(*) >= 7),
+ownw AS (SELECT store, product, {inverse['dow']} AS w_dow, {inverse['exp']} AS w_exp, n_gbt,
+                {inverse['gbt']} AS w_gbt0 FROM own),
+ownv AS (SELECT store, product, w_dow, w_exp,
+                CASE WHEN n_gbt > 0 THEN w_gbt0
+                     ELSE (SELECT gbt FROM shared) * (w_dow + w_exp) END AS w_gbt FROM ownw)"""
+
+
+def q_global_weights() -> str:
+    return with_(demand_ctes("type"), weight_ctes()) + " SELECT dow, exp, gbt FROM shared"
+
+
+def q_product_weights() -> str:
+    share = ", ".join(f"round_even(w_{m} / (w_dow + w_exp + w_gbt), 3) AS {m}"
+                      for m in ("dow", "exp", "gbt"))
+    return with_(demand_ctes("type"), weight_ctes()) + f" SELECT store, product, {share} FROM ownv"
+
+
+def q_packing_order() -> str:
+    return f"""
+SELECT store, product, total,
+       ROW_NUMBER() OVER (PARTITION BY store ORDER BY total DESC, product) AS place
+FROM (SELECT DISTINCT store, product, total FROM ({q_packing_list()}))"""
+
+
 EXTRA_SQL = {
+    "global_weights": q_global_weights,
+    "product_weights": q_product_weights,
+    "packing_order": q_packing_order,
     "delivery_sheet": q_delivery_sheet,
     "top_corrections": q_top_corrections,
     "plan_stores": q_plan_stores,

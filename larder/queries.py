@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.numeric import round_all
@@ -536,6 +536,23 @@ def ensemble_weights(spark, sf):
     return EV.ensemble_weights(EV.backtest(daily, predictors=FR.predictors()))
 
 
+def global_weights(spark, sf):
+    return EV.ensemble_weights(D.backtest_rows(_daily(spark, sf, "type")))
+
+
+def product_weights(spark, sf):
+    rows = materialize(D.backtest_rows(_daily(spark, sf, "type")), "backtest-rows")
+    shared = EV.ensemble_weights(rows).first().asDict()       # three numbers
+    return EV.product_weights(rows, shared)
+
+
+def packing_order(spark, sf):
+    """each store's rows with their place in the printed list."""
+    listed = packing_list(spark, sf).select("store", "product", "total").distinct()
+    place = Window.partitionBy("store").orderBy(F.col("total").desc(), "product")
+    return listed.select("*", F.row_number().over(place).cast("long").alias("place"))
+
+
 def top_corrections(spark, sf):
     return round_all(FB.top_corrections(FB.correction_factors(_matched(spark, sf))))
 
@@ -633,5 +650,8 @@ def registry() -> dict[str, Query]:
         "feature_importance": feature_importance,
         "backfill": backfill,
         "ensemble_weights": ensemble_weights,
+        "global_weights": global_weights,
+        "product_weights": product_weights,
+        "packing_order": packing_order,
         "ensemble_forecast": ensemble_forecast,
     }

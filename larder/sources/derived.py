@@ -470,3 +470,21 @@ def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.date_add(F.to_date("last_status_change_at"), seq).cast("timestamp_ntz"))
          .cast("timestamp_ntz").alias("changed_at"),
         seq.cast("long").alias("seq"))
+
+
+def backtest_rows(daily: DataFrame) -> DataFrame:
+    """Hold-out rows with fixed errors a model: ``store, product, date, actual, lane, pred_*``.
+
+    The day and the length of the name decide the errors, so weights can be
+    checked without fitting a model; some series have no GBT column, stores
+    with names of six letters are not of the daily lane.
+    """
+    k = F.dayofmonth("date") + F.length("product")
+    daily_lane = F.length("store") != 6
+    return daily.select(
+        "store", "product", "date", F.col("qty").alias("actual"),
+        F.when(daily_lane, F.lit("daily")).otherwise(F.lit("intermittent")).alias("lane"),
+        F.when(daily_lane, F.col("qty") + k % 5 - 2).alias("pred_dow"),
+        F.when(daily_lane & (k % 11 != 0), F.col("qty") + (k % 7) * 0.5 - 1).alias("pred_exp"),
+        F.when(daily_lane & (F.length("product") % 3 != 0), F.col("qty") + k % 3 - 1.25)
+         .alias("pred_gbt"))

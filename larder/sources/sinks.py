@@ -108,14 +108,28 @@ def packing_list_table(plist: DataFrame, dates: list[dt.date], par_levels: DataF
     return out
 
 
+PACKING_ORDER = ("store", "_section", "_down", "Product")
+
+
 def write_packing_lists(table: DataFrame, out_dir: str) -> None:
-    """One CSV folder per store (``store=<name>``), rows in report order."""
-    ordered = table.repartition("store").sortWithinPartitions(
-        "store", "_section", F.col("_order").desc(), "Product")
-    ordered.drop("_section", "_order").write.mode("overwrite").partitionBy("store") \
+    """One CSV folder per store (``store=<name>``), rows in report order.
+
+    Rows are dealt to ranges of the report order, so a large store is several
+    files; read in the order of their names they are the list.
+    """
+    ordered = table.withColumn("_down", -F.col("_order"))
+    ordered = ordered.repartitionByRange(*PACKING_ORDER).sortWithinPartitions(*PACKING_ORDER)
+    ordered.drop("_section", "_order", "_down").write.mode("overwrite").partitionBy("store") \
         .option("header", True).csv(out_dir)
 
 
+def read_packing_list(spark: SparkSession, out_dir: str, store: str) -> DataFrame:
+    """A store's written list with ``file`` and ``row``, which give its order."""
+    rows = spark.read.option("header", True).csv(out_dir).where(F.col("store") == store)
+    return rows.select("*", F.col("_metadata.file_name").alias("file"),
+                       F.monotonically_increasing_id().alias("row"))
+
+
 def export_feedback(history: DataFrame, out_dir: str) -> None:
     """Per-date forecast-vs-actual rows (one folder per ``MM-dd`` tab),
     the accuracy summary and the confidence table."""
