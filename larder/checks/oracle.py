@@ -1502,7 +1502,31 @@ SELECT store, product, total,
 FROM (SELECT DISTINCT store, product, total FROM ({q_packing_list()}))"""
 
 
+def q_confidence_order() -> str:
+    return f"""
+SELECT store, product, score, ROW_NUMBER() OVER (ORDER BY score DESC, store, product) AS place
+FROM ({q_confidence_score()})"""
+
+
+def q_accuracy_order() -> str:
+    return f"""
+SELECT plan_id, id, status, diff,
+       ROW_NUMBER() OVER (PARTITION BY plan_id ORDER BY status = 'no_actual', status = 'match',
+                          abs(COALESCE(diff, 0.0)) DESC, id) AS place
+FROM ({q_prediction_accuracy()})"""
+
+
+def q_sales_by_date() -> str:
+    return with_(f"lines AS ({lines_sql('type')})") + f"""
+SELECT store, product, date, {r6('qty')} AS qty,
+       ROW_NUMBER() OVER (ORDER BY date, store, product, qty) AS place
+FROM (SELECT DISTINCT store, product, date, qty FROM lines)"""
+
+
 EXTRA_SQL = {
+    "confidence_order": q_confidence_order,
+    "accuracy_order": q_accuracy_order,
+    "sales_by_date": q_sales_by_date,
     "global_weights": q_global_weights,
     "product_weights": q_product_weights,
     "packing_order": q_packing_order,

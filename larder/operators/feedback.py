@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.numeric import clip, count_if, half_even
+from ..functions.rownum import bucketed_row_number
 from .evaluate import metric_columns
 
 KEY = ["store", "product", "date"]
@@ -157,3 +158,11 @@ def gap_rows(history: DataFrame, actuals_daily: DataFrame) -> DataFrame:
 def top_corrections(factors: DataFrame, k: int = 10) -> DataFrame:
     """A15 listing: the ``k`` factors furthest from 1 (a top-k report)."""
     return factors.orderBy(F.abs(F.col("factor") - 1).desc(), *PAIR).limit(k)
+
+
+def confidence_order(scores: DataFrame, place: str = "place") -> DataFrame:
+    """``place`` by score, highest first (then store and product); scores between two whole
+    points are numbered apart, so no task sorts all series."""
+    return bucketed_row_number(scores.withColumn("_all", F.lit(0)), ["_all"],
+                               -F.floor(F.col("score")),
+                               [F.col("score").desc(), *[F.col(c) for c in PAIR]], place).drop("_all")

@@ -126,6 +126,14 @@ def accuracy_order(acc: DataFrame) -> DataFrame:
                        F.abs(F.coalesce("diff", F.lit(0.0))).desc(), "id")
 
 
+def accuracy_place(acc: DataFrame, place: str = "place") -> DataFrame:
+    """F5 as a column: each line's place in its plan's list; a plan is one window."""
+    order = Window.partitionBy("plan_id").orderBy(
+        F.col("status") == "no_actual", F.col("status") == "match",
+        F.abs(F.coalesce("diff", F.lit(0.0))).desc(), "id")
+    return acc.withColumn(place, F.row_number().over(order).cast("long"))
+
+
 def prediction_summary(acc: DataFrame) -> DataFrame:
     """Per plan matched / over / under / no-actual counts, totals, WMAPE."""
     s = F.col("status")

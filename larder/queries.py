@@ -33,6 +33,7 @@ from .config import CSV_ROW_NOTICE, AppParams
 from .plans.materialize import materialize
 from .sources import derived as D
 from .sources import records as RC
+from .sources import sales as SL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -553,6 +554,22 @@ def packing_order(spark, sf):
     return listed.select("*", F.row_number().over(place).cast("long").alias("place"))
 
 
+def confidence_order(spark, sf):
+    scores = FB.confidence_scores(_matched(spark, sf))
+    return round_all(FB.confidence_order(scores).select("store", "product", "score", "place"))
+
+
+def accuracy_order(spark, sf):
+    acc = round_all(_accuracy(spark, sf))
+    return RT.accuracy_place(acc).select("plan_id", "id", "status", "diff", "place")
+
+
+def sales_by_date(spark, sf):
+    lines = DM.distinct_lines(D.demand_lines(spark, sf, "type")).select(
+        "store", "product", F.col("date").cast("date").alias("date"), "qty")
+    return round_all(SL.by_date(lines))
+
+
 def top_corrections(spark, sf):
     return round_all(FB.top_corrections(FB.correction_factors(_matched(spark, sf))))
 
@@ -653,5 +670,8 @@ def registry() -> dict[str, Query]:
         "global_weights": global_weights,
         "product_weights": product_weights,
         "packing_order": packing_order,
+        "confidence_order": confidence_order,
+        "accuracy_order": accuracy_order,
+        "sales_by_date": sales_by_date,
         "ensemble_forecast": ensemble_forecast,
     }
