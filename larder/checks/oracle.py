@@ -9,10 +9,45 @@ sides (``round_even`` here, ``rint`` scaling in Spark).
 
 from __future__ import annotations
 
-from .. import config as C
 from ..sources import derived as D
 
 
+# Fixed values of the rules, written out here on their own: a wrong one in the library's
+# configuration must show as a difference.
+ACTIVITY_LOG_LIMIT = 200
+BACKTEST_MIN_TRAIN = 21
+BACKTEST_MIN_TRAIN_ROWS = 7
+BACKTEST_TEST_DAYS = 14
+CONFIDENCE_HIGH = 70
+CONFIDENCE_MEDIUM = 40
+CONFIDENCE_WEIGHTS = {"data": 0.3, "accuracy": 0.35, "stability": 0.2, "calibration": 0.15}
+CORRECTION_MIN_POINTS = 3
+CSV_MAX_QUANTITY = 999999
+DEFAULT_WEIGHTS = {"dow": 0.33, "exp": 0.34, "gbt": 0.33}
+DORMANT_ZERO_RATE = 0.95
+DOW_DECAY = 0.95
+DOW_RECENT_DAYS = 21
+DOW_TREND_CLIP = (0.3, 3.0)
+EXTENDED_WINDOWS = (60, 90)
+HORIZON_DAYS = 14
+INTERMITTENT_ZERO_RATE = 0.65
+LINE_STATUSES = ("pending", "picked", "shorted", "loaded", "delivered")
+MIN_DATA_POINTS_HIGH = 5
+MIN_ORDER_DAYS = 3
+RECENCY_HALF_LIFE = 30
+ROUTING_WINDOW = 28
+SAFETY_MULTIPLIER = 1.15
+SAFETY_VOLATILE_CV = 1.0
+SAFETY_VOLATILE_EXTRA = 0.1
+SPORADIC_MIN_ORDER_FREQ = 0.05
+TIER_HIGH_MIN = 5.0
+TIER_LOW_MIN = 0.5
+USAGE_WINDOW_LONG = 60
+USAGE_WINDOW_SHORT = 30
+V1_TREND_DAYS = 20
+WEIGHTED_DECAY = 0.9
+
+
 def r6(x: str) -> str:
     return f"round_even({x}, 6)"
 
@@ -54,8 +89,8 @@ dense AS (
 
 def lane_ctes() -> str:
     """tails (literal tail-n counts per series) and lanes (chosen window + lane)."""
-    w0, w1, w2 = C.ROUTING_WINDOW, *C.EXTENDED_WINDOWS
-    m = C.MIN_ORDER_DAYS
+    w0, w1, w2 = ROUTING_WINDOW, *EXTENDED_WINDOWS
+    m = MIN_ORDER_DAYS
 
     def tail(n: str) -> str:
         return (f"COUNT(*) FILTER (WHERE rn <= {n}) AS n_{n}, "
@@ -90,8 +125,8 @@ lanes2 AS (
   SELECT *,
     CASE WHEN n_days > 0 THEN 1.0 - n_order_days / n_days END AS zero_rate,
     CASE WHEN n_days = 0 OR window_qty = 0 THEN 'dormant'
-         WHEN 1.0 - n_order_days / n_days >= {C.DORMANT_ZERO_RATE} THEN 'dormant'
-         WHEN 1.0 - n_order_days / n_days >= {C.INTERMITTENT_ZERO_RATE} THEN 'intermittent'
+         WHEN 1.0 - n_order_days / n_days >= {DORMANT_ZERO_RATE} THEN 'dormant'
+         WHEN 1.0 - n_order_days / n_days >= {INTERMITTENT_ZERO_RATE} THEN 'intermittent'
          ELSE 'daily' END AS lane,
     CASE WHEN n_order_days = 0 THEN 0.0
          ELSE GREATEST(0.0, (n_order_days / n_days) * (window_nonzero_qty / n_order_days)) END
@@ -99,9 +134,9 @@ lanes2 AS (
   FROM lanes)"""
 
 
-def dow_ctes(days: int | str = C.HORIZON_DAYS) -> str:
+def dow_ctes(days: int | str = HORIZON_DAYS) -> str:
     """prof2 / prof1 (per weekday) and trend2 / trend1 (per series) on dense."""
-    d = C.DOW_DECAY
+    d = DOW_DECAY
     return f"""
 prof2 AS (SELECT store, product, dow,
                  SUM(qty * POW({d}, days_ago)) / SUM(POW({d}, days_ago)) AS dow_avg
@@ -110,11 +145,11 @@ prof1 AS (SELECT store, product, dow, AVG(qty) AS dow_avg FROM dense GROUP BY st
 trend AS (
   SELECT store, product, SUM(qty) AS tot,
     CASE WHEN AVG(qty) > 0 THEN LEAST(GREATEST(
-          AVG(qty) FILTER (WHERE days_ago <= {C.DOW_RECENT_DAYS}) / AVG(qty), {C.DOW_TREND_CLIP[0]}),
-          {C.DOW_TREND_CLIP[1]}) ELSE 1.0 END AS trend2,
+          AVG(qty) FILTER (WHERE days_ago <= {DOW_RECENT_DAYS}) / AVG(qty), {DOW_TREND_CLIP[0]}),
+          {DOW_TREND_CLIP[1]}) ELSE 1.0 END AS trend2,
     CASE WHEN AVG(qty) > 0 THEN LEAST(GREATEST(
-          AVG(qty) FILTER (WHERE days_ago < {C.V1_TREND_DAYS}) / AVG(qty), {C.DOW_TREND_CLIP[0]}),
-          {C.DOW_TREND_CLIP[1]}) ELSE 1.0 END AS trend1
+          AVG(qty) FILTER (WHERE days_ago < {V1_TREND_DAYS}) / AVG(qty), {DOW_TREND_CLIP[0]}),
+          {DOW_TREND_CLIP[1]}) ELSE 1.0 END AS trend1
   FROM dense GROUP BY store, product),
 horizon AS (
   SELECT p.store, p.product,
@@ -263,7 +298,7 @@ FROM f"""
 
 
 def _tier(x: str) -> str:
-    return (f"CASE WHEN {x} >= {C.TIER_HIGH_MIN} THEN 'high' WHEN {x} >= {C.TIER_LOW_MIN} "
+    return (f"CASE WHEN {x} >= {TIER_HIGH_MIN} THEN 'high' WHEN {x} >= {TIER_LOW_MIN} "
             "THEN 'low' ELSE 'sporadic' END")
 
 
@@ -295,7 +330,7 @@ t AS (SELECT store, product, SUM(qty) AS tot, AVG(qty) AS ha, STDDEV_SAMP(qty) A
         COALESCE(MAX(date) FILTER (WHERE qty > 0), MIN(date)) AS lod,
         COALESCE(arg_max(qty, date) FILTER (WHERE qty > 0), 0.0) AS loq
       FROM rk GROUP BY store, product HAVING SUM(qty) <> 0),
-h AS (SELECT t.*, CAST(unnest(generate_series(b.d1 + 1, b.d1 + {C.HORIZON_DAYS}, INTERVAL 1 DAY)) AS DATE) AS date
+h AS (SELECT t.*, CAST(unnest(generate_series(b.d1 + 1, b.d1 + {HORIZON_DAYS}, INTERVAL 1 DAY)) AS DATE) AS date
       FROM t CROSS JOIN bounds b)
 SELECT store, product, CAST(datediff('day', (SELECT d1 FROM bounds), date) - 1 AS BIGINT) AS day_idx, date,
   CAST(isodow(date) - 1 AS BIGINT) AS dow, CAST(dayofmonth(date) AS BIGINT) AS day_of_month,
@@ -320,7 +355,7 @@ FROM h"""
 
 def q_recency_weights(kind: str = "brand") -> str:
     """Weights over the complete-feature rows of each store (lag_14 known)."""
-    k = f"ln(2) / {C.RECENCY_HALF_LIFE}"
+    k = f"ln(2) / {RECENCY_HALF_LIFE}"
     return with_(demand_ctes(kind)) + f"""
 , rows AS (SELECT store, product, date FROM (
      SELECT *, LAG(qty, 14) OVER ({_W}) AS l14 FROM dense) WHERE l14 IS NOT NULL),
@@ -389,7 +424,7 @@ ov AS (SELECT COALESCE(o.store_id, u.store_id) AS store_id, COALESCE(o.item_id,
          ON u.store_id = o.store_id AND u.item_id = o.item_id AND u.usage_date = o.order_date)"""
 
 
-def app_stat_ctes(decay: float = C.WEIGHTED_DECAY, m: float = 0.0) -> str:
+def app_stat_ctes(decay: float = WEIGHTED_DECAY, m: float = 0.0) -> str:
     same = f"isodow(ov.date) = isodow({AS_OF})"
     w = f"POW({decay}, datediff('day', ov.date, {AS_OF}) - 1)"
     if m > 0:
@@ -409,12 +444,12 @@ def app_stat_ctes(decay: float = C.WEIGHTED_DECAY, m: float = 0.0) -> str:
                 f"CASE WHEN n_{tag} = 0 THEN 'none' WHEN ord_{tag} AND use_{tag} THEN 'blended' "
                 f"WHEN ord_{tag} THEN 'actual_orders' ELSE 'daily_usage' END AS src_{tag}")
 
-    r = C.ROUTING_WINDOW
+    r = ROUTING_WINDOW
     return f"""
 sw AS (SELECT s.*, i.item_name, i.case_pack_quantity,
-              CASE WHEN s.usage_window_days > 0 THEN s.usage_window_days ELSE {C.USAGE_WINDOW_SHORT} END AS ws,
-              CASE WHEN s.usage_window_days > 0 THEN GREATEST(2 * s.usage_window_days, {C.USAGE_WINDOW_LONG})
-                   ELSE {C.USAGE_WINDOW_LONG} END AS wl
+              CASE WHEN s.usage_window_days > 0 THEN s.usage_window_days ELSE {USAGE_WINDOW_SHORT} END AS ws,
+              CASE WHEN s.usage_window_days > 0 THEN GREATEST(2 * s.usage_window_days, {USAGE_WINDOW_LONG})
+                   ELSE {USAGE_WINDOW_LONG} END AS wl
        FROM settings s LEFT JOIN items i ON i.id = s.item_id WHERE s.active),
 j AS (SELECT sw.store_id, sw.item_id, sw.ws, sw.wl, ov.date, ov.qty, ov.has_usage, ov.has_order,
              datediff('day', ov.date, {AS_OF}) AS ago, {same} AS same_dow, {w} AS w
@@ -440,8 +475,8 @@ def app_forecast_ctes(weighted: bool = False, m: float = 0.0, override: str = ""
     """``override``: WHEN branches that fix a lane; ``periodic``: condition on the item."""
     a = "wavg" if weighted else "avg"
     method = "historical_weighted_v1" if weighted else "historical_simple_v1"
-    k = C.MIN_DATA_POINTS_HIGH
-    r = C.ROUTING_WINDOW
+    k = MIN_DATA_POINTS_HIGH
+    r = ROUTING_WINDOW
     conf = "dconf"
     extra = ""
     if weighted:
@@ -531,7 +566,7 @@ recw AS (SELECT *, concat_ws(',',
          FROM rec)"""
 
 
-def _app_with(weighted=False, m=0.0, decay=C.WEIGHTED_DECAY, override="",
+def _app_with(weighted=False, m=0.0, decay=WEIGHTED_DECAY, override="",
               periodic="false") -> str:
     return with_(app_table_ctes(), overlay_cte(), app_stat_ctes(decay, m),
                  app_forecast_ctes(weighted, m, override, periodic))
@@ -581,7 +616,7 @@ SELECT store_id, item_id, {r6('avg_s')} AS avg_short, n_s AS count_short, src_s
 
 
 def q_weighted_avg_orders(m: float = 0.5) -> str:
-    return with_(app_table_ctes(), overlay_cte(), app_stat_ctes(C.WEIGHTED_DECAY, m)) + f"""
+    return with_(app_table_ctes(), overlay_cte(), app_stat_ctes(WEIGHTED_DECAY, m)) + f"""
 SELECT store_id, item_id, {r6('wavg_s')} AS wavg_short, n_s AS count_short, dowm_s AS dow_matches_short,
        {r6('wavg_l')} AS wavg_long, n_l AS count_long, dowm_l AS dow_matches_long FROM s2"""
 
@@ -600,7 +635,7 @@ FROM snaps WHERE snapshot_date <= {AS_OF} GROUP BY store_id, item_id"""
 
 
 def q_overlay_demand() -> str:
-    return with_(app_table_ctes(), overlay_cte(C.USAGE_WINDOW_LONG)) + f"""
+    return with_(app_table_ctes(), overlay_cte(USAGE_WINDOW_LONG)) + f"""
 SELECT store_id, item_id, date, {r6('qty')} AS qty, has_usage, has_order FROM ov"""
 
 
@@ -627,7 +662,7 @@ SPORADIC_EXAMPLE = ("Brand#3", "Brand#13", "Brand#23")
 
 def packing_ctes() -> str:
     spor = ", ".join(f"'{p}'" for p in SPORADIC_EXAMPLE)
-    m = C.SAFETY_MULTIPLIER
+    m = SAFETY_MULTIPLIER
     return f"""
 lf AS (SELECT h.store, h.product, l.lane, h.day_idx, h.date,
          CASE WHEN l.lane = 'daily' THEN (CASE WHEN t.tot = 0 THEN 0.0
@@ -641,13 +676,13 @@ ss AS (SELECT store, product, SUM(qty) AS tot, COUNT(*) FILTER (WHERE qty > 0) A
               AVG(CASE WHEN qty > 0 THEN 1.0 ELSE 0.0 END) AS ofq
        FROM dense GROUP BY store, product),
 sf AS (SELECT lf.*, ss.tot, ss.ofq, ss.nzm,
-         lf.pred * CASE WHEN (CASE WHEN ss.nzc > 1 AND ss.nzm > 0 THEN ss.nzs / ss.nzm ELSE 0.0 END) > {C.SAFETY_VOLATILE_CV}
-                        THEN {m + C.SAFETY_VOLATILE_EXTRA} ELSE {m} END AS p1,
+         lf.pred * CASE WHEN (CASE WHEN ss.nzc > 1 AND ss.nzm > 0 THEN ss.nzs / ss.nzm ELSE 0.0 END) > {SAFETY_VOLATILE_CV}
+                        THEN {m + SAFETY_VOLATILE_EXTRA} ELSE {m} END AS p1,
          GREATEST(1.0, round_even(COALESCE(ss.nzm, 1.0) * 0.5, 0)) AS floor_q
        FROM lf LEFT JOIN ss USING (store, product)),
 safe AS (SELECT store, product, lane, day_idx, date,
            CASE WHEN tot IS NULL OR tot = 0 THEN pred
-                WHEN product IN ({spor}) AND ofq > {C.SPORADIC_MIN_ORDER_FREQ} AND p1 > 0 AND p1 < floor_q
+                WHEN product IN ({spor}) AND ofq > {SPORADIC_MIN_ORDER_FREQ} AND p1 > 0 AND p1 < floor_q
                   THEN floor_q
                 ELSE p1 END AS pred
          FROM sf),
@@ -656,9 +691,9 @@ sched0 AS (SELECT store, product, n_order_days AS k,
              GREATEST(1.0, round_even(window_nonzero_qty / n_order_days, 0)) AS aq
            FROM lanes2 WHERE lane IN ('intermittent', 'periodic')),
 sched AS (SELECT s.store, s.product, CAST(d.day_idx AS BIGINT) AS day_idx,
-            CASE WHEN s.k > 0 AND ({C.HORIZON_DAYS} / s.itv) * s.aq >= 0.5
+            CASE WHEN s.k > 0 AND ({HORIZON_DAYS} / s.itv) * s.aq >= 0.5
                       AND d.day_idx % CAST(s.itv AS BIGINT) = 0 THEN s.aq ELSE 0.0 END AS qty
-          FROM sched0 s CROSS JOIN (SELECT unnest(range(0, {C.HORIZON_DAYS})) AS day_idx) d),
+          FROM sched0 s CROSS JOIN (SELECT unnest(range(0, {HORIZON_DAYS})) AS day_idx) d),
 pq AS (SELECT f.store, f.product, f.day_idx, f.date,
          CASE WHEN f.lane IN ('intermittent', 'periodic') THEN COALESCE(s.qty, 0.0)
               ELSE round_even(f.pred, 0) END AS qty
@@ -721,7 +756,7 @@ PACKING_SQL = {
 def backtest_ctes(kind: str = "brand") -> str:
     """``daily`` = full daily sums, ``bounds`` = (first day, training end),
     ``dense`` = zero-filled training rows, ``test`` = zero-filled actuals."""
-    mt, td = C.BACKTEST_MIN_TRAIN, C.BACKTEST_TEST_DAYS
+    mt, td = BACKTEST_MIN_TRAIN, BACKTEST_TEST_DAYS
     return f"""
 lines AS ({lines_sql(kind)}),
 daily AS (SELECT store, product, date, SUM(qty) AS qty FROM lines GROUP BY store, product, date),
@@ -754,9 +789,9 @@ def q_backtest_lanes(kind: str = "brand") -> str:
   LEFT JOIN daily d ON d.store = h.store AND d.product = h.product AND d.date = h.date
   WHERE (h.store, h.product) IN (SELECT store, product FROM daily GROUP BY store, product
                                  HAVING SUM(qty) <> 0)
-    AND (SELECT datediff('day', d0, d1) + 1 FROM bounds) >= {C.BACKTEST_MIN_TRAIN_ROWS}),
+    AND (SELECT datediff('day', d0, d1) + 1 FROM bounds) >= {BACKTEST_MIN_TRAIN_ROWS}),
 filled AS (SELECT store, product, date, actual, lane,
-    CASE WHEN lane = 'daily' THEN (0.0 + {C.DEFAULT_WEIGHTS['dow']} * pred_dow) / (0.0 + {C.DEFAULT_WEIGHTS['dow']})
+    CASE WHEN lane = 'daily' THEN (0.0 + {DEFAULT_WEIGHTS['dow']} * pred_dow) / (0.0 + {DEFAULT_WEIGHTS['dow']})
          ELSE pred_lane END AS pred_lane, pred_dow FROM res)"""
 
 
@@ -855,7 +890,7 @@ factors AS (
   SELECT store, product,
     round_even(LEAST(GREATEST(SUM(actual) / SUM(predicted), 0.5), 2.0) * 1000, 0) / 1000 AS factor
   FROM matched2 WHERE actual IS NOT NULL AND actual > 0
-  GROUP BY store, product HAVING COUNT(*) >= {C.CORRECTION_MIN_POINTS} AND SUM(predicted) > 0)"""
+  GROUP BY store, product HAVING COUNT(*) >= {CORRECTION_MIN_POINTS} AND SUM(predicted) > 0)"""
 
 
 def _fb_with() -> str:
@@ -873,7 +908,7 @@ def q_correction_factors() -> str:
 
 
 def q_confidence_score() -> str:
-    w = C.CONFIDENCE_WEIGHTS
+    w = CONFIDENCE_WEIGHTS
     return _fb_with() + f"""
 , g AS (SELECT store, product, COUNT(*) AS n, AVG(abs(actual - predicted)) AS mae,
                AVG(actual) AS av, STDDEV_POP(actual) AS sd
@@ -887,7 +922,7 @@ g3 AS (SELECT *,
    + GREATEST(0.0, (1 - LEAST(cv, 2.0) / 2) * 100) * {w['stability']}
    + GREATEST(0.0, (1 - abs(factor - 1)) * 100) * {w['calibration']} AS score FROM g2)
 SELECT store, product,
-  CASE WHEN score >= {C.CONFIDENCE_HIGH} THEN 'High' WHEN score >= {C.CONFIDENCE_MEDIUM} THEN 'Medium'
+  CASE WHEN score >= {CONFIDENCE_HIGH} THEN 'High' WHEN score >= {CONFIDENCE_MEDIUM} THEN 'Medium'
        ELSE 'Low' END AS confidence,
   {r6('round_even(score, 1)')} AS score, n AS data_points, {r6('round_even(mae, 2)')} AS avg_mae,
   {r6('round_even(av, 2)')} AS avg_demand, {r6('round_even(cv, 2)')} AS demand_cv,
@@ -1033,7 +1068,7 @@ GROUP BY l.plan_id, l.item_id, i.item_name, i.sku, i.category"""
 
 
 def q_status_pivot() -> str:
-    cols = ", ".join(f"COUNT(*) FILTER (WHERE status = '{s}') AS {s}" for s in C.LINE_STATUSES)
+    cols = ", ".join(f"COUNT(*) FILTER (WHERE status = '{s}') AS {s}" for s in LINE_STATUSES)
     return with_(plan_ctes()) + f"SELECT plan_id, item_id, {cols} FROM lines GROUP BY plan_id, item_id"
 
 
@@ -1107,14 +1142,14 @@ FROM lines l JOIN pstores s ON s.id = l.store_id"""
 
 
 def q_dashboard() -> str:
-    cnt = ", ".join(f"COUNT(*) FILTER (WHERE status = '{s}') AS {s}_lines" for s in C.LINE_STATUSES)
+    cnt = ", ".join(f"COUNT(*) FILTER (WHERE status = '{s}') AS {s}_lines" for s in LINE_STATUSES)
     pct = ", ".join(f"round_even(CAST({s}_lines AS DOUBLE) * 100.0 / GREATEST(total_lines, 1), 1) AS {s}_pct"
-                    for s in C.LINE_STATUSES)
+                    for s in LINE_STATUSES)
     return with_(plan_ctes()) + f"""
 , g AS (SELECT plan_id, COUNT(*) AS total_lines, SUM(recommended_quantity) AS total_quantity,
                COUNT(DISTINCT store_id) AS total_stores, {cnt} FROM lines GROUP BY plan_id)
 SELECT g.plan_id, total_lines, {r6('total_quantity')} AS total_quantity, total_stores,
-       {', '.join(f'{s}_lines' for s in C.LINE_STATUSES)}, {pct},
+       {', '.join(f'{s}_lines' for s in LINE_STATUSES)}, {pct},
        p.plan_date, p.status AS plan_status
 FROM g JOIN plans p ON p.id = g.plan_id"""
 
@@ -1140,7 +1175,7 @@ SELECT plan_id, rank, id, entity_id, action, changed_at FROM (
          ROW_NUMBER() OVER (PARTITION BY l.plan_id ORDER BY a.changed_at DESC, a.id DESC,
                                                            a.action DESC) AS rank
   FROM audit a JOIN lines l ON l.id = a.entity_id WHERE a.entity_type = 'plan_line')
-WHERE rank <= {C.ACTIVITY_LOG_LIMIT}"""
+WHERE rank <= {ACTIVITY_LOG_LIMIT}"""
 
 
 def _accuracy_cte() -> str:
@@ -1236,7 +1271,7 @@ chk1 AS (SELECT *,
           CASE WHEN store_id IS NULL THEN 'unknown_store' WHEN item_id IS NULL THEN 'unknown_sku'
                WHEN date IS NULL THEN 'invalid_date' WHEN date > {as_of} THEN 'future_date'
                WHEN NOT (quantity IS NOT NULL AND NOT isnan(quantity) AND abs(quantity) < CAST('inf' AS DOUBLE)
-                         AND quantity >= 0 AND quantity <= {C.CSV_MAX_QUANTITY}) THEN 'invalid_quantity'
+                         AND quantity >= 0 AND quantity <= {CSV_MAX_QUANTITY}) THEN 'invalid_quantity'
           END AS reason, {over} AS over_notice
         FROM chk),
 checked AS (SELECT file, line_no,
@@ -1244,7 +1279,7 @@ checked AS (SELECT file, line_no,
               reason, store_id, item_id, date, over_notice,
               COALESCE(length(trim(raw_notes)) > 500, false) AS note_too_long,
               CASE WHEN quantity IS NOT NULL AND NOT isnan(quantity) AND abs(quantity) < CAST('inf' AS DOUBLE)
-                        AND quantity >= 0 AND quantity <= {C.CSV_MAX_QUANTITY} THEN quantity END AS quantity,
+                        AND quantity >= 0 AND quantity <= {CSV_MAX_QUANTITY} THEN quantity END AS quantity,
               CASE WHEN trim(raw_notes) IS NULL OR trim(raw_notes) = '' THEN NULL
                    ELSE trim(raw_notes) END AS notes
             FROM chk1)"""
