@@ -1558,7 +1558,131 @@ SELECT store, product, date, {r6('qty')} AS qty,
 FROM (SELECT DISTINCT store, product, date, qty FROM lines)"""
 
 
+# --------------------------------------------------------------------------
+# product configuration as tables
+# --------------------------------------------------------------------------
+
+PERIODIC_DELIVERY_WINDOW = 3
+
+
+def alias_ctes() -> str:
+    """Every chain walked name by name; 90 steps pass any chain of 40 and its circle of 3."""
+    return """
+ali AS (
+  SELECT 'Part ' || p_partkey AS variant,
+         'Part ' || (CASE WHEN p_partkey % 40 = 1 AND (p_partkey // 40) % 4 = 3
+                          THEN p_partkey + 2 ELSE p_partkey - 1 END) AS target
+  FROM part WHERE p_partkey % 40 <> 0),
+walk AS (
+  SELECT variant, target AS step, 1 AS steps FROM ali
+  UNION ALL
+  SELECT w.variant, a.target, w.steps + 1 FROM walk w JOIN ali a ON a.variant = w.step
+  WHERE w.steps < 90),
+canon AS (
+  SELECT variant, COALESCE(MIN(step) FILTER (WHERE step NOT IN (SELECT variant FROM ali)),
+                           MIN(step) FILTER (WHERE steps >= 45)) AS canonical
+  FROM walk GROUP BY variant)"""
+
+
+def q_alias_closure() -> str:
+    return "WITH RECURSIVE " + alias_ctes().strip() + "\nSELECT variant, canonical FROM canon"
+
+
+def q_normalized_demand() -> str:
+    return "WITH RECURSIVE " + alias_ctes().strip() + f"""
+SELECT l.l_returnflag AS store, COALESCE(c.canonical, 'Part ' || l.l_partkey) AS product,
+       CAST(l.l_shipdate AS DATE) AS date, {r6('SUM(l.l_quantity)')} AS qty
+FROM lineitem l LEFT JOIN canon c ON c.variant = 'Part ' || l.l_partkey GROUP BY ALL"""
+
+
+def rule_ctes() -> str:
+    return """
+rule0 AS (
+  SELECT p_partkey AS k, p_type AS product, length(p_type) AS g FROM part
+  UNION ALL
+  SELECT p_partkey, p_brand, CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER) FROM part),
+rule1 AS (
+  SELECT k, product, DATE '1995-01-01' + CAST(k * 37 % 2500 AS INTEGER) AS valid_from,
+         CASE WHEN k % 6 = 5 THEN 'seasonal' WHEN g % 4 = 0 THEN 'override'
+              WHEN g % 4 = 1 THEN 'periodic' WHEN g % 4 = 2 THEN 'sporadic'
+              ELSE 'obsolete' END AS kind
+  FROM rule0),
+rules AS (
+  SELECT product, kind, valid_from,
+         CASE WHEN k % 11 <> 0 THEN valid_from + CAST(k * 13 % 400 - 20 AS INTEGER) END AS valid_to,
+         CASE WHEN kind = 'override' THEN CASE k % 5 WHEN 0 THEN 'daily' WHEN 1 THEN 'periodic'
+              WHEN 2 THEN 'intermittent' WHEN 3 THEN 'dormant' ELSE 'weekly' END END AS lane
+  FROM rule1)"""
+
+
+def live_rule_ctes() -> str:
+    return rule_ctes() + """,
+live AS (
+  SELECT product, kind, lane, valid_from FROM rules, bounds
+  WHERE kind <> 'seasonal' AND (kind <> 'override' OR lane <> 'weekly')
+    AND valid_from <= d1 AND (valid_to IS NULL OR valid_to >= d1)),
+force AS (
+  SELECT l.product,
+         (SELECT o.lane FROM live o WHERE o.product = l.product AND o.kind = 'override'
+          ORDER BY o.valid_from DESC, o.lane LIMIT 1) AS lane_override,
+         bool_or(kind = 'periodic') AS periodic, bool_or(kind = 'sporadic') AS sporadic,
+         bool_or(kind = 'obsolete') AS obsolete
+  FROM live l GROUP BY l.product)"""
+
+
+def ruled_lane_ctes() -> str:
+    """``lanes2`` with the rules in force."""
+    return lane_ctes().replace("lanes2 AS", "lanes_plain AS") + """,
+lanes2 AS (
+  SELECT l.* REPLACE (CASE WHEN f.lane_override IS NOT NULL THEN f.lane_override
+                           WHEN l.lane = 'daily' AND f.periodic THEN 'periodic'
+                           ELSE l.lane END AS lane),
+         CASE WHEN n_order_days = 0 THEN 0.0
+              ELSE GREATEST(0.0, (window_nonzero_qty / n_order_days)
+                                 / GREATEST(n_days / n_order_days, """ + f"{PERIODIC_DELIVERY_WINDOW}" + """)) END
+           AS periodic_rate
+  FROM lanes_plain l LEFT JOIN force f ON f.product = l.product)"""
+
+
+def q_rules_in_force() -> str:
+    return with_(demand_ctes("brand"), live_rule_ctes()) + """
+SELECT product, lane_override, periodic, sporadic, obsolete FROM force"""
+
+
+def q_rule_problems() -> str:
+    return with_(rule_ctes()) + """
+SELECT CASE WHEN kind = 'seasonal' THEN 'unknown_kind' WHEN kind = 'override' AND lane = 'weekly'
+            THEN 'unknown_lane' ELSE 'ends_before_start' END AS problem, COUNT(*) AS n
+FROM rules WHERE kind = 'seasonal' OR (kind = 'override' AND lane = 'weekly') OR valid_to < valid_from
+GROUP BY 1"""
+
+
+def q_lane_rules() -> str:
+    rate = ("CASE lane WHEN 'intermittent' THEN intermittent_rate WHEN 'periodic' THEN periodic_rate "
+            "ELSE 0.0 END")
+    return with_(demand_ctes("type"), live_rule_ctes(), ruled_lane_ctes()) + f"""
+SELECT store, product, n_days, n_order_days, lane, {r6(rate)} AS lane_rate FROM lanes2"""
+
+
+def q_lane_rules_forecast() -> str:
+    packing = packing_ctes().replace(
+        "WHEN l.lane = 'intermittent' THEN l.intermittent_rate",
+        "WHEN l.lane = 'intermittent' THEN l.intermittent_rate "
+        "WHEN l.lane = 'periodic' THEN l.periodic_rate")
+    few = ", ".join(f"'{p}'" for p in SPORADIC_EXAMPLE)
+    packing = packing.replace(f"product IN ({few})",
+                              "product IN (SELECT product FROM force WHERE sporadic)")
+    return with_(demand_ctes("brand"), live_rule_ctes(), ruled_lane_ctes(), dow_ctes(), packing) + f"""
+SELECT store, product, lane, day_idx, date, {r6('pred')} AS pred FROM safe"""
+
+
 EXTRA_SQL = {
+    "alias_closure": q_alias_closure,
+    "normalized_demand": q_normalized_demand,
+    "rules_in_force": q_rules_in_force,
+    "rule_problems": q_rule_problems,
+    "lane_rules": q_lane_rules,
+    "lane_rules_forecast": q_lane_rules_forecast,
     "confidence_order": q_confidence_order,
     "accuracy_order": q_accuracy_order,
     "sales_by_date": q_sales_by_date,

@@ -80,6 +80,7 @@ class ProductConfig:
     sporadic: frozenset = frozenset()
     obsolete: frozenset = frozenset()
     stores: tuple | None = None                           # None = keep every store
+    rules: object = None      # DataFrame of catalogue.rules_at, in place of overrides and sets
 
 
 @dataclass(frozen=True)

@@ -35,6 +35,29 @@ def _in_set(values, key: Column) -> Column:
     return key.isin(list(values)) if values else F.lit(False)
 
 
+def with_rules(df: DataFrame, product_config: ProductConfig | None, name: str = "product"
+               ) -> tuple[DataFrame, dict[str, Column], list[str]]:
+    """``df`` with the product's rules at hand: the frame, the columns
+    ``override``, ``periodic`` and ``sporadic``, and the names to drop afterwards.
+
+    A rule table (``ProductConfig.rules``) is joined; the planner sends it to
+    all tasks only if its stored size allows.  Otherwise the configuration's
+    small collections become literals.
+    """
+    pc = product_config or ProductConfig()
+    key = F.col(name)
+    if pc.rules is None:
+        return df, {"override": _lookup(pc.lane_overrides, key),
+                    "periodic": _in_set(pc.periodic, key),
+                    "sporadic": _in_set(pc.sporadic, key)}, []
+    kept = ["_r_product", "_r_override", "_r_periodic", "_r_sporadic"]
+    rules = pc.rules.select("product", "lane_override", "periodic", "sporadic").toDF(*kept)
+    is_set = lambda c: F.coalesce(F.col(c), F.lit(False))                  # noqa: E731
+    return df.join(rules, key == F.col("_r_product"), "left"), {
+        "override": F.col("_r_override"), "periodic": is_set("_r_periodic"),
+        "sporadic": is_set("_r_sporadic")}, kept
+
+
 def window_aggs(last: Column) -> list[Column]:
     """Aggregates for E9 (conditional counts and sums per tail length)."""
     days_ago = F.datediff(last, F.col("date"))
@@ -96,17 +119,17 @@ def classify_lanes(stats: DataFrame, product_config: ProductConfig | None = None
                    dormant: float = C.DORMANT_ZERO_RATE,
                    intermittent: float = C.INTERMITTENT_ZERO_RATE) -> DataFrame:
     """Override, else dormant / intermittent / periodic / daily ladder."""
-    pc = product_config or ProductConfig()
+    stats, rule, extra = with_rules(stats, product_config)
     n, k = F.col("n_days"), F.col("n_order_days")
     zero_rate = F.when(n > 0, F.lit(1.0) - k / n)
-    override = _lookup(pc.lane_overrides, F.col("product"))
+    override = rule["override"]
     lane = (F.when(override.isNotNull(), override)
              .when((n == 0) | (F.col("window_qty") == 0), F.lit("dormant"))
              .when(zero_rate >= dormant, F.lit("dormant"))
              .when(zero_rate >= intermittent, F.lit("intermittent"))
-             .when(_in_set(pc.periodic, F.col("product")), F.lit("periodic"))
+             .when(rule["periodic"], F.lit("periodic"))
              .otherwise(F.lit("daily")))
-    return stats.withColumn("zero_rate", zero_rate).withColumn("lane", lane)
+    return stats.withColumn("zero_rate", zero_rate).withColumn("lane", lane).drop(*extra)
 
 
 def intermittent_rate() -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import ProductConfig
 from ..functions.numeric import half_even
-from .lanes import _in_set
+from .lanes import with_rules
 
 KEYS = ["store", "product"]
 
@@ -40,15 +40,14 @@ def apply_safety_stock(preds: DataFrame, stats: DataFrame,
     """x1.15 (x1.25 when the non-zero CV > 1); sporadic products get a
     floor of max(1, round(mean order / 2)) on days predicted above zero.
     Series with no demand keep their predictions."""
-    pc = product_config or ProductConfig()
-    j = preds.join(stats, KEYS, "left")
+    j, rule, _ = with_rules(preds.join(stats, KEYS, "left"), product_config)
     cv = F.when((F.col("nz_count") > 1) & (F.col("nz_mean") > 0),
                 F.col("nz_std") / F.col("nz_mean")).otherwise(F.lit(0.0))
     mult = F.when(cv > C.SAFETY_VOLATILE_CV,
                   F.lit(multiplier + C.SAFETY_VOLATILE_EXTRA)).otherwise(F.lit(multiplier))
     p = F.col("pred") * mult
     floor = F.greatest(F.lit(1.0), half_even(F.coalesce(F.col("nz_mean"), F.lit(1.0)) * 0.5, 0))
-    sporadic = _in_set(pc.sporadic, F.col("product")) & (F.col("order_freq") > C.SPORADIC_MIN_ORDER_FREQ)
+    sporadic = rule["sporadic"] & (F.col("order_freq") > C.SPORADIC_MIN_ORDER_FREQ)
     p = F.when(sporadic & (p > 0) & (p < floor), floor).otherwise(p)
     no_history = F.col("total_qty").isNull() | (F.col("total_qty") == 0)
     adj = F.when(no_history, F.col("pred")).otherwise(p)

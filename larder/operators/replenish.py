@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..config import AppParams, ProductConfig
 from ..functions.numeric import count_if, half_even
 from .demand import overlay_demand
-from .lanes import _in_set, _lookup
+from .lanes import _lookup, with_rules
 
 ID = ["store_id", "item_id"]
 
@@ -144,17 +144,15 @@ def pair_statistics(settings_w: DataFrame, overlay: DataFrame, plan_date,
     return g.withColumns(out)
 
 
-def route(params: AppParams, product_config: ProductConfig | None = None) -> Column:
+def route(params: AppParams, rule: dict[str, Column]) -> Column:
     """I2 over the routing-window statistics (item name drives overrides)."""
-    pc = product_config or ProductConfig()
-    name = F.col("item_name")
-    override = _lookup(pc.lane_overrides, name)
+    override = rule["override"]
     zr = F.col("r_zero_rate")
     return (F.when(override.isNotNull(), override)
              .when(F.col("r_n_days") == 0, F.lit("dormant"))
              .when(zr >= params.dormant_zero_rate, F.lit("dormant"))
              .when(zr >= params.intermittent_zero_rate, F.lit("intermittent"))
-             .when(_in_set(pc.periodic, name), F.lit("periodic"))
+             .when(rule["periodic"], F.lit("periodic"))
              .otherwise(F.lit("daily")))
 
 
@@ -184,7 +182,9 @@ def forecast(stats: DataFrame, on_hand: DataFrame, params: AppParams,
              product_config: ProductConfig | None = None) -> DataFrame:
     """Lane, expected daily demand, confidence, flags, on-hand."""
     weighted = params.forecast_method == "historical_weighted_v1"
-    df = stats.withColumn("lane", route(params, product_config)).withColumns(_ladder(params, weighted))
+    stats, rule, extra = with_rules(stats, product_config, "item_name")
+    df = (stats.withColumn("lane", route(params, rule)).drop(*extra)
+          .withColumns(_ladder(params, weighted)))
     lane = F.col("lane")
     rw = params.routing_window
     nd, no = F.col("r_n_days"), F.col("r_n_order_days")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.numeric import round_all
+from .operators import catalogue as CT
 from .operators import demand as DM
 from .operators import dow as DW
 from .operators import features as FT
@@ -66,6 +67,48 @@ def _lane_classify(kind):
     return q
 
 
+def alias_closure(spark, sf):
+    """The chains of written names resolved."""
+    return CT.alias_closure(D.part_aliases(spark, sf))
+
+
+def normalized_demand(spark, sf):
+    """D1 by canonical name."""
+    return round_all(CT.normalized_demand(D.part_lines(spark, sf), alias_closure(spark, sf)))
+
+
+def _rules(spark, sf, kind="brand"):
+    """Daily demand and the products' configuration on its last day."""
+    daily = _daily(spark, sf, kind)
+    last = DM.date_bound_values(daily)[1]
+    return daily, ProductConfig(rules=CT.rules_at(D.product_rules(spark, sf), last))
+
+
+def rules_in_force(spark, sf):
+    return _rules(spark, sf)[1].rules
+
+
+def rule_problems(spark, sf):
+    return CT.rule_problems(D.product_rules(spark, sf)).groupBy("problem").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def lane_rules(spark, sf):
+    """I1, I3 and I4 with overrides and the periodic set taken from the rule table."""
+    daily, pc = _rules(spark, sf, "type")
+    return round_all(LN.lanes(daily, pc).select(
+        "store", "product", "n_days", "n_order_days", "lane",
+        F.coalesce("lane_rate", F.lit(0.0)).alias("lane_rate")))
+
+
+def lane_rules_forecast(spark, sf):
+    """Lane forecast and safety stock with the rule table."""
+    daily, pc = _rules(spark, sf)
+    first, last = DM.date_bounds(daily)
+    preds = DW.lane_forecast(daily, pc, first=first, last=last)
+    return round_all(PK.apply_safety_stock(preds, PK.series_stats(daily, first, last), pc))
+
+
 def lane_forecast(spark, sf):
     return round_all(DW.lane_forecast(_daily(spark, sf, "brand")))
 
@@ -593,6 +636,12 @@ def registry() -> dict[str, Query]:
         "sales_distinct": sales_distinct,
         "lane_classify": _lane_classify("brand"),
         "lane_classify_events": _lane_classify("events"),
+        "alias_closure": alias_closure,
+        "normalized_demand": normalized_demand,
+        "rules_in_force": rules_in_force,
+        "rule_problems": rule_problems,
+        "lane_rules": lane_rules,
+        "lane_rules_forecast": lane_rules_forecast,
         "lane_forecast": lane_forecast,
         "dow_forecast_v2": _dow_forecast(2, "type"),
         "dow_forecast_v1": _dow_forecast(1, "type"),

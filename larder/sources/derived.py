@@ -93,6 +93,47 @@ def demand_lines(spark: SparkSession, sf_dir: str, kind: str = "type") -> DataFr
                       F.col("l_quantity").alias("qty")))
 
 
+def part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales lines whose product is the part's written name, ``Part <key>``."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_partkey", "l_returnflag", "l_quantity",
+                                                "l_shipdate"])
+    return li.select(F.col("l_returnflag").alias("store"),
+                     F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("product"),
+                     F.to_date("l_shipdate").alias("date"), F.col("l_quantity").alias("qty"))
+
+
+def part_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``variant, target``: part names in chains of 40, each name an alias of the one before;
+    in every fourth chain the second name leads back to the fourth, which makes a circle."""
+    key = F.col("p_partkey")
+    back = (key % 40 == 1) & (F.floor(key / 40) % 4 == 3)
+    named = lambda c: F.concat(F.lit("Part "), c.cast("string"))           # noqa: E731
+    return (read_table(spark, sf_dir, "part", ["p_partkey"]).where(key % 40 != 0)
+            .select(named(key).alias("variant"),
+                    named(F.when(back, key + 2).otherwise(key - 1)).alias("target")))
+
+
+def product_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lane rules with dates, one a part for its type and one for its brand: ``product, kind,
+    lane, valid_from, valid_to``.  The product settles the kind.  Some rules are open-ended,
+    some name an unknown kind or lane, some end before they start."""
+    key = F.col("p_partkey").cast("int")
+    start = F.date_add(F.lit("1995-01-01").cast("date"), (key * 37) % 2500)
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), n + 1)
+    kind = F.when(key % 6 == 5, F.lit("seasonal")).otherwise(
+        pick(("override", "periodic", "sporadic", "obsolete"), (F.col("group") % 4).cast("int")))
+    lane = pick(("daily", "periodic", "intermittent", "dormant", "weekly"), key % 5)
+    number = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")
+    return (read_table(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_type"])
+            .select("p_partkey", F.explode(F.array(
+                F.struct(F.col("p_type").alias("product"), F.length("p_type").alias("group")),
+                F.struct(F.col("p_brand").alias("product"), number.alias("group")))).alias("of"))
+            .select("p_partkey", "of.*")
+            .select("product", kind.alias("kind"), F.when(kind == "override", lane).alias("lane"),
+                    start.alias("valid_from"),
+                    F.when(key % 11 != 0, F.date_add(start, (key * 13) % 400 - 20)).alias("valid_to")))
+
+
 def par_levels(spark: SparkSession, sf_dir: str, kind: str = "brand") -> DataFrame:
     """Par levels ``(store, product, max_qty)`` for every observed pair.
 
