@@ -6,6 +6,11 @@ Actions in the middle of the plan are limited to what sets a parameter:
 the two calendar bounds, the store list (model layout) and the global
 ensemble weights (three numbers).  Everything else is one lazy plan per
 output; the daily table is materialised once.
+
+With ``stages`` (``plans.stages.Stages``) the run can be killed and started
+again: the daily table, the backtest, the learned models' predictions, the
+blended predictions and the packing list are then kept by input version, and
+a rerun goes on after the last one that was finished.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from ..operators import lanes as LN
 from ..operators import models as MD
 from ..operators import packing as PK
 from .materialize import materialize
+from .stages import Scratch, Stages
 
 KEYS = ["store", "product"]
 
@@ -79,9 +85,9 @@ def predictors(product_config: ProductConfig | None = None, use_gbt: bool = True
 
 
 def _learned(dense: DataFrame, pairs: DataFrame, tiers: DataFrame, last,
-             days: int) -> tuple[DataFrame, DataFrame]:
-    """Day-by-day GBT of the daily-lane series ``pairs``, and the two-stage model's of
-    those of the sporadic tier.  The models' Spark jobs overlap."""
+             days: int) -> DataFrame:
+    """``pred_gbt`` of the daily-lane series ``pairs``, day by day, and ``pred_sporadic`` of
+    the two-stage model for those of the sporadic tier.  The models' Spark jobs overlap."""
     features = FT.complete_rows(FT.feature_matrix(dense.join(pairs, KEYS, "left_semi")))
     train = materialize(FT.recency_weights(features, ["store"]), "gbt-train")
     rare = materialize(pairs.join(tiers.where(F.col("volume_tier") == "sporadic"), KEYS,
@@ -91,39 +97,58 @@ def _learned(dense: DataFrame, pairs: DataFrame, tiers: DataFrame, last,
     with ThreadPoolExecutor(max_workers=2) as pool:
         gbt, sporadic = pool.submit(MD.fit_gbt, train), pool.submit(MD.fit_sporadic, rare_train)
         gbt, sporadic = gbt.result(), sporadic.result()
-    return (MD.recursive_gbt(gbt, dense, last, days, only=pairs).select(*KEYS, "day_idx", "pred_gbt"),
-            MD.recursive_sporadic(sporadic, dense, last, days, only=rare).select(
-                *KEYS, "day_idx", "pred_sporadic"))
+    return (MD.recursive_gbt(gbt, dense, last, days, only=pairs).select(*KEYS, "day_idx", "pred_gbt")
+            .join(MD.recursive_sporadic(sporadic, dense, last, days, only=rare).select(
+                *KEYS, "day_idx", "pred_sporadic"), [*KEYS, "day_idx"], "left"))
 
 
 def run_forecast(lines: DataFrame, product_config: ProductConfig | None = None,
                  par_levels: DataFrame | None = None, corrections: DataFrame | None = None,
-                 days: int = C.HORIZON_DAYS, use_gbt: bool = True) -> ForecastResult:
+                 days: int = C.HORIZON_DAYS, use_gbt: bool = True,
+                 stages: Stages | None = None) -> ForecastResult:
+    """The whole run.  ``stages``: where finished stages are kept for a rerun; its version
+    must tell the lines, par levels, corrections and parameters apart (``input_version``)."""
     pc = product_config or ProductConfig()
-    daily = materialize(DM.daily_demand(lines), "daily")
+    run = stages or Scratch()
+    daily = run.table("daily", lambda: DM.daily_demand(lines))
     lo, hi = DM.date_bound_values(daily)
     first, last = F.lit(lo), F.lit(hi)
 
-    bt = materialize(EV.backtest(daily, C.BACKTEST_TEST_DAYS, pc, predictors(pc, use_gbt)),
-                     "backtest")
+    bt = run.table("backtest", lambda: EV.backtest(daily, C.BACKTEST_TEST_DAYS, pc,
+                                                   predictors(pc, use_gbt)))
     models = ("dow", "exp", "gbt") if use_gbt else ("dow", "exp")
     wrow = EV.ensemble_weights(bt, models).first()
     weights = {m: float(wrow[m]) for m in models}
     weights.setdefault("gbt", 0.0)
     per_product = EV.product_weights(bt, weights) if use_gbt else None
 
-    dense = materialize(DM.dense_demand(daily, first, last), "dense")
+    predictions = lambda: _predictions(                                    # noqa: E731
+        run, daily, pc, first, last, days, use_gbt, weights, per_product, corrections)
+    safe = run.table("predictions", predictions) if stages else predictions()
+    lstats = LN.lanes(daily, pc, first, last)
+    sched = PK.delivery_schedule(lstats, days)
+    packing = lambda: PK.packing_list(PK.packing_quantities(               # noqa: E731
+        safe.select(*KEYS, "lane", "day_idx", "date", "pred"), sched), par_levels)
+    plist = run.table("packing", packing) if stages else packing()
+    return ForecastResult(predictions=safe, packing=plist, weights=weights, backtest=bt)
+
+
+def _predictions(run, daily: DataFrame, pc: ProductConfig, first, last, days: int, use_gbt: bool,
+                 weights: dict, per_product: DataFrame | None,
+                 corrections: DataFrame | None) -> DataFrame:
+    """Lane, ensemble and sporadic predictions, corrected, with safety stock."""
+    dense = run.table("dense", lambda: DM.dense_demand(daily, first, last))
     base = DW.lane_forecast(daily, pc, days, first, last)          # lane + DOW preds
     preds = base.withColumnRenamed("pred", "pred_lane_or_dow")
-    daily_pairs = materialize(_daily_lane(LN.lanes(daily, pc, first, last)), "daily-pairs")
+    daily_pairs = run.table("daily-pairs", lambda: _daily_lane(LN.lanes(daily, pc, first, last)))
     hw = MD.holt_winters(dense, last, days, only=daily_pairs).select(*KEYS, "day_idx", "pred_exp")
     preds = preds.join(hw, [*KEYS, "day_idx"], "left")
 
     tiers = FT.volume_tiers(dense).select(*KEYS, "volume_tier")
     preds = preds.join(tiers, KEYS, "left")
     if use_gbt:
-        gb, sp = _learned(dense, daily_pairs, tiers, last, days)
-        preds = preds.join(gb, [*KEYS, "day_idx"], "left").join(sp, [*KEYS, "day_idx"], "left")
+        learned = run.table("learned", lambda: _learned(dense, daily_pairs, tiers, last, days))
+        preds = preds.join(learned, [*KEYS, "day_idx"], "left")
     else:
         preds = preds.withColumn("pred_gbt", F.lit(0.0)).withColumn("pred_sporadic", F.lit(None).cast("double"))
 
@@ -154,12 +179,7 @@ def run_forecast(lines: DataFrame, product_config: ProductConfig | None = None,
                        pred.alias("pred"))
 
     stats = PK.series_stats(daily, first, last)
-    safe = PK.apply_safety_stock(out, stats, pc)
-    lstats = LN.lanes(daily, pc, first, last)
-    sched = PK.delivery_schedule(lstats, days)
-    qty = PK.packing_quantities(safe.select(*KEYS, "lane", "day_idx", "date", "pred"), sched)
-    plist = PK.packing_list(qty, par_levels)
-    return ForecastResult(predictions=safe, packing=plist, weights=weights, backtest=bt)
+    return PK.apply_safety_stock(out, stats, pc)
 
 
 def forecast_dates(last: dt.date, days: int = C.HORIZON_DAYS) -> list[dt.date]:
