@@ -15,9 +15,14 @@ Features are a text's distinct words with their beginnings and endings; the
 ``MAX_FEATURES`` most telling ones (document frequency among positives
 against unlabelled, counted on Spark) enter the model.
 
-The fit uses a bounded sample: the ``MAX_POSITIVE`` toxic and
-``MAX_UNLABELLED`` unlabelled documents with the least id hashes.  Scoring
-reads every whole text; ids, language, source and labels are no inputs.
+The positives are bounded: the ``MAX_POSITIVE`` toxic documents with the
+least id hashes.  The unlabelled side is all documents outside the held-out
+fold: their features are counted over all of them, and the risk is taken
+over all of them for the last ``FULL_STEPS`` steps, each one pass over their
+stored feature vectors that sums gradients by weight.  The steps before only
+find a starting point and use the vectors of the ``START`` least id hashes.
+Scoring reads every whole text; ids, language, source and labels are no
+inputs.
 
 Defined results: null and empty texts have no features and get the score of
 the bias; with no toxic example at all every score is 0.  Equal texts get
@@ -40,7 +45,8 @@ from pyspark.sql import types as T
 from .common import fold, fresh_name, stored
 
 MAX_POSITIVE = 4_000
-MAX_UNLABELLED = 12_000
+START = 12_000
+FULL_STEPS = 10
 MAX_FEATURES = 1_024
 MIN_POSITIVE_DF = 3
 MODELS = 3
@@ -101,35 +107,53 @@ class ToxicityModel:
         return F.pandas_udf(run, T.DoubleType())(text)
 
 
-def _document_frequencies(batches):
-    """A task's features with the positive and unlabelled documents that have them."""
-    counts: dict[str, list[int]] = {}
-
-    def flushed():
-        p, u = zip(*counts.values()) if counts else ((), ())
-        out = pd.DataFrame({"feature": np.array([*counts, None], object)[:-1], "p": np.array(p, np.int64),
-                            "u": np.array(u, np.int64)})
-        counts.clear()
-        return out
-
-    for batch in batches:
-        for mark, text in zip(batch["positive"], batch["text"]):
-            side = 0 if mark else 1
-            for f in {f for w in words(text) for f in word_features(w)}:
-                own = counts.get(f)
-                if own is None:
-                    own = counts[f] = [0, 0]
-                own[side] += 1
-            if len(counts) > _CACHE:
-                yield flushed()
-    yield flushed()
-
-
-def _choose(sample: DataFrame, n_positive: int, n_unlabelled: int, limit: int) -> list[str]:
-    """The features whose document frequency rises most from unlabelled to positive."""
-    counts = (sample.mapInPandas(_document_frequencies, "feature string, p long, u long")
-              .groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-              .where(F.col("p") >= MIN_POSITIVE_DF))
+def _document_frequencies(wanted: dict[str, int] | None = None):
+    """Function from batches of texts to a task's features with the number of texts that have
+    them: of all features, or of the ``wanted`` ones only."""
+    def run(batches):
+        counts: dict[str, int] = {}
+        cache: dict[str, tuple] = {}
+
+        def flushed():
+            out = pd.DataFrame({"feature": np.array([*counts, None], object)[:-1],
+                                "n": np.array([*counts.values()], np.int64)})
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for text in batch["text"]:
+                own: set[str] = set()
+                for word in words(text):
+                    found = cache.get(word)
+                    if found is None:
+                        if len(cache) >= _CACHE:
+                            cache.clear()
+                        found = cache[word] = tuple(f for f in word_features(word)
+                                                    if wanted is None or f in wanted)
+                    own.update(found)
+                for f in own:
+                    counts[f] = counts.get(f, 0) + 1
+                if len(counts) > _CACHE:
+                    yield flushed()
+        yield flushed()
+    return run
+
+
+def _choose(toxic: DataFrame, unlabelled: DataFrame, n_positive: int, n_unlabelled: int,
+            limit: int) -> list[str]:
+    """The features whose document frequency rises most from unlabelled to positive.
+
+    Only features of enough positives are counted among the unlabelled texts; their number
+    is bounded by the positives'.
+    """
+    count = lambda df, wanted=None: (df.mapInPandas(                       # noqa: E731
+        _document_frequencies(wanted), "feature string, n long")
+        .groupBy("feature").agg(F.sum("n").alias("n")))
+    common = stored(count(toxic.select("text")).where(F.col("n") >= MIN_POSITIVE_DF)
+                    .withColumnRenamed("n", "p"), "toxicity-features")
+    wanted = {r["feature"]: r["p"] for r in common.collect()}
+    counts = common.join(count(unlabelled.select("text"), wanted).withColumnRenamed("n", "u"),
+                         "feature", "left").na.fill(0, ["u"])
     p, u = F.col("p") / n_positive, (F.col("u") + 0.5) / (n_unlabelled + 1)
     z = (p - u) / F.sqrt(p * (1 - p) / n_positive + u * (1 - u) / n_unlabelled + 1e-9)
     rows = (counts.withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "feature")
@@ -144,62 +168,126 @@ def _merged(x: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             np.append(weight[some], weight[~some].sum()).astype(np.float32))
 
 
-def nnpu_fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int,
-             steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative PU risk with sigmoid loss (Adam).
+class Learner:
+    """One linear classifier on the non-negative PU risk with sigmoid loss (Adam).
 
-    Each classifier sees its own bootstrap weights of the two samples.
+    It holds the positives, on bootstrap weights; a step is given the unlabelled side's mean
+    of sigmoid(z) and that mean's gradient.
     """
-    rng = np.random.default_rng(seed)
-    d = x_p.shape[1]
-    w_p = rng.poisson(1, len(x_p)) + 0.05
-    w_u = rng.poisson(1, len(x_u)) + 0.05
-    (x_p, w_p), (x_u, w_u) = _merged(x_p, w_p / w_p.sum()), _merged(x_u, w_u / w_u.sum())
-    theta = np.zeros(d + 1, np.float32)
-    theta[d] = np.log(prior / (1 - prior))
-    m, v = np.zeros(d + 1, np.float32), np.zeros(d + 1, np.float32)
 
-    def positive_part(x, weight):
+    def __init__(self, x_p: np.ndarray, prior: float, rng: np.random.Generator):
+        w_p = rng.poisson(1, len(x_p)) + 0.05
+        self.prior, self.d, self.t = prior, x_p.shape[1], 0
+        self.positives = _merged(x_p, w_p / w_p.sum())
+        self.theta = np.zeros(self.d + 1, np.float32)
+        self.theta[self.d] = np.log(prior / (1 - prior))
+        self.m, self.v = np.zeros_like(self.theta), np.zeros_like(self.theta)
+
+    def side(self, x: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
         """Weighted mean of sigmoid(z), and its gradient."""
-        s = 1 / (1 + np.exp(-np.clip(x @ theta[:d] + theta[d], -60, 60)))
+        s = 1 / (1 + np.exp(-np.clip(x @ self.theta[:self.d] + self.theta[self.d], -60, 60)))
         slope = weight * s * (1 - s)
         return weight @ s, np.append(x.T @ slope, slope.sum())
 
-    for step in range(1, steps + 1):
-        toxic, g_toxic = positive_part(x_p, w_p)      # 1 - this: loss of positives as positive
-        other, g_other = positive_part(x_u, w_u)
-        g = -prior * g_toxic
-        if other - prior * toxic > 0:                 # the non-negative correction
-            g = g + g_other - prior * g_toxic
-        g[:d] += DECAY * theta[:d]
-        m = 0.9 * m + 0.1 * g
-        v = 0.999 * v + 0.001 * g * g
-        theta = theta - np.float32(RATE) * (m / np.float32(1 - 0.9 ** step)) / (
-            np.sqrt(v / np.float32(1 - 0.999 ** step)) + np.float32(1e-8))
-    return theta[:d].astype(float), float(theta[d])
+    def step(self, other: float, g_other: np.ndarray) -> None:
+        toxic, g_toxic = self.side(*self.positives)   # 1 - this: loss of positives as positive
+        g = -self.prior * g_toxic
+        if other - self.prior * toxic > 0:            # the non-negative correction
+            g = g + g_other - self.prior * g_toxic
+        g = g.astype(np.float32)
+        g[:self.d] += DECAY * self.theta[:self.d]
+        self.t += 1
+        self.m = 0.9 * self.m + 0.1 * g
+        self.v = 0.999 * self.v + 0.001 * g * g
+        self.theta = self.theta - np.float32(RATE) * (self.m / np.float32(1 - 0.9 ** self.t)) / (
+            np.sqrt(self.v / np.float32(1 - 0.999 ** self.t)) + np.float32(1e-8))
+
+
+def started(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int,
+            steps: int = STEPS) -> Learner:
+    """A learner after ``steps`` steps on the given unlabelled rows, on bootstrap weights."""
+    rng = np.random.default_rng(seed)
+    learner = Learner(x_p, prior, rng)
+    w_u = rng.poisson(1, len(x_u)) + 0.05
+    rows = _merged(x_u, w_u / w_u.sum())
+    for _ in range(steps):
+        learner.step(*learner.side(*rows))
+    return learner
+
+
+def nnpu_fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int,
+             steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative PU risk of the given rows."""
+    theta = started(x_p, x_u, prior, seed, steps).theta.astype(float)
+    return theta[:-1], float(theta[-1])
+
+
+def risk_terms(vectors: DataFrame, thetas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all rows of ``vectors`` (at, x): of sigmoid(z) by classifier, and of its
+    gradient by classifier and weight.  A task sends each of these sums once."""
+    k, width = thetas.shape
+    d = width - 1
+
+    def run(batches):
+        total, grad = np.zeros(k), np.zeros((k, width))
+        for batch in batches:
+            if not len(batch):
+                continue
+            sizes = batch["at"].map(len).to_numpy()
+            row = np.repeat(np.arange(len(batch)), sizes)
+            at = np.concatenate([*batch["at"], np.zeros(0, np.int64)]).astype(np.int64)
+            x = np.concatenate([*batch["x"], np.zeros(0)])
+            for i, theta in enumerate(thetas):
+                z = np.bincount(row, x * theta[at], len(batch)) + theta[d]
+                s = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+                slope = s * (1 - s)
+                total[i] += s.sum()
+                grad[i, :d] += np.bincount(at, x * slope[row], d)
+                grad[i, d] += slope.sum()
+        values = np.concatenate([total, grad.ravel()])
+        at = np.flatnonzero(values)
+        yield pd.DataFrame({"place": at, "value": values[at]})
+
+    sums = np.zeros(k + k * width)
+    for r in (vectors.select("at", "x").mapInPandas(run, "place long, value double")
+              .groupBy("place").agg(F.sum("value").alias("value")).collect()):
+        sums[r["place"]] = r["value"]
+    return sums[:k], sums[k:].reshape(k, width)
 
 
 def _vectors(features: dict[str, int]):
     def run(batches):
+        cache: dict[str, tuple] = {}
         for batch in batches:
             at, x = [], []
             for text in batch["text"]:
                 counts: dict[int, int] = {}
                 for word in words(text):
-                    for f in word_features(word):
-                        if f in features:
-                            counts[features[f]] = counts.get(features[f], 0) + 1
+                    found = cache.get(word)
+                    if found is None:
+                        if len(cache) >= _CACHE:
+                            cache.clear()
+                        found = cache[word] = tuple(
+                            features[f] for f in word_features(word) if f in features)
+                    for i in found:
+                        counts[i] = counts.get(i, 0) + 1
                 at.append(sorted(counts))
                 x.append([float(np.log1p(counts[i])) for i in sorted(counts)])
-            yield pd.DataFrame({"id_hash": batch["id_hash"], "positive": batch["positive"],
-                                "at": at, "x": x})
+            yield pd.DataFrame({"id_hash": batch["id_hash"], "at": at, "x": x})
     return run
 
 
+def _matrix(rows, width: int) -> np.ndarray:
+    out = np.zeros((len(rows), width), np.float32)
+    for i, r in enumerate(rows):
+        out[i, r["at"]] = r["x"]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None,
         modulus: int = 5, held_out: int = 0, max_positive: int = MAX_POSITIVE,
-        max_unlabelled: int = MAX_UNLABELLED) -> ToxicityModel:
-    """Learns from labels of rows outside the held-out fold and unlabelled texts."""
+        start: int = START, full_steps: int = FULL_STEPS) -> ToxicityModel:
+    """Learns from labels of rows outside the held-out fold and all unlabelled texts there."""
     train = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()
                           & (fold(F.col("doc_id"), modulus) != held_out))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
@@ -209,32 +297,31 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None,
         return ToxicityModel()
     if prior is None:
         prior = min(0.9, max(1e-3, told["k"] / told["n"]))
-    positive = (train.where("toxic = 1").select("doc_id", id_hash.alias("id_hash"))
-                .orderBy("id_hash", "doc_id").limit(max_positive)
-                .select("doc_id", F.lit(True).alias("positive")))
-    other = (docs.where(F.col("doc_id").isNotNull()
-                        & (fold(F.col("doc_id"), modulus) != held_out))
-             .select("doc_id", id_hash.alias("id_hash")).orderBy("id_hash", "doc_id")
-             .limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive")))
-    # Bounded by the two limits, so every task may hold the chosen ids.
-    chosen = F.broadcast(positive.union(other))
-    sample = stored(docs.select("doc_id", "text").join(chosen, "doc_id")
-                    .select(id_hash.alias("id_hash"), "positive", "text"), "toxicity-sample")
-    sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
-    if not sizes.get(True) or not sizes.get(False):
+    # bounded by max_positive, so every task may hold the chosen ids
+    positive = F.broadcast(train.where("toxic = 1").select("doc_id", id_hash.alias("_hash"))
+                           .orderBy("_hash", "doc_id").limit(max_positive).select("doc_id"))
+    toxic = stored(docs.select("doc_id", "text").join(positive, "doc_id")
+                   .select(id_hash.alias("id_hash"), "text"), "toxicity-positives")
+    unlabelled = docs.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), modulus) != held_out)
+                            ).select(id_hash.alias("id_hash"), "text")
+    n_positive, n_unlabelled = toxic.count(), unlabelled.count()
+    if not n_positive or not n_unlabelled:
         return ToxicityModel()
-    names = _choose(sample, sizes[True], sizes[False], MAX_FEATURES)
+    names = _choose(toxic, unlabelled, n_positive, n_unlabelled, MAX_FEATURES)
     features = {name: i for i, name in enumerate(names)}
-    rows = sorted(sample.mapInPandas(
-        _vectors(features), "id_hash long, positive boolean, at array<int>, x array<double>")
-        .collect(), key=lambda r: (r.positive, r.id_hash, r.at, r.x))
-    x = np.zeros((len(rows), len(names)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["at"]] = r["x"]
-    mark = np.array([r.positive for r in rows])
-    fits = [nnpu_fit(x[mark], x[~mark], prior, seed) for seed in range(MODELS)]
-    return ToxicityModel(features, np.stack([f[0] for f in fits], axis=1),
-                         np.array([f[1] for f in fits]))
+    vector = "id_hash long, at array<int>, x array<double>"
+    rows = sorted(toxic.mapInPandas(_vectors(features), vector).collect(),
+                  key=lambda r: (r.id_hash, r.at, r.x))
+    x_p = _matrix(rows, len(names))
+    vectors = stored(unlabelled.mapInPandas(_vectors(features), vector), "toxicity-vectors")
+    x_u = _matrix(vectors.orderBy("id_hash", "at", "x").limit(start).collect(), len(names))
+    learners = [started(x_p, x_u, prior, seed) for seed in range(MODELS)]
+    for _ in range(full_steps):
+        total, grad = risk_terms(vectors, np.stack([m.theta for m in learners]).astype(float))
+        for learner, s, g in zip(learners, total, grad):
+            learner.step(s / n_unlabelled, g / n_unlabelled)
+    theta = np.stack([m.theta for m in learners], axis=1).astype(float)
+    return ToxicityModel(features, theta[:-1], theta[-1])
 
 
 def score(docs: DataFrame, model: ToxicityModel, modulus: int = 5, held_out: int = 0) -> DataFrame:
