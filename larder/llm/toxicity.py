@@ -107,35 +107,61 @@ class ToxicityModel:
         return F.pandas_udf(run, T.DoubleType())(text)
 
 
-def _document_frequencies(wanted: dict[str, int] | None = None):
+class _WordFeatures(dict):
+    """A word's feature numbers, made when first asked for."""
+
+    def __init__(self, numbers: dict[str, int]):
+        self.numbers = numbers
+
+    def __missing__(self, word: str) -> tuple:
+        if len(self) >= _CACHE:
+            self.clear()
+        found = self[word] = tuple(self.numbers[f] for f in word_features(word) if f in self.numbers)
+        return found
+
+
+class _Numbers(dict):
+    """Numbers for whatever is asked for, in the order of asking."""
+
+    def __contains__(self, feature) -> bool:
+        return True
+
+    def __missing__(self, feature: str) -> int:
+        self[feature] = len(self)
+        return self[feature]
+
+
+def _document_frequencies(wanted: list[str] | None = None):
     """Function from batches of texts to a task's features with the number of texts that have
     them: of all features, or of the ``wanted`` ones only."""
     def run(batches):
-        counts: dict[str, int] = {}
-        cache: dict[str, tuple] = {}
+        numbers = _Numbers() if wanted is None else {f: i for i, f in enumerate(wanted)}
+        of_word = _WordFeatures(numbers)
+        total, ids = np.zeros(0, np.int64), []
+
+        def added():
+            counts = np.bincount(np.array(ids, np.int64), minlength=max(len(numbers), len(total)))
+            counts[:len(total)] += total
+            ids.clear()
+            return counts
 
-        def flushed():
-            out = pd.DataFrame({"feature": np.array([*counts, None], object)[:-1],
-                                "n": np.array([*counts.values()], np.int64)})
-            counts.clear()
-            return out
+        def rows():
+            names = np.array([*numbers, None], object)[:-1]
+            at = np.flatnonzero(total)
+            return pd.DataFrame({"feature": names[at], "n": total[at]})
 
         for batch in batches:
             for text in batch["text"]:
-                own: set[str] = set()
-                for word in words(text):
-                    found = cache.get(word)
-                    if found is None:
-                        if len(cache) >= _CACHE:
-                            cache.clear()
-                        found = cache[word] = tuple(f for f in word_features(word)
-                                                    if wanted is None or f in wanted)
-                    own.update(found)
-                for f in own:
-                    counts[f] = counts.get(f, 0) + 1
-                if len(counts) > _CACHE:
-                    yield flushed()
-        yield flushed()
+                ids.extend(set().union(*map(of_word.__getitem__, words(text))))
+                if len(ids) > _CACHE:
+                    total = added()
+                    if wanted is None and len(numbers) > _CACHE:
+                        yield rows()
+                        numbers.clear()
+                        of_word.clear()
+                        total = np.zeros(0, np.int64)
+        total = added()
+        yield rows()
     return run
 
 
@@ -143,18 +169,20 @@ def _choose(toxic: DataFrame, unlabelled: DataFrame, n_positive: int, n_unlabell
             limit: int) -> list[str]:
     """The features whose document frequency rises most from unlabelled to positive.
 
-    Only features of enough positives are counted among the unlabelled texts; their number
-    is bounded by the positives'.
+    Among the unlabelled texts only those features are counted that could pass if no text
+    had them; their number is bounded by the positives'.
     """
     count = lambda df, wanted=None: (df.mapInPandas(                       # noqa: E731
         _document_frequencies(wanted), "feature string, n long")
         .groupBy("feature").agg(F.sum("n").alias("n")))
     common = stored(count(toxic.select("text")).where(F.col("n") >= MIN_POSITIVE_DF)
                     .withColumnRenamed("n", "p"), "toxicity-features")
-    wanted = {r["feature"]: r["p"] for r in common.collect()}
-    counts = common.join(count(unlabelled.select("text"), wanted).withColumnRenamed("n", "u"),
+    p = F.col("p") / n_positive
+    best = p / F.sqrt(p * (1 - p) / n_positive + 1e-9)
+    wanted = sorted(r["feature"] for r in common.where(best > 3).select("feature").collect())
+    counts = common.where(best > 3).join(count(unlabelled.select("text"), wanted).withColumnRenamed("n", "u"),
                          "feature", "left").na.fill(0, ["u"])
-    p, u = F.col("p") / n_positive, (F.col("u") + 0.5) / (n_unlabelled + 1)
+    u = (F.col("u") + 0.5) / (n_unlabelled + 1)
     z = (p - u) / F.sqrt(p * (1 - p) / n_positive + u * (1 - u) / n_unlabelled + 1e-9)
     rows = (counts.withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "feature")
             .limit(limit).collect())
@@ -314,7 +342,10 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None,
                   key=lambda r: (r.id_hash, r.at, r.x))
     x_p = _matrix(rows, len(names))
     vectors = stored(unlabelled.mapInPandas(_vectors(features), vector), "toxicity-vectors")
-    x_u = _matrix(vectors.orderBy("id_hash", "at", "x").limit(start).collect(), len(names))
+    # a few more than wanted by the hash, so that tasks send few rows that the limit drops
+    share = min(1.0, (start + 6 * start ** 0.5 + 50) / n_unlabelled)
+    low = F.col("id_hash") <= F.lit(int(-2.0 ** 63 + share * (2.0 ** 64 - 2 ** 12)))
+    x_u = _matrix(vectors.where(low).orderBy("id_hash", "at", "x").limit(start).collect(), len(names))
     learners = [started(x_p, x_u, prior, seed) for seed in range(MODELS)]
     for _ in range(full_steps):
         total, grad = risk_terms(vectors, np.stack([m.theta for m in learners]).astype(float))
