@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.numeric import count_if
+from ..plans.materialize import materialize
 
 # Date formats accepted by the importer, in the order tried.
 DATE_FORMATS = ("yyyy-M-d", "M/d/yyyy", "M-d-yyyy")
@@ -55,23 +56,32 @@ def one_id_per_key(dimension: DataFrame, key: str, out: str, name: str) -> DataF
             .agg(F.max("id").alias(name)))
 
 
+def ids_per_key(dimension: DataFrame, code: str, name: str, out: str, prefix: str) -> DataFrame:
+    """``one_id_per_key`` of codes and of names in one table, stored: ``out``, ``prefix`` +
+    ``_code`` and ``_name``.  One join finds both, and where the table is too large to be sent
+    to all tasks, Spark can split a key that many rows name."""
+    both = [one_id_per_key(dimension, code, out, f"{prefix}_code"),
+            one_id_per_key(dimension, name, out, f"{prefix}_name")]
+    found = both[0].unionByName(both[1], allowMissingColumns=True)
+    return materialize(found.groupBy(out).agg(*[F.max(c).alias(c) for c in found.columns
+                                                if c != out]), "import-ids")
+
+
 def lookup_ids(rows: DataFrame, stores: DataFrame, items: DataFrame, store_col: str = "store_code",
                sku_col: str = "sku", name_first: bool | Column = False) -> DataFrame:
     """Store / item ids by upper-cased trimmed code (and, for the
     enquiry layout, by name first, then by code).  ``name_first`` may be a
     column, for rows of several layouts."""
     r = rows.withColumn("_s", F.upper(F.trim(store_col))).withColumn("_i", F.upper(F.trim(sku_col)))
-    s_code = one_id_per_key(stores, "code", "_s", "_sid_code")
-    i_code = one_id_per_key(items, "sku", "_i", "_iid_code")
-    r = r.join(s_code, "_s", "left").join(i_code, "_i", "left")
     if isinstance(name_first, Column) or name_first:
-        s_name = one_id_per_key(stores, "name", "_s", "_sid_name")
-        i_name = one_id_per_key(items, "item_name", "_i", "_iid_name")
-        r = r.join(s_name, "_s", "left").join(i_name, "_i", "left")
+        r = (r.join(ids_per_key(stores, "code", "name", "_s", "_sid"), "_s", "left")
+              .join(ids_per_key(items, "sku", "item_name", "_i", "_iid"), "_i", "left"))
         named = name_first if isinstance(name_first, Column) else F.lit(True)
         sid = F.coalesce(F.when(named, F.col("_sid_name")), "_sid_code")
         iid = F.coalesce(F.when(named, F.col("_iid_name")), "_iid_code")
     else:
+        r = (r.join(one_id_per_key(stores, "code", "_s", "_sid_code"), "_s", "left")
+              .join(one_id_per_key(items, "sku", "_i", "_iid_code"), "_i", "left"))
         sid, iid = F.col("_sid_code"), F.col("_iid_code")
     out = r.withColumn("store_id", sid).withColumn("item_id", iid)
     return out.drop(*[c for c in out.columns if c.startswith("_sid") or c.startswith("_iid")

@@ -12,7 +12,9 @@ Huge files stay split, so no task may need what stands before its split:
   is split at its most frequent delimiter, and the layout with the fewest
   missing columns is taken, the first one on ties.  Headers stay on Spark: a
   file's delimiter and column places are joined to its records, so files of
-  all layouts are read by one scan and one plan, whatever their number.
+  all layouts are read by one scan and one plan, whatever their number.  They
+  are stored first: the planner sees how small they are and leaves the records
+  where they are, instead of bringing a file's records into one task.
 
 A quote that is never closed would make the rest of its file one record;
 records beyond ``MAX_RECORD`` characters are told as problems, not gathered.
@@ -155,7 +157,7 @@ def import_records(lines: DataFrame, layouts: dict[str, dict[str, str]],
     """(rows ``file, line_no, layout, store, item, date, quantity, notes``, problems
     ``file, line_no, problem``) of all files, as text; the header is record 1."""
     recs, large = records(lines, max_record)
-    heads = headers(recs, layouts)
+    heads = materialize(headers(recs, layouts), "file-headers")
     data = recs.join(heads.where(F.col("missing") == ""), "file").where(
         F.col("record") > F.col("header"))
     data = data.withColumn("_f", fields(F.col("value"), F.col("delimiter")))
