@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..plans.dealing import TASK_ROWS, deal, tasks_for
 from ..plans.materialize import materialize
 
 RULE_KINDS = ("override", "periodic", "sporadic", "obsolete")
@@ -65,11 +66,13 @@ def normalize_by_table(df: DataFrame, closure: DataFrame, name: str = "product")
             .withColumn(name, F.coalesce("_canonical", name)).drop("_variant", "_canonical"))
 
 
-def normalized_demand(lines: DataFrame, closure: DataFrame) -> DataFrame:
+def normalized_demand(lines: DataFrame, closure: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """D1 by canonical product.  Lines are summed by written name first, so a name that
-    holds a third of all lines brings one row a store and day to the join."""
-    daily = lines.groupBy("store", "product", "date").agg(F.sum("qty").alias("qty"))
-    return (normalize_by_table(daily, closure).groupBy("store", "product", "date")
+    holds a third of all lines brings one row a store and day to the join.  Both sums are
+    dealt by store, product and day over tasks of about ``task_rows`` lines."""
+    key, tasks = ["store", "product", "date"], tasks_for(lines.count(), task_rows)
+    daily = deal(lines, tasks, *key).groupBy(*key).agg(F.sum("qty").alias("qty"))
+    return (deal(normalize_by_table(daily, closure), tasks, *key).groupBy(*key)
             .agg(F.sum("qty").alias("qty")))
 
 

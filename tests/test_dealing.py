@@ -18,6 +18,22 @@ def _most(df):
     return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
 
 
+def test_normalized_demand_in_bounded_tasks(spark):
+    closure = CT.alias_closure(spark.createDataFrame(
+        [("p1", "p0"), ("p2", "p1"), ("p9", "p8")], "variant string, target string"))
+    rows = [("S%d" % (i % 3), " p%d" % (i % 40) if i % 50 else None, DAY + dt.timedelta(days=i % 25),
+             float(i)) for i in range(2000)]
+    lines = spark.createDataFrame(rows, "store string, product string, date date, qty double")
+    few = CT.normalized_demand(lines, closure, task_rows=100)
+    canonical = {"p1": "p0", "p2": "p0", "p9": "p8"}
+    want = {}
+    for store, product, date, qty in rows:
+        name = product and canonical.get(product.strip(), product.strip())
+        want[store, name, date] = want.get((store, name, date), 0.0) + qty
+    assert {(r.store, r["product"], r.date): r.qty for r in few.collect()} == want
+    assert _most(few) < 250 < len(want) / 2
+
+
 def test_records_stay_where_they_are(spark):
     head = "store_code,sku,usage_date,quantity_used"
     rows = [(name, i // 500 * 100, i, head if not i else f"ST{i},{hash((name, i))},2026-03-14,{i}")
