@@ -30,13 +30,20 @@ def pick_list(lines: DataFrame, items: DataFrame, category: str | None = None,
     if search:
         pat = f"%{search.strip()}%"
         it = it.where(F.col("item_name").ilike(pat) | F.col("sku").ilike(pat))
-    j = lines.join(it, "item_id")
+    if category or search:
+        lines = lines.join(it.select("item_id"), "item_id", "left_semi")
+    # summed by ids, the names joined to the sums; an item row that occurs n times counts n times.
     # a plan has one line per (store, item) (unique key), so counting lines
     # per (plan, item) counts distinct stores without a distinct aggregate
-    return j.groupBy("plan_id", "item_id", "item_name", "sku", "category").agg(
+    sums = lines.groupBy("plan_id", "item_id").agg(
         F.sum("recommended_quantity").alias("total_recommended"),
         F.sum(F.coalesce("actual_quantity", F.lit(0.0))).alias("total_actual"),
         F.count(F.lit(1)).alias("store_count"))
+    it = it.groupBy("item_id", "item_name", "sku", "category").agg(F.count(F.lit(1)).alias("_n"))
+    return sums.join(it, "item_id").select(
+        "plan_id", "item_id", "item_name", "sku", "category",
+        *[(F.col(c) * F.col("_n")).alias(c)
+          for c in ("total_recommended", "total_actual", "store_count")])
 
 
 def status_pivot(lines: DataFrame) -> DataFrame:

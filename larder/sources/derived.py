@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rownum import bucketed_row_number
+from ..plans.dealing import TASK_ROWS, deal, tasks_for
 from .tables import read_table
 
 # Fixed values of the fixture mappings.
@@ -240,16 +241,19 @@ def _plan_id(ts: Column) -> Column:
     return (F.year(ts) * 10000 + F.month(ts) * 100 + F.dayofmonth(ts)).cast("long")
 
 
-def plan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plan_lines(spark: SparkSession, sf_dir: str, task_rows: int = TASK_ROWS) -> DataFrame:
     """One plan per ship date; a line per (supplier, part) shipped that day."""
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                      "l_quantity", "l_discount", "l_returnflag", "l_shipdate"])
     od = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate", "o_orderpriority"])
-    g = (li.join(od, li.l_orderkey == od.o_orderkey)
-           .groupBy(_plan_id(F.col("l_shipdate")).alias("plan_id"),
-                    F.col("l_suppkey").alias("store_id"),
-                    F.col("l_partkey").alias("item_id"))
+    lines = li.join(od, li.l_orderkey == od.o_orderkey).select(
+        _plan_id(F.col("l_shipdate")).alias("plan_id"), F.col("l_suppkey").alias("store_id"),
+        F.col("l_partkey").alias("item_id"), "l_orderkey", "l_linenumber", "l_quantity",
+        "o_orderpriority", "l_returnflag", "l_discount", "o_orderdate")
+    # a plan's lines of an item in one task: what is summed by plan and item finds them there
+    g = (deal(lines, tasks_for(li.count(), task_rows), "plan_id", "item_id")
+           .groupBy("plan_id", "store_id", "item_id")
            .agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
                 F.sum("l_quantity").alias("recommended_quantity"),
                 F.min("o_orderpriority").alias("prio"),
