@@ -57,6 +57,8 @@ WINDOW = 16
 STREAMS = 768                             # texts read side by side in training, at most
 LEAST_WINDOWS = 64                        # and in windows: fewer streams where a block is small
 BATCH = 16_384                            # tokens whose output layer is computed at once
+ROWS_AT_ONCE = 2_048                      # of the output layer, so that they stay in the cache
+SAFE = 60.0                               # logits up to this need no lowering in float32
 ROUNDS = 2
 FAN = 32
 RATE = 0.01
@@ -303,8 +305,11 @@ def start_parameters(vocabulary: Vocabulary, hidden: int = HIDDEN, seed: int = 0
 
 
 def _sigmoid(x):
+    """In place."""
     with np.errstate(over="ignore"):
-        return 1 / (1 + np.exp(-x))
+        np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _step(gx, h, u, hidden):
@@ -317,44 +322,72 @@ def _step(gx, h, u, hidden):
     return n + z * (h - n), z, r, q, n
 
 
+def _exp(states, weights, bias, targets):
+    """``e``, its row sums and the targets' logits, of logits ``states @ weights + bias``, which
+    are lowered by their row's greatest where they could leave float32."""
+    logits = states @ np.vstack([weights, bias])         # the states' last column is 1
+    at = np.arange(len(targets))
+    # no state leaves [-1, 1]
+    if (np.abs(weights).sum(0) + np.abs(bias)).max() > SAFE:
+        logits -= logits.max(1, keepdims=True)
+    chosen = logits[at, targets]
+    e = np.exp(logits, out=logits)
+    return e, e @ np.ones(e.shape[1], e.dtype), chosen
+
+
+def _softmax_gradient(states, e, total, weights, targets):
+    """Gradients of the sum of the targets' log probabilities: weights (biases in the last row)
+    and states.  Overwrites ``e``."""
+    share = -1 / total[:, None]
+    e[np.arange(len(targets)), targets] -= total
+    return (states * share).T @ e, (e @ weights.T) * share
+
+
 def output(p: dict, vocabulary: Vocabulary, states, slots, gradient: bool):
     """Natural log probabilities of ``slots`` given states; with the gradients of their sum."""
+    order = np.argsort(vocabulary.slot_class[slots].astype(np.int16), kind="stable")
+    slots = slots[order]
     own = vocabulary.slot_class[slots]
-    logits = states @ p["c"] + p["cb"]
-    logits -= logits.max(1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(1)
-    rows = np.arange(len(slots))
-    logp = logits[rows, own] - np.log(total)
+    states = np.column_stack([states[order], np.ones(len(slots), states.dtype)])
+    sorted_logp, d_states = np.empty(len(slots), states.dtype), None
     grads = {}
     if gradient:
-        d = -e / total[:, None]
-        d[rows, own] += 1
-        grads = {"c": states.T @ d, "cb": d.sum(0),
-                 "s": np.zeros_like(p["s"]), "sb": np.zeros_like(p["sb"])}
-        d_states = d @ p["c"].T
-    order = np.argsort(own, kind="stable")
-    cuts = np.searchsorted(own[order], np.arange(vocabulary.n_classes + 1))
+        d_states = np.empty((len(slots), states.shape[1] - 1), states.dtype)
+        d_c = np.zeros((states.shape[1], vocabulary.n_classes), states.dtype)
+        grads = {"s": np.zeros_like(p["s"]), "sb": np.zeros_like(p["sb"])}
+    for a in range(0, len(slots), ROWS_AT_ONCE):
+        part = slice(a, a + ROWS_AT_ONCE)
+        e, total, chosen = _exp(states[part], p["c"], p["cb"], own[part])
+        sorted_logp[part] = chosen - np.log(total)
+        if gradient:
+            d, d_states[part] = _softmax_gradient(states[part], e, total, p["c"], own[part])
+            d_c += d
+    if gradient:
+        grads["c"], grads["cb"] = d_c[:-1], d_c[-1]
+    cuts = np.searchsorted(own, np.arange(vocabulary.n_classes + 1))
     starts = np.searchsorted(vocabulary.slot_class, np.arange(vocabulary.n_classes + 1))
     for k in np.flatnonzero(np.diff(cuts)).tolist():
         a, b = int(starts[k]), int(starts[k + 1])
         if b - a == 1:
             continue
-        at = order[cuts[k]:cuts[k + 1]]
-        inner = states[at] @ p["s"][a:b].T + p["sb"][a:b]
-        inner -= inner.max(1, keepdims=True)
-        e = np.exp(inner)
-        total = e.sum(1)
-        target = slots[at] - a
-        one = np.arange(len(at))
-        logp[at] += inner[one, target] - np.log(total)
-        if gradient:
-            d = -e / total[:, None]
-            d[one, target] += 1
-            grads["s"][a:b] = d.T @ states[at]
-            grads["sb"][a:b] = d.sum(0)
-            d_states[at] += d @ p["s"][a:b]
-    return (logp, grads, d_states) if gradient else logp
+        weights, bias = np.ascontiguousarray(p["s"][a:b].T), p["sb"][a:b]
+        for at in range(int(cuts[k]), int(cuts[k + 1]), ROWS_AT_ONCE):
+            part = slice(at, min(at + ROWS_AT_ONCE, int(cuts[k + 1])))
+            target = slots[part] - a
+            e, total, chosen = _exp(states[part], weights, bias, target)
+            sorted_logp[part] += chosen - np.log(total)
+            if gradient:
+                d, back = _softmax_gradient(states[part], e, total, weights, target)
+                grads["s"][a:b] += d[:-1].T
+                grads["sb"][a:b] += d[-1]
+                d_states[part] += back
+    logp = np.empty_like(sorted_logp)
+    logp[order] = sorted_logp
+    if not gradient:
+        return logp
+    unsorted = np.empty_like(d_states)
+    unsorted[order] = d_states
+    return logp, grads, unsorted
 
 
 def window_gradient(p, vocabulary, inputs, targets, fresh, h):
