@@ -349,11 +349,11 @@ def output(p: dict, vocabulary: Vocabulary, states, slots, gradient: bool):
     slots = slots[order]
     own = vocabulary.slot_class[slots]
     states = np.column_stack([states[order], np.ones(len(slots), states.dtype)])
-    sorted_logp, d_states = np.empty(len(slots), states.dtype), None
-    grads = {}
+    kind = np.result_type(states, p["c"])
+    sorted_logp, d_states, grads = np.empty(len(slots), kind), None, {}
     if gradient:
-        d_states = np.empty((len(slots), states.shape[1] - 1), states.dtype)
-        d_c = np.zeros((states.shape[1], vocabulary.n_classes), states.dtype)
+        d_states = np.empty((len(slots), states.shape[1] - 1), kind)
+        d_c = np.zeros((states.shape[1], vocabulary.n_classes), kind)
         grads = {"s": np.zeros_like(p["s"]), "sb": np.zeros_like(p["sb"])}
     for a in range(0, len(slots), ROWS_AT_ONCE):
         part = slice(a, a + ROWS_AT_ONCE)
