@@ -41,13 +41,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import pack, planes, table_of, unpack, unplaned
-from .common import id_remainder, stored, words_of
+from .common import id_remainder, stored
 
 BLOCK_CHARS = 24_000_000
 FREQUENT = 2_048
@@ -56,8 +57,9 @@ HIDDEN = 16
 WINDOW = 16
 STREAMS = 768                             # texts read side by side in training, at most
 LEAST_WINDOWS = 64                        # and in windows: fewer streams where a block is small
-BATCH = 16_384                            # tokens whose output layer is computed at once
+BATCH = 65_536                            # tokens scored whose output layer is computed at once
 ROWS_AT_ONCE = 2_048                      # of the output layer, so that they stay in the cache
+TEXTS_AT_ONCE = 500                       # cut into words
 SAFE = 60.0                               # logits up to this need no lowering in float32
 ROUNDS = 2
 FAN = 32
@@ -95,24 +97,97 @@ def ending(word: bytes) -> bytes:
     return (word.rstrip(b".,") or word)[-2:]
 
 
+def _word_array(sizes, body) -> pa.Array:
+    """Words of these byte counts that stand end to end."""
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_string(), len(sizes),
+                                 [None, pa.py_buffer(ends), pa.py_buffer(body)])
+
+
+def _sizes_and_body(words: pa.Array) -> tuple[np.ndarray, bytes]:
+    """The opposite of ``_word_array``."""
+    ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+    body = words.buffers()[2]
+    return np.diff(ends), body[int(ends[0]):int(ends[-1])].to_pybytes() if body else b""
+
+
+def numbered_words(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Word numbers of all texts, words of each text, and the distinct words by number.
+
+    As ``words_of``: ``ascii_lower`` touches only A-Z, and ``ascii_split_whitespace`` splits on
+    the six characters (with an empty string where a text begins or ends with one).
+    """
+    words, lengths = [], [np.empty(0, np.int64)]
+    for part in texts:
+        for at in range(0, len(part), TEXTS_AT_ONCE):
+            # taken, not sliced: casts of slices keep offsets that ascii_lower misreads
+            piece = part.take(pa.array(np.arange(at, min(at + TEXTS_AT_ONCE, len(part)))))
+            split = pc.ascii_split_whitespace(pc.ascii_lower(piece.fill_null("")))
+            flat = split.flatten()
+            full = pc.greater(pc.binary_length(flat), 0)
+            ends = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+            lengths.append(np.diff(ends[np.concatenate([
+                [0], np.cumsum(pc.list_value_length(split).to_numpy())])]))
+            words.append(flat.filter(full).cast(pa.large_string()))
+    lengths = np.concatenate(lengths)
+    if not lengths.sum():
+        return np.empty(0, np.int32), lengths, pa.array([], pa.large_string())
+    coded = pa.chunked_array(words).dictionary_encode().unify_dictionaries()
+    del words
+    numbers = np.concatenate([x.indices.to_numpy() for x in coded.chunks])
+    distinct = coded.chunk(0).dictionary
+    del coded
+    pa.default_memory_pool().release_unused()
+    return numbers, lengths, distinct
+
+
+def _blocks(batches, block_chars: int, after: bool, wanted=lambda doc_id: True):
+    """Ids and texts of consecutive wanted documents, cut so that they have ``block_chars``
+    characters at most (``after``: cut after the document that exceeds them)."""
+    ids, texts, chars = [], [], 0
+    for batch in batches:
+        own, column = batch.column(0).to_pylist(), batch.column(1)
+        sizes = pc.utf8_length(column).fill_null(0).to_pylist()
+        rows = []
+        for row, doc_id in enumerate(own):
+            if not wanted(doc_id):
+                continue
+            if not after and ids and chars + sizes[row] > block_chars:
+                yield ids, [*texts, column.take(pa.array(rows, pa.int64()))]
+                ids, texts, chars, rows = [], [], 0, []
+            ids.append(doc_id)
+            rows.append(row)
+            chars += sizes[row]
+            if after and chars > block_chars:
+                yield ids, [*texts, column.take(pa.array(rows, pa.int64()))]
+                ids, texts, chars, rows = [], [], 0, []
+        if rows:
+            texts.append(column.take(pa.array(rows, pa.int64())))
+    if ids:
+        yield ids, texts
+
+
 def _explode(block_chars: int, n_shards: int):
-    def rows_of(block, ids, numbers, ends, words):
-        listed = list(words)
-        shard = np.fromiter((zlib.crc32(w) for w in listed), np.int64, len(listed)) % n_shards
+    def rows_of(block, ids, texts):
+        numbers, lengths, words = numbered_words(texts)
+        sizes, body = _sizes_and_body(words)
+        ends = np.cumsum(sizes).tolist()
+        shard = np.fromiter((zlib.crc32(body[a:b]) for a, b in zip([0, *ends], ends)), np.int64,
+                            len(words)) % n_shards
         order = np.argsort(shard, kind="stable")
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        lengths = np.diff(np.array([0, *ends]))
-        at = place[np.array(numbers, np.int64)] if numbers else np.empty(0, np.int64)
+        at = place[numbers]
         learn = np.array([id_remainder(i, MODULUS) != HELD_OUT for i in ids])
         counts = np.bincount(at[np.repeat(learn, lengths)], minlength=len(order))
         cuts = np.searchsorted(shard[order], np.arange(n_shards + 1))
+        sizes, body = _sizes_and_body(words.take(pa.array(order)))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
         rows = []
         for s in range(n_shards):
             a, b = cuts[s], cuts[s + 1]
             if a < b:
-                own = [listed[i] for i in order[a:b].tolist()]
-                rows.append((f"w{s}", block, s, pack([len(w) for w in own], b"".join(own)),
+                rows.append((f"w{s}", block, s, pack(sizes[a:b], body[ends[a]:ends[b]]),
                              pack(counts[a:b], b""), None, None))
         rows.append((f"d{block}", block, None, zstandard.compress(planes(at), 3), None, ids,
                      lengths.tolist()))
@@ -120,21 +195,9 @@ def _explode(block_chars: int, n_shards: int):
 
     def run(batches):
         from pyspark import TaskContext
-        block = TaskContext.get().partitionId() << 32
-        ids, numbers, ends, words, chars = [], [], [], {}, 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                if ids and chars + len(text or "") > block_chars:
-                    yield from rows_of(block, ids, numbers, ends, words)
-                    block += 1
-                    ids, numbers, ends, words, chars = [], [], [], {}, 0
-                chars += len(text or "")
-                ids.append(doc_id)
-                numbers.extend([words.setdefault(w, len(words)) for w in words_of(text)])
-                ends.append(len(numbers))
-        if ids:
-            yield from rows_of(block, ids, numbers, ends, words)
+        first = TaskContext.get().partitionId() << 32
+        for n, (ids, texts) in enumerate(_blocks(batches, block_chars, after=False)):
+            yield from rows_of(first + n, ids, texts)
 
     return run
 
@@ -196,16 +259,17 @@ class Vocabulary:
     def class_of(self, word: bytes) -> int:
         return self.endings.get(ending(word), 0)
 
-    def lookup(self):
-        """Function from a word to its input number: a frequent word's, or its class's."""
-        known = {w: i + 1 for i, w in enumerate(self.words)}
-        first, classes = 1 + len(self.words), self.endings
-
-        def number(word):
-            n = known.get(word)
-            return n if n is not None else first + classes.get(ending(word), 0)
-
-        return number
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Input number of each word: a frequent word's, or its class's."""
+        trimmed = pc.ascii_rtrim(words, ".,")
+        trimmed = pc.if_else(pc.equal(pc.binary_length(trimmed), 0), words, trimmed)
+        endings = pc.binary_slice(trimmed.cast(pa.large_binary()), -2)
+        place = lambda x, among: pc.index_in(           # noqa: E731
+            x, pa.array(among, x.type)).fill_null(-1).to_numpy().astype(np.int64)
+        known = place(words.cast(pa.large_binary()), self.words)
+        own = np.concatenate([list(self.endings.values()), [0]]).astype(np.int64)[
+            place(endings, list(self.endings))]
+        return np.where(known >= 0, known + 1, 1 + len(self.words) + own)
 
     def slots(self, numbers: np.ndarray) -> np.ndarray:
         """Output slot of each input number."""
@@ -312,35 +376,47 @@ def _sigmoid(x):
     return np.reciprocal(x, out=x)
 
 
-def _step(gx, h, u, hidden):
-    """One GRU step: new state and what backpropagation needs."""
-    a = h @ u
-    zr = _sigmoid(gx[:, :2 * hidden] + a[:, :2 * hidden])
-    z, r = zr[:, :hidden], zr[:, hidden:]
-    q = a[:, 2 * hidden:]
-    n = np.tanh(gx[:, 2 * hidden:] + r * q)
-    return n + z * (h - n), z, r, q, n
-
-
-def _exp(states, weights, bias, targets):
-    """``e``, its row sums and the targets' logits, of logits ``states @ weights + bias``, which
-    are lowered by their row's greatest where they could leave float32."""
-    logits = states @ np.vstack([weights, bias])         # the states' last column is 1
-    at = np.arange(len(targets))
-    # no state leaves [-1, 1]
-    if (np.abs(weights).sum(0) + np.abs(bias)).max() > SAFE:
-        logits -= logits.max(1, keepdims=True)
-    chosen = logits[at, targets]
-    e = np.exp(logits, out=logits)
+def _step(gx, h, ut):
+    """One GRU step: new state and what backpropagation needs.
+
+    ``gx`` [stream, 3 hidden]; states and all else [hidden, stream], so that numpy's inner loops
+    run over the streams.  ``ut``: the transposed recurrent weights.
+    """
+    hidden = len(h)
+    a = ut @ h
+    gx = gx.T
+    zr = a[:2 * hidden]
+    zr += gx[:2 * hidden]
+    _sigmoid(zr)
+    z, r, q = zr[:hidden], zr[hidden:], a[2 * hidden:]
+    n = r * q
+    n += gx[2 * hidden:]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, z, r, q, n
+
+
+def _exp(states, weights, lower, targets, at):
+    """``e``, its row sums and the targets' logits, of logits ``states @ weights``, which are
+    lowered by their row's greatest where they could leave float32 (``lower``)."""
+    e = states @ weights                                 # the states' last column is 1
+    if lower:
+        e -= e.max(1, keepdims=True)
+    chosen = e[at, targets]
+    np.exp(e, out=e)
     return e, e @ np.ones(e.shape[1], e.dtype), chosen
 
 
-def _softmax_gradient(states, e, total, weights, targets):
+def _softmax_gradient(states, e, total, weights, targets, at):
     """Gradients of the sum of the targets' log probabilities: weights (biases in the last row)
-    and states.  Overwrites ``e``."""
+    and states (with a last column for their 1).  Overwrites ``e``."""
     share = -1 / total[:, None]
-    e[np.arange(len(targets)), targets] -= total
-    return (states * share).T @ e, (e @ weights.T) * share
+    e[at, targets] -= total
+    back = e @ weights.T
+    back *= share
+    return (states * share).T @ e, back
 
 
 def output(p: dict, vocabulary: Vocabulary, states, slots, gradient: bool):
@@ -348,38 +424,48 @@ def output(p: dict, vocabulary: Vocabulary, states, slots, gradient: bool):
     order = np.argsort(vocabulary.slot_class[slots].astype(np.int16), kind="stable")
     slots = slots[order]
     own = vocabulary.slot_class[slots]
-    states = np.column_stack([states[order], np.ones(len(slots), states.dtype)])
+    n, hidden = states.shape
+    ordered = np.ones((n, hidden + 1), states.dtype)
+    ordered[:, :-1] = states[order]
+    states, n_classes = ordered, vocabulary.n_classes
     kind = np.result_type(states, p["c"])
-    sorted_logp, d_states, grads = np.empty(len(slots), kind), None, {}
+    sorted_logp, grads = np.empty(n, kind), {}
+    of_class = np.vstack([p["c"], p["cb"]])
+    of_slots = np.column_stack([p["s"], p["sb"]])
+    starts = np.searchsorted(vocabulary.slot_class, np.arange(n_classes + 1))
+    # no state leaves [-1, 1], so that no logit leaves these
+    reach = np.maximum.reduceat(np.abs(of_slots).sum(1), starts[:-1]) > SAFE
+    class_reach = np.abs(of_class).sum(0).max() > SAFE
+    rows = np.arange(min(n, ROWS_AT_ONCE))
     if gradient:
-        d_states = np.empty((len(slots), states.shape[1] - 1), kind)
-        d_c = np.zeros((states.shape[1], vocabulary.n_classes), kind)
-        grads = {"s": np.zeros_like(p["s"]), "sb": np.zeros_like(p["sb"])}
-    for a in range(0, len(slots), ROWS_AT_ONCE):
+        d_states = np.empty((n, hidden + 1), kind)
+        d_c, d_s = np.zeros_like(of_class), np.zeros_like(of_slots)
+    for a in range(0, n, ROWS_AT_ONCE):
         part = slice(a, a + ROWS_AT_ONCE)
-        e, total, chosen = _exp(states[part], p["c"], p["cb"], own[part])
+        x, target = states[part], own[part]
+        at = rows[:len(x)]
+        e, total, chosen = _exp(x, of_class, class_reach, target, at)
         sorted_logp[part] = chosen - np.log(total)
         if gradient:
-            d, d_states[part] = _softmax_gradient(states[part], e, total, p["c"], own[part])
+            d, d_states[part] = _softmax_gradient(x, e, total, of_class, target, at)
             d_c += d
-    if gradient:
-        grads["c"], grads["cb"] = d_c[:-1], d_c[-1]
-    cuts = np.searchsorted(own, np.arange(vocabulary.n_classes + 1))
-    starts = np.searchsorted(vocabulary.slot_class, np.arange(vocabulary.n_classes + 1))
-    for k in np.flatnonzero(np.diff(cuts)).tolist():
-        a, b = int(starts[k]), int(starts[k + 1])
+    cuts = np.searchsorted(own, np.arange(n_classes + 1)).tolist()
+    starts, inside = starts.tolist(), slots - starts[own]
+    for k in range(n_classes):
+        a, b = starts[k], starts[k + 1]
         if b - a == 1:
             continue
-        weights, bias = np.ascontiguousarray(p["s"][a:b].T), p["sb"][a:b]
-        for at in range(int(cuts[k]), int(cuts[k + 1]), ROWS_AT_ONCE):
-            part = slice(at, min(at + ROWS_AT_ONCE, int(cuts[k + 1])))
-            target = slots[part] - a
-            e, total, chosen = _exp(states[part], weights, bias, target)
-            sorted_logp[part] += chosen - np.log(total)
+        weights = of_slots[a:b].T
+        for first in range(cuts[k], cuts[k + 1], ROWS_AT_ONCE):
+            part = slice(first, min(first + ROWS_AT_ONCE, cuts[k + 1]))
+            x, target = states[part], inside[part]
+            at = rows[:len(x)]
+            e, total, chosen = _exp(x, weights, reach[k], target, at)
+            chosen -= np.log(total)
+            sorted_logp[part] += chosen
             if gradient:
-                d, back = _softmax_gradient(states[part], e, total, weights, target)
-                grads["s"][a:b] += d[:-1].T
-                grads["sb"][a:b] += d[-1]
+                d, back = _softmax_gradient(x, e, total, weights, target, at)
+                d_s[a:b] += d.T
                 d_states[part] += back
     logp = np.empty_like(sorted_logp)
     logp[order] = sorted_logp
@@ -387,41 +473,54 @@ def output(p: dict, vocabulary: Vocabulary, states, slots, gradient: bool):
         return logp
     unsorted = np.empty_like(d_states)
     unsorted[order] = d_states
-    return logp, grads, unsorted
+    grads = {"s": d_s[:, :-1], "sb": d_s[:, -1], "c": d_c[:-1], "cb": d_c[-1]}
+    return logp, grads, unsorted[:, :-1]
 
 
 def window_gradient(p, vocabulary, inputs, targets, fresh, h):
     """Log likelihood of one window [time, stream] and its gradients, truncated at its start."""
     steps, streams = inputs.shape
     hidden = h.shape[1]
-    gx = p["x"][inputs]
-    kept, states = [], np.empty((steps, streams, hidden), np.float32)
+    u, ut = p["u"], np.ascontiguousarray(p["u"].T)
+    kind = np.result_type(h, u)
+    keep = (~fresh).astype(kind)
+    h = h.T
+    kept, befores = [], np.empty((steps, hidden, streams), kind)
+    states = np.empty((steps, streams, hidden), kind)
     for t in range(steps):
-        h = h * ~fresh[t][:, None]                       # a document starts: empty state
-        before = h
-        h, z, r, q, n = _step(gx[t], h, p["u"], hidden)
-        kept.append((before, z, r, q, n))
-        states[t] = h
+        before = np.multiply(h, keep[t], out=befores[t])  # a document starts: empty state
+        h, z, r, q, n = _step(p["x"][inputs[t]], before, ut)
+        kept.append((z, r, q, n))
+        states[t] = h.T
     logp, grads, d_out = output(p, vocabulary, states.reshape(-1, hidden), targets.ravel(), True)
     d_out = d_out.reshape(steps, streams, hidden)
-    d_gx, d_a = np.empty_like(gx), np.empty_like(gx)
-    dh = np.zeros((streams, hidden), np.float32)
+    grads["u"] = np.zeros_like(u)
+    d_gx = np.empty((3 * hidden, steps, streams), kind)
+    dh = np.zeros((hidden, streams), kind)
+    d_a = np.empty((3 * hidden, streams), kind)
     for t in reversed(range(steps)):
-        before, z, r, q, n = kept[t]
-        dh = dh + d_out[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * q * r * (1 - r)
-        d_gx[t] = np.concatenate([dz, dr, dn], axis=1)
-        d_a[t] = np.concatenate([dz, dr, dn * r], axis=1)
-        dh = (dh * z + d_a[t] @ p["u"].T) * ~fresh[t][:, None]
-    grads["u"] = np.concatenate([k[0] for k in kept]).T @ d_a.reshape(-1, 3 * hidden)
+        before, (z, r, q, n) = befores[t], kept[t]
+        dh += d_out[t].T
+        d = dh * (1 - z)
+        dz, dr, da = d_a[:hidden], d_a[hidden:2 * hidden], d_a[2 * hidden:]
+        np.subtract(before, n, out=dz)
+        dz *= z
+        dz *= d
+        n *= n
+        d *= np.subtract(1, n, out=n)                    # of the candidate's input from the word
+        np.multiply(d, r, out=da)
+        q *= np.subtract(1, r, out=r)
+        np.multiply(da, q, out=dr)
+        d_gx[:2 * hidden, t], d_gx[2 * hidden:, t] = d_a[:2 * hidden], d
+        grads["u"] += before @ d_a.T
+        dh *= z
+        dh += u @ d_a
+        dh *= keep[t]
     flat = inputs.ravel()
-    order = np.argsort(flat, kind="stable")
-    used, first = np.unique(flat[order], return_index=True)
-    grads["x"] = np.zeros_like(p["x"])
-    grads["x"][used] = np.add.reduceat(d_gx.reshape(-1, 3 * hidden)[order], first, axis=0)
-    return float(logp.sum()), grads, h
+    grads["x"] = np.empty_like(p["x"])
+    for i, d in enumerate(d_gx.reshape(3 * hidden, -1)):
+        grads["x"][:, i] = np.bincount(flat, d, len(p["x"]))
+    return float(logp.sum()), grads, np.ascontiguousarray(h.T)
 
 
 class Replica:
@@ -485,37 +584,19 @@ def _unflat(flat: np.ndarray, like: dict) -> dict:
 def _train(vocabulary: Vocabulary, params: dict, round_no: int, rounds: int, block_chars: int):
     def run(batches):
         from pyspark import TaskContext
-        replica, number = Replica(params, vocabulary), vocabulary.lookup()
-        cache: dict[bytes, int] = {}
-        numbers, starts, chars = [], [], 0
+        replica = Replica(params, vocabulary)
 
-        def learn():
-            tokens = np.array(numbers, np.int64)
+        def wanted(doc_id):
+            return id_remainder(doc_id, MODULUS) != HELD_OUT and \
+                zlib.crc32(f"round {doc_id}".encode()) % rounds == round_no
+
+        for _, texts in _blocks(batches, block_chars, after=True, wanted=wanted):
+            numbers, lengths, words = numbered_words(texts)
+            ends = np.cumsum(lengths)
+            tokens = np.insert(vocabulary.numbers(words)[numbers], ends, END)
             fresh = np.zeros(len(tokens), bool)
-            fresh[starts] = True
+            fresh[ends - lengths + np.arange(len(ends))] = True
             replica.learn(tokens, fresh)
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if id_remainder(doc_id, MODULUS) == HELD_OUT or \
-                        zlib.crc32(f"round {doc_id}".encode()) % rounds != round_no:
-                    continue
-                text = text.as_py()
-                starts.append(len(numbers))
-                for word in words_of(text):
-                    n = cache.get(word)
-                    if n is None:
-                        if len(cache) > 500_000:
-                            cache.clear()
-                        n = cache[word] = number(word)
-                    numbers.append(n)
-                numbers.append(END)
-                chars += len(text or "")
-                if chars > block_chars:
-                    learn()
-                    numbers, starts, chars = [], [], 0
-        if starts:
-            learn()
         if replica.tokens:
             flat = _flat(replica.p).astype(np.float64) * replica.tokens
             yield pa.RecordBatch.from_arrays(
@@ -563,34 +644,36 @@ def document_scores(p: dict, vocabulary: Vocabulary, numbers: np.ndarray, extra:
     starts = np.cumsum(lengths) - lengths
     order = np.argsort(-lengths, kind="stable")
     size, start = lengths[order], starts[order]
-    slots = vocabulary.slots(numbers)
-    hidden = p["u"].shape[0]
-    h = np.zeros((len(order), hidden), np.float32)
-    last = np.full(len(order), END)
+    rising = -size
+    of_number = vocabulary.slots(np.arange(len(p["x"])))
+    ut = np.ascontiguousarray(p["u"].T)
+    hidden = len(p["u"])
+    h = np.zeros((hidden, len(order)), np.result_type(np.float32, p["u"]))
     score = np.add.reduceat(extra, starts) if len(starts) else np.zeros(0)
     score = score[order]
     t, active = 0, len(order)
     while active:
         # enough steps to fill a window's worth of rows, however few documents are left
-        steps = max(window, BATCH // active)
-        steps = int(min(steps, size[0] - t))
-        states, targets, owner = [], [], []
-        for _ in range(steps):
-            active = int(np.searchsorted(-size, -t, side="left"))
-            if not active:
-                break
-            h = h[:active]
-            at = start[:active] + t
-            h = _step(p["x"][last[:active]], h, p["u"], hidden)[0]
-            states.append(h)
-            targets.append(slots[at])
-            owner.append(np.arange(active))
-            last = numbers[at]
-            t += 1
-        if states:
-            logp = output(p, vocabulary, np.concatenate(states), np.concatenate(targets), False)
-            score += np.bincount(np.concatenate(owner), logp, len(score)) / np.log(10)
-        active = int(np.searchsorted(-size, -t, side="left"))
+        steps = int(min(max(window, BATCH // active), size[0] - t))
+        # of each step, the documents that still have a token: the first ones
+        counts = np.searchsorted(rising, -np.arange(t, t + steps + 1), side="left")
+        active = int(counts[-1])
+        counts = counts[:-1]
+        cuts = np.concatenate([[0], np.cumsum(counts)])
+        owner = np.arange(cuts[-1]) - np.repeat(cuts[:-1], counts)
+        at = start[owner] + np.repeat(np.arange(t, t + steps), counts)
+        targets = of_number[numbers[at]]
+        inputs = numbers[at - 1]                         # the token before; END before the first
+        if t == 0:
+            inputs[:counts[0]] = END
+        states = np.empty((len(at), hidden), h.dtype)
+        cuts = cuts.tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            h = _step(p["x"][inputs[a:b]], h[:, :b - a], ut)[0]
+            states[a:b] = h.T
+        logp = output(p, vocabulary, states, targets, False)
+        score += np.bincount(owner, logp, len(score)) / np.log(10)
+        t += steps
     out = np.empty(len(order))
     out[order] = score
     return out
@@ -600,17 +683,13 @@ def _score(vocabulary: Vocabulary, params: dict):
     def run(counted: pa.Table, block: pa.Table) -> pa.Table:
         if not block.num_rows or not block.column("key")[0].as_py().startswith("d"):
             return table_of([], _SCORED)
-        number = vocabulary.lookup()
         n, v = vocabulary.n_tokens, vocabulary.n_distinct
         first = 1 + len(vocabulary.words)
         parts = sorted(zip(*(counted.column(c).to_pylist()
                              for c in ("shard", "packed", "counts"))))
         inputs, counts = [np.zeros(1, np.int64)], [np.array([vocabulary.n_ends])]
         for _, packed, count in parts:
-            sizes, body = unpack(packed)
-            ends = np.cumsum(sizes, dtype=np.int64).tolist()
-            inputs.append(np.fromiter((number(body[a:b]) for a, b in zip([0, *ends], ends)),
-                                      np.int64, len(ends)))
+            inputs.append(vocabulary.numbers(_word_array(*unpack(packed))))
             counts.append(unpack(count)[0].astype(np.int64))
         inputs, counts = np.concatenate(inputs), np.concatenate(counts)      # 0 is the end
         base = np.log10((counts + 0.5) / (n + 0.5 * (v + 1)))
