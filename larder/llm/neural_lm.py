@@ -132,7 +132,7 @@ def numbered_words(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, pa.Ar
     lengths = np.concatenate(lengths)
     if not lengths.sum():
         return np.empty(0, np.int32), lengths, pa.array([], pa.large_string())
-    coded = pa.chunked_array(words).dictionary_encode().unify_dictionaries()
+    coded = pa.chunked_array(words).dictionary_encode()  # all chunks get the same dictionary
     del words
     numbers = np.concatenate([x.indices.to_numpy() for x in coded.chunks])
     distinct = coded.chunk(0).dictionary
